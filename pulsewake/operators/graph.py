@@ -15,7 +15,8 @@ from pulsewake.runtime import cut_lineage
 
 def edges_from_pages(pages: DataFrame, account: str = "account", ids: str = "ids") -> DataFrame:
     """Follower pages to ``follower -> account`` edges; the same follower on two pages counts once."""
-    return pages.select(F.explode(ids).cast("string").alias("src"), F.col(account).cast("string").alias("dst")).distinct()
+    listed = pages.select(F.explode(ids).alias("src"), F.col(account).cast("string").alias("dst"))
+    return listed.select(F.col("src").cast("string"), "dst").distinct()
 
 
 def merge_edges(current: DataFrame, arriving: DataFrame) -> DataFrame:

@@ -49,11 +49,12 @@ def tag_with_windows(pubs: DataFrame, windows: DataFrame, ts: str, row_id: str,
     may sort, hash or broadcast it by size and split a busy bucket. The exact interval stays in the join
     condition: only true hits leave it, and they are reduced to one per publication.
     """
-    first = bucket_start(F.col("start"), bucket)
-    last = bucket_start(F.col("end"), bucket)
-    covered = windows.where(F.col("start") <= F.col("end")).select(
-        "window_id", "start", "end", first.alias("_from"), last.alias("_to")
-    ).select("window_id", "start", "end", F.explode(F.sequence("_from", "_to", F.expr(f"INTERVAL {bucket}"))).alias("_bucket"))
+    covered = (
+        windows.where(F.col("start") <= F.col("end"))
+        .withColumn("_from", bucket_start(F.col("start"), bucket))
+        .withColumn("_to", bucket_start(F.col("end"), bucket))
+        .select("window_id", "start", "end", F.explode(F.sequence("_from", "_to", F.expr(f"INTERVAL {bucket}"))).alias("_bucket"))
+    )
     timed = pubs.select(row_id, F.col(ts).alias("_ts"), bucket_start(F.col(ts), bucket).alias("_bucket"))
     hits = (
         timed.join(covered, (timed["_bucket"] == covered["_bucket"]) & F.col("_ts").between(F.col("start"), F.col("end")))

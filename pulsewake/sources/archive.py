@@ -47,7 +47,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """
     raw = spark.read.option("lineSep", "\r\n\r\nWARC/1.0\r\n").text(path).select(F.col("value").cast("binary").alias("record"))
     # Latin-1 maps each byte to one character: positions in the text are positions in the bytes
-    text = F.decode("record", F.lit("ISO-8859-1"))
+    text = F.decode("record", "ISO-8859-1")
     marked = raw.select("record", F.regexp_replace(text, r"^WARC/1\.0\r\n", "").alias("text"))
     head = F.substring_index("text", "\r\n\r\n", 1)
     split = marked.select(
@@ -67,13 +67,13 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         header(F.col("warc"), "WARC-Date").alias("download_date"),
         F.try_to_number(F.nullif(F.regexp_extract("http", r"^HTTP/\S+ (\d+)", 1), F.lit("")), F.lit("999")).cast("int").alias("http_status"),
         header(F.col("http"), "Content-Type").alias("content_type"),
-        F.encode("body", F.lit("ISO-8859-1")).alias("payload"),
+        F.encode("body", "ISO-8859-1").alias("payload"),
     ).where(F.col("record_type").isNotNull())
 
 
 def declared_charset(content_type: Column, payload: Column) -> Column:
     """Charset of the header, else of the page itself."""
-    head = F.decode(F.substring(payload, 1, 2048), F.lit("ISO-8859-1"))
+    head = F.decode(F.substring(payload, 1, 2048), "ISO-8859-1")
     return F.lower(F.coalesce(
         F.nullif(F.regexp_extract(content_type, r"(?i)charset=[\"']?([\w-]+)", 1), F.lit("")),
         F.nullif(F.regexp_extract(head, r"(?i)<meta[^>]*charset=[\"']?([\w-]+)", 1), F.lit("")),
@@ -86,11 +86,11 @@ def is_valid_utf8(payload: Column) -> Column:
 
 def decode_payload(payload: Column, charset: Column) -> Column:
     """Bytes to text: the declared charset when the decoder knows it, else UTF-8; null when neither fits."""
-    utf8 = F.when(is_valid_utf8(payload), F.decode(payload, F.lit("UTF-8")))
+    utf8 = F.when(is_valid_utf8(payload), F.decode(payload, "UTF-8"))
     known = F.lit(None).cast("string")
     for name, aliases in BUILT_IN_CHARSETS.items():
         if name != "UTF-8":
-            known = F.when(charset.isin(aliases), F.try_validate_utf8(F.decode(payload, F.lit(name)))).otherwise(known)
+            known = F.when(charset.isin(aliases), F.try_validate_utf8(F.decode(payload, name))).otherwise(known)
     return F.coalesce(known, utf8)
 
 
