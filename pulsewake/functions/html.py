@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from pulsewake.functions.let import let
 from pulsewake.functions.text import empty_to_null, language_code, strip_tags
 from pulsewake.functions.times import parse_wall_time
 from pulsewake.functions.urls import absolute_url, full_domain, registrable_domain
@@ -42,6 +43,15 @@ URL_DATE = (
     r"(([0-3]{0,1}[0-9][\./\-_])|(\w{3,5}[\./\-_]))([0-3]{0,1}[0-9][\./\-]{0,1})?"
 )
 
+# Forms of such a date once its separators are dashes, as (shape, pattern).
+URL_DATE_FORMATS = [
+    (r"\d{4}-\d{1,2}-\d{1,2}", "yyyy-M-d"),
+    (r"\d{4}-[A-Za-z]{3}-\d{1,2}", "yyyy-MMM-d"),
+    (r"\d{4}-[A-Za-z]{4,5}-\d{1,2}", "yyyy-MMMM-d"),
+    (r"\d{4}-\d{1,2}", "yyyy-M"),
+    (r"\d{4}-[A-Za-z]{3}", "yyyy-MMM"),
+]
+
 # Fixed value: class names that mark a date.
 DATE_CLASSES = "pubdate|timestamp|article_date|articledate|date"
 
@@ -143,11 +153,10 @@ def has_sitemap(robots: Column) -> Column:
 
 def page_language(html: Column) -> Column:
     """html@lang, xml:lang, meta language, og:locale; the first that is there, as a two-letter code."""
-    root = F.get(tags(html, "html"), F.lit(0))
+    root = F.regexp_extract(html, r"(?is)<html\b[^>]*>", 0)
     return language_code(
         F.coalesce(
-            attribute(root, "lang"),
-            attribute(root, "xml:lang"),
+            let(root, lambda t: F.coalesce(attribute(t, "lang"), attribute(t, "xml:lang"))),
             meta_content(html, "name", "language"),
             meta_content(html, "property", "og:locale"),
         )
@@ -161,8 +170,12 @@ def date_in_url(url: Column) -> Column:
     """Date written into an address; a missing day counts as the first of the month."""
     found = F.regexp_extract(url, URL_DATE, 0)
     plain = F.regexp_replace(F.regexp_replace(found, r"[./_-]+", "-"), "^-|-$", "")
-    forms = ["yyyy-M-d", "yyyy-MMM-d", "yyyy-MMMM-d", "yyyy-M", "yyyy-MMM"]
-    return F.coalesce(*[F.try_to_timestamp(plain, F.lit(form)) for form in forms]).cast("timestamp_ntz")
+
+    def read(t: Column) -> Column:
+        tries = [F.when(t.rlike(f"^{shape}$"), F.try_to_timestamp(t, F.lit(form))) for shape, form in URL_DATE_FORMATS]
+        return F.coalesce(*tries).cast("timestamp_ntz")
+
+    return let(plain, read)
 
 
 def date_in_json(html: Column) -> Column:
@@ -170,9 +183,7 @@ def date_in_json(html: Column) -> Column:
     block = F.regexp_extract(
         html, r"""(?is)<script\b[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>""", 1
     )
-    created = F.get_json_object(block, "$.dateCreated")
-    published = F.get_json_object(block, "$.datePublished")
-    return parse_wall_time(F.coalesce(created, published))
+    return parse_wall_time(let(block, lambda b: F.coalesce(F.get_json_object(b, "$.dateCreated"), F.get_json_object(b, "$.datePublished"))))
 
 
 def _is_meta(tag: Column, choices: list[tuple[str, str]]) -> Column:

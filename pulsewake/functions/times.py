@@ -4,24 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Text forms of dates that web pages and feeds use. Wall time only, zone removed first.
+from pulsewake.functions.let import let
+
+# Text forms of dates that web pages and feeds use, as (shape, pattern). Wall time only,
+# the zone is removed first. The shape test is cheap; a failing parse attempt is not.
 WALL_TIME_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd",
-    "yyyyMMddHHmmss",
-    "yyyyMMddHHmm",
-    "yyyyMMdd",
-    "MM/dd/yyyy hh:mma",
-    "MM/dd/yyyy HH:mm:ss",
-    "MM/dd/yyyy",
-    "MMMM d, yyyy, h:mm a",
-    "MMMM d, yyyy h:mm a",
-    "MMMM d, yyyy",
-    "MMM d, yyyy",
-    "d MMM yyyy HH:mm:ss",
-    "d MMM yyyy",
-    "d MMMM yyyy",
+    (r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}", "yyyy-MM-dd HH:mm:ss"),
+    (r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}", "yyyy-MM-dd HH:mm"),
+    (r"\d{4}-\d{2}-\d{2}", "yyyy-MM-dd"),
+    (r"\d{14}", "yyyyMMddHHmmss"),
+    (r"\d{12}", "yyyyMMddHHmm"),
+    (r"\d{8}", "yyyyMMdd"),
+    (r"\d{2}/\d{2}/\d{4} \d{2}:\d{2}[AP]M", "MM/dd/yyyy hh:mma"),
+    (r"\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}", "MM/dd/yyyy HH:mm:ss"),
+    (r"\d{2}/\d{2}/\d{4}", "MM/dd/yyyy"),
+    (r"[A-Z][a-z]+ \d{1,2}, \d{4}, \d{1,2}:\d{2} [AP]M", "MMMM d, yyyy, h:mm a"),
+    (r"[A-Z][a-z]+ \d{1,2}, \d{4} \d{1,2}:\d{2} [AP]M", "MMMM d, yyyy h:mm a"),
+    (r"[A-Z][a-z]{2} \d{1,2}, \d{4}", "MMM d, yyyy"),
+    (r"[A-Z][a-z]+ \d{1,2}, \d{4}", "MMMM d, yyyy"),
+    (r"\d{1,2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2}", "d MMM yyyy HH:mm:ss"),
+    (r"\d{1,2} [A-Z][a-z]{2} \d{4}", "d MMM yyyy"),
+    (r"\d{1,2} [A-Z][a-z]+ \d{4}", "d MMMM yyyy"),
 ]
 
 _ZONE_SUFFIX = r"\s*(?:Z|UTC|GMT|[+-]\d{2}:?\d{2})$"
@@ -45,7 +48,12 @@ def parse_wall_time(text: Column) -> Column:
     plain = F.regexp_replace(plain, r"^(\d{4}-\d{2}-\d{2})T", "$1 ")
     plain = F.regexp_replace(plain, _ZONE_SUFFIX, "")
     plain = F.trim(F.regexp_replace(F.regexp_replace(plain, r"(:\d{2})[.,]\d+$", "$1"), r"\s+", " "))
-    return F.coalesce(*[F.try_to_timestamp(plain, F.lit(form)) for form in WALL_TIME_FORMATS]).cast("timestamp_ntz")
+
+    def read(t: Column) -> Column:
+        tries = [F.when(t.rlike(f"^{shape}$"), F.try_to_timestamp(t, F.lit(form))) for shape, form in WALL_TIME_FORMATS]
+        return F.coalesce(*tries).cast("timestamp_ntz")
+
+    return let(plain, read)
 
 
 def parse_utc_time(text: Column) -> Column:

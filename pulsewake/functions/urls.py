@@ -8,6 +8,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column, functions as F
 
+from pulsewake.functions.let import let
 from pulsewake.functions.text import empty_to_null, md5_prefix, md5_when_too_long
 
 # Longest file extension (with its dot) that counts as one.
@@ -38,8 +39,7 @@ def registrable_domain(url: Column) -> Column:
 
 def subdomain(url: Column) -> Column:
     """Labels before the registrable domain, with the trailing dot; empty when there are none."""
-    domain = full_domain(url)
-    return F.left(domain, F.length(domain) - F.length(registrable_domain(url)))
+    return let(full_domain(url), lambda d: F.left(d, F.length(d) - F.length(F.regexp_extract(d, _LAST_TWO_LABELS, 0))))
 
 
 def start_url(url: Column) -> Column:
@@ -48,20 +48,26 @@ def start_url(url: Column) -> Column:
 
 def directory_string(url: Column) -> Column:
     """Path segments before the file name, joined by ``_``; a trailing slash drops one segment more."""
-    parts = F.split(url, "/")
-    at = F.array_position(F.transform(parts, lambda p: F.contains(p, full_domain(url))), F.lit(True)).cast("int")
-    dropped = F.when(F.element_at(parts, -1) == "", 2).otherwise(1)
-    length = F.greatest(F.size(parts) - at - dropped, F.lit(0))
-    return F.array_join(F.slice(parts, at + 1, length), "_")
+    domain = full_domain(url)
+
+    def joined(parts: Column) -> Column:
+        at = F.array_position(F.transform(parts, lambda p: F.contains(p, domain)), F.lit(True)).cast("int")
+        dropped = F.when(F.element_at(parts, -1) == "", 2).otherwise(1)
+        return F.array_join(F.slice(parts, at + 1, F.greatest(F.size(parts) - at - dropped, F.lit(0))), "_")
+
+    return let(F.split(url, "/"), joined)
 
 
 def file_name(url: Column) -> Column:
     """Last path segment without its extension (when that has at most nine characters)."""
     last = F.element_at(F.split(url, "/"), -1)
     split = r"^(\.*[^.].*)(\.[^.]*)$"
-    extension = F.regexp_extract(last, split, 2)
-    short = (extension != "") & (F.length(extension) <= MAX_EXTENSION)
-    return F.when(short, F.regexp_extract(last, split, 1)).otherwise(last)
+
+    def cut(name: Column) -> Column:
+        short = F.length(F.regexp_extract(name, split, 2)).between(1, MAX_EXTENSION)
+        return F.when(short, F.regexp_extract(name, split, 1)).otherwise(name)
+
+    return let(last, cut)
 
 
 def host(url: Column) -> Column:
@@ -77,16 +83,20 @@ def absolute_url(page_url: Column, link: Column) -> Column:
     scheme = F.regexp_extract(page_url, "^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1)
     root = F.regexp_extract(page_url, "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
     bare = F.regexp_replace(page_url, "[?#].*$", "")
-    folder = F.when(bare == root, F.concat(root, F.lit("/"))).otherwise(F.regexp_replace(bare, "[^/]*$", ""))
-    return (
-        F.when(link.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), link)
-        .when(link == "", page_url)
-        .when(link.startswith("//"), F.concat(scheme, link))
-        .when(link.startswith("/"), F.concat(root, link))
-        .when(link.startswith("?"), F.concat(bare, link))
-        .when(link.startswith("#"), F.concat(F.regexp_replace(page_url, "#.*$", ""), link))
-        .otherwise(F.concat(folder, F.regexp_replace(link, r"^(\./)+", "")))
-    )
+    folder = F.when(bare.rlike("://[^/]*$"), F.concat(bare, F.lit("/"))).otherwise(F.regexp_replace(bare, "[^/]*$", ""))
+
+    def resolved(target: Column) -> Column:
+        return (
+            F.when(target.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), target)
+            .when(target == "", page_url)
+            .when(target.startswith("//"), F.concat(scheme, target))
+            .when(target.startswith("/"), F.concat(root, target))
+            .when(target.startswith("?"), F.concat(bare, target))
+            .when(target.startswith("#"), F.concat(F.regexp_replace(page_url, "#.*$", ""), target))
+            .otherwise(F.concat(folder, F.regexp_replace(target, r"^(\./)+", "")))
+        )
+
+    return let(link, resolved)
 
 
 def is_followable(url: Column, ignore: str | None = None) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsewake import schemas
+from pulsewake.functions.let import let
 from pulsewake.functions.text import normalise_null
 from pulsewake.functions.times import parse_wall_time
 
@@ -91,12 +92,16 @@ def from_hosts(hosts: Sequence[str], url: str = "url", mode: str = "contains"):
 def published_between(df: DataFrame, column: str, first: str | None, last: str | None, strict: bool = False) -> DataFrame:
     """Inclusive range over a date text; rows without a readable date stay unless ``strict``."""
     when = parse_wall_time(F.col(column)) if dict(df.dtypes)[column] == "string" else F.col(column)
-    inside = F.lit(True)
-    if first is not None:
-        inside = inside & (when >= F.lit(first).cast("timestamp_ntz"))
-    if last is not None:
-        inside = inside & (when <= F.lit(last).cast("timestamp_ntz"))
-    return df.where(F.when(when.isNull(), F.lit(not strict)).otherwise(inside))
+
+    def kept(t: Column) -> Column:
+        inside = F.lit(True)
+        if first is not None:
+            inside = inside & (t >= F.lit(first).cast("timestamp_ntz"))
+        if last is not None:
+            inside = inside & (t <= F.lit(last).cast("timestamp_ntz"))
+        return F.when(t.isNull(), F.lit(not strict)).otherwise(inside)
+
+    return df.where(let(when, kept))
 
 
 def by_accounts(df: DataFrame, column: str, accounts: Sequence[str]) -> DataFrame:

@@ -25,20 +25,20 @@ def exact_percentiles(df: DataFrame, column: str, probabilities: Sequence[float]
         F.percentile_approx("x", [e for pair in ends for e in pair], accuracy).alias("marks"),
     )
     few = F.col("n") < accuracy  # the margin would be less than a rank: take all values
-    sure = sketch.select("n", F.array(*[
-        F.struct(
-            F.lit(i).alias("i"),
-            F.when(few | F.lit(low == 0.0), F.col("lowest")).otherwise(F.get("marks", F.lit(2 * i))).alias("lo"),
-            F.when(few | F.lit(high == 1.0), F.col("highest")).otherwise(F.get("marks", F.lit(2 * i + 1))).alias("hi"),
-        )
-        for i, (low, high) in enumerate(ends)
-    ]).alias("brackets"))
-    brackets = sure.select("brackets").scalar()
-    count = sure.select("n").scalar()
+    bounds = {}
+    for i, (low, high) in enumerate(ends):
+        bounds[f"lo{i}"] = F.when(few | F.lit(low == 0.0), F.col("lowest")).otherwise(F.get("marks", F.lit(2 * i)))
+        bounds[f"hi{i}"] = F.when(few | F.lit(high == 1.0), F.col("highest")).otherwise(F.get("marks", F.lit(2 * i + 1)))
+    sure = sketch.select("n", *[c.alias(name) for name, c in bounds.items()])
+    bound = lambda name: sure.select(name).scalar()
+    count = bound("n")
     # one row per value and bracket it is not above; values below a bracket fold into one row of nulls
-    placed = values.select("x", F.explode(F.filter(brackets, lambda b: F.col("x") <= b["hi"])).alias("b")).select(
-        F.col("b.i").alias("i"), F.when(F.col("x") >= F.col("b.lo"), F.col("x")).alias("x")
-    )
+    x = F.col("x")
+    marked = values.select(F.explode(F.array(*[
+        F.when(x <= bound(f"hi{i}"), F.struct(F.lit(i).alias("i"), F.when(x >= bound(f"lo{i}"), x).alias("x")))
+        for i in range(len(ends))
+    ])).alias("m"))
+    placed = marked.where(F.col("m").isNotNull()).select("m.i", "m.x")
     counted = placed.groupBy("i", "x").agg(F.count("*").alias("c"))
     order = Window.partitionBy("i").orderBy(F.asc_nulls_first("x")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = counted.withColumn("upto", F.sum("c").over(order)).where(F.col("x").isNotNull())

@@ -3,5 +3,6 @@
 from pulsewake.plans import (  # noqa: F401
     scores,
     storage,
+    tables,
 )
 from pulsewake.plans.registry import ORACLES, QUERIES  # noqa: F401

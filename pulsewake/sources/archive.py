@@ -61,14 +61,16 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         return F.nullif(F.trim(F.regexp_extract(block, rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1)), F.lit(""))
 
     fields = split.select("warc", http.alias("http"), F.regexp_replace(body, r"(\r\n)+\z", "").alias("body"))
-    return fields.select(
+    record = F.struct(
         header(F.col("warc"), "WARC-Type").alias("record_type"),
         header(F.col("warc"), "WARC-Target-URI").alias("url"),
         header(F.col("warc"), "WARC-Date").alias("download_date"),
         F.try_to_number(F.nullif(F.regexp_extract("http", r"^HTTP/\S+ (\d+)", 1), F.lit("")), F.lit("999")).cast("int").alias("http_status"),
         header(F.col("http"), "Content-Type").alias("content_type"),
         F.encode("body", "ISO-8859-1").alias("payload"),
-    ).where(F.col("record_type").isNotNull())
+    )
+    # a generator is evaluated once per record; later filters would otherwise repeat the parsing above
+    return fields.select(F.inline(F.filter(F.array(record), lambda r: r["record_type"].isNotNull())))
 
 
 def declared_charset(content_type: Column, payload: Column) -> Column:
@@ -96,6 +98,10 @@ def decode_payload(payload: Column, charset: Column) -> Column:
 
 def decoded_pages(records: DataFrame) -> DataFrame:
     """Response records with decodable, non-empty payload as ``html``."""
-    responses = records.where("record_type = 'response' AND length(payload) > 0") if "record_type" in records.columns else records.where("length(payload) > 0")
+    wanted = F.length("payload") > 0
+    if "record_type" in records.columns:
+        wanted = wanted & (F.col("record_type") == "response")
     charset = declared_charset(F.col("content_type"), F.col("payload"))
-    return responses.withColumn("html", decode_payload(F.col("payload"), charset)).where(F.length("html") > 0).drop("payload")
+    text = F.array(decode_payload(F.col("payload"), charset))
+    kept = [c for c in records.columns if c != "payload"]
+    return records.where(wanted).select(*kept, F.explode(F.filter(text, lambda t: F.length(t) > 0)).alias("html"))
