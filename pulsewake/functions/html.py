@@ -58,8 +58,8 @@ DATE_CLASSES = "pubdate|timestamp|article_date|articledate|date"
 
 def attribute(tag: Column, name: str) -> Column:
     """Value of a quoted attribute, null when the tag has none."""
-    pattern = rf"""(?is)[\s"']{name}\s*=\s*["']([^"']*)["']"""
-    return F.when(tag.rlike(pattern), F.regexp_extract(tag, pattern, 1))
+    pattern = rf"""(?is)[\s"']{name}\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+    return F.when(tag.rlike(pattern), F.concat(F.regexp_extract(tag, pattern, 1), F.regexp_extract(tag, pattern, 2)))
 
 
 def tags(html: Column, name: str) -> Column:

@@ -160,8 +160,11 @@ def j05(spark, sf):
     return win.tag_with_windows(given(spark, sf, "pubs"), windows, "ts", "event_id").select("event_id", "golden_window")
 
 
-@query("j15_publications_before_events", cte("pubs", "ticks") + """
-  SELECT p.event_id, b.event_id AS trade_id FROM pubs p JOIN ticks b ON p.ts BETWEEN b.ts - INTERVAL 30 MINUTE AND b.ts AND b.close > 200""")
+ORACLE_NEAR = cte("pubs", "ticks") + """
+  SELECT p.event_id, b.event_id AS trade_id FROM pubs p JOIN ticks b ON p.ts BETWEEN b.ts - INTERVAL 30 MINUTE AND b.ts AND b.close > 200"""
+
+
+@query("j15_publications_before_events", ORACLE_NEAR)
 def j15(spark, sf):
     """Batch form of the stream-stream interval join."""
     big = given(spark, sf, "ticks").where("close > 200").select(F.col("event_id").alias("trade_id"), F.col("ts").alias("event_ts"))

@@ -131,7 +131,7 @@ def s10(spark, sf):
     )
 
 
-def archive_file(spark, sf):
+def archive_file(spark, sf, pages=None):
     """Pages as an archive: a request record and a response record per page."""
     path = scratch_path(spark, "archive")
     head = "WARC/1.0\r\nWARC-Type: {}\r\nWARC-Target-URI: "
@@ -140,7 +140,8 @@ def archive_file(spark, sf):
         F.lit("GET / HTTP/1.1\r\nHost: x\r\n\r\n" if kind == "request" else "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n\r\n"),
         F.col("html") if kind == "response" else F.lit(""),
     )
-    records = table(spark, sf, "pages").select(F.explode(F.array(line("request"), line("response"))).alias("value"))
+    pages = table(spark, sf, "pages") if pages is None else pages
+    records = pages.select(F.explode(F.array(line("request"), line("response"))).alias("value"))
     records.write.option("lineSep", "\r\n\r\n").text(path)
     return path
 

@@ -408,11 +408,14 @@ def c06_counts(spark, sf):
     return art.corpus_counts(articles, art.build_corpus(articles, ["en"], WORDS))
 
 
-@query("c07_post_cleanse", RAW_SQL + """
+ORACLE_CLEANSE = RAW_SQL + """
   SELECT id_str AS tweet_id, uname AS twitter_handle_name, uid AS twitter_handle_id, udesc AS twitter_handle_desc, CAST(followers_count AS VARCHAR) AS followers_count,
          CAST(friends_count AS VARCHAR) AS friends_count, CAST(listed_count AS VARCHAR) AS listed_count, CAST(statuses_count AS VARCHAR) AS statuses_count,
          text AS tweet, truncated, date_trunc('second', ts) AS tweet_datetime_timestamp, date_trunc('second', ts) AS created_at_timestamp,
-         date_trunc('hour', ts) AS twitter_datetime_hour FROM raw WHERE repost IS NULL""")
+         date_trunc('hour', ts) AS twitter_datetime_hour FROM raw WHERE repost IS NULL"""
+
+
+@query("c07_post_cleanse", ORACLE_CLEANSE)
 def c07(spark, sf):
     return po.cleanse_posts(raw_posts(spark, sf), counts_as_text=True)
 

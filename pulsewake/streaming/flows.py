@@ -41,7 +41,8 @@ def volume_stream(posts: DataFrame, ts: str, every: str, lateness: str) -> DataF
 def throttle_stream(arrivals: DataFrame, key: str, arrived: str, hours: int = 6, lateness: str = "1 hour") -> DataFrame:
     """Drop a re-download less than ``hours`` after the last kept one. State: one time per key.
 
-    Input arrives in time order up to ``lateness``; a key is forgotten once the watermark has passed
+    A key's arrivals of one micro-batch are put in order together; the size of a micro-batch is bounded
+    by the files per trigger. Input arrives in time order up to ``lateness``; a key is forgotten once the watermark has passed
     its last kept time by ``hours``, since then any arrival is kept anyway.
     """
     gap = timedelta(hours=hours)
@@ -51,13 +52,13 @@ def throttle_stream(arrivals: DataFrame, key: str, arrived: str, hours: int = 6,
             state.remove()
             return
         last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        for times in batches:
-            kept = []
-            for at in times[arrived].sort_values():
-                if last is None or at - last >= gap:
-                    kept.append(at)
-                    last = at
-            yield pd.DataFrame({key: [name[0]] * len(kept), arrived: kept})
+        arrivals_now = pd.concat([rows[arrived] for rows in batches]).sort_values()
+        kept = []
+        for at in arrivals_now:
+            if last is None or at - last >= gap:
+                kept.append(at)
+                last = at
+        yield pd.DataFrame({key: [name[0]] * len(kept), arrived: kept})
         state.update((last.value // 1000,))
         deadline = int((last + gap).timestamp() * 1000)
         if deadline > state.getCurrentWatermarkMs():
