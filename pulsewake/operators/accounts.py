@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from pulsewake.operators.ordering import next_event
 from pulsewake.operators.relational import by_accounts, keep_first
 from pulsewake.operators.stats import exact_percentiles
+from pulsewake.runtime import cut_lineage
 
 
 def follower_band(
@@ -18,7 +19,7 @@ def follower_band(
 
     Quantiles are taken over distinct accounts; largest first.
     """
-    unique = keep_first(accounts.distinct(), [account], [followers, *tie])
+    unique = cut_lineage(keep_first(accounts.distinct(), [account], [followers, *tie]))
     marks = exact_percentiles(unique, followers, [low, high])
     bounds = marks.agg(F.min("value").cast("bigint").alias("low"), F.max("value").cast("bigint").alias("high"))
     inside = F.col(followers).between(bounds.select("low").scalar(), bounds.select("high").scalar())

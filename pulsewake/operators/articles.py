@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsewake.functions import html as h
-from pulsewake.functions.text import normalise_null
+from pulsewake.functions.text import clean_text, normalise_null
 from pulsewake.functions.urls import file_name, full_domain
 from pulsewake.operators import candidates as cand
 from pulsewake.operators import relational as rel
@@ -176,10 +176,14 @@ def articles_from_pages(pages: DataFrame, *, hosts: Sequence[str] | None = None,
     """Pages to articles: cheap filters first, then extraction, cleaning, merge, date filter, record form."""
     wanted = pages.transform(rel.from_hosts(hosts)) if hosts else pages
     stamp = F.current_timestamp() if download is None else download
-    items = page_items(wanted, stamp)
-    offered = cand.extract(items, extractors).withColumn("candidates", cand.clean_candidates(F.col("candidates")))
-    merged = cand.merge(offered, "url", "download_date", "html_title", "source_domain")
-    dated = rel.published_between(merged, "date_publish", first, last, strict)
+    # the date decides whether a page is kept, so it is found first, once (a generator is not repeated by
+    # the filter above it), and only kept pages go through the rest of the extraction
+    found = F.explode(F.array(clean_text(h.publish_date(F.col("html"), F.col("url")).cast("string"))))
+    items = page_items(wanted, stamp).withColumn("date_found", found)
+    kept = rel.published_between(items, "date_found", first, last, strict)
+    registry = {"date": lambda html, url: cand.candidate("date", publish_date=F.col("date_found"))}
+    offered = cand.extract(kept, extractors, registry=registry).withColumn("candidates", cand.clean_candidates(F.col("candidates")))
+    dated = cand.merge(offered, "url", "download_date", "html_title", "source_domain")
     missing = F.lit(None).cast("string")
     as_items = dated.select(
         F.when(F.col("author").isNotNull(), F.array("author")).alias("article_author"),

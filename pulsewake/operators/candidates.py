@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsewake.functions import html as h
+from pulsewake.functions.let import let
 from pulsewake.functions.text import clean_text, normalise_null, words
 from pulsewake.functions.urls import absolute_url
 
@@ -21,14 +22,15 @@ FIELDS = ["title", "description", "text", "topimage", "author", "publish_date",
 MIN_WORDS = 15
 
 
-def _candidate(extractor: str, **values: Column) -> Column:
+def candidate(extractor: str, **values: Column) -> Column:
+    """What one extractor offers; fields it does not know are null."""
     missing = F.lit(None).cast("string")
     return F.struct(F.lit(extractor).alias("extractor"), *[values.get(f, missing).alias(f) for f in FIELDS])
 
 
 def head_extractor(html: Column, url: Column) -> Column:
     """What the page head says about the article."""
-    return _candidate(
+    return candidate(
         "head",
         title=h.page_title(html),
         description=F.coalesce(h.meta_content(html, "name", "description"), h.meta_content(html, "property", "og:description")),
@@ -41,7 +43,7 @@ def head_extractor(html: Column, url: Column) -> Column:
 def body_extractor(html: Column, url: Column) -> Column:
     """What the article element holds."""
     image = F.get(F.filter(F.transform(h.tags(html, "img"), lambda t: h.attribute(t, "src")), lambda s: s.isNotNull()), F.lit(0))
-    return _candidate(
+    return candidate(
         "body",
         title=h.first_element(html, "h1"),
         text=h.first_element(html, "article"),
@@ -51,11 +53,11 @@ def body_extractor(html: Column, url: Column) -> Column:
 
 
 def paragraph_extractor(html: Column, url: Column) -> Column:
-    return _candidate("paragraphs", title=h.first_element(html, "h1"), text=h.paragraph_text(html))
+    return candidate("paragraphs", title=h.first_element(html, "h1"), text=h.paragraph_text(html))
 
 
 def date_extractor(html: Column, url: Column) -> Column:
-    return _candidate("date", publish_date=h.publish_date(html, url).cast("string"))
+    return candidate("date", publish_date=h.publish_date(html, url).cast("string"))
 
 
 EXTRACTORS: dict[str, Callable[[Column, Column], Column]] = {
@@ -97,21 +99,31 @@ def _offered(candidates: Column, field: str) -> Column:
     return F.filter(candidates, lambda c: c[field].isNotNull())
 
 
+def _rated(values: Column) -> Column:
+    """Each distinct value with the number of times it was offered and its length."""
+    return F.transform(F.array_distinct(values), lambda v: F.struct(
+        F.size(F.filter(values, lambda x: x == v)).alias("n"), F.length(v).alias("length"), v.alias("v")
+    ))
+
+
+def _by(rated: Column, first: str) -> Column:
+    return F.transform(rated, lambda r: F.struct(r[first].alias("by"), r["v"].alias("v")))
+
+
 def choose_title(candidates: Column) -> Column:
     """Titles offered more than once win, by number of equal pairs; then the shortest; ties by text order."""
+
+    def choose(rated: Column) -> Column:
+        paired = F.filter(rated, lambda r: r["n"] > 1)
+        most, least = F.array_max(_by(paired, "n")), F.array_min(_by(paired, "n"))
+        return (
+            F.when(most["by"] != least["by"], most["v"])
+            .when(F.size(paired) > 0, F.array_min(_by(paired, "length"))["v"])
+            .otherwise(F.array_min(_by(rated, "length"))["v"])
+        )
+
     titles = F.transform(_offered(candidates, "title"), lambda c: c["title"])
-    rated = F.transform(F.array_distinct(titles), lambda t: F.struct(
-        F.size(F.filter(titles, lambda x: x == t)).alias("n"), F.length(t).alias("length"), t.alias("t")
-    ))
-    paired = F.filter(rated, lambda r: r["n"] > 1)
-    by_count = F.transform(paired, lambda r: F.struct(r["n"].alias("n"), r["t"].alias("t")))
-    most, least = F.array_max(by_count), F.array_min(by_count)
-    shortest = lambda rs: F.array_min(F.transform(rs, lambda r: F.struct(r["length"].alias("length"), r["t"].alias("t"))))["t"]
-    return (
-        F.when((F.size(paired) > 0) & (most["n"] != least["n"]), most["t"])
-        .when(F.size(paired) > 0, shortest(paired))
-        .otherwise(shortest(rated))
-    )
+    return let(let(titles, _rated), choose)
 
 
 def choose_text(candidates: Column, preferred: str = "body") -> Column:
@@ -120,44 +132,53 @@ def choose_text(candidates: Column, preferred: str = "body") -> Column:
     Score of a pair: ``1 - |A△B| / (2·|A∩B|)``, minus infinity for disjoint texts. The preferred
     extractor wins when it is in the best pair, else the longer text, the second on a tie.
     """
-    long_enough = F.transform(
-        F.filter(candidates, lambda c: c["text"].isNotNull() & (F.size(words(c["text"])) >= MIN_WORDS)),
-        lambda c: F.struct(c["extractor"].alias("extractor"), c["text"].alias("text"), F.array_distinct(words(c["text"])).alias("words")),
-    )
+    split = F.transform(_offered(candidates, "text"), lambda c: F.struct(
+        c["extractor"].alias("extractor"), c["text"].alias("text"), words(c["text"]).alias("words")
+    ))
+    long_enough = F.transform(F.filter(split, lambda c: F.size(c["words"]) >= MIN_WORDS), lambda c: F.struct(
+        c["extractor"].alias("extractor"), c["text"].alias("text"), F.array_distinct(c["words"]).alias("words")
+    ))
 
     def score(a: Column, b: Column) -> Column:
-        shared = F.size(F.array_intersect(a["words"], b["words"]))
-        apart = F.size(a["words"]) + F.size(b["words"]) - 2 * shared
-        return F.when(shared == 0, F.lit(float("-inf"))).otherwise(1 - apart / (2 * shared))
-
-    pairs = F.filter(
-        F.flatten(F.transform(long_enough, lambda a, i: F.transform(long_enough, lambda b, j: F.struct(
-            F.when(i < j, score(a, b)).alias("score"), (-i).alias("i"), (-j).alias("j"),
-            a["extractor"].alias("ae"), b["extractor"].alias("be"), a["text"].alias("at"), b["text"].alias("bt"),
-        )))),
-        lambda p: p["j"] < p["i"],
-    )
-    best = F.array_max(F.transform(pairs, lambda p: F.struct(*[p[f].alias(f) for f in ("score", "i", "j", "ae", "be", "at", "bt")])))
-    from_preferred = F.get(F.filter(long_enough, lambda c: c["extractor"] == preferred), F.lit(0))["text"]
-    return (
-        F.when(F.size(long_enough) < 2, F.get(long_enough, F.lit(0))["text"])
-        .when((best["ae"] == preferred) | (best["be"] == preferred), from_preferred)
-        .when(F.length(best["at"]) > F.length(best["bt"]), best["at"])
-        .otherwise(best["bt"])
-    )
+        apart = lambda shared: F.size(a["words"]) + F.size(b["words"]) - 2 * shared
+        return let(
+            F.size(F.array_intersect(a["words"], b["words"])),
+            lambda shared: F.when(shared == 0, F.lit(float("-inf"))).otherwise(1 - apart(shared) / (2 * shared)),
+        )
+
+    def choose(texts: Column) -> Column:
+        pairs = F.flatten(F.transform(texts, lambda a, i: F.transform(
+            F.slice(texts, i + 2, F.greatest(F.size(texts) - i - 1, F.lit(0))),
+            lambda b, j: F.struct(score(a, b).alias("score"), (-i).alias("i"), (-j).alias("j")),
+        )))
+
+        def decide(best: Column) -> Column:
+            a = F.get(texts, -best["i"])
+            b = F.get(texts, 1 - best["i"] - best["j"])
+            own = F.get(F.filter(texts, lambda c: c["extractor"] == preferred), F.lit(0))
+            return (
+                F.when((a["extractor"] == preferred) | (b["extractor"] == preferred), own["text"])
+                .when(F.length(a["text"]) > F.length(b["text"]), a["text"])
+                .otherwise(b["text"])
+            )
+
+        return F.when(F.size(texts) < 2, F.get(texts, F.lit(0))["text"]).otherwise(let(F.array_max(pairs), decide))
+
+    return let(long_enough, choose)
 
 
 def choose_language(candidates: Column, preferred: str = "head") -> Column:
     """Majority vote; when all are equally frequent the preferred extractor decides, else the greatest code."""
+
+    def choose(offered: Column) -> Column:
+        votes = _by(_rated(F.transform(offered, lambda c: c["language"])), "n")
+        most, least = F.array_max(votes), F.array_min(votes)
+        # the last candidate of the preferred extractor counts
+        own = F.try_element_at(F.filter(offered, lambda c: c["extractor"] == preferred), F.lit(-1))["language"]
+        return F.when((most["by"] == least["by"]) & own.isNotNull(), own).otherwise(most["v"])
+
     offered = F.filter(candidates, lambda c: c["language"].isNotNull() & (c["language"] != ""))
-    codes = F.transform(offered, lambda c: c["language"])
-    votes = F.transform(F.array_distinct(codes), lambda l: F.struct(F.size(F.filter(codes, lambda x: x == l)).alias("n"), l.alias("l")))
-    most, least = F.array_max(votes), F.array_min(votes)
-    # the last candidate of the preferred extractor counts
-    own = F.element_at(F.filter(offered, lambda c: c["extractor"] == preferred), -1)["language"]
-    return F.when(
-        (F.size(F.filter(offered, lambda c: c["extractor"] == preferred)) > 0) & (most["n"] == least["n"]), own
-    ).otherwise(most["l"])
+    return let(F.transform(offered, lambda c: F.struct(c["extractor"].alias("extractor"), c["language"].alias("language"))), choose)
 
 
 def choose_preferred(candidates: Column, field: str, preferred: str) -> Column:

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from pulsewake.operators.ordering import number_in_order
 from pulsewake.runtime import cut_lineage
 
 
@@ -142,22 +143,20 @@ def closeness(edges: DataFrame, max_depth: int | None = None, block: int = 63) -
         F.floor(F.col("seq") / block).alias("blk"),
         F.expr(f"shiftleft(1L, cast(seq % {block} AS int))").alias("fresh"),
     )
-    state = cut_lineage(first.select("id", "blk", F.col("fresh").alias("seen"), "fresh", F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("s")))
+    none = F.lit(0).cast("bigint")
+    state = cut_lineage(first.select("id", "blk", F.col("fresh").alias("seen"), "fresh", none.alias("n"), none.alias("s")))
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        news = (
-            state.where("fresh <> 0")
-            .join(both, F.col("id") == F.col("u"))
-            .groupBy(F.col("v").alias("id"), "blk")
-            .agg(F.bit_or("fresh").alias("heard"))
+        news = state.where("fresh <> 0").join(both, F.col("id") == F.col("u")).select(
+            F.col("v").alias("id"), "blk", F.col("fresh").alias("heard")
         )
-        merged = state.select("id", "blk", "seen", "n", "s").join(news, ["id", "blk"], "full").select(
-            "id", "blk",
-            F.coalesce("seen", F.lit(0)).alias("seen"),
-            F.coalesce("n", F.lit(0)).alias("n"),
-            F.coalesce("s", F.lit(0)).alias("s"),
-            F.coalesce("heard", F.lit(0)).alias("heard"),
+        # state and messages meet in one aggregate, which merges messages on the map side already
+        merged = (
+            state.select("id", "blk", "seen", "n", "s", none.alias("heard"))
+            .unionByName(news.select("id", "blk", none.alias("seen"), none.alias("n"), none.alias("s"), "heard"))
+            .groupBy("id", "blk")
+            .agg(F.bit_or("seen").alias("seen"), F.bit_or("heard").alias("heard"), F.sum("n").alias("n"), F.sum("s").alias("s"))
         )
         fresh = F.col("heard").bitwiseAND(F.bitwise_not("seen"))
         state = cut_lineage(merged.select(
@@ -178,8 +177,6 @@ def closeness(edges: DataFrame, max_depth: int | None = None, block: int = 63) -
 
 def _number_densely(nodes: DataFrame, buckets: int = 1024) -> DataFrame:
     """Consecutive numbers without one global sort: number inside hash buckets, then add bucket offsets."""
-    from pulsewake.operators.ordering import number_in_order
-
     hashed = nodes.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(buckets)))
     numbered = number_in_order(hashed, [], ["_b", "id"], F.col("_b"))
     return numbered.select("id", (F.col("position") - 1).alias("seq"))

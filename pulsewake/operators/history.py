@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulsewake.functions.times import bucket_start
 from pulsewake.operators.ordering import number_in_order
@@ -46,27 +46,29 @@ def throttle(arrivals: DataFrame, key: str, arrived: str, hours: int = 6) -> Dat
 
     Which moments are kept depends on the whole past, yet each moment alone decides who would follow it:
     the first moment at least ``hours`` later. Those links are found slot by slot, then followed from
-    the first moment of every key by doubling the step length, so a key's history is never in one
-    task and a chain of n kept moments takes log2(n) rounds.
+    the first moment of every key by doubling the step length: in each round a kept moment marks the one
+    its link leads to, and every link is replaced by the link of its target. A key's history is never
+    in one task, and a chain of n kept moments takes log2(n) rounds of one join and one aggregate.
     """
     moments = cut_lineage(arrivals.select(key, F.col(arrived).alias("t")).where("t IS NOT NULL").distinct())
-    links = cut_lineage(_next_allowed(moments, key, hours))
-    reached = moments.groupBy(key).agg(F.min("t").alias("t"))
-    kept = reached = cut_lineage(reached)
-    jumps = links
-    while True:
-        step = jumps.select(F.col(key).alias("_k"), F.col("t").alias("_t"), "next")
-        on = (F.col(key).eqNullSafe(F.col("_k"))) & (F.col("t") == F.col("_t"))
-        further = cut_lineage(kept.join(step, on).select(key, F.col("next").alias("t")))
-        if further.isEmpty():
-            break
-        kept = cut_lineage(kept.unionByName(further))
-        second = jumps.select(F.col(key).alias("_k"), F.col("t").alias("_t"), F.col("next").alias("after"))
-        jumps = cut_lineage(
-            jumps.join(second, F.col(key).eqNullSafe(F.col("_k")) & (F.col("next") == F.col("_t")))
-            .select(key, "t", F.col("after").alias("next"))
-        )
-    return kept.select(key, F.col("t").alias(arrived))
+    firsts = moments.groupBy(key).agg(F.min("t").alias("t"))
+    links = _next_allowed(moments, key, hours).withColumn("kept", F.lit(False))
+    state = _merge_links(links.unionByName(firsts.withColumn("kept", F.lit(True)), allowMissingColumns=True), key)
+    while not state.where("next IS NOT NULL").isEmpty():
+        target = state.select(F.col(key).alias("_k"), F.col("t").alias("_t"), F.col("next").alias("_after"))
+        on = F.col(key).eqNullSafe(F.col("_k")) & (F.col("next") == F.col("_t"))
+        nothing = F.lit(None).cast(state.schema["t"].dataType)
+        doubled = F.struct(F.col("t"), F.col("_after").alias("next"), F.col("kept"))
+        marked = F.struct(F.when(F.col("kept"), F.col("next")).alias("t"), nothing.alias("next"), F.col("kept"))
+        moved = state.join(target, on, "left").select(key, F.inline(F.array(doubled, marked)))
+        state = _merge_links(moved.where("t IS NOT NULL"), key)
+    return state.where("kept").select(key, F.col("t").alias(arrived))
+
+
+def _merge_links(links: DataFrame, key: str) -> DataFrame:
+    """One row per moment; moments that are not kept and lead nowhere have no further part to play."""
+    merged = links.groupBy(key, "t").agg(F.max("next").alias("next"), F.max("kept").alias("kept"))
+    return cut_lineage(merged.where("kept OR next IS NOT NULL"))
 
 
 def _next_allowed(moments: DataFrame, key: str, hours: int) -> DataFrame:
@@ -75,8 +77,6 @@ def _next_allowed(moments: DataFrame, key: str, hours: int) -> DataFrame:
     Moments and their deadlines meet in slots of ``hours``; a deadline whose slot holds no later moment
     takes the first moment of the key's next slot that has one.
     """
-    from pyspark.sql import Window
-
     every = f"{int(hours)} hours"
     slot = lambda at: bucket_start(at, every)
     deadline = F.col("t") + F.expr(f"INTERVAL {int(hours)} HOURS")

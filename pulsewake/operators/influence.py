@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pulsewake.operators.ordering import next_event
 from pulsewake.operators.windows import golden_windows, ntz, window_number
+from pulsewake.runtime import cut_lineage
 
 SCORE_COLUMNS = [
     "total_nbr_publish", "total_nbr_publish_in_golden_window", "nbr_golden_window_hit", "wtf",
@@ -27,12 +28,31 @@ def sample_with_windows(pubs: DataFrame, ts: str, period: tuple[str, str], event
     })
 
 
-def _score(tagged: DataFrame, keys: Sequence[str], number_of_events) -> DataFrame:
-    """One pass instead of three aggregates and two joins.
+def _with_score(totals: DataFrame, number_of_events) -> DataFrame:
+    share = F.col("total_nbr_publish_in_golden_window") / F.col("total_nbr_publish")
+    return totals.withColumn("wtf", share * F.try_divide(F.col("nbr_golden_window_hit"), number_of_events))
+
 
-    The first level, (agent, window), combines on the map side and has at most windows + 1 rows per
-    agent; the second level only adds those up.
+def _score_few_windows(tagged: DataFrame, keys: Sequence[str], windows: int) -> DataFrame:
+    """One aggregation with one shuffle, in place of three aggregates and two joins.
+
+    The windows an agent hits are bits of a long, so counting distinct ones needs no second shuffle and a
+    loud agent sends one partial row per task.
     """
+    if windows > 63:
+        return _score_any_windows(tagged, keys, F.lit(windows))
+    hit = F.col("golden_window") != 0
+    bit = F.expr("shiftleft(1L, golden_window - 1)")
+    totals = tagged.groupBy(*keys).agg(
+        F.count("*").alias("total_nbr_publish"),
+        F.count_if(hit).alias("total_nbr_publish_in_golden_window"),
+        F.bit_count(F.coalesce(F.bit_or(F.when(hit, bit)), F.lit(0))).cast("bigint").alias("nbr_golden_window_hit"),
+    )
+    return _with_score(totals, F.lit(windows))
+
+
+def _score_any_windows(tagged: DataFrame, keys: Sequence[str], number_of_events) -> DataFrame:
+    """Two levels: (agent, window) combines on the map side, the second level only adds those up."""
     per_window = tagged.groupBy(*keys, "golden_window").agg(F.count("*").alias("_n"))
     hit = F.col("golden_window") != 0
     totals = per_window.groupBy(*keys).agg(
@@ -40,8 +60,7 @@ def _score(tagged: DataFrame, keys: Sequence[str], number_of_events) -> DataFram
         F.coalesce(F.sum(F.when(hit, F.col("_n"))), F.lit(0)).alias("total_nbr_publish_in_golden_window"),
         F.count_if(hit).alias("nbr_golden_window_hit"),
     )
-    share = F.col("total_nbr_publish_in_golden_window") / F.col("total_nbr_publish")
-    return totals.withColumn("wtf", share * F.try_divide(F.col("nbr_golden_window_hit"), number_of_events))
+    return _with_score(totals, number_of_events)
 
 
 def influence_score(
@@ -50,7 +69,7 @@ def influence_score(
     """Score per agent for an event list the caller wrote down. Best agents first, agent breaks ties."""
     number = window_number(F.col(ts), golden_windows(events, minutes))
     tagged = _in_period(pubs, ts, period).select(agent, number.alias("golden_window"))
-    scored = _score(tagged, [agent], F.lit(len(events)))
+    scored = _score_few_windows(tagged, [agent], len(events))
     return scored.select(agent, *SCORE_COLUMNS).orderBy(F.desc("wtf"), agent)
 
 
@@ -64,7 +83,7 @@ def influence_by_bandwidth(
         for m in bandwidths
     ])
     tagged = _in_period(pubs, ts, period).select(agent, F.inline(tags))
-    scored = _score(tagged, [agent, "bandwidth_before_event_mins"], F.lit(len(events)))
+    scored = _score_few_windows(tagged, [agent, "bandwidth_before_event_mins"], len(events))
     return scored.select(agent, *SCORE_COLUMNS, "bandwidth_before_event_mins")
 
 
@@ -76,14 +95,14 @@ def influence_of_events(
     A publication lies in the window of the first event at or after it when that event is at most
     ``minutes`` away, so one as-of join replaces the window list.
     """
-    moments = events.select(event_ts).distinct()
+    moments = cut_lineage(events.select(event_ts).distinct())  # read several times below
     sample = _in_period(pubs.select(agent, ts), ts, period)
     near = next_event(sample, moments, ts, event_ts)
     following = F.col(f"next_{event_ts}")
     inside = F.col(ts) >= following - F.expr(f"INTERVAL {int(minutes)} MINUTES")
     tagged = near.select(agent, F.when(inside, F.unix_micros(following.cast("timestamp"))).otherwise(F.lit(0)).alias("golden_window"))
     total = moments.agg(F.count("*").alias("n")).scalar()
-    return _score(tagged, [agent], total).select(agent, *SCORE_COLUMNS)
+    return _score_any_windows(tagged, [agent], total).select(agent, *SCORE_COLUMNS)
 
 
 def with_display_name(scores: DataFrame, names: DataFrame, agent: str, name: str) -> DataFrame:

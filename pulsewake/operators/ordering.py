@@ -109,10 +109,12 @@ def next_event(
         .withColumn("_next", F.last("_event", ignorenulls=True).over(backwards))
         .where("_post")
     )
+    # the later event of every slot between the first and the last slot that has one
     firsts = slotted.groupBy("_slot").agg(F.min("_event").alias("_first"))
+    ends = firsts.agg(F.min("_slot").alias("a"), F.max("_slot").alias("b"), F.min("_first").alias("first"))
     slots = (
-        firsts.unionByName(left.select("_slot").distinct(), allowMissingColumns=True)
-        .groupBy("_slot").agg(F.min("_first").alias("_first"))
+        ends.select(F.explode(F.sequence("a", "b", F.expr(f"INTERVAL {slot}"))).alias("_slot"))
+        .join(firsts, "_slot", "left")
         .withColumn(
             "_later",
             F.last("_first", ignorenulls=True).over(
@@ -121,8 +123,9 @@ def next_event(
         )
         .select("_slot", "_later")
     )
+    before_all = F.when(F.col("_slot") < ends.select("a").scalar(), ends.select("first").scalar())
     names = [event_ts, *carry]
-    answered = found.join(slots, "_slot", "left").withColumn("_next", F.coalesce("_next", "_later"))
+    answered = found.join(slots, "_slot", "left").withColumn("_next", F.coalesce("_next", "_later", before_all))
     answered = answered.select(*kept, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in names])
     untimed = posts.where(F.col(ts).isNull())
     return answered.unionByName(untimed, allowMissingColumns=True)

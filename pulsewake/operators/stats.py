@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from pulsewake.runtime import cut_lineage
+
 
 def exact_percentiles(df: DataFrame, column: str, probabilities: Sequence[float], accuracy: int = 100_000) -> DataFrame:
     """Exact percentiles with linear interpolation, as rows ``(p, value)``.
@@ -29,7 +31,7 @@ def exact_percentiles(df: DataFrame, column: str, probabilities: Sequence[float]
     for i, (low, high) in enumerate(ends):
         bounds[f"lo{i}"] = F.when(few | F.lit(low == 0.0), F.col("lowest")).otherwise(F.get("marks", F.lit(2 * i)))
         bounds[f"hi{i}"] = F.when(few | F.lit(high == 1.0), F.col("highest")).otherwise(F.get("marks", F.lit(2 * i + 1)))
-    sure = sketch.select("n", *[c.alias(name) for name, c in bounds.items()])
+    sure = cut_lineage(sketch.select("n", *[c.alias(name) for name, c in bounds.items()]))  # one row
     bound = lambda name: sure.select(name).scalar()
     count = bound("n")
     # one row per value and bracket it is not above; values below a bracket fold into one row of nulls
@@ -59,6 +61,7 @@ def five_numbers(df: DataFrame, column: str) -> DataFrame:
     names = {0.0: "low", 0.25: "q1", 0.5: "median", 0.75: "q3", 1.0: "high"}
     wide = quartiles.agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n) for p, n in names.items()])
     reach = (F.col("q3") - F.col("q1")) * 1.5
+    wide = cut_lineage(wide)  # one row
     fences = wide.select("*", (F.col("q1") - reach).alias("fence_low"), (F.col("q3") + reach).alias("fence_high"))
     inside = df.where(F.col(column).between(fences.select("fence_low").scalar(), fences.select("fence_high").scalar()))
     whiskers = inside.agg(F.min(column).alias("whisker_low"), F.max(column).alias("whisker_high"))

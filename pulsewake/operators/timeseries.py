@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pulsewake.functions.times import bucket_start
 from pulsewake.operators.ordering import number_in_order
+from pulsewake.runtime import cut_lineage
 
 
 def calendar(series: DataFrame, bucket: str, every: str, by: Sequence[str] = ()) -> DataFrame:
@@ -129,9 +130,8 @@ def autocorrelation(series: DataFrame, value: str, order: str = "bucket", max_la
     The series is a calendar of buckets, not the ticks; a row is sent to each lag it takes part in and
     the products are added up per lag on the map side. Give ``max_lag`` for long calendars.
     """
-    ordered = number_in_order(
-        series.where(F.col(value).isNotNull()).select(order, value), [], [order], F.date_trunc("month", F.col(order)), position="t"
-    )
+    series = cut_lineage(series.where(F.col(value).isNotNull()).select(order, value))
+    ordered = cut_lineage(number_in_order(series, [], [order], F.date_trunc("month", F.col(order)), position="t"))
     stats = ordered.agg(F.avg(value).alias("mean"), F.count("*").alias("n"), F.var_pop(value).alias("c0"))
     centred = ordered.select("t", (F.col(value) - stats.select("mean").scalar()).alias("d"))
     size = stats.select("n").scalar()

@@ -8,6 +8,7 @@ from pulsewake.operators import timeseries as tsr
 from pulsewake.plans.inputs import cte, given, table
 from pulsewake.plans.registry import query
 from pulsewake.plans.storage import RAW_SQL, raw_posts
+from pulsewake.runtime import cut_lineage
 
 _HOURLY = cte("ticks", "views") + """, m AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS bucket, avg(close) AS close FROM ticks GROUP BY 1),
   cal AS (SELECT unnest(generate_series(min(bucket), max(bucket), INTERVAL 1 HOUR)) AS bucket FROM m),
@@ -147,7 +148,7 @@ def x11(spark, sf):
   round(avg((volume - (SELECT min(volume) FROM full_)) / ((SELECT max(volume) FROM full_) - (SELECT min(volume) FROM full_))), 6) AS mean_scaled_volume FROM full_""")
 def c08(spark, sf):
     """Distinct posts, hourly volume, hourly price, join, differences, scaling, correlation."""
-    rows = combined(spark, sf)
+    rows = cut_lineage(combined(spark, sf))  # one row per hour, used several times below
     changes = tsr.delta_by_row(rows, ["volume", "close"]).withColumn("change", F.abs("delta"))
     scaled = tsr.min_max_scale(changes.withColumn("volume", F.col("volume").cast("double")), ["volume"])
     return scaled.agg(
