@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pulsewake import schemas
 from pulsewake.functions import html as h
 from pulsewake.functions.text import clean_text, normalise_null
 from pulsewake.functions.urls import file_name, full_domain
@@ -35,15 +36,18 @@ def distinct_articles(df: DataFrame, keys: Sequence[str] = ARTICLE_KEYS, order:
 def build_corpus(df: DataFrame, languages: Sequence[str] = ("en",), keywords: str = KEYWORDS) -> DataFrame:
     """Distinct articles of the wanted languages that mention a keyword, ten columns.
 
-    The two filters look only at columns of the row and at no other copy, and copies agree on none of
-    them but the keys, so the distinct comes first, as the definition has it.
+    Of several copies the one with the first address counts, whether or not it passes the filters, so
+    the distinct must see every article. It sees no text, though: only a key digest, the address and
+    whether the row passes are shuffled, and the few winners that pass are looked up afterwards.
     """
-    return (
-        df.transform(distinct_articles)
-        .transform(rel.in_languages(languages))
-        .transform(rel.matches_any(keywords))
-        .transform(rel.corpus_columns)
-    )
+    wanted = F.col("language").isin(list(languages)) & rel.any_match(keywords)
+    marked = df.withColumns({
+        "_key": F.md5(F.to_json(F.struct(*ARTICLE_KEYS))),
+        "_fails": ~F.coalesce(wanted, F.lit(False)),
+    })
+    winners = marked.groupBy("_key").agg(F.min(F.struct("url", "_fails")).alias("w")).where("NOT w._fails").select("_key", "w.url")
+    passing = marked.where("NOT _fails").join(winners, ["_key", "url"], "left_semi")
+    return rel.keep_first(passing.select("_key", *schemas.CORPUS_COLUMNS), ["_key"], ["url"]).transform(rel.corpus_columns)
 
 
 def corpus_counts(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -76,14 +76,16 @@ def next_event(
     event_ts: str,
     carry: Sequence[str] = (),
     slot: str = "1 day",
-    salts: int = 16,
+    salts: int | None = None,
 ) -> DataFrame:
     """Forward as-of join: to each post the first event at or after it, null when there is none.
 
     Both sides are laid on time slots; inside a slot one sort finds the next event. Posts of a busy slot
-    are spread over ``salts`` tasks and only the events are repeated there. Posts whose slot has no later
+    are spread over ``salts`` tasks (all shuffle partitions unless told otherwise) and only the events are
+    repeated there. Posts whose slot has no later
     event take the first event of the next slot that has one, from a table with one row per slot.
     """
+    salts = salts or int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     event = F.struct(F.col(event_ts), *[F.col(c) for c in carry])
     kept = posts.columns
     # the bucket function drops null times, which have no next event: they are added back at the end

@@ -48,16 +48,16 @@ def in_languages(languages: Sequence[str], column: str = "language"):
     return lambda df: df.where(F.col(column).isin(list(languages)))
 
 
-def matches_any(pattern: str, columns: Sequence[str] = ("maintext", "title", "description")):
-    """Rows where any of the columns matches; a null column never vetoes a hit in another."""
+def any_match(pattern: str, columns: Sequence[str] = ("maintext", "title", "description")) -> Column:
+    """True where any of the columns matches; a null column never vetoes a hit in another."""
+    hit = F.col(columns[0]).rlike(pattern)
+    for column in columns[1:]:
+        hit = hit | F.col(column).rlike(pattern)
+    return hit
 
-    def apply(df: DataFrame) -> DataFrame:
-        hit = F.col(columns[0]).rlike(pattern)
-        for column in columns[1:]:
-            hit = hit | F.col(column).rlike(pattern)
-        return df.where(hit)
 
-    return apply
+def matches_any(pattern: str, columns: Sequence[str] = ("maintext", "title", "description")):
+    return lambda df: df.where(any_match(pattern, columns))
 
 
 def search_posts(df: DataFrame, words: Sequence[str], language: str, since: str, until: str,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsewake.functions.times import bucket_start
 from pulsewake.operators.ordering import number_in_order
@@ -99,9 +99,15 @@ def min_max_scale(df: DataFrame, columns: Sequence[str], suffix: str = "_scaled"
     return df.withColumns({f"{c}{suffix}": scaled(c) for c in columns})
 
 
+def pearson(x: str, y: str) -> Column:
+    """Pearson correlation over complete pairs; null for a constant column, where the built-in one fails."""
+    a, b = F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def correlation(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
-    """Pearson correlation of several column pairs in one pass."""
-    return df.agg(*[F.corr(x, y).alias(name) for name, (x, y) in pairs.items()])
+    """Correlation of several column pairs in one pass."""
+    return df.agg(*[pearson(x, y).alias(name) for name, (x, y) in pairs.items()])
 
 
 def join_on_bucket(left: DataFrame, right: DataFrame, bucket: str = "bucket") -> DataFrame:

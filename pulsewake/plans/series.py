@@ -130,7 +130,7 @@ def j06(spark, sf):
     return _rounded(tsr.join_on_bucket(hourly(spark, sf), volume(spark, sf)), "close")
 
 
-@query("a13_correlation", _HOURLY + "SELECT round(corr(volume, close), 6) AS volume_close, round(corr(volume, abs(delta)), 6) AS volume_change FROM full_")
+@query("a13_correlation", _HOURLY + "SELECT nullif(round(corr(volume, close), 6), 'nan'::DOUBLE) AS volume_close, nullif(round(corr(volume, abs(delta)), 6), 'nan'::DOUBLE) AS volume_change FROM full_")
 def a13(spark, sf):
     rows = combined(spark, sf).withColumn("change", F.abs("delta"))
     out = tsr.correlation(rows, {"volume_close": ("volume", "close"), "volume_change": ("volume", "change")})
@@ -143,8 +143,8 @@ def x11(spark, sf):
     return _rounded(tsr.min_max_scale(rows, ["value", "one"]).select("event_id", "value_scaled", "one_scaled"), "value_scaled")
 
 
-@query("c08_volume_price_study", _HOURLY + """SELECT round(corr(volume, close), 6) AS volume_close, round(corr(volume, abs(delta)), 6) AS volume_change,
-  round(corr(dvolume, dclose), 6) AS dvolume_dclose, count(*) AS hours,
+@query("c08_volume_price_study", _HOURLY + """SELECT nullif(round(corr(volume, close), 6), 'nan'::DOUBLE) AS volume_close, nullif(round(corr(volume, abs(delta)), 6), 'nan'::DOUBLE) AS volume_change,
+  nullif(round(corr(dvolume, dclose), 6), 'nan'::DOUBLE) AS dvolume_dclose, count(*) AS hours,
   round(avg((volume - (SELECT min(volume) FROM full_)) / ((SELECT max(volume) FROM full_) - (SELECT min(volume) FROM full_))), 6) AS mean_scaled_volume FROM full_""")
 def c08(spark, sf):
     """Distinct posts, hourly volume, hourly price, join, differences, scaling, correlation."""
@@ -152,9 +152,9 @@ def c08(spark, sf):
     changes = tsr.delta_by_row(rows, ["volume", "close"]).withColumn("change", F.abs("delta"))
     scaled = tsr.min_max_scale(changes.withColumn("volume", F.col("volume").cast("double")), ["volume"])
     return scaled.agg(
-        F.round(F.corr("volume", "close"), 6).alias("volume_close"),
-        F.round(F.corr("volume", "change"), 6).alias("volume_change"),
-        F.round(F.corr("volume_delta", "close_delta"), 6).alias("dvolume_dclose"),
+        F.round(tsr.pearson("volume", "close"), 6).alias("volume_close"),
+        F.round(tsr.pearson("volume", "change"), 6).alias("volume_change"),
+        F.round(tsr.pearson("volume_delta", "close_delta"), 6).alias("dvolume_dclose"),
         F.count("*").alias("hours"),
         F.round(F.avg("volume_scaled"), 6).alias("mean_scaled_volume"),
     )

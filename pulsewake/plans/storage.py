@@ -75,16 +75,16 @@ def s03(spark, sf):
     )
 
 
-@query("s04_json_multiline_articles", "SELECT url, page_id || '' AS title, md5(html) AS body, ['w' || (page_id % 5)]::VARCHAR AS authors FROM pages")
+@query("s04_json_multiline_articles", "SELECT url, page_id || '' AS title, md5(html) AS body, '[w' || (page_id % 5) || ']' AS authors FROM pages")
 def s04(spark, sf):
-    """One pretty-printed JSON object per file."""
+    """Pretty-printed JSON spread over many lines, up to a hundred articles per file."""
     path = scratch_path(spark, "articles")
-    pages = table(spark, sf, "pages")
     article = F.struct(
         "url", F.col("page_id").cast("string").alias("title"), F.col("html").alias("maintext"),
         F.array(F.concat(F.lit("w"), (F.col("page_id") % 5).cast("string"))).alias("authors"),
     )
-    pages.select("page_id", F.to_json(article, {"pretty": "true"}).alias("value")).write.partitionBy("page_id").text(path)
+    files = table(spark, sf, "pages").groupBy(F.floor(F.col("page_id") / 100).alias("file")).agg(F.collect_list(article).alias("a"))
+    files.select("file", F.to_json("a", {"pretty": "true"}).alias("value")).write.partitionBy("file").text(path)
     df = readers.read_articles_json(spark, f"{path}/*", "*.txt")
     return df.select("url", "title", F.md5("maintext").alias("body"), F.col("authors").cast("string").alias("authors"))
 
@@ -197,9 +197,11 @@ def s16(spark, sf):
 
 @query("s16_feed_file", "SELECT url AS link, 'page ' || page_id AS title FROM pages")
 def s16_file(spark, sf):
+    """Feed files of up to a hundred items."""
     path = scratch_path(spark, "feed")
-    feeds = table(spark, sf, "pages").select("page_id", F.concat(F.lit("<rss><channel>"), _feed_xml(), F.lit("</channel></rss>")).alias("value"))
-    feeds.write.partitionBy("page_id").text(path)
+    files = table(spark, sf, "pages").groupBy(F.floor(F.col("page_id") / 100).alias("file")).agg(F.collect_list(_feed_xml()).alias("items"))
+    feed = F.concat(F.lit("<rss><channel>"), F.array_join("items", "\n"), F.lit("</channel></rss>"))
+    files.select("file", feed.alias("value")).write.partitionBy("file").text(path)
     return readers.read_feed(spark, f"{path}/*")
 
 

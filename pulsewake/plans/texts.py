@@ -420,3 +420,49 @@ def c11(spark, sf):
         download=F.lit("2024-02-03 04:05:06"),
     )
     return articles.select("url", "source_domain", "title", F.md5("maintext").alias("body"))
+
+
+@query("c03_text_cleaner", f"SELECT page_id, md5({_clean('html')}) AS v FROM pages")
+def c03(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.md5(tx.clean_text(F.col("html"))).alias("v"))
+
+
+@query("c04_candidate_merge", _ARTICLE + """, w AS (SELECT *, len(list_filter(regexp_split_to_array(body, '\\s+'), lambda x: x <> '')) AS nb, len(list_filter(regexp_split_to_array(paras, '\\s+'), lambda x: x <> '')) AS np FROM a)
+  SELECT w.page_id, nullif(title, '') AS title, md5(CASE WHEN nb >= 15 THEN body WHEN np >= 15 THEN paras END) AS body,
+    CASE WHEN w.page_id % 7 = 3 THEN 'An article about &lt;things&gt;' END AS description, CASE WHEN w.page_id % 7 = 0 THEN 'A. Writer' END AS author,
+    regexp_extract(html, '<html lang="([a-z]+)', 1) AS language FROM w JOIN rich USING (page_id)""")
+def c04(spark, sf):
+    offered = cand.extract(given(spark, sf, "rich"), ["head", "body", "paragraphs"])
+    cleaned = offered.withColumn("candidates", cand.clean_candidates(F.col("candidates")))
+    return cand.merge(cleaned, "page_id").select("page_id", "title", F.md5("maintext").alias("body"), "description", "author", "language")
+
+
+# -- extension points ---------------------------------------------------------------------------------
+
+
+@query("d03_transform_closures", cte("articles") + "SELECT doc_id FROM articles WHERE language = 'en' AND regexp_matches(title, '(?i)the')")
+def d03(spark, sf):
+    """Operators with parameters chained by ``transform``."""
+    return given(spark, sf, "articles").transform(rel.in_languages(["en"])).transform(rel.matches_any("(?i)the", ["title"])).select("doc_id")
+
+
+@query("d05_extractor_plugin", "SELECT page_id, 'shout' AS extractor, regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1) || '!' AS title FROM pages")
+def d05(spark, sf):
+    """An extractor of the caller's own, registered by name."""
+    shout = lambda html, url: cand.candidate("shout", title=F.concat(h.first_element(html, "h1"), F.lit("!")))
+    offered = cand.extract(table(spark, sf, "pages"), ["shout"], registry={"shout": shout})
+    return cand.to_rows(offered, "page_id").select("page_id", "extractor", "title")
+
+
+@query("d06_record_filter", cte("rich") + f"SELECT url, {_DOM} AS source_domain FROM rich WHERE page_id % 7 IN (1, 3, 5) AND contains(html, 'pics/1.png')")
+def d06(spark, sf):
+    """A record filter of the caller's own in front of the extraction."""
+    wanted = given(spark, sf, "rich").where(F.contains("html", F.lit("pics/1.png")))
+    return art.articles_from_pages(wanted, first="2015-01-01 00:00:00", last="2015-12-31 00:00:00", strict=True).select("url", "source_domain")
+
+
+@query("d07_check_plugin", cte("rich") + "SELECT page_id, regexp_matches(html, '<meta [^>]*og:type') OR length(html) > 8000 AS is_article FROM rich")
+def d07(spark, sf):
+    """An article check of the caller's own, used by name in the condition."""
+    enabled = {"og_type": True, "long_page": True}
+    return art.classify(sites(spark, sf), enabled, "og_type or long_page", extra={"long_page": F.length("html") > 8000}).select("page_id", "is_article")

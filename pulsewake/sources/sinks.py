@@ -12,6 +12,7 @@ from pulsewake.functions.text import sha_key
 from pulsewake.functions.urls import json_file_name
 from pulsewake.operators.graph import adjacency
 from pulsewake.operators.history import archived_versions, current_versions
+from pulsewake.runtime import cut_lineage
 
 
 def write_job_parquet(df: DataFrame, root: str, job_time: datetime) -> str:
@@ -35,26 +36,34 @@ def write_table(df: DataFrame, fmt: str, mode: str, options: Mapping[str, str] |
     writer.save(path) if path else writer.save()
 
 
-def write_result_csv(df: DataFrame, path: str) -> None:
-    """One CSV file with a header, for results that are small by nature (one row per agent)."""
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True)
+def write_result_csv(df: DataFrame, path: str, single_file_rows: int = 1_000_000) -> None:
+    """Result CSV with a header: one file while the result is small, else ordered part files.
+
+    The row count is checked before everything is handed to one writer.
+    """
+    result = cut_lineage(df)
+    if result.limit(single_file_rows + 1).count() <= single_file_rows:
+        result = result.coalesce(1)
+    result.write.mode("overwrite").csv(path, header=True)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
-def write_articles_by_domain(articles: DataFrame, path: str, slices: int = 16) -> None:
+def write_articles_by_domain(articles: DataFrame, path: str, rows_per_file: int = 100_000) -> None:
     """Article JSON in one folder per domain, each row with its file key.
 
-    A domain is spread over up to ``slices`` tasks, so a giant domain does not end in one file writer.
+    A domain gets as many writers as its size asks for: a giant one does not end in one task, a small one
+    stays in one file.
     """
     keyed = articles.withColumns({
         "file_key": F.concat(sha_key(F.col("url")), F.lit(".json")),
         "escaped_name": json_file_name(F.col("url")),
     })
-    salted = keyed.repartition("source_domain", F.pmod(F.xxhash64("url"), F.lit(slices)))
-    salted.write.mode("overwrite").partitionBy("source_domain").json(path)
+    sizes = articles.groupBy("source_domain").agg(F.ceil(F.count("*") / rows_per_file).cast("int").alias("_files"))
+    spread = keyed.join(sizes, "source_domain").withColumn("_slice", F.pmod(F.xxhash64("url"), F.col("_files")))
+    spread.repartition("source_domain", "_slice").drop("_files", "_slice").write.mode("overwrite").partitionBy("source_domain").json(path)
 
 
 def write_raw_pages(pages: DataFrame, path: str, by: str) -> None:
