@@ -145,7 +145,7 @@ def x11(spark, sf):
 
 @query("c08_volume_price_study", _HOURLY + """SELECT nullif(round(corr(volume, close), 6), 'nan'::DOUBLE) AS volume_close, nullif(round(corr(volume, abs(delta)), 6), 'nan'::DOUBLE) AS volume_change,
   nullif(round(corr(dvolume, dclose), 6), 'nan'::DOUBLE) AS dvolume_dclose, count(*) AS hours,
-  round(avg((volume - (SELECT min(volume) FROM full_)) / ((SELECT max(volume) FROM full_) - (SELECT min(volume) FROM full_))), 6) AS mean_scaled_volume FROM full_""")
+  round(avg(CASE WHEN (SELECT max(volume) = min(volume) FROM full_) THEN 0.0::DOUBLE ELSE (volume - (SELECT min(volume) FROM full_)) / ((SELECT max(volume) FROM full_) - (SELECT min(volume) FROM full_)) END), 6) AS mean_scaled_volume FROM full_""")
 def c08(spark, sf):
     """Distinct posts, hourly volume, hourly price, join, differences, scaling, correlation."""
     rows = cut_lineage(combined(spark, sf))  # one row per hour, used several times below

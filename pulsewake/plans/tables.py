@@ -442,8 +442,8 @@ def o06(spark, sf):
 
 @query("c10_account_timeline", cte("posts", "ticks") + """, ev AS (SELECT ts AS event_ts FROM ticks WHERE close > 200),
   n AS (SELECT twitter_handle_name, tweet_datetime, (SELECT min(event_ts) FROM ev WHERE event_ts >= tweet_datetime) AS next_event_ts FROM posts WHERE lower(twitter_handle_name) IN ('user_1', 'user_2', 'user_3'))
-  SELECT *, round(date_diff('microsecond', tweet_datetime, next_event_ts) / 60000000, 6) AS minutes_to_event FROM n""")
+  SELECT *, round(date_diff('microsecond', tweet_datetime, next_event_ts) / 60000000, 9) AS minutes_to_event FROM n""")
 def c10(spark, sf):
     events = given(spark, sf, "ticks").where("close > 200").select(F.col("ts").alias("event_ts"))
     line = acc.account_timeline(given(spark, sf, "posts"), events, "twitter_handle_name", "tweet_datetime", "event_ts", ["User_1", "USER_2", "user_3"])
-    return line.withColumn("minutes_to_event", F.round("minutes_to_event", 6))
+    return line.withColumn("minutes_to_event", F.round("minutes_to_event", 9))

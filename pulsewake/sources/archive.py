@@ -40,18 +40,18 @@ def list_archive_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Archive records as ``(record_type, url, download_date, http_status, content_type, charset, payload)``.
+    """Archive records as ``(record_type, url, download_date, http_status, content_type, payload, is_complete)``.
 
     The text source splits the (also gzipped) files at the record mark, so an archive is never held as
-    one value; the payload keeps its bytes. Header names are compared without case.
+    one value; the payload keeps its bytes. The mark is the bare version line: a mark that begins like
+    its own middle (blank lines first) is missed where it straddles a read buffer. A page that holds the
+    mark itself is cut there, which ``is_complete`` shows by the declared length (null when undeclared).
     """
-    raw = spark.read.option("lineSep", "\r\n\r\nWARC/1.0\r\n").text(path).select(F.col("value").cast("binary").alias("record"))
+    raw = spark.read.option("lineSep", "WARC/1.0\r\n").text(path).select(F.col("value").cast("binary").alias("record"))
     # Latin-1 maps each byte to one character: positions in the text are positions in the bytes
-    text = F.decode("record", "ISO-8859-1")
-    marked = raw.select("record", F.regexp_replace(text, r"^WARC/1\.0\r\n", "").alias("text"))
-    head = F.substring_index("text", "\r\n\r\n", 1)
-    split = marked.select(
-        head.alias("warc"),
+    text = raw.select(F.regexp_replace(F.decode("record", "ISO-8859-1"), r"\r\n\r\n\z", "").alias("text"))
+    split = text.select(
+        F.substring_index("text", "\r\n\r\n", 1).alias("warc"),
         F.expr("substring(text, length(substring_index(text, '\r\n\r\n', 1)) + 5)").alias("rest"),
     )
     http = F.substring_index("rest", "\r\n\r\n", 1)
@@ -60,7 +60,8 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     def header(block: Column, name: str) -> Column:
         return F.nullif(F.trim(F.regexp_extract(block, rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1)), F.lit(""))
 
-    fields = split.select("warc", http.alias("http"), F.regexp_replace(body, r"(\r\n)+\z", "").alias("body"))
+    fields = split.select("warc", http.alias("http"), body.alias("body"), F.length("rest").alias("length"))
+    declared = header(F.col("warc"), "Content-Length").try_cast("bigint")
     record = F.struct(
         header(F.col("warc"), "WARC-Type").alias("record_type"),
         header(F.col("warc"), "WARC-Target-URI").alias("url"),
@@ -68,6 +69,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
         F.try_to_number(F.nullif(F.regexp_extract("http", r"^HTTP/\S+ (\d+)", 1), F.lit("")), F.lit("999")).cast("int").alias("http_status"),
         header(F.col("http"), "Content-Type").alias("content_type"),
         F.encode("body", "ISO-8859-1").alias("payload"),
+        (F.col("length") == declared).alias("is_complete"),
     )
     # a generator is evaluated once per record; later filters would otherwise repeat the parsing above
     return fields.select(F.inline(F.filter(F.array(record), lambda r: r["record_type"].isNotNull())))
