@@ -63,7 +63,8 @@ def write_articles_by_domain(articles: DataFrame, path: str, rows_per_file: int
     })
     sizes = articles.groupBy("source_domain").agg(F.ceil(F.count("*") / rows_per_file).cast("int").alias("_files"))
     spread = keyed.join(sizes, "source_domain").withColumn("_slice", F.pmod(F.xxhash64("url"), F.col("_files")))
-    spread.repartition("source_domain", "_slice").drop("_files", "_slice").write.mode("overwrite").partitionBy("source_domain").json(path)
+    placed = spread.repartition("source_domain", "_slice").drop("_files", "_slice")
+    placed.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("source_domain").json(path)
 
 
 def write_raw_pages(pages: DataFrame, path: str, by: str) -> None:
