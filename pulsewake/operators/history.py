@@ -83,16 +83,14 @@ def _next_allowed(moments: DataFrame, key: str, hours: int) -> DataFrame:
     points = moments.select(key, F.inline(F.array(
         F.struct(F.col("t").alias("at"), F.col("t").alias("moment"), F.lit(None).cast(moments.schema["t"].dataType).alias("asks")),
         F.struct(deadline.alias("at"), F.lit(None).cast(moments.schema["t"].dataType).alias("moment"), F.col("t").alias("asks")),
-    ))).withColumn("slot", slot(F.col("at")))
+    ))).withColumn("slot", slot(F.col("at"))).withColumn("cell", F.struct(key, "slot"))
     backwards = (
-        Window.partitionBy(key, "slot").orderBy(F.desc("at"), F.col("moment").isNull())
+        Window.partitionBy("cell").orderBy(F.desc("at"), F.col("moment").isNull())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     inside = points.withColumn("next", F.last("moment", ignorenulls=True).over(backwards)).where("asks IS NOT NULL")
-    per_slot = points.groupBy(key, "slot").agg(F.min("moment").alias("first"))
-    along = Window.partitionBy(key).orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)
-    later = per_slot.select(
-        F.col(key).alias("_k"), F.col("slot").alias("_s"), F.last("first", ignorenulls=True).over(along).alias("later")
-    )
-    joined = inside.join(later, F.col(key).eqNullSafe(F.col("_k")) & (F.col("slot") == F.col("_s")), "left")
+    per_slot = points.groupBy("cell").agg(F.min("moment").alias("first"))
+    along = Window.partitionBy(f"cell.{key}").orderBy(F.desc("cell.slot")).rowsBetween(Window.unboundedPreceding, -1)
+    later = per_slot.select("cell", F.last("first", ignorenulls=True).over(along).alias("later"))
+    joined = inside.join(later, "cell", "left")
     return joined.select(key, F.col("asks").alias("t"), F.coalesce("next", "later").alias("next")).where("next IS NOT NULL")

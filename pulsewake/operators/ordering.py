@@ -27,32 +27,30 @@ def number_in_order(
 
     ``slice_by`` must never fall while ``order`` rises, and ``order`` must be total within a key.
     """
-    sliced = df.withColumn("_slice", slice_by)
-    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    # one struct names a slice of a key: the window and the join share its partitioning and its order, and
+    # null keys are equal to each other inside it
+    sliced = df.withColumn("_slice", slice_by).withColumn("_cell", F.struct(*keys, "_slice")).drop("_slice")
+    inside = Window.partitionBy("_cell").orderBy(*order)
     rows = sliced.withColumns({
         "_rank": F.row_number().over(inside),
         **{f"_prev_{c}": F.lag(c).over(inside) for c in carry},
         **{f"_next_{c}": F.lead(c).over(inside) for c in carry},
     })
     border = F.struct(*[F.col(c) for c in carry] or [F.lit(0).alias("none")])
-    slices = sliced.groupBy(*keys, "_slice").agg(
+    slices = sliced.groupBy("_cell").agg(
         F.count("*").alias("_n"),
         F.min_by(border, F.struct(*order)).alias("_first"),
         F.max_by(border, F.struct(*order)).alias("_last"),
     )
-    along = Window.partitionBy(*keys).orderBy("_slice")
+    along = Window.partitionBy(*[F.col(f"_cell.{k}") for k in keys]).orderBy("_cell._slice")
     slices = slices.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_slice").alias("_s"),
-        F.col("_n"),
+        "_cell",
+        "_n",
         F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
         F.lag("_last").over(along).alias("_prev"),
         F.lead("_first").over(along).alias("_next"),
     )
-    same = F.col("_slice").eqNullSafe(F.col("_s"))
-    for key in keys:
-        same = same & F.col(key).eqNullSafe(F.col(f"_k_{key}"))
-    joined = rows.join(slices, same)
+    joined = rows.join(slices, "_cell")
     return joined.select(
         *df.columns,
         (F.col("_before") + F.col("_rank")).alias(position),

@@ -8,7 +8,7 @@ from pulsewake.plans.registry import query
 from pulsewake.plans.storage import raw_posts_file
 from pulsewake.plans.tables import ORACLE_CLEANSE
 from pulsewake.plans.scores import ORACLE_NEAR
-from pulsewake.runtime import scratch_path
+from pulsewake.runtime import cut_lineage, scratch_path
 from pulsewake.streaming import flows
 from pulsewake.streaming.versions import VersionStore
 
@@ -28,7 +28,8 @@ def w05(spark, sf):
 
 @query("c05_current_and_archive", _HISTORY + "SELECT url, id, version, ancestor, is_current FROM h WHERE is_current OR version % 2 = 0")
 def c05(spark, sf):
-    kept = hist.current_versions(history(spark, sf)).unionByName(hist.archived_versions(history(spark, sf)).where("version % 2 = 0"))
+    versions = cut_lineage(history(spark, sf))
+    kept = hist.current_versions(versions).unionByName(hist.archived_versions(versions).where("version % 2 = 0"))
     return kept.select("url", "id", "version", "ancestor", "is_current")
 
 
