@@ -56,11 +56,6 @@ def parse_wall_time(text: Column) -> Column:
     return let(plain, read)
 
 
-def parse_utc_time(text: Column) -> Column:
-    """ISO text with or without zone to an instant, null when it cannot be read."""
-    return F.coalesce(F.try_to_timestamp(text), parse_wall_time(text).cast("timestamp"))
-
-
 def from_millis(ms: Column) -> Column:
     return F.timestamp_millis(ms)
 

@@ -37,17 +37,16 @@ def build_corpus(df: DataFrame, languages: Sequence[str] = ("en",), keywords: st
     """Distinct articles of the wanted languages that mention a keyword, ten columns.
 
     Of several copies the one with the first address counts, whether or not it passes the filters, so
-    the distinct must see every article. It sees no text, though: only a key digest, the address and
-    whether the row passes are shuffled, and the few winners that pass are looked up afterwards.
+    the distinct must see every article. It sees no text, though: the first pass reads the key columns
+    only and shuffles a digest and an address per article; the second tests the texts, once, and looks
+    up the few rows that pass among the first ones.
     """
-    wanted = F.col("language").isin(list(languages)) & rel.any_match(keywords)
-    marked = df.withColumns({
-        "_key": F.md5(F.to_json(F.struct(*ARTICLE_KEYS))),
-        "_fails": ~F.coalesce(wanted, F.lit(False)),
-    })
-    winners = marked.groupBy("_key").agg(F.min(F.struct("url", "_fails")).alias("w")).where("NOT w._fails").select("_key", "w.url")
-    passing = marked.where("NOT _fails").join(winners, ["_key", "url"], "left_semi")
-    return rel.keep_first(passing.select("_key", *schemas.CORPUS_COLUMNS), ["_key"], ["url"]).transform(rel.corpus_columns)
+    keyed = lambda rows: rows.withColumn("_key", F.md5(F.to_json(F.struct(*ARTICLE_KEYS))))
+    firsts = keyed(df).groupBy("_key").agg(F.min("url").alias("url"))
+    passing = keyed(df.transform(rel.in_languages(languages)).transform(rel.matches_any(keywords)))
+    kept = passing.select("_key", *schemas.CORPUS_COLUMNS).join(firsts, ["_key", "url"], "left_semi")
+    # the same article may be stored twice under one address
+    return rel.keep_first(kept, ["_key"], ["maintext"]).transform(rel.corpus_columns)
 
 
 def corpus_counts(before: DataFrame, after: DataFrame) -> DataFrame:

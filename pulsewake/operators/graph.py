@@ -134,9 +134,11 @@ def closeness(edges: DataFrame, max_depth: int | None = None, block: int = 63) -
     of them per long, so a round moves (vertex, block) rows merged by ``bit_or`` and never a row per
     pair. Only bits that are new to a vertex travel on; the flood ends when there are none.
     """
+    # a small frontier may send very many messages: the number of tasks must not follow its size
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = cut_lineage(simple_edges(edges).select(
         F.inline(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))
-    ))
+    ).repartition(tasks, "u"))
     nodes = cut_lineage(_number_densely(vertices_of(edges)))
     first = nodes.select(
         "id",
@@ -148,7 +150,7 @@ def closeness(edges: DataFrame, max_depth: int | None = None, block: int = 63) -
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        news = state.where("fresh <> 0").join(both, F.col("id") == F.col("u")).select(
+        news = state.where("fresh <> 0").repartition(tasks, "id").join(both, F.col("id") == F.col("u")).select(
             F.col("v").alias("id"), "blk", F.col("fresh").alias("heard")
         )
         # state and messages meet in one aggregate, which merges messages on the map side already

@@ -38,11 +38,6 @@ def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
 # -- filters ------------------------------------------------------------------------------------------
 
 
-def between(df: DataFrame, column: str, first, last) -> DataFrame:
-    """Both ends inclusive; plain literals, so the condition reaches the scan."""
-    return df.where(F.col(column).between(F.lit(first), F.lit(last)))
-
-
 def in_languages(languages: Sequence[str], column: str = "language"):
     """A closure for ``df.transform``."""
     return lambda df: df.where(F.col(column).isin(list(languages)))
@@ -117,10 +112,6 @@ def usable_response(df: DataFrame, status: str = "status", body: str = "html", c
     )
 
 
-def fill(df: DataFrame, values: dict) -> DataFrame:
-    return df.fillna(values)
-
-
 # -- projections --------------------------------------------------------------------------------------
 
 
