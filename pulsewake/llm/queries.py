@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsewake.llm import bpe, decontaminate
+from pulsewake.llm import bpe, decontaminate, repeats
 
 QUERIES = {}
 ORACLES = {}
@@ -32,6 +32,23 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(docs, path, public_tokenizers.PATTERN, keep_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+@query("op3_repeated_passages", r"""
+WITH words AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (SELECT r, i, sha256(array_to_string(w[i : i + 34], ' ')) AS gram
+           FROM (SELECT *, unnest(range(1, len(w) - 33)) AS i FROM words WHERE len(w) >= 35)),
+again AS (SELECT r, i FROM places WHERE gram IN (SELECT gram FROM places GROUP BY 1 HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS word FROM again),
+kept AS (SELECT r, count(*) AS n_kept, string_agg(word, ' ' ORDER BY i) AS text
+         FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM words) a
+         WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.r = a.r AND g.word = a.i) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (r)
+""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeats.find_repeats(docs, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @query("op4_suffix_array_decontamination", r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
