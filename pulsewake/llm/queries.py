@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsewake.llm import bpe, decontaminate, near, repeats, toxicity
+from pulsewake.llm import bpe, decontaminate, near, repeats, search, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -113,3 +113,19 @@ FROM words LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+@query("op10_branch_and_bound_top_k", """
+WITH vectors AS (
+  SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+parts AS (SELECT vec_id, unnest(v) AS x, unnest(range(len(v))) AS i FROM vectors),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  FROM parts q JOIN parts c USING (i) WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id GROUP BY 1, 2)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scores) WHERE r <= 20
+""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = search.integer_vectors(read(spark, sf_dir, "embeddings"))
+    return search.top_k(vectors, vectors.where("id % 20 = 0"), k=20)
