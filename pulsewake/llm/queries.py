@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsewake.llm import bpe, decontaminate, near, repeats, search, toxicity
+from pulsewake.llm import bpe, decontaminate, near, repeats, search, toxicity, warc
+from pulsewake.runtime import scratch_path
 
 QUERIES = {}
 ORACLES = {}
@@ -115,6 +116,25 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+@query("op9_warc_source", """
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS p, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+bits AS (SELECT *, array_to_string([['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100',
+         '1101', '1110', '1111'][strpos('0123456789abcdef', substr(h, i, 1))] FOR i IN range(1, 41)], '') AS b FROM payloads),
+digests AS (SELECT page_id, n, h, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + 16 * CAST(substr(b, i, 1) AS INTEGER) + 8 * CAST(substr(b, i + 1, 1) AS INTEGER) + 4 * CAST(substr(b, i + 2, 1) AS INTEGER)
+         + 2 * CAST(substr(b, i + 3, 1) AS INTEGER) + CAST(substr(b, i + 4, 1) AS INTEGER), 1) FOR i IN range(1, 157, 5)], '') AS digest,
+         max(page_id) OVER (PARTITION BY h) AS first FROM bits)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to FROM digests
+""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archives(read(spark, sf_dir, "pages"), path)
+    found = warc.read_warc(spark, path, payload=False).where(F.col("record_type").isin("response", "revisit"))
+    number = lambda c: F.nullif(F.regexp_extract(c, "<urn:page:(.*)>", 1), F.lit("")).cast("bigint")
+    return found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
 @query("op10_branch_and_bound_top_k", """
 WITH vectors AS (
   SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
