@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from pulsewake.llm.words import SPACED, Block, blocks, list_column, runs, second
 
 WINDOW = 35
-GRAM = 18
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -108,10 +107,11 @@ def _kept(window: int, size: int, text: int, with_text: bool, names: list[str]):
             for block in blocks(batch.column(text), SPACED, lower=False):
                 n, rows = len(block.counts), batch.slice(block.first, block.last - block.first)
                 edge = np.zeros(len(block.words) + window + 1, dtype=np.int64)
+                whole = rows.column(size + 1).fill_null(False).to_numpy(zero_copy_only=False) & (block.counts >= window)
                 begins = _spread(block, batch.column(size))
                 np.add.at(edge, begins, 1)
                 np.add.at(edge, begins + window, -1)
-                gone = np.cumsum(edge)[: len(block.words)] > 0
+                gone = (np.cumsum(edge)[: len(block.words)] > 0) | np.repeat(whole, block.counts)
                 removed = np.concatenate(([0], np.cumsum(gone)))[block.starts]
                 # maximal repeats: runs of words to be removed, cut at the ends of texts
                 first = gone.copy()
@@ -163,32 +163,43 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
     matches inside one text count, and an empty table gives an empty one. ``gram`` is the length of the anchors, at most
     ``window``; it changes the cost, not the result.
     """
-    gram = gram or window // 2 + 1
+    gram = gram or max(1, window // 3)
     if not 1 <= gram <= window:
         raise ValueError("an anchor must fit into the window")
     made = {"n_words": "bigint", "n_removed": "bigint", "repeats": "array<struct<begin:int,end:int>>", "kept_sha256": "string"}
     made |= {"kept_text": "string"} if with_text else {}
     kept = [c for c in docs.columns if c.lower() not in (*made, "kept_text")]
     docs = docs.select(*[F.col(f"`{c}`") for c in kept])
-    keyed = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.hash(f"`{text}`").alias("tag"), F.col(f"`{text}`").alias("text"))
+    # both joins below take the rows by the same columns, so plain tables are shuffled once for the two
+    whole = docs.withColumn("__tag", F.hash(f"`{text}`"))
+    if dict(docs.dtypes)[doc_id] == "bigint":
+        key = doc_id
+    else:
+        key, whole = "__id", whole.withColumn("__id", F.col(f"`{doc_id}`").cast("bigint"))
+    keyed = whole.select(F.col(f"`{key}`").alias("id"), F.col("__tag").alias("tag"), F.col(f"`{text}`").alias("text"))
+    # all of a text that is there twice is repeated; one copy of it stands for the others below
+    prints = keyed.select("id", "tag", F.xxhash64("text").alias("print"))
+    texts = prints.groupBy("tag", "print").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"))
+    copied = prints.join(texts.where("copies > 1"), ["tag", "print"], "left_semi").select("id", "tag", F.lit(-1).alias("word"))
     seeds = keyed.mapInArrow(_seeds(window, gram), "gram bigint, id bigint, tag int, word int")
     shared = seeds.groupBy("gram").count().where("count > 1").select("gram")
     hits = seeds.join(shared, "gram", "left_semi").groupBy("id", "tag").agg(F.collect_set("word").alias("words"))
-    near = _attach(keyed, hits, "inner")
+    first = texts.select("first", F.col("tag").alias("__tag"))
+    hits = hits.join(first, hits["id"].eqNullSafe(first["first"]) & (hits["tag"] == first["__tag"]), "left_semi")
+    near = _attach(whole, key, hits, "inner").select(F.col(f"`{key}`").alias("id"), F.col("__tag").alias("tag"), F.col(f"`{text}`").alias("text"), "__words")
     found = near.mapInArrow(_windows(window, gram), "one bigint, two int, id bigint, tag int, word int")
     again = found.groupBy("one", "two").count().where("count > 1").select("one", "two")
-    begins = found.join(again, ["one", "two"], "left_semi").groupBy("id", "tag").agg(F.collect_set("word").alias("words"))
-    whole = docs.withColumns({"__id": F.col(f"`{doc_id}`").cast("bigint"), "__tag": F.hash(f"`{text}`")})
-    both = whole.join(begins, whole["__id"].eqNullSafe(begins["id"]) & (whole["__tag"] == begins["tag"]), "left")
-    both = both.select(*[whole[f"`{c}`"] for c in kept], begins["words"].alias("__words"))
+    begins = found.join(again, ["one", "two"], "left_semi").select("id", "tag", "word").unionByName(copied)
+    begins = begins.groupBy("id", "tag").agg(F.collect_set(F.when(F.col("word") >= 0, F.col("word"))).alias("words"), (F.min("word") < 0).alias("whole"))
+    both = _attach(whole, key, begins, "left").select(*[F.col(f"`{c}`") for c in kept], "__words", "__whole")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"{c} {k}" for c, k in made.items())])
     return both.mapInArrow(_kept(window, len(kept), kept.index(text), with_text, [*kept, *made]), schema)
 
 
-def _attach(keyed: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    other = lists.select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), "words")
-    both = keyed.join(other, keyed["id"].eqNullSafe(other["__id"]) & (keyed["tag"] == other["__tag"]), how)
-    return both.select("id", "tag", "text", "words")
+def _attach(whole: DataFrame, key: str, lists: DataFrame, how: str) -> DataFrame:
+    other = lists.select(*[F.col(c).alias("__list_" + c) for c in lists.columns])
+    both = whole.join(other, whole[f"`{key}`"].eqNullSafe(other["__list_id"]) & (whole["__tag"] == other["__list_tag"]), how)
+    return both.withColumnsRenamed({"__list_words": "__words", "__list_whole": "__whole"})
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW) -> DataFrame:
