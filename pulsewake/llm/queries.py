@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsewake.llm import bpe, decontaminate, near, repeats, search, toxicity, warc
+from pulsewake.llm import bpe, decontaminate, near, repeats, search, toxicity, urlfilter, warc
 from pulsewake.runtime import scratch_path
 
 QUERIES = {}
@@ -116,6 +116,31 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+@query("op8_bloom_url_filter", r"""
+WITH parts AS (
+  SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+         [p FOR p IN string_split(regexp_extract(coalesce(url, ''), '(?s)^.*?://[^?#]*\?([^#]*)', 1), '&')
+          IF p <> '' AND NOT starts_with(p, 'utm_') AND NOT starts_with(p, 'ref=')] AS params FROM pages),
+spelled AS (
+  SELECT *, CASE WHEN contains(url, '://') THEN regexp_replace(host, '^www\.', '') || regexp_replace(path, '/\z', '')
+         || CASE WHEN len(params) > 0 THEN '?' || array_to_string(list_sort(params), '&') ELSE '' END END AS canonical FROM parts),
+listed AS (SELECT canonical FROM spelled WHERE canonical IS NOT NULL GROUP BY 1 HAVING count(*) > 1),
+rules(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/'))
+SELECT page_id, host, path, canonical,
+       (SELECT h || p FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) ORDER BY length(h || p) DESC LIMIT 1) AS rule,
+       coalesce((SELECT verdict FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) ORDER BY length(h || p) DESC LIMIT 1),
+                CASE WHEN canonical IN (SELECT canonical FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
+FROM spelled
+""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judge(pages, urlfilter.repeated_addresses(pages), URL_RULES).select("page_id", "host", "path", "canonical", "rule", "verdict")
+
+
 @query("op9_warc_source", """
 WITH payloads AS (SELECT page_id, coalesce(html, '') AS p, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
 bits AS (SELECT *, array_to_string([['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100',
