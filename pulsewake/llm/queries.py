@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsewake.llm import bpe, decontaminate, near, repeats, search, toxicity, urlfilter, warc
+from pulsewake.llm import bpe, decontaminate, langmodel, near, repeats, search, toxicity, urlfilter, warc
 from pulsewake.runtime import scratch_path
 
 QUERIES = {}
@@ -88,6 +88,30 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(found)
 
 
+@query("op5_stupid_backoff", r"""
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x20\x09-\x0D]+') AS w FROM documents),
+tokens AS (SELECT r, i, w[i] AS b, CASE WHEN i > 1 THEN w[i - 1] END AS a FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM words)),
+ones AS (SELECT b, count(*) AS n FROM tokens GROUP BY 1), own1 AS (SELECT r, b, count(*) AS n FROM tokens GROUP BY 1, 2),
+twos AS (SELECT a, b, count(*) AS n FROM tokens WHERE a IS NOT NULL GROUP BY 1, 2),
+own2 AS (SELECT r, a, b, count(*) AS n FROM tokens WHERE a IS NOT NULL GROUP BY 1, 2, 3),
+logs AS (
+  SELECT t.r, CASE
+      WHEN t.a IS NULL THEN ln(greatest(o.n - w.n, 0.5) / greatest((SELECT count(*) FROM tokens) - len(x.w), 1))
+      WHEN p.n > q.n THEN ln((p.n - q.n) / (c.n - d.n))
+      ELSE ln(greatest(o.n - w.n, 0.5) / greatest((SELECT count(*) FROM tokens) - len(x.w), 1)) + ln(0.4) END AS s
+  FROM tokens t JOIN words x USING (r) JOIN ones o ON o.b = t.b JOIN own1 w ON w.r = t.r AND w.b = t.b
+  LEFT JOIN twos p ON p.a = t.a AND p.b = t.b LEFT JOIN own2 q ON q.r = t.r AND q.a = t.a AND q.b = t.b
+  LEFT JOIN ones c ON c.b = t.a LEFT JOIN own1 d ON d.r = t.r AND d.b = t.a)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(total / len(w), 6) AS score
+FROM words LEFT JOIN (SELECT r, sum(s) AS total FROM logs GROUP BY 1) USING (r)
+""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return langmodel.backoff_scores(docs).select("doc_id", "n_words", F.round("score", 6).alias("score"))
+
+
 @query("op6_weakly_supervised_toxicity")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
