@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsewake.llm import bpe, decontaminate, langmodel, near, repeats, search, toxicity, urlfilter, warc
+from pulsewake.llm import bpe, decontaminate, langmodel, licenses, near, repeats, search, toxicity, urlfilter, warc
 from pulsewake.runtime import scratch_path
 
 QUERIES = {}
@@ -34,6 +34,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(docs, path, public_tokenizers.PATTERN, keep_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+@query("op2_license_scan")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    confirmed = F.filter("licenses", lambda x: x.confirmed)
+    families = F.array_sort(F.array_distinct(F.transform(confirmed, lambda x: x.family)))
+    return found.select("doc_id", "n_paragraphs", F.array_join(families, ",").alias("families"), F.size(confirmed).cast("bigint").alias("n_confirmed"),
+                        (F.size("licenses") - F.size(confirmed)).cast("bigint").alias("n_unconfirmed"))
+
+
 @query("op3_repeated_passages", r"""
 WITH words AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 places AS (SELECT r, i, sha256(array_to_string(w[i : i + 34], ' ')) AS gram
