@@ -11,9 +11,10 @@ Comparing goes from cheap to exact. In a node, signatures rule out what can't be
 a chance of 1e-8) and cut the node into groups; equal groups of several trees are one; in a group links are confirmed on
 full sets, and pairs already connected are left out, so n copies of a text cost n comparisons.
 
-A large node of near copies would never get small by branching. There every class is first compared with a pivot and a
-handful of neighbours. Nodes whose classes are all connected by then are finished; where few classes are not, they
-are compared with all the others, block by block; the rest branches.
+Large nodes go down four levels at once; each class is compared in the first node of a path that is small enough. A node
+of near copies never gets small by branching. There every class is compared with a pivot and the neighbours in its
+block. Nodes whose classes are all connected by then are finished; where few classes are not, they are compared with
+all the others, block by block; the rest branches on.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ SHINGLE = 5
 THRESHOLD = 75
 TREES = 12
 PLACES = 96
-NODE = 512
+NODE = 1024
+LEVELS = 4
 _RANDOM = np.random.default_rng(20240117)
 _MULTIPLIERS = _RANDOM.integers(1, 1 << 63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MASKS = _RANDOM.integers(0, 1 << 63, PLACES, dtype=np.uint64)
@@ -152,20 +154,20 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
 
 
 def confirmed(sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
-    """Links that connect what the full sets connect, none within what is connected already."""
-    union, out, groups = _Union(len(sets)), [], {}
+    """What the full sets connect, as links of every member to the first of its component; no two members of a
+    component are compared once they are connected."""
+    union, groups = _Union(len(sets)), {}
     for i in range(len(sets)):
         for root in sorted(groups, key=lambda r: -len(groups[r])):
             for j in groups[root]:
                 if linked(sets[i], sets[j], threshold):
-                    out.append((j, i))
                     union.join(j, i)
                     break
         joined = [r for r in groups if union.find(r) == union.find(i)]
         merged = [i] + [m for r in joined for m in groups.pop(r)]
         merged.sort()
         groups[union.find(i)] = merged
-    return out
+    return [(root, i) for i in range(len(sets)) if (root := union.find(i)) != i]
 
 
 def _confirmed(threshold: int):
@@ -183,36 +185,91 @@ def _confirmed(threshold: int):
     return work
 
 
+def _paths(levels: int):
+    """The nodes below large ones, ``levels`` deep: one place of the signature for each node, for a third of them two."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = batch.column(0).to_numpy().view(np.uint64)
+            tokens = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, PLACES)
+            row = np.arange(len(node))
+            for level in range(1, levels + 1):
+                parent, parent_row, nodes, rows = node, row, [], []
+                for k in (0, 1):
+                    taken = np.flatnonzero(parent % np.uint64(3) == 0) if k else np.arange(len(parent))
+                    seed = mix(parent[taken] + np.uint64(k + 1))
+                    token = tokens[parent_row[taken], (seed % np.uint64(PLACES)).astype(np.int64)].view(np.uint32).astype(np.uint64)
+                    nodes.append(mix(seed ^ mix(token)))
+                    rows.append(taken)
+                taken = np.concatenate(rows)
+                node, row = np.concatenate(nodes), parent_row[taken]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(node), level, np.int32)), pa.array(parent[taken].view(np.int64)), pa.array(node.view(np.int64)), batch.column(1).take(pa.array(row))],
+                    names=["level", "parent", "node", "class"])
+
+    return work
+
+
 # -- the join -----------------------------------------------------------------------------------------------------
 
 
 class _Join:
-    """Classes, their texts, and the links confirmed so far."""
+    """Classes, the sets of those that may be linked, and the links confirmed so far."""
 
-    def __init__(self, keyed: DataFrame, classes: DataFrame, size: int, threshold: int):
-        self.keyed, self.classes, self.size, self.threshold = keyed, classes, size, threshold
+    def __init__(self, keyed: DataFrame, classes: DataFrame, size: int, threshold: int, node: int):
+        self.keyed, self.classes, self.size, self.threshold, self.node = keyed, classes, size, threshold, node
+        self.sets: DataFrame | None = None
         self.links: DataFrame | None = None
 
-    def compare(self, nodes: DataFrame) -> None:
+    def compare(self, cells: DataFrame, stuck: DataFrame) -> None:
         """``node``, ``class``: confirm the links within each node; nodes are small."""
-        tokens = nodes.join(self.classes.select("class", "n", "tokens"), "class")
+        tokens = cells.join(self.classes.select("class", "n", "tokens"), "class")
         lists = tokens.groupBy("node").agg(*[F.collect_list(c).alias(c) for c in ("class", "n", "tokens")]).drop("node")
         groups = written(lists.mapInArrow(_grouped(self.threshold), "members array<bigint>").distinct()
                          .withColumn("group", F.monotonically_increasing_id()), "groups")
         members = groups.select("group", F.explode("members").alias("class"))
-        wanted = self.classes.join(members.select("class").distinct(), "class", "left_semi").select("class", F.col("id").alias("__id"), F.col("tag").alias("__tag"))
-        texts = self.keyed.join(wanted, self.keyed["id"].eqNullSafe(F.col("__id")) & (self.keyed["tag"] == F.col("__tag"))).select("class", "text")
-        sets = texts.mapInArrow(_sets(self.size), "class bigint, hashes binary").groupBy("class").agg(F.first("hashes").alias("hashes"))
-        full = members.join(sets, "class").groupBy("group").agg(F.collect_list("class").alias("class"), F.collect_list("hashes").alias("hashes")).drop("group")
+        if self.sets is None:
+            self.sets = self._full_sets(members.select("class").unionByName(stuck.select("class")).distinct())
+        full = members.join(self.sets, "class").groupBy("group").agg(F.collect_list("class").alias("class"), F.collect_list("hashes").alias("hashes")).drop("group")
         found = written(full.mapInArrow(_confirmed(self.threshold), "a bigint, b bigint"), "links")
         self.links = found if self.links is None else self.links.unionByName(found)
 
-    def branch(self, rows: DataFrame) -> DataFrame:
-        """The children of large nodes: one place of the signature for each node, for a third of them two."""
-        places = F.when(F.pmod("node", F.lit(3)) == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-        both = rows.join(self.classes.select("class", "tokens"), "class").select("node", "class", "tokens", F.explode(places).alias("k"))
-        place = F.pmod(F.xxhash64("node", "k"), F.lit(PLACES)).cast("int")
-        return both.select(F.xxhash64("node", "k", F.get("tokens", place)).alias("node"), "class")
+    def _full_sets(self, wanted: DataFrame) -> DataFrame:
+        of = self.classes.join(wanted, "class", "left_semi").select("class", F.col("id").alias("__id"), F.col("tag").alias("__tag"))
+        texts = self.keyed.join(of, self.keyed["id"].eqNullSafe(F.col("__id")) & (self.keyed["tag"] == F.col("__tag"))).select("class", "text")
+        return written(texts.mapInArrow(_sets(self.size), "class bigint, hashes binary").groupBy("class").agg(F.first("hashes").alias("hashes")), "sets")
+
+    def descend(self, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Follow the paths below large nodes: the first small node of every path, and what is still large at the end."""
+        rows = large.select("node", "class").join(self.classes.select("class", "tokens"), "class").select("node", "class", "tokens")
+        paths = written(rows.mapInArrow(_paths(LEVELS), "level int, parent bigint, node bigint, class bigint"), "paths")
+        sizes = written(paths.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+        big = sizes.where(F.col("size") > self.node)
+        below = paths.where("level = 1").unionByName(paths.where("level > 1").join(big.select(F.col("node").alias("parent")), "parent", "left_semi").select(paths.columns))
+        small = below.join(sizes.where(F.col("size") <= self.node), "node").select("node", "class")
+        stuck = written(below.where(F.col("level") == LEVELS).join(big, "node").select("node", "class", "size"), "stuck")
+        return small, stuck
+
+    def blocks(self, stuck: DataFrame) -> DataFrame:
+        """Large nodes cut into blocks by chance, the same pivot in all blocks of a node."""
+        number = F.ceil(F.col("size") / (self.node // 2))
+        pivots = stuck.groupBy("node").agg(F.min_by("class", F.xxhash64("class", "node")).alias("class"), F.first("size").alias("size"))
+        pivots = pivots.select("node", "class", F.explode(F.sequence(F.lit(0).cast("bigint"), number - 1)).alias("block"))
+        rows = stuck.select("node", "class", F.pmod(F.xxhash64("class", "node", F.lit(7)), number).alias("block"))
+        return rows.unionByName(pivots).distinct().select(F.xxhash64("node", "block").alias("node"), "class")
+
+    def open_nodes(self, stuck: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of large nodes that are not yet one component: cells for those with few stragglers, and the others."""
+        roots = connected(self.links)
+        marked = written(stuck.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("node", "class", "size", F.coalesce("root", "class").alias("root")), "marked")
+        parts = marked.groupBy("node", "root").agg(F.count(F.lit(1)).alias("part"), F.first("size").alias("size"))
+        main = parts.groupBy("node").agg(F.max_by("root", F.struct("part", "root")).alias("main"), (F.first("size") - F.max("part")).alias("rest"))
+        rows = written(marked.join(main.where("rest > 0"), "node"), "open")
+        half, number = self.node // 2, F.ceil(F.col("size") / (self.node // 2))
+        few = rows.where(F.col("rest") <= half)
+        body = few.where("root = main").select("node", "class", F.pmod(F.xxhash64("class", F.lit(11)), number).alias("block"))
+        rest = few.where("root <> main").select("node", "class", F.explode(F.sequence(F.lit(0).cast("bigint"), number - 1)).alias("block"))
+        cells = body.unionByName(rest).select(F.xxhash64("node", "block").alias("node"), "class")
+        return cells, rows.where(F.col("rest") > half).select("node", "class", "size")
 
 
 def _roots(classes: DataFrame, trees: int) -> DataFrame:
@@ -246,11 +303,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     classes = members.where("n > 0").groupBy("d1", "d2").agg(
         F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.min(F.struct("id", "tag")).alias("of"), F.min("id").alias("least"))
     classes = written(classes.select(F.monotonically_increasing_id().alias("class"), "d1", "d2", "n", "tokens", "of.id", "of.tag", "least"), "classes")
-    join = _Join(keyed, classes, shingle, threshold)
-    small, large = _sized(_roots(classes, trees), node)
-    join.compare(small)
-    while not large.isEmpty():
-        large = _resolve(join, large, node)
+    join = _Join(keyed, classes, shingle, threshold, node)
+    cells, large = _sized(_roots(classes, trees), node)
+    while True:
+        small, stuck = join.descend(large)
+        join.compare(cells.unionByName(small).unionByName(join.blocks(stuck)), stuck)
+        if stuck.isEmpty():
+            break
+        cells, large = join.open_nodes(stuck)
+        if cells.isEmpty() and large.isEmpty():
+            break
     roots = connected(join.links)
     named = classes.join(roots, classes["class"] == roots["node"], "left").select("d1", "d2", "least", F.coalesce("root", "class").alias("group"))
     least = named.groupBy("group").agg(F.min("least").alias("component_id"))
@@ -259,35 +321,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return rows.select("id", "tag", F.col("n").alias("n_shingles"), "group", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
-def _resolve(join: _Join, large: DataFrame, node: int) -> DataFrame:
-    """One level of the large nodes; gives back the nodes that are still large."""
-    half = node // 2
-    # blocks of the node, each with the pivot, hold the class and its nearest by chance
-    pivots = large.groupBy("node").agg(F.min_by("class", F.xxhash64("class", "node")).alias("pivot"), F.first("size").alias("size"))
-    block = F.pmod(F.xxhash64("class", "node", F.lit(7)), F.ceil(F.col("size") / half))
-    cells = large.select(F.col("node").alias("of"), "class", block.alias("block"))
-    pivot = pivots.select(F.col("node").alias("of"), F.col("pivot").alias("class"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("size") / half) - 1)).alias("block"))
-    join.compare(cells.unionByName(pivot).distinct().select(F.xxhash64("of", "block").alias("node"), "class"))
-    # what is connected by now
-    roots = connected(join.links)
-    marked = large.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("node", "class", "size", F.coalesce("root", "class").alias("root"))
-    marked = written(marked, "marked")
-    parts = marked.groupBy("node", "root").agg(F.count(F.lit(1)).alias("part"), F.first("size").alias("size"))
-    main = parts.groupBy("node").agg(F.max_by("root", F.struct("part", "root")).alias("main"), (F.first("size") - F.max("part")).alias("rest"))
-    main = main.where("rest > 0")
-    open_ = written(marked.join(main, "node"), "open")
-    # few stragglers: they meet every block of the main part
-    few = open_.where(F.col("rest") <= half)
-    count = F.ceil(F.col("size") / half)
-    body = few.where("root = main").select(F.col("node").alias("of"), "class", F.pmod(F.xxhash64("class", F.lit(11)), count).alias("block"))
-    rest = few.where("root <> main").select(F.col("node").alias("of"), "class", F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1)).alias("block"))
-    cells = body.unionByName(rest).select(F.xxhash64("of", "block").alias("node"), "class")
-    # many: branch
-    small, larger = _sized(join.branch(open_.where(F.col("rest") > half).select("node", "class")), node)
-    join.compare(cells.unionByName(small))
-    return larger
-
-
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """One document of every group, the one with the least id (null ids last), in the columns of ``docs``.
 
