@@ -97,7 +97,7 @@ def log_scores(block: Block, totals: np.ndarray, n_all: int, backoff: float = BA
     missed[at] = False
     score[missed] += np.log(backoff)
     score[at] = np.log(two[seen] / one[at - 1])
-    return np.bincount(text_of, weights=score, minlength=n)
+    return np.bincount(text_of, weights=score, minlength=n).astype(float)
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
