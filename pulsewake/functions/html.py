@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from pulsewake.functions.let import let
-from pulsewake.functions.text import empty_to_null, language_code, strip_tags
+from pulsewake.functions.text import empty_to_null, language_code, strip_tags, unescape
 from pulsewake.functions.times import parse_wall_time
 from pulsewake.functions.urls import absolute_url, full_domain, registrable_domain
 
@@ -57,9 +57,10 @@ DATE_CLASSES = "pubdate|timestamp|article_date|articledate|date"
 
 
 def attribute(tag: Column, name: str) -> Column:
-    """Value of a quoted attribute, null when the tag has none."""
-    pattern = rf"""(?is)[\s"']{name}\s*=\s*(?:"([^"]*)"|'([^']*)')"""
-    return F.when(tag.rlike(pattern), F.concat(F.regexp_extract(tag, pattern, 1), F.regexp_extract(tag, pattern, 2)))
+    """Value of an attribute as written, quoted or not; null when the tag has none."""
+    pattern = rf"""(?is)[\s"']{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>=`][^\s"'<>`]*))"""
+    value = F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
+    return F.when(tag.rlike(pattern), value)
 
 
 def tags(html: Column, name: str) -> Column:
@@ -79,25 +80,29 @@ def first_element(html: Column, name: str) -> Column:
 def meta_content(html: Column, attr: str, value: str) -> Column:
     """``content`` of the first meta tag whose ``attr`` equals ``value``."""
     hits = F.filter(tags(html, "meta"), lambda t: F.lower(attribute(t, attr)) == value)
-    return empty_to_null(attribute(F.get(hits, F.lit(0)), "content"))
+    return unescape(empty_to_null(attribute(F.get(hits, F.lit(0)), "content")))
 
 
 def page_title(html: Column) -> Column:
-    return F.trim(first_element(html, "title"))
+    return F.trim(unescape(first_element(html, "title")))
 
 
 # -- article checks -----------------------------------------------------------------------------------
 
 
 def og_type(html: Column) -> Column:
-    """A meta tag says ``og:type`` is ``article``, attributes in either order."""
-    q = "[\"']"
-    pattern = f"property={q}og:type{q}.*content={q}article{q}|content={q}article{q}.*property={q}og:type{q}"
-    return F.exists(tags(html, "meta"), lambda t: t.rlike(pattern))
+    """A meta tag declares the page to be an article."""
+    return F.exists(tags(html, "meta"), lambda t: F.coalesce((attribute(t, "property") == "og:type") & (attribute(t, "content") == "article"), F.lit(False)))
+
+
+def attribute_values(tag: Column) -> Column:
+    """The quoted values of a tag."""
+    return F.regexp_extract_all(tag, F.lit(r"""(?s)=\s*("[^"]*"|'[^']*')"""), F.lit(1))
 
 
 def meta_contains_article_keyword(html: Column) -> Column:
-    return F.exists(tags(html, "meta"), lambda t: t.rlike(r"""= ?["'][^"']*article[^"']*["']"""))
+    """A meta tag has a value with the word in it."""
+    return F.exists(tags(html, "meta"), lambda t: F.exists(attribute_values(t), lambda v: F.contains(v, F.lit("article"))))
 
 
 def headlines(html: Column) -> Column:
@@ -114,22 +119,21 @@ def linked_headline_ratio(html: Column, minimum: int = 5, site_url: Column | Non
     if site_url is None:
         linked = F.filter(found, lambda h: F.contains(h, F.lit("href")))
     else:
-        own = F.regexp_replace(registrable_domain(site_url), r"\.", r"\\.")
-        pattern = F.concat(F.lit("""href=["'][^/]*//([^"']*\\.|)"""), own, F.lit("""["'/]"""))
-        linked = F.filter(found, lambda h: F.regexp_like(h, pattern))
+        own = registrable_domain(site_url)
+        linked = F.filter(found, lambda h: F.exists(link_targets(h), lambda target: target.contains("//") & (registrable_domain(target) == own)))
     return F.when(F.size(found) >= minimum, F.size(linked) / F.size(found))
 
 
 def is_not_from_subdomain(url: Column, site_url: Column) -> Column:
-    root = F.regexp_replace(site_url, "https?://[a-z]+.", "")
-    return full_domain(url) == root
+    """The page lies on the very domain of its site, ``www.`` or not, whatever path the site's address has."""
+    return full_domain(url) == full_domain(site_url)
 
 
 # -- links --------------------------------------------------------------------------------------------
 
 
 def link_targets(html: Column) -> Column:
-    return F.filter(F.transform(tags(html, "a"), lambda t: attribute(t, "href")), lambda h: h.isNotNull())
+    return F.filter(F.transform(tags(html, "a"), lambda t: unescape(attribute(t, "href"))), lambda h: h.isNotNull())
 
 
 def feed_url(html: Column, page_url: Column) -> Column:
@@ -247,7 +251,7 @@ def publish_date(html: Column, url: Column) -> Column:
 def longest_article(html: Column) -> Column:
     """Text of the longest ``<article>``, blanks collapsed; the first in text order on a tie."""
     texts = F.transform(
-        element_texts(html, "article"), lambda a: F.trim(F.regexp_replace(F.regexp_replace(a, "<[^>]*>", ""), r"\s+", " "))
+        element_texts(html, "article"), lambda a: F.trim(F.regexp_replace(unescape(F.regexp_replace(a, "<[^>]*>", "")), r"\s+", " "))
     )
     best = F.array_max(F.transform(texts, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))
     return best["t"]

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, functions as F
 
+from pulsewake.functions.let import let
+
 # Texts that stand for "no value".
 NULL_MARKERS = ["", "NULL", "None", "[]"]
 
@@ -25,9 +29,33 @@ def empty_to_null(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
+def unescape(text: Column) -> Column:
+    """Character references (``&lt;``, ``&eacute;``, ``&#9731;``, ``&#x2603;``) as the characters they stand for.
+
+    Unknown ones stay. The ampersand's own come last, so what they make is not read again.
+    """
+    pairs = "\x01".join(f"{name}\x02{chr(code)}" for name, code in name2codepoint.items() if name != "amp")
+    named = F.str_to_map(F.lit(pairs), F.lit("\x01"), F.lit("\x02"))  # one literal: a map of 252 keys is a slow plan
+
+    def character(reference: Column) -> Column:
+        hexadecimal = F.regexp_extract(reference, "^#[xX]([0-9a-fA-F]{1,6})$", 1)
+        decimal = F.regexp_extract(reference, "^#([0-9]{1,7})$", 1)
+        code = F.when(hexadecimal != "", F.conv(hexadecimal, 16, 10)).when(decimal != "", decimal).cast("int")
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF) & (code != 38)
+        return F.coalesce(F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")), F.try_element_at(named, reference))
+
+    def replaced(whole: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(whole, F.lit("&(#?[0-9a-zA-Z]{2,31});"), F.lit(1)))
+        known = F.filter(F.transform(found, lambda r: F.struct(F.concat(F.lit("&"), r, F.lit(";")).alias("from"), character(r).alias("to"))), lambda p: p["to"].isNotNull())
+        plain = F.aggregate(known, whole, lambda done, pair: F.replace(done, pair["from"], pair["to"]))
+        return F.regexp_replace(plain, "&(amp|#38|#[xX]26);", "&")
+
+    return let(text, lambda whole: F.when(F.contains(whole, F.lit("&")), replaced(whole)).otherwise(whole))
+
+
 def strip_tags(text: Column) -> Column:
-    """Everything between ``<`` and ``>`` goes; outer blanks are trimmed."""
-    return F.trim(F.regexp_replace(text, "<[^>]*>", ""))
+    """Everything between ``<`` and ``>`` goes, character references are read; outer blanks are trimmed."""
+    return F.trim(unescape(F.regexp_replace(text, "<[^>]*>", "")))
 
 
 def clean_whitespace(text: Column) -> Column:

@@ -44,9 +44,11 @@ def build_corpus(df: DataFrame, languages: Sequence[str] = ("en",), keywords: st
     keyed = lambda rows: rows.withColumn("_key", F.md5(F.to_json(F.struct(*ARTICLE_KEYS))))
     firsts = keyed(df).groupBy("_key").agg(F.min("url").alias("url"))
     passing = keyed(df.transform(rel.in_languages(languages)).transform(rel.matches_any(keywords)))
-    kept = passing.select("_key", *schemas.CORPUS_COLUMNS).join(firsts, ["_key", "url"], "left_semi")
-    # the same article may be stored twice under one address
-    return rel.keep_first(kept, ["_key"], ["maintext"]).transform(rel.corpus_columns)
+    first = firsts.select(F.col("_key").alias("_first_key"), F.col("url").alias("_first_url"))
+    same = (F.col("_key") == F.col("_first_key")) & F.col("url").eqNullSafe(F.col("_first_url"))
+    kept = passing.select("_key", *schemas.CORPUS_COLUMNS).join(first, same, "left_semi")
+    # the same article may be stored twice under one address, and its text may be missing
+    return rel.keep_first(kept.withColumn("_text", F.coalesce("maintext", F.lit(""))), ["_key"], ["_text"]).transform(rel.corpus_columns)
 
 
 def corpus_counts(before: DataFrame, after: DataFrame) -> DataFrame:

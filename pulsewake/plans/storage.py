@@ -123,26 +123,33 @@ def s09(spark, sf):
     return readers.read_table(spark, "parquet", {}, columns=["src", "dst", "weight"], path=path)
 
 
-@query("s10_vertex_scan", "SELECT c_name AS screen_name, CAST(c_custkey AS VARCHAR) AS id, c_mktsegment AS description, CAST(c_acctbal AS INT) AS followers_count FROM customer WHERE c_acctbal = floor(c_acctbal)")
+@query("s10_vertex_scan", "SELECT c_name AS screen_name, CAST(c_custkey AS VARCHAR) AS id, c_mktsegment AS description, CAST(floor(c_acctbal) AS INT) AS followers_count FROM customer")
 def s10(spark, sf):
-    whole = "c_acctbal = floor(c_acctbal)"
-    return readers.read_table(spark, "parquet", {}, whole, path=f"{sf}/customer.parquet").selectExpr(
-        "c_name AS screen_name", "CAST(c_custkey AS STRING) AS id", "c_mktsegment AS description", "CAST(c_acctbal AS INT) AS followers_count"
+    return readers.read_table(spark, "parquet", {}, path=f"{sf}/customer.parquet").selectExpr(
+        "c_name AS screen_name", "CAST(c_custkey AS STRING) AS id", "c_mktsegment AS description", "CAST(floor(c_acctbal) AS INT) AS followers_count"
     )
 
 
 def archive_file(spark, sf, pages=None):
-    """Pages as an archive: a request record and a response record per page."""
+    """Pages as archive files: a request and a response for each, in both versions of the format and in three charsets."""
     path = scratch_path(spark, "archive")
-    head = "WARC/1.0\r\nWARC-Type: {}\r\nWARC-Target-URI: "
-    line = lambda kind: F.concat(
-        F.lit(head.format(kind)), "url", F.lit("\r\nWARC-Date: 2024-02-03T04:05:06Z\r\nContent-Type: application/http\r\n\r\n"),
-        F.lit("GET / HTTP/1.1\r\nHost: x\r\n\r\n" if kind == "request" else "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n\r\n"),
-        F.col("html") if kind == "response" else F.lit(""),
-    )
     pages = table(spark, sf, "pages") if pages is None else pages
-    records = pages.select(F.explode(F.array(line("request"), line("response"))).alias("value"))
-    records.write.option("lineSep", "\r\n\r\n").text(path)
+    latin = F.col("html").rlike(r"^[\x00-\x7F\xA0-\xFF]*$")
+    k = F.col("page_id") % 3
+    name = F.when((k == 0) & latin, "windows-1252").when(k == 1, "utf-8").otherwise("utf-16le")
+    body = F.when(name == "windows-1252", F.encode("html", "ISO-8859-1")).when(name == "utf-8", F.encode("html", "UTF-8")).otherwise(F.encode("html", "UTF-16LE"))
+
+    def record(kind, http, content):
+        block = F.concat(F.encode(http, "UTF-8"), content)
+        head = F.concat(
+            F.format_string("WARC/1.%d\r\nWARC-Type: " + kind + "\r\nWARC-Target-URI: ", F.col("page_id") % 2), "url",
+            F.lit("\r\nWARC-Date: 2024-02-03T04:05:06Z\r\nContent-Type: application/http\r\nContent-Length: "), F.length(block).cast("string"), F.lit("\r\n\r\n"))
+        return F.concat(F.encode(head, "UTF-8"), block, F.encode(F.lit("\r\n\r\n"), "UTF-8"))
+
+    answer = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset="), name, F.lit("\r\n\r\n"))
+    both = F.concat(record("request", F.lit("GET / HTTP/1.1\r\nHost: x\r\n\r\n"), F.encode(F.lit(""), "UTF-8")), record("response", answer, body))
+    # the text writer puts out the bytes of a value as they are
+    pages.select(both.cast("string").alias("value")).write.option("lineSep", "\r\n").text(path)
     return path
 
 
@@ -265,7 +272,7 @@ def k03(spark, sf):
 @query("k04_single_csv", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def k04(spark, sf):
     path = scratch_path(spark, "result")
-    sinks.write_result_csv(table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n")).orderBy("event_type"), path)
+    sinks.write_result_csv(table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n")).orderBy("event_type"), path, single_file=True)
     return spark.read.schema("event_type string, n bigint").csv(path, header=True)
 
 

@@ -16,10 +16,22 @@ from pulsewake.plans.storage import archive_file
 from pulsewake.sources import archive
 
 
+def _read(e: str) -> str:
+    """The character references that the pages hold, in SQL."""
+    for name, sign in [("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")]:
+        e = f"replace({e}, '&{name};', '{sign}')"
+    return e
+
+
+def _bare(e: str) -> str:
+    """Text without tags in SQL."""
+    stripped = f"regexp_replace({e}, '<[^>]*>', '', 'g')"
+    return f"trim({_read(stripped)})"
+
+
 def _clean(e: str) -> str:
     """The cleaning rules in SQL."""
-    e = f"trim(regexp_replace({e}, '<[^>]*>', '', 'g'))"
-    return _blank(e)
+    return _blank(_bare(e))
 
 
 def _blank(e: str) -> str:
@@ -100,7 +112,7 @@ def x14(spark, sf):
     return rel.clean_nulls(table(spark, sf, "events").select("event_id", marked.alias("v")), ["v"])
 
 
-@query("x15_strip_tags", "SELECT page_id, md5(trim(regexp_replace(html, '<[^>]*>', '', 'g'))) AS v FROM pages")
+@query("x15_strip_tags", f"SELECT page_id, md5({_bare('html')}) AS v FROM pages")
 def x15(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.md5(tx.strip_tags(F.col("html"))).alias("v"))
 
@@ -259,21 +271,25 @@ def e09(spark, sf):
     return given(spark, sf, "rich").select("page_id", h.page_language(html).alias("lang"))
 
 
-@query("e17_page_item", cte("rich") + f"SELECT page_id, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS html_title, TIMESTAMP '2024-02-03 04:05:06' AS download_date, {_DOM} AS source_domain FROM rich")
+_TITLE = f"trim({_read(chr(39).join(['regexp_extract(html, ', '(?is)<title>(.*?)</title>', ', 1)']))})"
+
+
+@query("e17_page_item", cte("rich") + f"SELECT page_id, {_TITLE} AS html_title, TIMESTAMP '2024-02-03 04:05:06' AS download_date, {_DOM} AS source_domain FROM rich")
 def e17(spark, sf):
     stamp = F.lit("2024-02-03 04:05:06").cast("timestamp_ntz")
     return art.page_items(given(spark, sf, "rich"), stamp).select("page_id", "html_title", "download_date", "source_domain")
 
 
-@query("w07_longest_article", """WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<article\\b[^>]*>(.*?)</article>', 1)) AS a FROM pages),
-  t AS (SELECT page_id, trim(regexp_replace(regexp_replace(a, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')) AS t FROM a) SELECT page_id, md5(arg_max(t, (length(t), t))) AS v FROM t GROUP BY 1
+@query("w07_longest_article", f"""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<article\\b[^>]*>(.*?)</article>', 1)) AS a FROM pages),
+  t AS (SELECT page_id, trim(regexp_replace({_bare('a')}, '\\s+', ' ', 'g')) AS t FROM a) SELECT page_id, md5(arg_max(t, (length(t), t))) AS v FROM t GROUP BY 1
   UNION ALL SELECT page_id, NULL FROM pages WHERE NOT regexp_matches(html, '(?is)<article\\b[^>]*>(.*?)</article>')""")
 def w07(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.md5(h.longest_article(F.col("html"))).alias("v"))
 
 
 _ROOT = "regexp_extract(url, '^[a-z]+://[^/?#]*', 0)"
-_LINKS = cte("rich") + """, l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*href="([^"]*)"', 1)) AS href FROM rich)"""
+_LINKS = cte("rich") + f""", h AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*href="([^"]*)"', 1)) AS raw FROM rich),
+  l AS (SELECT page_id, url, {_read('raw')} AS href FROM h)"""
 _ABS = f"""CASE WHEN regexp_matches(href, '^[a-z]+:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^[a-z]+:', 0) || href WHEN starts_with(href, '/') THEN {_ROOT} || href
   WHEN starts_with(href, '?') THEN regexp_replace(url, '[?#].*$', '') || href ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || href END"""
 
@@ -308,12 +324,12 @@ def x33(spark, sf):
 # -- candidates ---------------------------------------------------------------------------------------
 
 
-@query("e10_candidates", cte("rich") + """, c AS (
-  SELECT page_id, 0 AS ord, 'head' AS extractor, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS title, CASE WHEN page_id % 7 = 3 THEN 'An article about &lt;things&gt;' END AS description, NULL AS body,
+@query("e10_candidates", cte("rich") + f""", c AS (
+  SELECT page_id, 0 AS ord, 'head' AS extractor, {_TITLE} AS title, CASE WHEN page_id % 7 = 3 THEN 'An article about <things>' END AS description, NULL AS body,
          CASE page_id % 7 WHEN 3 THEN '/img/2015/11/26/a.jpg' WHEN 5 THEN 'http://img.example.com/b.png' END AS topimage, CASE WHEN page_id % 7 = 0 THEN 'A. Writer' END AS author FROM rich
   UNION ALL SELECT page_id, 1, 'body', regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1), NULL, md5(nullif(regexp_extract(html, '(?is)<article\\b[^>]*>(.*?)</article>', 1), '')), CASE WHEN page_id % 4 = 2 THEN 'pics/1.png' END, NULL FROM rich
   UNION ALL SELECT page_id, 2, 'paragraphs', regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1), NULL,
-    md5(array_to_string(list_transform(regexp_extract_all(html, '(?is)<p\\b[^>]*>(.*?)</p>', 1), lambda p: trim(regexp_replace(p, '<[^>]*>', '', 'g'))), chr(10))), NULL, NULL FROM rich)
+    md5(array_to_string(list_transform(regexp_extract_all(html, '(?is)<p\\b[^>]*>(.*?)</p>', 1), lambda p: {_bare('p')}), chr(10))), NULL, NULL FROM rich)
   SELECT page_id, CAST(ord AS INT) AS ord, extractor, title, description, body, topimage, author FROM c""")
 def e10(spark, sf):
     rows = cand.to_rows(cand.extract(given(spark, sf, "rich"), ["head", "body", "paragraphs"]), "page_id")
@@ -403,7 +419,7 @@ def a19(spark, sf):
 
 _H1 = "regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1)"
 _ARTICLE = cte("rich") + f""", a AS (SELECT page_id, url, {_DOM} AS source_domain, {_clean(_H1)} AS title, {_clean("nullif(regexp_extract(html, '(?is)<article.[^>]*>(.*?)</article>', 1), '')").replace('article.[', 'article' + chr(92) + 'b[')} AS body,
-   {_clean("array_to_string(list_transform(regexp_extract_all(html, '(?is)<p.[^>]*>(.*?)</p>', 1), lambda p: trim(regexp_replace(p, '<[^>]*>', '', 'g'))), chr(10))").replace('<p.[', '<p' + chr(92) + 'b[')} AS paras FROM rich)
+   {_clean("array_to_string(list_transform(regexp_extract_all(html, '(?is)<p.[^>]*>(.*?)</p>', 1), lambda p: " + _bare('p') + "), chr(10))").replace('<p.[', '<p' + chr(92) + 'b[')} AS paras FROM rich)
 """
 
 
@@ -429,7 +445,7 @@ def c03(spark, sf):
 
 @query("c04_candidate_merge", _ARTICLE + """, w AS (SELECT *, len(list_filter(regexp_split_to_array(body, '\\s+'), lambda x: x <> '')) AS nb, len(list_filter(regexp_split_to_array(paras, '\\s+'), lambda x: x <> '')) AS np FROM a)
   SELECT w.page_id, nullif(title, '') AS title, md5(CASE WHEN nb >= 15 THEN body WHEN np >= 15 THEN paras END) AS body,
-    CASE WHEN w.page_id % 7 = 3 THEN 'An article about &lt;things&gt;' END AS description, CASE WHEN w.page_id % 7 = 0 THEN 'A. Writer' END AS author,
+    CASE WHEN w.page_id % 7 = 3 THEN 'An article about' END AS description, CASE WHEN w.page_id % 7 = 0 THEN 'A. Writer' END AS author,
     regexp_extract(html, '<html lang="([a-z]+)', 1) AS language FROM w JOIN rich USING (page_id)""")
 def c04(spark, sf):
     offered = cand.extract(given(spark, sf, "rich"), ["head", "body", "paragraphs"])

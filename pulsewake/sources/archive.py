@@ -1,18 +1,25 @@
-"""Web-archive files: listing, records and payload decoding."""
+"""Web-archive files: listing, records and payload decoding.
+
+Spark lists the files and deals them out; each task reads its files as streams, record by record. A record ends where its
+declared length says, so a page may hold anything, and no more than one record is in memory.
+"""
 
 from __future__ import annotations
 
+import codecs
+import gzip
+import io
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# Charset names that the built-in decoder knows, by the name it uses.
-BUILT_IN_CHARSETS = {
-    "UTF-8": ["utf-8", "utf8"],
-    "US-ASCII": ["us-ascii", "ascii"],
-    "ISO-8859-1": ["iso-8859-1", "latin-1", "latin1"],
-    "UTF-16": ["utf-16"],
-    "UTF-16BE": ["utf-16be"],
-    "UTF-16LE": ["utf-16le"],
-}
+RECORD_SCHEMA = ("record_type string, url string, download_date string, http_status int, content_type string, payload binary, "
+                 "is_complete boolean, file string")
+BATCH_BYTES = 8 << 20
 
 # Fixed value: time stamp inside an archive file name.
 FILE_STAMP = r"-(\d{14})-"
@@ -39,48 +46,78 @@ def list_archive_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", "length", F.col("modificationTime").cast("timestamp_ntz").alias("modified"))
 
 
+def _records(file) -> Iterator[tuple[dict[str, str], bytes, bool]]:
+    """Headers (names in lower case), content, and whether the content has its declared length."""
+    while line := file.readline():
+        if not line.startswith(b"WARC/"):  # blank lines between records, or the rest of a record that was too long
+            continue
+        headers: dict[str, str] = {}
+        while (line := file.readline()).strip():
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            headers[name.strip().lower()] = value.strip()
+        if "content-length" in headers:
+            length = int(headers["content-length"])
+            content = file.read(length)
+            yield headers, content, len(content) == length
+        else:
+            yield headers, b"", False
+
+
+def _fields(headers: dict[str, str], content: bytes) -> dict:
+    """One row of the record table."""
+    row = {"record_type": headers.get("warc-type"), "url": headers.get("warc-target-uri"), "download_date": headers.get("warc-date"),
+           "http_status": None, "content_type": headers.get("content-type"), "payload": content}
+    if content.startswith(b"HTTP/"):
+        head, _, row["payload"] = content.partition(b"\r\n\r\n")
+        status = re.match(rb"HTTP/\S+ (\d{3})\b", head)
+        kind = re.search(rb"(?im)^content-type:[ \t]*([^\r\n]*)", head)
+        row["http_status"] = int(status[1]) if status else None
+        row["content_type"] = (kind[1].strip().decode("latin-1") or None) if kind else None
+    return row
+
+
+def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = {"string": pa.string(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in RECORD_SCHEMA.split(", ")])
+    rows, held = [], 0
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            store, name = fs.FileSystem.from_uri(path)
+            with store.open_input_file(name) as raw:
+                packed = raw.read(2) == b"\x1f\x8b"
+                raw.seek(0)
+                for headers, content, whole in _records(io.BufferedReader(gzip.GzipFile(fileobj=raw) if packed else raw, 1 << 18)):
+                    rows.append({**_fields(headers, content), "is_complete": whole, "file": path})
+                    held += 200 + len(content)
+                    if held > BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                        rows, held = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Archive records as ``(record_type, url, download_date, http_status, content_type, payload, is_complete)``.
+    """Archive records as ``(record_type, url, download_date, http_status, content_type, payload, is_complete, file)``.
 
-    The text source splits the (also gzipped) files at the record mark, so an archive is never held as
-    one value; the payload keeps its bytes. The mark is the bare version line: a mark that begins like
-    its own middle (blank lines first) is missed where it straddles a read buffer. A page that holds the
-    mark itself is cut there, which ``is_complete`` shows by the declared length (null when undeclared).
+    Plain or gzipped files, of any version. A record whose file ends before its declared length, or that declares none, is not
+    ``is_complete``.
     """
-    raw = spark.read.option("lineSep", "WARC/1.0\r\n").text(path).select(F.col("value").cast("binary").alias("record"))
-    # Latin-1 maps each byte to one character: positions in the text are positions in the bytes
-    text = raw.select(F.regexp_replace(F.decode("record", "ISO-8859-1"), r"\r\n\r\n\z", "").alias("text"))
-    split = text.select(
-        F.substring_index("text", "\r\n\r\n", 1).alias("warc"),
-        F.expr("substring(text, length(substring_index(text, '\r\n\r\n', 1)) + 5)").alias("rest"),
-    )
-    http = F.substring_index("rest", "\r\n\r\n", 1)
-    body = F.expr("substring(rest, length(substring_index(rest, '\r\n\r\n', 1)) + 5)")
-
-    def header(block: Column, name: str) -> Column:
-        return F.nullif(F.trim(F.regexp_extract(block, rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1)), F.lit(""))
-
-    fields = split.select("warc", http.alias("http"), body.alias("body"), F.length("rest").alias("length"))
-    declared = header(F.col("warc"), "Content-Length").try_cast("bigint")
-    record = F.struct(
-        header(F.col("warc"), "WARC-Type").alias("record_type"),
-        header(F.col("warc"), "WARC-Target-URI").alias("url"),
-        header(F.col("warc"), "WARC-Date").alias("download_date"),
-        F.try_to_number(F.nullif(F.regexp_extract("http", r"^HTTP/\S+ (\d+)", 1), F.lit("")), F.lit("999")).cast("int").alias("http_status"),
-        header(F.col("http"), "Content-Type").alias("content_type"),
-        F.encode("body", "ISO-8859-1").alias("payload"),
-        (F.col("length") == declared).alias("is_complete"),
-    )
-    # a generator is evaluated once per record; later filters would otherwise repeat the parsing above
-    return fields.select(F.inline(F.filter(F.array(record), lambda r: r["record_type"].isNotNull())))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where("length > 0").select("path")
+    return records_of(files)
+
+
+def records_of(files: DataFrame, path: str = "path") -> DataFrame:
+    """The records of a table of file addresses; every file goes to a task of its own choice by hash."""
+    spread = files.select(F.col(path).alias("path")).repartition("path")
+    return spread.mapInArrow(_read_files, RECORD_SCHEMA)
 
 
 def declared_charset(content_type: Column, payload: Column) -> Column:
     """Charset of the header, else of the page itself."""
-    head = F.decode(F.substring(payload, 1, 2048), "ISO-8859-1")
+    text = F.decode(payload, "ISO-8859-1")
     return F.lower(F.coalesce(
         F.nullif(F.regexp_extract(content_type, r"(?i)charset=[\"']?([\w-]+)", 1), F.lit("")),
-        F.nullif(F.regexp_extract(head, r"(?i)<meta[^>]*charset=[\"']?([\w-]+)", 1), F.lit("")),
+        F.nullif(F.regexp_extract(text, r"(?i)<meta[^>]*charset=[\"']?([\w-]+)", 1), F.lit("")),
     ))
 
 
@@ -88,22 +125,63 @@ def is_valid_utf8(payload: Column) -> Column:
     return F.is_valid_utf8(payload.cast("string"))
 
 
-def decode_payload(payload: Column, charset: Column) -> Column:
-    """Bytes to text: the declared charset when the decoder knows it, else UTF-8; null when neither fits."""
-    utf8 = F.when(is_valid_utf8(payload), F.decode(payload, "UTF-8"))
-    known = F.lit(None).cast("string")
-    for name, aliases in BUILT_IN_CHARSETS.items():
-        if name != "UTF-8":
-            known = F.when(charset.isin(aliases), F.try_validate_utf8(F.decode(payload, name))).otherwise(known)
-    return F.coalesce(known, utf8)
-
-
-def decoded_pages(records: DataFrame) -> DataFrame:
-    """Response records with decodable, non-empty payload as ``html``."""
-    wanted = F.length("payload") > 0
-    if "record_type" in records.columns:
-        wanted = wanted & (F.col("record_type") == "response")
-    charset = declared_charset(F.col("content_type"), F.col("payload"))
-    text = F.array(decode_payload(F.col("payload"), charset))
-    kept = [c for c in records.columns if c != "payload"]
-    return records.where(wanted).select(*kept, F.explode(F.filter(text, lambda t: F.length(t) > 0)).alias("html"))
+UTF8_NAMES = ["utf-8", "utf8"]
+
+
+def _decoder(errors: str):
+    @F.pandas_udf("string")
+    def decoded(payload: pd.Series, charset: pd.Series) -> pd.Series:
+        out = []
+        for data, name in zip(payload, charset):
+            text = None
+            if data is not None:
+                for known in (name, "utf-8"):
+                    try:
+                        codecs.lookup(known or "utf-8")
+                        text = bytes(data).decode(known or "utf-8", errors)
+                        break
+                    except (LookupError, UnicodeDecodeError, ValueError):
+                        continue
+            out.append(text)
+        return pd.Series(out, dtype=object)
+
+    return decoded
+
+
+def decode_payload(payload: Column, charset: Column, errors: str = "strict") -> Column:
+    """Bytes to text: by the declared charset, else as UTF-8.
+
+    ``errors`` is ``"strict"`` (null when neither fits) or ``"replace"`` (what doesn't fit becomes the replacement sign).
+    Valid UTF-8 that is declared so or not at all is decoded by Spark; only other rows go through Python.
+    """
+    if errors not in ("strict", "replace"):
+        raise ValueError(f"errors is strict or replace, not {errors}")
+    plain = F.coalesce(charset.isin(UTF8_NAMES), F.lit(True)) & is_valid_utf8(payload)
+    other = _decoder(errors)(F.when(~plain, payload), charset)
+    return F.when(plain, F.decode(payload, "UTF-8")).otherwise(other)
+
+
+def decoded_pages(records: DataFrame, errors: str = "strict") -> DataFrame:
+    """Complete response records with decodable, non-empty payload as ``html``; :func:`discarded_records` counts the others."""
+    pages = _with_text(records, errors)
+    return pages.where(_is_usable(pages)).drop("payload", "is_complete")
+
+
+def discarded_records(records: DataFrame, errors: str = "strict") -> DataFrame:
+    """How many response records :func:`decoded_pages` leaves out, by reason."""
+    pages = _with_text(records, errors)
+    reason = F.when(~_complete(pages), "incomplete").when(F.length("payload") == 0, "empty").otherwise("undecodable")
+    return pages.where(~_is_usable(pages)).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
+def _with_text(records: DataFrame, errors: str) -> DataFrame:
+    wanted = records.where(F.col("record_type") == "response") if "record_type" in records.columns else records
+    return wanted.withColumn("html", decode_payload(F.col("payload"), declared_charset(F.col("content_type"), F.col("payload")), errors))
+
+
+def _complete(pages: DataFrame) -> Column:
+    return F.coalesce(F.col("is_complete"), F.lit(False)) if "is_complete" in pages.columns else F.lit(True)
+
+
+def _is_usable(pages: DataFrame) -> Column:
+    return F.coalesce(_complete(pages) & (F.length("html") > 0), F.lit(False))

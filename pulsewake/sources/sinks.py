@@ -36,14 +36,13 @@ def write_table(df: DataFrame, fmt: str, mode: str, options: Mapping[str, str] |
     writer.save(path) if path else writer.save()
 
 
-def write_result_csv(df: DataFrame, path: str, single_file_rows: int = 1_000_000) -> None:
-    """Result CSV with a header: one file while the result is small, else ordered part files.
+def write_result_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
+    """Result CSV with a header, as ordered part files.
 
-    The row count is checked before everything is handed to one writer.
+    ``single_file`` puts the whole result into one file through one writer: for results the caller knows to be small, such
+    as a score per site. The layout never depends on the size.
     """
-    result = cut_lineage(df)
-    if result.limit(single_file_rows + 1).count() <= single_file_rows:
-        result = result.coalesce(1)
+    result = cut_lineage(df).coalesce(1) if single_file else df
     result.write.mode("overwrite").csv(path, header=True)
 
 
@@ -61,9 +60,9 @@ def write_articles_by_domain(articles: DataFrame, path: str, rows_per_file: int
         "file_key": F.concat(sha_key(F.col("url")), F.lit(".json")),
         "escaped_name": json_file_name(F.col("url")),
     })
-    sizes = articles.groupBy("source_domain").agg(F.ceil(F.count("*") / rows_per_file).cast("int").alias("_files"))
-    spread = keyed.join(sizes, "source_domain").withColumn("_slice", F.pmod(F.xxhash64("url"), F.col("_files")))
-    placed = spread.repartition("source_domain", "_slice").drop("_files", "_slice")
+    sizes = articles.groupBy(F.col("source_domain").alias("_domain")).agg(F.ceil(F.count("*") / rows_per_file).cast("int").alias("_files"))
+    spread = keyed.join(sizes, F.col("source_domain").eqNullSafe(F.col("_domain"))).withColumn("_slice", F.pmod(F.xxhash64("url", "file_key"), F.col("_files")))
+    placed = spread.repartition("source_domain", "_slice").drop("_domain", "_files", "_slice")
     placed.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("source_domain").json(path)
 
 

@@ -213,3 +213,23 @@ def test_corpus_keeps_one_of_each_article_and_prefers_no_copy_for_passing(spark)
     df = spark.createDataFrame(rows, "authors array<string>, date_download string, date_publish string, description string, filename string, language string, maintext string, source_domain string, title string, url string")
     # the first copy of "u" is German, so the article is out although a later copy would pass
     assert [r.url for r in art.build_corpus(df).collect()] == ["1"]
+
+
+@pytest.mark.parametrize("text,want", [
+    ("a &amp; b &lt;c&gt; &eacute;&nbsp;&#9731;&#x1F600;", "a & b <c> é\u00a0\u2603\U0001F600"), ("&amp;lt; &#38;gt;", "&lt; &gt;"),
+    ("&nosuch; &#0; &#xD800; & &;", "&nosuch; &#0; &#xD800; & &;"), ("plain", "plain"), (None, None),
+])
+def test_character_references(spark, text, want):
+    assert ask(spark, tx.unescape, text) == want
+
+
+def test_attributes_without_quotes(spark):
+    assert ask(spark, h.link_targets, "<a href=/u>x</a><a class=x href='b?x=1&amp;y=2'>y</a><a href = c/d >") == ["/u", "b?x=1&y=2", "c/d"]
+
+
+@pytest.mark.parametrize("url,site,want", [
+    ("http://example.com/a", "http://example.com", True), ("http://www.faz.net/x", "http://www.faz.net/", True), ("http://m.faz.net/x", "http://www.faz.net/", False),
+    ("https://www.faz.net/x", "http://faz.net/start", True),
+])
+def test_pages_of_the_site_itself(spark, url, site, want):
+    assert ask(spark, h.is_not_from_subdomain, url, site) is want
