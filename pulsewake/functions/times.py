@@ -15,7 +15,7 @@ WALL_TIME_FORMATS = [
     (r"\d{14}", "yyyyMMddHHmmss"),
     (r"\d{12}", "yyyyMMddHHmm"),
     (r"\d{8}", "yyyyMMdd"),
-    (r"\d{2}/\d{2}/\d{4} \d{2}:\d{2}[AP]M", "MM/dd/yyyy hh:mma"),
+    (r"\d{2}/\d{2}/\d{4} \d{2}:\d{2} [AP]M", "MM/dd/yyyy hh:mm a"),
     (r"\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}", "MM/dd/yyyy HH:mm:ss"),
     (r"\d{2}/\d{2}/\d{4}", "MM/dd/yyyy"),
     (r"[A-Z][a-z]+ \d{1,2}, \d{4}, \d{1,2}:\d{2} [AP]M", "MMMM d, yyyy, h:mm a"),
@@ -25,6 +25,14 @@ WALL_TIME_FORMATS = [
     (r"\d{1,2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2}", "d MMM yyyy HH:mm:ss"),
     (r"\d{1,2} [A-Z][a-z]{2} \d{4}", "d MMM yyyy"),
     (r"\d{1,2} [A-Z][a-z]+ \d{4}", "d MMMM yyyy"),
+    (r"\d{4}/\d{1,2}/\d{1,2}", "yyyy/M/d"),
+    (r"\d{4}/\d{1,2}/\d{1,2} \d{2}:\d{2}(?::\d{2})?", "yyyy/M/d HH:mm[:ss]"),
+    (r"[A-Z][a-z]{2} \d{1,2}, \d{4} \d{1,2}:\d{2}(?::\d{2})? [AP]M", "MMM d, yyyy h:mm[:ss] a"),
+    (r"[A-Z][a-z]{2} \d{1,2}, \d{4} \d{2}:\d{2}(?::\d{2})?", "MMM d, yyyy HH:mm[:ss]"),
+    (r"[A-Z][a-z]+ \d{1,2}, \d{4} \d{2}:\d{2}(?::\d{2})?", "MMMM d, yyyy HH:mm[:ss]"),
+    (r"\d{1,2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}", "d MMM yyyy HH:mm"),
+    (r"\d{1,2} [A-Z][a-z]+ \d{4} \d{2}:\d{2}(?::\d{2})?", "d MMMM yyyy HH:mm[:ss]"),
+    (r"\d{1,2}:\d{2}:\d{2} [AP]M [A-Z][a-z]+ \d{1,2}, \d{4}", "h:mm:ss a MMMM d, yyyy"),
 ]
 
 _ZONE_SUFFIX = r"\s*(?:Z|UTC|GMT|[+-]\d{2}:?\d{2})$"
@@ -36,7 +44,7 @@ def parse_post_time(text: Column) -> Column:
 
     The weekday is cut off before parsing: it is redundant, and the parser has no letter for it.
     """
-    return F.try_to_timestamp(F.substring(text, 5, 100), F.lit("MMM d H:mm:ss Z yyyy"))
+    return F.try_to_timestamp(F.substr(text, F.lit(5)), F.lit("MMM d H:mm:ss Z yyyy"))
 
 
 def parse_wall_time(text: Column) -> Column:
@@ -47,6 +55,9 @@ def parse_wall_time(text: Column) -> Column:
     plain = F.regexp_replace(F.trim(text), _WEEKDAY, "")
     plain = F.regexp_replace(plain, r"^(\d{4}-\d{2}-\d{2})T", "$1 ")
     plain = F.regexp_replace(plain, _ZONE_SUFFIX, "")
+    # "Nov. 26" and lower-case marks of the half of the day
+    plain = F.regexp_replace(plain, r"\b([A-Z][a-z]{2})\. ", "$1 ")
+    plain = F.regexp_replace(F.regexp_replace(plain, r"(?i)(\d) ?a\.?m\b\.?", "$1 AM"), r"(?i)(\d) ?p\.?m\b\.?", "$1 PM")
     plain = F.trim(F.regexp_replace(F.regexp_replace(plain, r"(:\d{2})[.,]\d+$", "$1"), r"\s+", " "))
 
     def read(t: Column) -> Column:

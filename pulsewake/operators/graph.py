@@ -60,20 +60,14 @@ def degrees(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
 
 
 def adjacency(edges: DataFrame, part_size: int = 100_000) -> DataFrame:
-    """Unique followees per vertex, sorted, as rows ``(id, part, followees)``.
+    """Unique followees per vertex as rows ``(id, part, followees)``.
 
-    A vertex of up to ``part_size`` followees is one row. A larger one is spread over as many parts as
-    it needs, so no task and no row ever holds a whole hub.
+    The list of a vertex is the lists of its parts 0, 1, … laid end to end, sorted throughout. Every part but the last has
+    ``part_size`` followees, so no task and no row ever holds a whole hub.
     """
-    unique = edges.select("src", "dst").distinct()
-    size = unique.groupBy("src").agg(F.count("*").alias("_n"))
-    parts = F.ceil(F.col("_n") / part_size).cast("int")
-    return (
-        unique.join(size, "src")
-        .withColumn("part", F.pmod(F.xxhash64("dst"), parts).cast("int"))
-        .groupBy(F.col("src").alias("id"), "part")
-        .agg(F.array_sort(F.collect_list("dst")).alias("followees"))
-    )
+    placed = number_in_order(edges.select("src", "dst").distinct(), ["src"], ["dst"], position="_place")
+    part = F.floor((F.col("_place") - 1) / part_size).cast("int")
+    return placed.groupBy(F.col("src").alias("id"), part.alias("part")).agg(F.array_sort(F.collect_list("dst")).alias("followees"))
 
 
 def pagerank(edges: DataFrame, reset: float = 0.15, rounds: int = 1, vertices: DataFrame | None = None) -> DataFrame:
@@ -180,5 +174,5 @@ def closeness(edges: DataFrame, max_depth: int | None = None, block: int = 63) -
 def _number_densely(nodes: DataFrame, buckets: int = 1024) -> DataFrame:
     """Consecutive numbers without one global sort: number inside hash buckets, then add bucket offsets."""
     hashed = nodes.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(buckets)))
-    numbered = number_in_order(hashed, [], ["_b", "id"], F.col("_b"))
+    numbered = number_in_order(hashed, [], ["_b", "id"])
     return numbered.select("id", (F.col("position") - 1).alias("seq"))

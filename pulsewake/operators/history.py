@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from pulsewake.functions.times import bucket_start
 from pulsewake.operators.ordering import number_in_order
 from pulsewake.runtime import cut_lineage
 
 
-def version_history(arrivals: DataFrame, key: str, arrived: str, row_id: str, slice_by: Column | None = None) -> DataFrame:
+def version_history(arrivals: DataFrame, key: str, arrived: str, row_id: str) -> DataFrame:
     """Per key in order of arrival: ``version`` 1, 2, …; ``ancestor`` and ``descendant`` ids (0 when none);
     ``is_current`` on the newest. Ties in time go by id.
 
-    A page with a third of all arrivals is numbered slice by slice (days unless told otherwise).
+    A page with a third of all arrivals is numbered range by range.
     """
-    slices = F.date_trunc("day", F.col(arrived)) if slice_by is None else slice_by
-    ordered = number_in_order(arrivals, [key], [arrived, row_id], slices, carry=[row_id], position="version")
+    ordered = number_in_order(arrivals, [key], [arrived, row_id], carry=[row_id], position="version")
     return ordered.select(
         *arrivals.columns,
         "version",
@@ -34,6 +33,13 @@ def archived_versions(history: DataFrame) -> DataFrame:
     return history.where(~F.col("is_current"))
 
 
+def newest(arrivals: DataFrame, key: str, arrived: str, row_id: str) -> DataFrame:
+    """The current version of every key and its number, by one aggregate that combines on the map side; no ordering."""
+    rest = [c for c in arrivals.columns if c != key]
+    last = F.max_by(F.struct(*rest), F.struct(arrived, row_id)).alias("_last")
+    return arrivals.groupBy(key).agg(last, F.count("*").alias("version")).select(key, *[F.col(f"_last.{c}").alias(c) for c in rest], "version")
+
+
 def arrivals_with_current(arrivals: DataFrame, current: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Each arriving page beside the stored current version of its address, nulls for a new address."""
     stored = current.select(key, *[F.col(c).alias(f"current_{c}") for c in columns])

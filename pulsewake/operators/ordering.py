@@ -1,35 +1,31 @@
 """Row order without one task per key.
 
-A window over a whole key sorts that key in one task; a key with a third of all rows would not fit.
-Here a key is cut into slices of the order column (days, hours), the slices are ordered on their own,
-and a small table with one row per slice carries counts and border rows across.
+A window over a whole key sorts that key in one task; a key with a third of all rows would not fit. Here the rows are
+dealt out by ranges of key and order, which Spark finds by sampling, so a large key is spread over as many tasks as its
+size asks for, however its rows lie in time. The ranges are ordered on their own, and a small table with one row per key
+and range carries counts and border rows across.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from pulsewake.functions.times import bucket_start
+from pulsewake.runtime import cut_lineage
 
 
-def number_in_order(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    slice_by: Column,
-    carry: Sequence[str] = (),
-    position: str = "position",
-) -> DataFrame:
+def number_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], carry: Sequence[str] = (), position: str = "position") -> DataFrame:
     """Add the 1-based ``position`` of each row within its key and, for every carried column ``c``,
     ``prev_c`` and ``next_c``.
 
-    ``slice_by`` must never fall while ``order`` rises, and ``order`` must be total within a key.
+    ``order`` must be total within a key. The dealt rows are checkpointed: sampled ranges are not the same twice.
     """
-    # one struct names a slice of a key: the window and the join share its partitioning and its order, and
+    dealt = df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id())
+    # one struct names a range of a key: the window and the join share its partitioning and its order, and
     # null keys are equal to each other inside it
-    sliced = df.withColumn("_slice", slice_by).withColumn("_cell", F.struct(*keys, "_slice")).drop("_slice")
+    sliced = cut_lineage(dealt.withColumn("_cell", F.struct(*keys, "_range")).drop("_range"))
     inside = Window.partitionBy("_cell").orderBy(*order)
     rows = sliced.withColumns({
         "_rank": F.row_number().over(inside),
@@ -42,7 +38,7 @@ def number_in_order(
         F.min_by(border, F.struct(*order)).alias("_first"),
         F.max_by(border, F.struct(*order)).alias("_last"),
     )
-    along = Window.partitionBy(*[F.col(f"_cell.{k}") for k in keys]).orderBy("_cell._slice")
+    along = Window.partitionBy(*[F.col(f"_cell.{k}") for k in keys]).orderBy("_cell._range")
     slices = slices.select(
         "_cell",
         "_n",
@@ -62,9 +58,18 @@ def number_in_order(
     )
 
 
-def nth_in_order(df: DataFrame, order: Sequence[str], slice_by: Column, n: int) -> DataFrame:
-    """The n-th row of the whole frame in time order."""
-    return number_in_order(df, [], order, slice_by).where(F.col("position") == n).drop("position")
+def nth_in_order(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """The n-th row of the whole frame.
+
+    Counts per range say which range holds it, and only that range is put in order.
+    """
+    dealt = cut_lineage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    holder = counts.withColumn("_before", before).where((F.col("_before") < n) & (F.col("_before") + F.col("_n") >= n))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    ranked = dealt.join(holder, "_range").withColumn("_rank", rank)
+    return ranked.where(F.col("_before") + F.col("_rank") == n).select(*df.columns)
 
 
 def next_event(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -56,11 +58,12 @@ def matches_any(pattern: str, columns: Sequence[str] = ("maintext", "title", "de
 
 
 def search_posts(df: DataFrame, words: Sequence[str], language: str, since: str, until: str,
-                 text: str = "text", lang: str = "lang", ts: str = "ts") -> DataFrame:
-    """Keyword list, language and half-open day range."""
-    pattern = "(?i)" + "|".join(words)
+                 text: str = "text", lang: str = "lang", ts: str = "ts", repost: str = "retweeted_status") -> DataFrame:
+    """Original posts of a language and a half-open day range that hold one of the words, taken literally, in any case."""
+    pattern = "(?i)" + "|".join(re.escape(w) for w in words)
     return df.where(
-        (F.col(lang) == language)
+        F.col(repost).isNull()
+        & (F.col(lang) == language)
         & (F.col(ts) >= F.lit(since).cast("timestamp_ntz"))
         & (F.col(ts) < F.lit(until).cast("timestamp_ntz"))
         & F.col(text).rlike(pattern)

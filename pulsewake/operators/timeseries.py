@@ -62,7 +62,7 @@ def delta_on_grid(series: DataFrame, value: str, every: str, by: Sequence[str] =
 
 def delta_by_row(series: DataFrame, values: Sequence[str], bucket: str = "bucket", by: Sequence[str] = ()) -> DataFrame:
     """Lag and first difference against the previous surviving row, whatever its distance."""
-    ordered = number_in_order(series, by, [bucket], F.date_trunc("month", F.col(bucket)), carry=values)
+    ordered = number_in_order(series, by, [bucket], carry=values)
     return ordered.select(
         *series.columns,
         *[F.col(f"prev_{v}").alias(f"{v}_lag") for v in values],
@@ -124,7 +124,7 @@ def join_on_day(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str,
 
 def lag_pairs(series: DataFrame, value: str, order: str = "bucket") -> DataFrame:
     """``(x, next x)`` pairs of the series in row order."""
-    ordered = number_in_order(series.select(order, value), [], [order], F.date_trunc("month", F.col(order)), carry=[value])
+    ordered = number_in_order(series.select(order, value), [], [order], carry=[value])
     return ordered.where(F.col(f"next_{value}").isNotNull()).select(
         order, F.col(value).alias("x"), F.col(f"next_{value}").alias("x_next")
     )
@@ -137,7 +137,7 @@ def autocorrelation(series: DataFrame, value: str, order: str = "bucket", max_la
     the products are added up per lag on the map side. Give ``max_lag`` for long calendars.
     """
     series = cut_lineage(series.where(F.col(value).isNotNull()).select(order, value))
-    ordered = cut_lineage(number_in_order(series, [], [order], F.date_trunc("month", F.col(order)), position="t"))
+    ordered = cut_lineage(number_in_order(series, [], [order], position="t"))
     stats = ordered.agg(F.avg(value).alias("mean"), F.count("*").alias("n"), F.var_pop(value).alias("c0"))
     centred = ordered.select("t", (F.col(value) - stats.select("mean").scalar()).alias("d"))
     size = stats.select("n").scalar()

@@ -39,7 +39,7 @@ INPUTS: dict[str, tuple[str, str]] = {
         FROM {customer}"""),
     "articles": ("documents", """
         SELECT doc_id, source AS author, '2024-01-' || lpad(CAST(1 + n_chars % 28 AS STRING), 2, '0') AS date_publish,
-               substr(text, 1, 60) AS title, substr(text, 61, 140) AS description, lang || '.example.com' AS source_domain,
+               split_part(text, chr(10), 1) AS title, substr(text, length(split_part(text, chr(10), 1)) + 2) AS description, lang || '.example.com' AS source_domain,
                text AS maintext, lang AS language, 'http://' || source || '.example.com/' || CAST(doc_id AS STRING) AS url
         FROM {documents}"""),
     "visits": ("events", """

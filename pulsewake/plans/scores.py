@@ -135,13 +135,12 @@ def j02(spark, sf):
     return inf.with_display_name(_scores(spark, sf), names, "user_id", "c_name").withColumn("wtf", F.round("wtf", 9))
 
 
-@query("o01_sort_by_score", _SCORES + "SELECT *, row_number() OVER (ORDER BY wtf DESC, user_id) AS place FROM final QUALIFY place <= 20")
+@query("o01_sort_by_score", _SCORES + "SELECT *, row_number() OVER (ORDER BY wtf DESC, user_id) AS place FROM final")
 def o01(spark, sf):
-    """Top of the ranking, with the place made visible."""
-    top = c01(spark, sf).orderBy(F.desc("wtf"), "user_id").limit(20)
-    best = F.array_sort(F.collect_list(F.struct((-F.col("wtf")).alias("neg"), "user_id", *inf.SCORE_COLUMNS)))
-    placed = top.agg(best.alias("best")).select(F.posexplode("best").alias("at", "row"))
-    return placed.select("row.user_id", *[f"row.{c}" for c in inf.SCORE_COLUMNS], (F.col("at") + 1).cast("bigint").alias("place"))
+    """The whole ranking, with the place made visible."""
+    ranked = c01(spark, sf).withColumn("neg", -F.col("wtf"))
+    placed = number_in_order(ranked, [], ["neg", "user_id"], position="place")
+    return placed.select("user_id", *inf.SCORE_COLUMNS, "place").orderBy("place")
 
 
 @query("o05_limit_top_k", cte("pubs") + "SELECT event_id, ts FROM pubs ORDER BY ts DESC, event_id LIMIT 10")
@@ -155,7 +154,7 @@ def j05(spark, sf):
     """Windows of every large trade, many and overlapping; the largest trade wins."""
     big = given(spark, sf, "ticks").where("close > 200")
     numbered = number_in_order(
-        big.withColumn("neg", -F.col("close")), [], ["neg", "event_id"], F.floor(F.col("neg") / 10), position="window_id"
+        big.withColumn("neg", -F.col("close")), [], ["neg", "event_id"], position="window_id"
     )
     windows = win.windows_from_events(numbered, "ts", 30)
     return win.tag_with_windows(given(spark, sf, "pubs"), windows, "ts", "event_id").select("event_id", "golden_window")

@@ -163,7 +163,7 @@ def c08(spark, sf):
 @query("o05_nth_in_time_order", "SELECT event_id, ts FROM events ORDER BY ts, event_id LIMIT 1 OFFSET 499")
 def o05_nth(spark, sf):
     rows = table(spark, sf, "events").select("event_id", "ts")
-    return ordering.nth_in_order(rows, ["ts", "event_id"], F.date_trunc("hour", "ts"), 500)
+    return ordering.nth_in_order(rows, ["ts", "event_id"], 500)
 
 
 # -- time functions -----------------------------------------------------------------------------------

@@ -347,9 +347,9 @@ def e11(spark, sf):
 # documents offered by five extractors that cut, agree and disagree in different ways
 _OFFER_INPUT = """
   SELECT doc_id, CAST(k AS INT) AS ord, CASE k WHEN 0 THEN 'head' WHEN 1 THEN 'body' WHEN 2 THEN 'paragraphs' WHEN 3 THEN 'date' ELSE 'other' END AS extractor,
-    CASE WHEN (doc_id + k) % 6 = 5 THEN NULL ELSE substr(text, 1, CAST(20 + 7 * ((doc_id * k) % 3) AS INT)) END AS title,
+    CASE WHEN (doc_id + k) % 6 = 5 THEN NULL ELSE concat(split_part(text, chr(10), 1), CASE (doc_id * k) % 3 WHEN 0 THEN '' WHEN 1 THEN ' | news' ELSE ' - daily news' END) END AS title,
     CASE WHEN (doc_id * k) % 4 > 1 THEN NULL ELSE source END AS description,
-    CASE k WHEN 0 THEN NULL WHEN 1 THEN CASE WHEN doc_id % 3 = 0 THEN NULL ELSE text END WHEN 2 THEN substr(text, 1, 2000) WHEN 3 THEN substr(text, 1001, 3000) ELSE substr(text, 1, 90) END AS text,
+    CASE k WHEN 0 THEN NULL WHEN 1 THEN CASE WHEN doc_id % 3 = 0 THEN NULL ELSE text END WHEN 2 THEN replace(text, chr(10), ' ') WHEN 3 THEN concat(text, ' read more about this on the next page') ELSE substr(text, length(split_part(text, chr(10), 1)) + 2) END AS text,
     CASE WHEN (doc_id + k) % 3 = 0 THEN '/i/' || source || '.png' END AS topimage,
     CASE WHEN (doc_id + k) % 4 = 0 THEN '[]' WHEN (doc_id + k) % 4 = 1 THEN 'A' || CAST(k AS STRING) END AS author,
     CASE WHEN (doc_id + k) % 5 < 2 THEN '2024-01-0' || CAST(k + 1 AS STRING) END AS publish_date,

@@ -29,13 +29,16 @@ def build_session(app: str = "pulsewake", cores: str = "*", partitions: int = 8,
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in tests on one machine, a temporary folder is made and used.
+    Only where that is unset and the session runs on one machine, as in tests, a temporary folder is made and used;
+    on a cluster that would be a folder of the driver alone, so there it is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="pulsewake-")
         spark.sparkContext.setCheckpointDir(current)
     return current

@@ -109,3 +109,22 @@ def run_batches(stream: DataFrame, apply, checkpoint: str, mode: str = "append")
         .foreachBatch(apply).trigger(availableNow=True).start()
     )
     query.awaitTermination()
+
+
+def upsert_to_files(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Work off what is there in update mode: the rows that changed, with the number of their micro-batch.
+
+    A batch that runs twice overwrites its own folder, so nothing is counted twice.
+    """
+    def apply(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    run_batches(stream, apply, checkpoint, "update")
+
+
+def latest(spark: SparkSession, path: str, schema, keys: list[str]) -> DataFrame:
+    """The newest state of every key that :func:`upsert_to_files` wrote; ``batch`` is the folder's number."""
+    rows = spark.read.schema(schema.add("batch", "long") if "batch" not in schema.names else schema).parquet(path)
+    rest = [c for c in schema.names if c not in [*keys, "batch"]]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last"))
+    return newest.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])

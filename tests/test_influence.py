@@ -90,7 +90,7 @@ def test_number_in_order_brute_force(spark):
     # one key holds most rows, some keys are null
     rows = [(random.choice(["hot"] * 6 + ["x", None]), at("00:00:00") + timedelta(hours=random.randrange(200)), i) for i in range(300)]
     df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, id int")
-    got = ordering.number_in_order(df, ["k"], ["ts", "id"], F.date_trunc("day", "ts"), carry=["id"]).collect()
+    got = ordering.number_in_order(df, ["k"], ["ts", "id"], carry=["id"]).collect()
     by_key = {}
     for k, t, i in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
         by_key.setdefault(k, []).append(i)
@@ -99,3 +99,24 @@ def test_number_in_order_brute_force(spark):
         ids = by_key[r.k]
         n = ids.index(r.id)
         assert (r.position, r.prev_id, r.next_id) == (n + 1, ids[n - 1] if n else None, ids[n + 1] if n + 1 < len(ids) else None)
+
+
+def test_no_range_of_a_hot_key_is_large(spark):
+    """One key holds a third of the rows, all in one minute; its rows still end in many cells, in order."""
+    df = spark.range(6000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"), F.lit(1).alias("t"), "id")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = ordering.number_in_order(df, ["k"], ["t", "id"], carry=["id"]).collect()
+        cells = df.repartitionByRange("k", "t", "id").groupBy("k", F.spark_partition_id()).count().where("k = 'hot'").collect()
+        nth = ordering.nth_in_order(df, ["id"], 4321).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    hot = sorted(r.id for r in rows if r.k == "hot")
+    assert [r.id for r in sorted((r for r in rows if r.k == "hot"), key=lambda r: r.position)] == hot
+    assert {r.id: r.prev_id for r in rows if r.k == "hot"} == dict(zip(hot, [None, *hot[:-1]]))
+    assert max(c["count"] for c in cells) < 1000
+    assert [r.id for r in nth] == [4320]

@@ -1,14 +1,17 @@
 import random
 import re
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from pulsewake.functions import html as h
 from pulsewake.functions import text as tx
+from pulsewake.functions import times as tm
 from pulsewake.functions import urls as ur
 from pulsewake.operators import articles as art
 from pulsewake.operators import candidates as cand
+from pulsewake.operators import relational as rel
 
 # the whitespace rules as they read with look-around
 STEPS = [(r"(?<=\n)( )+", ""), (r"^[ \t\n\r\f]*", ""), (r"[ \t]+(?=([ \t]))", ""), (r"[ \n]+(?=(\n))", ""), (r"[ \n]*$", "")]
@@ -233,3 +236,16 @@ def test_attributes_without_quotes(spark):
 ])
 def test_pages_of_the_site_itself(spark, url, site, want):
     assert ask(spark, h.is_not_from_subdomain, url, site) is want
+
+
+@pytest.mark.parametrize("text", [
+    "10:27:15 AM Thursday, November 26, 2015", "2015/11/26", "November 26, 2015 11:53 am", "Nov. 26, 2015", "26 November 2015 10:00", "Nov 26, 2015 3:05 p.m.",
+])
+def test_written_dates_are_read(spark, text):
+    assert str(ask(spark, tm.parse_wall_time, text))[:10] == "2015-11-26"
+
+
+def test_searched_words_are_literal_and_reposts_are_left_out(spark):
+    rows = [(1, "C++ is", None), (2, "C is", None), (3, "a.b", None), (4, "axb", None), (5, "c++", "x")]
+    df = spark.createDataFrame([(i, t, "en", datetime(2024, 1, 2), r) for i, t, r in rows], "id int, text string, lang string, ts timestamp_ntz, retweeted_status string")
+    assert sorted(r.id for r in rel.search_posts(df, ["c++", "a.b"], "en", "2024-01-01", "2024-01-03").collect()) == [1, 3]
