@@ -63,39 +63,39 @@ def _spread(block: Block, lists: pa.ListArray) -> np.ndarray:
     return rows.flatten().to_numpy(zero_copy_only=False) + np.repeat(block.starts[:-1], counts)
 
 
-def _located(batch: pa.RecordBatch, block: Block, at: np.ndarray) -> list[pa.Array]:
+def _located(batch: pa.RecordBatch, key: str, block: Block, at: np.ndarray) -> list[pa.Array]:
     row, word = _numbered(block, at)
     take = pa.array(row + block.first)
-    return [batch.column(0).take(take), batch.column(1).take(take), pa.array(word, pa.int32())]
+    return [batch.column(key).take(take), batch.column("__tag").take(take), pa.array(word, pa.int32())]
 
 
-def _seeds(window: int, gram: int):
+def _seeds(window: int, gram: int, key: str, text: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(2), SPACED, lower=False):
+            for block in blocks(batch.column(text), SPACED, lower=False):
                 grams, least, valid = _anchors(block, window, gram)
                 span = window - gram + 1
                 used = np.concatenate((np.zeros(span - 1, np.uint64), np.where(valid, least, np.uint64(0))))
                 best = _sliding(np.maximum, used, span, np.uint64(0))[: len(grams)]
                 at = np.flatnonzero((best == grams) & (grams != _MOST) & (best != 0))
-                yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), *_located(batch, block, at)], names=["gram", "id", "tag", "word"])
+                yield pa.RecordBatch.from_arrays([pa.array(grams[at].view(np.int64)), *_located(batch, key, block, at)], names=["gram", "id", "tag", "word"])
 
     return work
 
 
-def _windows(window: int, gram: int):
+def _windows(window: int, gram: int, key: str, text: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(2), SPACED, lower=False):
+            for block in blocks(batch.column(text), SPACED, lower=False):
                 grams, least, valid = _anchors(block, window, gram)
-                seeds = _spread(block, batch.column(3))
+                seeds = _spread(block, batch.column("__words"))
                 hit = np.full(len(grams), _MOST, dtype=np.uint64)
                 hit[seeds] = grams[seeds]
                 at = np.flatnonzero(valid & (_sliding(np.minimum, hit, window - gram + 1, _MOST) == least))
                 one = runs(block.words, window)[at] if len(at) else np.zeros(0, np.uint64)
                 two = runs(second(block.words), window)[at] if len(at) else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(one.view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)), *_located(batch, block, at)],
+                    [pa.array(one.view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)), *_located(batch, key, block, at)],
                     names=["one", "two", "id", "tag", "word"])
 
     return work
@@ -170,24 +170,27 @@ def find_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
     made |= {"kept_text": "string"} if with_text else {}
     kept = [c for c in docs.columns if c.lower() not in (*made, "kept_text")]
     docs = docs.select(*[F.col(f"`{c}`") for c in kept])
-    # both joins below take the rows by the same columns, so plain tables are shuffled once for the two
-    whole = docs.withColumn("__tag", F.hash(f"`{text}`"))
     if dict(docs.dtypes)[doc_id] == "bigint":
-        key = doc_id
+        key, whole = doc_id, docs
     else:
-        key, whole = "__id", whole.withColumn("__id", F.col(f"`{doc_id}`").cast("bigint"))
-    keyed = whole.select(F.col(f"`{key}`").alias("id"), F.col("__tag").alias("tag"), F.col(f"`{text}`").alias("text"))
+        key, whole = "__id", docs.withColumn("__id", F.col(f"`{doc_id}`").cast("bigint"))
+    # ids that name one row each need no help; then the tag is a constant that takes no room in the shuffles
+    ids = whole.groupBy(F.col(f"`{key}`").alias("id")).count()
+    helped = not ids.where("count > 1 or id is null").isEmpty()
+    whole = whole.withColumn("__tag", F.hash(f"`{text}`") if helped else F.lit(0))
+    keyed = whole.select(F.col(f"`{key}`"), "__tag", F.col(f"`{text}`"))
     # all of a text that is there twice is repeated; one copy of it stands for the others below
-    prints = keyed.select("id", "tag", F.xxhash64("text").alias("print"))
-    texts = prints.groupBy("tag", "print").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"))
-    copied = prints.join(texts.where("copies > 1"), ["tag", "print"], "left_semi").select("id", "tag", F.lit(-1).alias("word"))
-    seeds = keyed.mapInArrow(_seeds(window, gram), "gram bigint, id bigint, tag int, word int")
+    prints = keyed.select(F.col(f"`{key}`").alias("id"), F.col("__tag").alias("tag"), F.xxhash64(f"`{text}`").alias("print"), F.hash(f"`{text}`").alias("more"))
+    texts = prints.groupBy("print", "more", "tag").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first"))
+    copied = prints.join(texts.where("copies > 1"), ["print", "more", "tag"], "left_semi").select("id", "tag", F.lit(-1).alias("word"))
+    seeds = keyed.mapInArrow(_seeds(window, gram, key, text), "gram bigint, id bigint, tag int, word int")
     shared = seeds.groupBy("gram").count().where("count > 1").select("gram")
     hits = seeds.join(shared, "gram", "left_semi").groupBy("id", "tag").agg(F.collect_set("word").alias("words"))
     first = texts.select("first", F.col("tag").alias("__tag"))
     hits = hits.join(first, hits["id"].eqNullSafe(first["first"]) & (hits["tag"] == first["__tag"]), "left_semi")
-    near = _attach(whole, key, hits, "inner").select(F.col(f"`{key}`").alias("id"), F.col("__tag").alias("tag"), F.col(f"`{text}`").alias("text"), "__words")
-    found = near.mapInArrow(_windows(window, gram), "one bigint, two int, id bigint, tag int, word int")
+    # with all columns, so that this join and the last one take the same rows from one shuffle
+    near = _attach(whole, key, hits, "inner")
+    found = near.mapInArrow(_windows(window, gram, key, text), "one bigint, two int, id bigint, tag int, word int")
     again = found.groupBy("one", "two").count().where("count > 1").select("one", "two")
     begins = found.join(again, ["one", "two"], "left_semi").select("id", "tag", "word").unionByName(copied)
     begins = begins.groupBy("id", "tag").agg(F.collect_set(F.when(F.col("word") >= 0, F.col("word"))).alias("words"), (F.min("word") < 0).alias("whole"))
@@ -204,7 +207,7 @@ def _attach(whole: DataFrame, key: str, lists: DataFrame, how: str) -> DataFrame
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW) -> DataFrame:
     """``docs`` without the repeated words; texts that lose none stay as they are, and no row is dropped."""
-    held = docs.withColumns({"__" + c: F.col(f"`{c}`") for c in docs.columns}).select(*["__" + c for c in docs.columns])
-    found = find_repeats(held, "__" + text, "__" + doc_id, window)
-    return found.select(*[(F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col(f"`__{c}`")) if c == text else F.col(f"`__{c}`")).alias(c)
+    held = docs.select(*[F.col(f"`{c}`").alias("_own_" + c) for c in docs.columns])
+    found = find_repeats(held, "_own_" + text, "_own_" + doc_id, window)
+    return found.select(*[(F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col(f"`_own_{c}`")) if c == text else F.col(f"`_own_{c}`")).alias(c)
                           for c in docs.columns])
