@@ -58,6 +58,16 @@ def number_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], ca
     )
 
 
+def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, total: str) -> DataFrame:
+    """Add the sum of ``value`` over the rows of the key up to each row, nulls first; no task holds a whole key."""
+    dealt = df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id())
+    sliced = cut_lineage(dealt.withColumn("_cell", F.struct(*keys, "_range")).drop("_range"))
+    inside = Window.partitionBy("_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    along = Window.partitionBy(*[F.col(f"_cell.{k}") for k in keys]).orderBy("_cell._range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sliced.groupBy("_cell").agg(F.sum(value).alias("_sum")).select("_cell", F.coalesce(F.sum("_sum").over(along), F.lit(0)).alias("_before"))
+    return sliced.withColumn("_upto", F.sum(value).over(inside)).join(before, "_cell").select(*df.columns, (F.col("_before") + F.col("_upto")).alias(total))
+
+
 def nth_in_order(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     """The n-th row of the whole frame.
 
@@ -79,30 +89,29 @@ def next_event(
     event_ts: str,
     carry: Sequence[str] = (),
     slot: str = "1 day",
-    salts: int | None = None,
+    rows_per_task: int = 1_000_000,
 ) -> DataFrame:
     """Forward as-of join: to each post the first event at or after it, null when there is none.
 
-    Both sides are laid on time slots; inside a slot one sort finds the next event. Posts of a busy slot
-    are spread over ``salts`` tasks (all shuffle partitions unless told otherwise) and only the events are
-    repeated there. Posts whose slot has no later
-    event take the first event of the next slot that has one, from a table with one row per slot.
+    Both sides are laid on time slots; inside a slot one sort finds the next event. The posts of each slot are counted
+    first: a slot of more than ``rows_per_task`` posts is spread over as many tasks as it needs, and its events alone
+    are repeated there. Posts whose slot has no later event take the first event of the next slot that has one, from a table with one row per slot.
     """
-    salts = salts or int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     event = F.struct(F.col(event_ts), *[F.col(c) for c in carry])
     kept = posts.columns
     # the bucket function drops null times, which have no next event: they are added back at the end
     timed = posts.where(F.col(ts).isNotNull())
-    left = timed.select(
-        *kept,
-        F.col(ts).alias("_at"),
-        bucket_start(F.col(ts), slot).alias("_slot"),
-        F.pmod(F.xxhash64(*kept), F.lit(salts)).cast("int").alias("_salt"),
-    )
+    placed = timed.select(*kept, F.col(ts).alias("_at"), bucket_start(F.col(ts), slot).alias("_slot"))
+    spread = F.ceil(F.count("*") / rows_per_task).cast("int")
+    busy = placed.groupBy("_slot").agg(spread.alias("_salts"))
+    # only slots that need more than one task are looked up
+    salts = F.coalesce("_salts", F.lit(1))
+    busy = busy.where("_salts > 1")
+    left = placed.join(busy, "_slot", "left").withColumn("_salt", F.pmod(F.xxhash64(*kept), salts).cast("int")).drop("_salts")
     slotted = events.where(F.col(event_ts).isNotNull()).select(
         event.alias("_event"), F.col(event_ts).alias("_at"), bucket_start(F.col(event_ts), slot).alias("_slot")
     )
-    right = slotted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    right = slotted.join(busy, "_slot", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
     backwards = (
         Window.partitionBy("_slot", "_salt")
         .orderBy(F.desc("_at"), F.col("_event").isNull())

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from pulsewake.operators.ordering import running_total
 from pulsewake.runtime import cut_lineage
 
 
@@ -15,7 +16,7 @@ def exact_percentiles(df: DataFrame, column: str, probabilities: Sequence[float]
     The built-in exact percentile keeps every distinct value in one task. Here a mergeable sketch gives
     a bracket that surely holds the wanted rank (its error is bounded), one count tells how many values lie below it, and only
     the values inside the bracket (about ``8 / accuracy`` of the rows, repeated values already folded)
-    are put in order.
+    are put in order, range by range, so no task holds a whole bracket.
     """
     values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"))
     margin = 4.0 / accuracy
@@ -42,8 +43,7 @@ def exact_percentiles(df: DataFrame, column: str, probabilities: Sequence[float]
     ])).alias("m"))
     placed = marked.where(F.col("m").isNotNull()).select("m.i", "m.x")
     counted = placed.groupBy("i", "x").agg(F.count("*").alias("c"))
-    order = Window.partitionBy("i").orderBy(F.asc_nulls_first("x")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.withColumn("upto", F.sum("c").over(order)).where(F.col("x").isNotNull())
+    ranked = running_total(counted, ["i"], ["x"], "c", "upto").where(F.col("x").isNotNull())
     p = F.get(F.array(*[F.lit(float(q)) for q in probabilities]), F.col("i"))
     target = p * (count - 1)
     low, high = F.floor(target), F.ceil(target)

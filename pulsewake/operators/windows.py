@@ -62,3 +62,18 @@ def tag_with_windows(pubs: DataFrame, windows: DataFrame, ts: str, row_id: str,
         .agg(F.min("window_id").alias("golden_window"))
     )
     return pubs.join(hits, row_id, "left").fillna({"golden_window": 0})
+
+
+def pairs_within(posts: DataFrame, events: DataFrame, ts: str, event_ts: str, minutes: int, salts: int = 8) -> DataFrame:
+    """Posts at most ``minutes`` before an event, beside it; batch or stream.
+
+    The hour is the equality key: an event is listed under every hour its window touches. All rows of an hour would be
+    one task, so posts are spread over ``salts`` by a hash of their columns and the few events repeated for each.
+    """
+    reach = F.expr(f"INTERVAL {int(minutes)} MINUTES")
+    left = posts.withColumns({"_hour": F.date_trunc("hour", F.col(ts)), "_salt": F.pmod(F.xxhash64(*posts.columns), F.lit(salts)).cast("int")})
+    hours = F.sequence(F.date_trunc("hour", F.col(event_ts) - reach), F.date_trunc("hour", F.col(event_ts)), F.expr("INTERVAL 1 HOUR"))
+    right = events.withColumn("_event_hour", F.explode(hours)).withColumn("_event_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    near = (F.col(ts) >= F.col(event_ts) - reach) & (F.col(ts) <= F.col(event_ts))
+    on = (F.col("_hour") == F.col("_event_hour")) & (F.col("_salt") == F.col("_event_salt")) & near
+    return left.join(right, on).drop("_hour", "_event_hour", "_salt", "_event_salt")

@@ -168,11 +168,7 @@ ORACLE_NEAR = cte("pubs", "ticks") + """
 def j15(spark, sf):
     """Batch form of the stream-stream interval join."""
     big = given(spark, sf, "ticks").where("close > 200").select(F.col("event_id").alias("trade_id"), F.col("ts").alias("event_ts"))
-    hours = F.sequence(F.date_trunc("hour", F.col("event_ts") - F.expr("INTERVAL 30 MINUTES")), F.date_trunc("hour", "event_ts"), F.expr("INTERVAL 1 HOUR"))
-    right = big.withColumn("h", F.explode(hours))
-    left = given(spark, sf, "pubs").withColumn("h", F.date_trunc("hour", "ts"))
-    near = (F.col("ts") >= F.col("event_ts") - F.expr("INTERVAL 30 MINUTES")) & (F.col("ts") <= F.col("event_ts"))
-    return left.join(right, "h").where(near).select("event_id", "trade_id")
+    return win.pairs_within(given(spark, sf, "pubs").select("event_id", "ts"), big, "ts", "event_ts", 30).select("event_id", "trade_id")
 
 
 @query("x08_minutes_before_event", _SAMPLE + f"SELECT event_id, ts - INTERVAL {BANDWIDTH} MINUTE AS window_start FROM sample")

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pulsewake import schemas
 from pulsewake.operators.posts import cleanse_posts
+from pulsewake.operators.windows import pairs_within
 
 
 def stream_raw_posts(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
@@ -72,25 +73,10 @@ def throttle_stream(arrivals: DataFrame, key: str, arrived: str, hours: int = 6,
 
 
 def publications_near_events(
-    pubs: DataFrame, events: DataFrame, ts: str, event_ts: str, minutes: int, lateness: str
+    pubs: DataFrame, events: DataFrame, ts: str, event_ts: str, minutes: int, lateness: str, salts: int = 8
 ) -> DataFrame:
-    """Stream-stream join: publications at most ``minutes`` before an event.
-
-    The shared hour bucket is the equality key a stream join needs: an event is listed under every hour
-    its window touches. The interval bounds the state of both sides.
-    """
-    reach = f"INTERVAL {int(minutes)} MINUTES"
-    left = pubs.withWatermark(ts, lateness).withColumn("_hour", F.date_trunc("hour", F.col(ts)))
-    hours = F.sequence(
-        F.date_trunc("hour", F.col(event_ts) - F.expr(reach)), F.date_trunc("hour", F.col(event_ts)), F.expr("INTERVAL 1 HOUR")
-    )
-    right = events.withWatermark(event_ts, lateness).withColumn("_event_hour", F.explode(hours))
-    on = (
-        (F.col("_hour") == F.col("_event_hour"))
-        & (F.col(ts) >= F.col(event_ts) - F.expr(reach))
-        & (F.col(ts) <= F.col(event_ts))
-    )
-    return left.join(right, on).drop("_hour", "_event_hour")
+    """Stream-stream join: publications at most ``minutes`` before an event. The interval bounds the state of both sides."""
+    return pairs_within(pubs.withWatermark(ts, lateness), events.withWatermark(event_ts, lateness), ts, event_ts, minutes, salts)
 
 
 def run_to_files(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

@@ -78,7 +78,7 @@ def test_next_event_brute_force_with_a_hot_slot(spark):
     moments += [posts[0][1]]
     p = spark.createDataFrame([*posts, (-1, None)], "id int, ts timestamp_ntz")
     e = spark.createDataFrame([(m,) for m in moments], "at timestamp_ntz")
-    got = {r.id: r.next_at for r in ordering.next_event(p, e, "ts", "at", slot="6 hours", salts=5).collect()}
+    got = {r.id: r.next_at for r in ordering.next_event(p, e, "ts", "at", slot="6 hours", rows_per_task=5).collect()}
     want = {i: min((m for m in moments if m >= t), default=None) for i, t in posts} | {-1: None}
     assert got == want
 
