@@ -18,10 +18,7 @@ MAX_EXTENSION = 9
 MAX_PATH = 260 - 1
 
 # File extensions that are never article pages.
-IGNORED_EXTENSIONS = (
-    "pdf|docx?|xlsx?|pptx?|epub|jpe?g|png|bmp|gif|tiff|webp|avi|mpe?g|mov|qt|webm|ogg|midi|mid|mp3|wav|"
-    "zip|rar|exe|apk|css"
-)
+IGNORED_EXTENSIONS = "pdf|docx?|xlsx?|pptx?|epub|jpe?g|png|bmp|gif|tiff|webp|avi|mpe?g|mov|qt|webm|ogg|midi|mid|mp3|wav|zip|rar|exe|apk|css"
 
 _DOMAIN = r"[^/]+\.[^/]+"
 _LAST_TWO_LABELS = r"[^/.]+\.[^/.]+$"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Mapping, Sequence
 
@@ -140,27 +141,57 @@ def classify(pages: DataFrame, enabled: Mapping[str, object] = DEFAULT_CHECKS, c
     return checked.withColumn("is_article", combine(condition, list(enabled))).drop(*names)
 
 
+def _setting(wanted: object) -> tuple[str, float]:
+    """A condition as sign and number; ``?`` where it has another form, which only a null ratio passes."""
+    if isinstance(wanted, bool):
+        return "=", float(wanted)
+    match = re.fullmatch(r"(<=|>=|<|>|=|)\s*([+-]?\d+(?:\.\d*)?|[+-]?\.\d+)", str(wanted).strip())
+    return (match.group(1) or "=", float(match.group(2))) if match else ("?", 0.0)
+
+
+def _passes(ratio: Column, setting: Column) -> Column:
+    """:func:`meets` with the condition in a column."""
+    sign, number = setting["sign"], setting["number"]
+    test = (
+        F.when(sign == "<=", ratio <= number).when(sign == ">=", ratio >= number).when(sign == "<", ratio < number)
+        .when(sign == ">", ratio > number).when(sign == "=", ratio == number).otherwise(F.lit(False))
+    )
+    return ratio.isNull() | F.coalesce(test, F.lit(False))
+
+
 def classify_by_site(pages: DataFrame, sites: Sequence[Mapping], enabled: Mapping[str, object] = DEFAULT_CHECKS,
-                     condition: str = DEFAULT_CONDITION, site: str = "site", **columns) -> DataFrame:
+                     condition: str = DEFAULT_CONDITION, html: str = "html", url: str = "url", site: str = "site", source: str = "source",
+                     extra: Mapping[str, Column] | None = None) -> DataFrame:
     """Per-site overrides on top of the defaults.
 
-    ``sites`` is the written site list: ``{"url": …, "overwrite": {check: condition or False},
-    "condition": …}``. Sites with the same settings share one rule, and the rules fold into one case
-    expression per page.
+    ``sites`` is the written site list: ``{"url": …, "overwrite": {check: condition or False}, "condition": …}``; of several
+    entries for a site the last counts. The list becomes a table that is joined on the site, each check is computed once,
+    and only distinct condition texts are in the plan, so the list may be long.
     """
-    plain = pages.columns
-    rules: dict[tuple, list[str]] = {}
-    for entry in sites:
-        merged = {**enabled, **entry.get("overwrite", {})}
-        merged = {n: w for n, w in merged.items() if w is not False}
-        rules.setdefault((tuple(sorted(merged.items(), key=str)), entry.get("condition", condition)), []).append(entry["url"])
-    checked = add_checks(pages, enabled, site=site, prefix="d_", **columns)
-    decision = combine(condition, list(enabled), "d_")
-    for number, ((wanted, text), urls) in enumerate(rules.items()):
-        own = dict(wanted)
-        checked = add_checks(checked, own, site=site, prefix=f"s{number}_", **columns)
-        decision = F.when(F.col(site).isin(urls), combine(text, list(own), f"s{number}_")).otherwise(decision)
-    return checked.withColumn("is_article", decision).select(*plain, "is_article")
+    known = {**default_checks(F.col(html), F.col(url), F.col(site), F.col(source)), **(extra or {})}
+    texts: dict[str, int] = {condition: 0}
+
+    def rule(entry: Mapping) -> tuple[int, dict[str, tuple[str, float]]]:
+        merged = {n: w for n, w in {**enabled, **entry.get("overwrite", {})}.items() if w is not False}
+        return texts.setdefault(entry.get("condition", condition), len(texts)), {n: _setting(w) for n, w in merged.items()}
+
+    rows = {entry["url"]: rule(entry) for entry in sites}
+    kind = "_site string, _rule struct<text: int, checks: map<string, struct<sign: string, number: double>>>"
+    rules = pages.sparkSession.createDataFrame([*rows.items()], kind)
+    usual = F.from_json(F.lit(json.dumps({"text": 0, "checks": {n: dict(zip(("sign", "number"), v)) for n, v in rule({})[1].items()}})),
+                        kind.partition("_rule ")[2])
+    joined = pages.join(rules, F.col(site) == F.col("_site"), "left").withColumn("_rule", F.coalesce("_rule", usual))
+    used = {n for _, checks in [*rows.values(), rule({})] for n in checks}
+    columns = {}
+    for name in sorted(used):
+        setting = F.try_element_at("_rule.checks", F.lit(name))
+        as_is = name in _BOOLEAN_CHECKS or name in (extra or {})
+        passed = F.coalesce(known[name], F.lit(False)) if as_is else _passes(known[name], setting)
+        columns[f"check_{name}"] = F.when(setting.isNull(), F.lit(True)).otherwise(passed)
+    decided = F.lit(None).cast("boolean")
+    for text, number in texts.items():
+        decided = F.when(F.col("_rule.text") == number, combine(text, sorted(used))).otherwise(decided)
+    return joined.withColumns(columns).withColumn("is_article", decided).select(*pages.columns, "is_article")
 
 
 # -- items and articles -------------------------------------------------------------------------------

@@ -3,12 +3,15 @@
 from pyspark.sql import functions as F
 
 from pulsewake.functions.times import minutes_before
+from pulsewake.operators import articles as art
 from pulsewake.operators import influence as inf
 from pulsewake.operators import timeseries as tsr
 from pulsewake.operators import windows as win
 from pulsewake.operators.ordering import number_in_order
 from pulsewake.plans.inputs import BANDWIDTH, EVENTS, PERIOD, cte, given, table
 from pulsewake.plans.registry import query
+from pulsewake.runtime import scratch_path
+from pulsewake.sources import sinks
 
 _NUMBER = "CASE " + " ".join(
     f"WHEN ts BETWEEN TIMESTAMP '{e}' - INTERVAL {BANDWIDTH} MINUTE AND TIMESTAMP '{e}' THEN {i}" for i, e in enumerate(EVENTS, 1)
@@ -68,6 +71,32 @@ def c02_c01(spark, sf):
     return scores.withColumn("wtf", F.round("wtf", 9))
 
 
+_NEWS_EVENTS = ["2024-01-05 00:00:00", "2024-01-11 12:00:00", "2024-01-20 00:00:00"]
+_NEWS_NUMBER = "CASE " + " ".join(
+    f"WHEN ts BETWEEN TIMESTAMP '{e}' - INTERVAL 1440 MINUTE AND TIMESTAMP '{e}' THEN {i}" for i, e in enumerate(_NEWS_EVENTS, 1)
+) + " ELSE 0 END"
+
+
+@query("c01_news_score_per_domain", cte("articles") + f""", once AS (
+    SELECT source_domain, CAST(date_publish AS TIMESTAMP) AS ts FROM articles
+    QUALIFY row_number() OVER (PARTITION BY date_publish, title, description, source_domain ORDER BY url) = 1),
+  sample AS (SELECT *, {_NEWS_NUMBER} AS w FROM once WHERE ts BETWEEN TIMESTAMP '{PERIOD[0]}' AND TIMESTAMP '{PERIOD[1]}')
+  SELECT source_domain, count(*) AS total_nbr_publish, count(*) FILTER (w <> 0) AS total_nbr_publish_in_golden_window,
+         count(DISTINCT CASE WHEN w <> 0 THEN w END) AS nbr_golden_window_hit,
+         round(count(*) FILTER (w <> 0) / count(*) * count(DISTINCT CASE WHEN w <> 0 THEN w END) / 3.0::DOUBLE, 9) AS wtf
+  FROM sample GROUP BY 1""")
+def c01_news(spark, sf):
+    """News sites from end to end: Parquet, date cast, distinct on four keys, score per site, one CSV."""
+    path = scratch_path(spark, "news")
+    given(spark, sf, "articles").write.parquet(f"{path}/articles")
+    stored = spark.read.parquet(f"{path}/articles").withColumnRenamed("date_publish", "date_publish_str")
+    dated = stored.withColumn("date_publish", F.col("date_publish_str").cast("timestamp_ntz"))
+    once = art.distinct_articles(dated, art.ARTICLE_KEYS_WITHOUT_AUTHORS)
+    scores = inf.influence_score(once, "source_domain", "date_publish", PERIOD, _NEWS_EVENTS, 1440).withColumn("wtf", F.round("wtf", 9))
+    sinks.write_result_csv(scores, f"{path}/scores", single_file=True)
+    return spark.read.schema(scores.schema).csv(f"{path}/scores", header=True)
+
+
 @query("f01_sample_period", _SAMPLE + "SELECT event_id, user_id, ts FROM sample")
 def f01(spark, sf):
     return _sample(spark, sf).select("event_id", "user_id", "ts")

@@ -1,4 +1,7 @@
-"""Declared schemas; nothing in the library infers a schema in production reads."""
+"""Declared schemas; nothing in the library infers a schema in production reads.
+
+Fixed values: the column names and types of this module must equal those of the stored data.
+"""
 
 from pyspark.sql import types as T
 

@@ -249,3 +249,14 @@ def test_searched_words_are_literal_and_reposts_are_left_out(spark):
     rows = [(1, "C++ is", None), (2, "C is", None), (3, "a.b", None), (4, "axb", None), (5, "c++", "x")]
     df = spark.createDataFrame([(i, t, "en", datetime(2024, 1, 2), r) for i, t, r in rows], "id int, text string, lang string, ts timestamp_ntz, retweeted_status string")
     assert sorted(r.id for r in rel.search_posts(df, ["c++", "a.b"], "en", "2024-01-01", "2024-01-03").collect()) == [1, 3]
+
+
+def test_site_rules_as_a_long_table(spark):
+    linked = "<h1>a</h1>" + "<h2><a href='http://x.e0.com/1'>b</a></h2>" * 4
+    rows = [(i, f"http://www.e{i}.com", f"http://www.e{i}.com/p", page(body=linked), "c") for i in range(12)] + [(99, None, "u", page(body=linked), "c")]
+    pages = spark.createDataFrame(rows, "id int, site string, url string, html string, source string")
+    sites = [{"url": f"http://www.e{i}.com", "overwrite": {"og_type": False, "linked_headlines": f"<={i / 10}"}, "condition": "linked_headlines"} for i in range(1, 12)]
+    sites += [{"url": f"http://www.other{i}.com", "overwrite": {"linked_headlines": i}} for i in range(500)]
+    sites += [{"url": "http://www.e11.com", "overwrite": {"linked_headlines": "often"}, "condition": "linked_headlines"}]
+    got = {r.id: r.is_article for r in art.classify_by_site(pages, sites).collect()}
+    assert got == {i: 8 <= i <= 10 for i in [*range(12), 99]}
