@@ -36,6 +36,17 @@ def g02(spark, sf):
     return g.degrees(edges(spark, sf))
 
 
+_ALL_EDGES = "WITH edges AS (SELECT CAST(user_id AS VARCHAR) AS src, regexp_extract(props, '[0-9]+', 0) AS dst FROM events)"
+
+
+@query("g02_degrees_with_parallel_edges", _ALL_EDGES + """ SELECT id, count(*) AS degree, count(*) FILTER (i) AS inDegree, count(*) FILTER (NOT i) AS outDegree
+  FROM (SELECT dst AS id, true AS i FROM edges UNION ALL SELECT src, false FROM edges) GROUP BY 1""")
+def g02_all(spark, sf):
+    """Every event is an edge: parallel edges and loops count."""
+    events = table(spark, sf, "events")
+    return g.degrees(events.select(F.col("user_id").cast("string").alias("src"), F.get_json_object("props", "$.k").alias("dst")))
+
+
 @query("j04_merged_degrees", _DEGREE + ", c AS (SELECT CAST(c_custkey AS VARCHAR) AS id FROM customer) SELECT id, coalesce(degree, 0) AS degree, coalesce(inDegree, 0) AS inDegree, coalesce(outDegree, 0) AS outDegree FROM (SELECT id FROM c UNION SELECT id FROM v) LEFT JOIN deg USING (id)")
 def j04(spark, sf):
     """Accounts without any edge show zeros."""

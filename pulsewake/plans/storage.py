@@ -130,9 +130,9 @@ def s10(spark, sf):
     )
 
 
-def archive_file(spark, sf, pages=None):
+def archive_file(spark, sf, pages=None, path=None):
     """Pages as archive files: a request and a response for each, in both versions of the format and in three charsets."""
-    path = scratch_path(spark, "archive")
+    path = path or scratch_path(spark, "archive")
     pages = table(spark, sf, "pages") if pages is None else pages
     latin = F.col("html").rlike(r"^[\x00-\x7F\xA0-\xFF]*$")
     k = F.col("page_id") % 3

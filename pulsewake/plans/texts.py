@@ -13,7 +13,8 @@ from pulsewake.operators import relational as rel
 from pulsewake.plans.inputs import cte, given, table
 from pulsewake.plans.registry import query
 from pulsewake.plans.storage import archive_file
-from pulsewake.sources import archive
+from pulsewake.runtime import cut_lineage, scratch_path
+from pulsewake.sources import archive, sinks
 
 
 def _read(e: str) -> str:
@@ -438,6 +439,33 @@ def c11(spark, sf):
     return articles.select("url", "source_domain", "title", F.md5("maintext").alias("body"))
 
 
+_ARCHIVES = ["2023/12/CC-NEWS-20231201000000-1", "2024/01/CC-NEWS-20240101000000-2", "2024/01/CC-NEWS-20240115000000-3", "2024/02/CC-NEWS-20240201000000-4"]
+
+
+@query("c11_archive_job", """WITH p AS (SELECT ['2024/01/CC-NEWS-20240115000000-3', '2024/02/CC-NEWS-20240201000000-4'][page_id % 4 - 1] AS archive,
+    page_id % 7 NOT IN (2) AND NOT (page_id % 7 NOT IN (1, 2, 3, 5) AND page_id % 4 IN (0, 2)) AS ok FROM pages WHERE page_id % 4 > 1)
+  SELECT archive, count(*) AS total, count(*) FILTER (ok) AS passed, count(*) FILTER (NOT ok) AS discarded, CAST(0 AS BIGINT) AS failed,
+    (SELECT count(*) FROM p WHERE ok) AS written FROM p GROUP BY 1""")
+def c11_job(spark, sf):
+    """The job from end to end: listing by date, ledger of finished archives, pages, articles, counters, one JSON per article."""
+    root = scratch_path(spark, "archives")
+    for number, name in enumerate(_ARCHIVES):
+        archive_file(spark, sf, given(spark, sf, "rich").where(F.col("page_id") % 4 == number), f"{root}/{name}")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where("length > 0").select("path")
+    files = files.withColumn("archive", F.regexp_extract("path", r"(\d{4}/\d{2}/CC-NEWS-[^/]*)/[^/]*$", 1))
+    listed = archive.archive_files(files.select("archive").distinct(), "2024-01-01 00:00:00", "2024-02-10 00:00:00", "archive")
+    ledger = spark.createDataFrame([(_ARCHIVES[1],)], "archive string")
+    todo = files.join(rel.not_yet_done(listed, ledger, "archive").select("archive"), "archive")
+    pages = archive.decoded_pages(archive.records_of(todo)).withColumnRenamed("http_status", "status")
+    pages = rel.usable_response(pages).withColumn("archive", F.regexp_extract("file", r"(\d{4}/\d{2}/CC-NEWS-[^/]*)/[^/]*$", 1))
+    articles = cut_lineage(art.articles_from_pages(pages, first="2015-01-01 00:00:00", last="2015-12-31 00:00:00", download=F.lit("2024-02-03 04:05:06")))
+    sinks.write_articles_by_domain(articles, f"{root}-articles")
+    passed = articles.select("url").distinct().withColumn("status", F.lit("passed"))
+    results = pages.select("archive", "url").join(passed, "url", "left").fillna("discarded", ["status"]).withColumn("seconds", F.lit(0.0))
+    written = spark.read.schema("url string").json(f"{root}-articles").agg(F.count("*").alias("n")).scalar()
+    return art.run_counters(results, "archive", "status", "seconds").select("archive", "total", "passed", "discarded", "failed", written.alias("written"))
+
+
 @query("c03_text_cleaner", f"SELECT page_id, md5({_clean('html')}) AS v FROM pages")
 def c03(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.md5(tx.clean_text(F.col("html"))).alias("v"))
