@@ -193,6 +193,16 @@ def _words_of(texts: list[bytes]) -> list[bytes]:
     return [b" ".join(block.buffer[block.begins[i] : block.ends[i]] for i in range(a, b)) for a, b in zip(block.starts[:-1], block.starts[1:])]
 
 
+def _sample(texts: DataFrame, n: int) -> list[str]:
+    """The first ``n`` distinct texts by a hash. Only hashes are ranked; then the few texts below the last one are taken."""
+    hashes = texts.select(F.xxhash64("t").alias("h")).distinct().orderBy("h").limit(n)
+    last = hashes.agg(F.max("h")).first()[0]
+    if last is None:
+        return []
+    chosen = texts.select(F.xxhash64("t").alias("h"), "t").where(F.col("h") <= last).groupBy("h").agg(F.min("t").alias("t"))
+    return [r.t for r in chosen.orderBy("h").limit(n).collect()]
+
+
 def scan_licenses(docs: DataFrame, text: str = "text", sample_texts: int = SAMPLE_TEXTS) -> DataFrame:
     """``docs`` with ``n_paragraphs`` and ``licenses``: for each paragraph that the classifier takes for a licence or that is
     like one, its number from 0, ``family`` (null: unknown), ``probability``, ``likeness`` (share of a template's word pairs)
@@ -202,9 +212,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", sample_texts: int = SAMPL
     paragraphs; repeated rows are scanned alike; an empty table gives an empty one. At most ``sample_texts`` texts, the
     first by a hash, are trained on. Columns of ``docs`` with these names are replaced.
     """
-    texts = docs.select(F.col(f"`{text}`").alias("t")).where("t is not null")
-    sample = texts.orderBy(F.xxhash64("t"), "t").limit(sample_texts).collect()
-    model = train([r.t for r in sample])
+    model = train(_sample(docs.select(F.col(f"`{text}`").alias("t")).where("t is not null"), sample_texts))
     made = ["n_paragraphs", "licenses"]
     kept = [c for c in docs.columns if c.lower() not in made]
     plain = docs.select(*[F.col(f"`{c}`") for c in kept])
