@@ -8,7 +8,7 @@ it and scores every text.
 
 What grows with the corpus stays in Spark: votes of all texts are counted by combination, of which there are at most
 ``2 ** 16``. Lexicons and classifier come from a sample of labelled texts whose size, ``sample_rows`` of each class, does
-not grow. Scoring is one pass without a shuffle.
+not grow; the sampled classes are weighted back to their counts among all labels. Scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ FEATURES = 2048
 CUTOFF = 0.3
 BEGINNINGS = (0, 4, 5, 6)  # bytes of a word that make a feature; 0: the whole word
 LEAST_TEXTS = 3
-LOOSE, STRICT = 0.3, 0.9
+LOOSE, STRICT = 3.5, 70  # how many times as frequent in toxic texts as in clean ones
 AMOUNTS = 4
 VOTERS = 16
 
@@ -91,11 +91,11 @@ def _found(block: Block, lexicon: np.ndarray) -> Found:
 
 @dataclass
 class Lexicon:
-    """Features of toxic texts: fingerprint (sorted), kind, and the share of toxic ones among the texts that have it."""
+    """Features of toxic texts: fingerprint (sorted), kind, and how many times as frequent they are there as in clean ones."""
 
     prints: np.ndarray
     kinds: np.ndarray
-    shares: np.ndarray
+    lifts: np.ndarray
 
     def votes(self, found: Found) -> np.ndarray:
         """A bit per voter for each text: for each kind of feature a strict and a loose entry, then the amounts."""
@@ -103,7 +103,7 @@ class Lexicon:
         out = found.amounts << (2 * len(BEGINNINGS))
         if not len(self.prints):
             return out
-        kind, strict = self.kinds[found.entry], self.shares[found.entry] >= STRICT
+        kind, strict = self.kinds[found.entry], self.lifts[found.entry] >= STRICT
         for i in range(len(BEGINNINGS)):
             for j, own in enumerate(((kind == i) & strict, kind == i)):
                 out |= (np.bincount(found.text[own], minlength=n) > 0).astype(np.int64) << (2 * i + j)
@@ -235,10 +235,14 @@ class Scorer:
 NOTHING_LEARNED = Scorer(np.zeros(0, np.uint64), np.zeros(AMOUNTS), -6.0)
 
 
-def _sample(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, rows: int) -> DataFrame:
-    """At most ``rows`` labelled texts of each class, by the order of a hash of their ids; equal texts once."""
+def _known(labels: DataFrame) -> DataFrame:
+    """The class of every id whose label may be learned from."""
     known = labels.where(~held_out("doc_id") & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
-    known = known.groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
+    return known.groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("toxic"))
+
+
+def _sample(docs: DataFrame, known: DataFrame, text: str, doc_id: str, rows: int) -> DataFrame:
+    """At most ``rows`` labelled texts of each class, by the order of a hash of their ids; equal texts once."""
     parts = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("id"), "id").limit(rows) for y in (0, 1)]
     chosen = parts[0].unionByName(parts[1])
     texts = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").alias("text"))
@@ -249,11 +253,11 @@ def _sample(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, rows: in
 def _lexicon(learned: list[tuple[int, int, float]]) -> Lexicon:
     """The learned entries and the plain insults."""
     block = block_of([" ".join(INSULTS).encode()], ALNUM, lower=False)
-    entries = {p: (0, 0.9) for p in block.words.view(np.int64).tolist()} | {p: (kind, share) for p, kind, share in learned}
+    entries = {p: (0, STRICT) for p in block.words.view(np.int64).tolist()} | {p: (kind, lift) for p, kind, lift in learned}
     prints = np.array(list(entries), dtype=np.int64).view(np.uint64)
     order = np.argsort(prints)
-    kinds, shares = zip(*entries.values())
-    return Lexicon(prints[order], np.array(kinds)[order], np.array(shares)[order])
+    kinds, lifts = zip(*entries.values())
+    return Lexicon(prints[order], np.array(kinds)[order], np.array(lifts)[order])
 
 
 def _shown(lexicon: Lexicon, names: list[str]):
@@ -274,10 +278,15 @@ def _shown(lexicon: Lexicon, names: list[str]):
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_rows: int = SAMPLE_ROWS,
           features: int = FEATURES) -> tuple[Scorer, LabelModel | None]:
     """The classifier and the label model behind it."""
-    sample = _sample(docs, labels, text, doc_id, sample_rows)
+    known = _known(labels)
+    sample = _sample(docs, known, text, doc_id, sample_rows)
     sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return NOTHING_LEARNED, None
+    # what a sampled text of each class stands for among all labelled ones
+    stands = np.ones(2)
+    for r in known.groupBy("toxic").count().collect():
+        stands[r.toxic] = max(1, r["count"] / sample_rows)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,16 +303,18 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
     counts = sample.select("text", "toxic").mapInArrow(listed, "print bigint, kind int, toxic bigint").groupBy("print").agg(
         F.first("kind").alias("kind"), F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    # an entry must be further from chance than the best of as many features would be by luck
+    # An entry must be further from chance than the best of as many features would be by luck, and much more frequent in toxic
+    # texts than in clean ones. Neither rate depends on how many texts of the other class there are or were sampled.
     share = sizes[1] / (sizes[0] + sizes[1])
     both = F.col("bad") + F.col("good")
     surprise = 2 * (F.col("bad") * F.log(F.col("bad") / (both * share)) + F.col("good") * F.log(F.greatest(F.col("good"), F.lit(1)) / (both * (1 - share))))
     tried = written(counts.where(F.col("bad") + F.col("good") >= LEAST_TEXTS), "features")
     luck = 2 * float(np.log(max(tried.count(), 2)))
-    best = tried.where("bad > 0").withColumn("share", (F.col("bad") + 0.5) / (both + 1)).withColumn("surprise", surprise)
-    best = best.where((F.col("share") >= F.greatest(F.lit(LOOSE), F.lit(2 * share))) & (F.col("surprise") >= luck))
+    lift = (F.col("bad") + 0.5) / (sizes[1] + 1) * (sizes[0] + 1) / (F.col("good") + 0.5)
+    best = tried.where("bad > 0").withColumn("lift", lift).withColumn("surprise", surprise)
+    best = best.where((F.col("lift") >= LOOSE) & (F.col("surprise") >= luck))
     best = best.orderBy(F.col("surprise").desc(), "print").limit(features).collect()
-    lexicon = _lexicon([(r.print, r.kind, r.share) for r in best])
+    lexicon = _lexicon([(r.print, r.kind, r.lift) for r in best])
     votes_of = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(_shown(lexicon, ["votes"]), "votes bigint")
     combinations = votes_of.groupBy("votes").count().collect()
     seen = sample.select("text", "toxic").mapInArrow(_shown(lexicon, ["votes", "toxic", "entries", "amounts"]), "votes bigint, toxic int, entries array<int>, amounts bigint").collect()
@@ -311,14 +322,15 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     counts = np.zeros(len(votes))
     counts[np.searchsorted(votes, [r.votes for r in combinations])] = [r["count"] for r in combinations]
     labelled = np.zeros((2, len(votes)))
-    np.add.at(labelled, (np.array([r.toxic for r in seen]), np.searchsorted(votes, [r.votes for r in seen])), 1)
+    weight = stands[[r.toxic for r in seen]]
+    np.add.at(labelled, (np.array([r.toxic for r in seen]), np.searchsorted(votes, [r.votes for r in seen])), weight)
     model = LabelModel.fit(votes, counts, labelled)
     targets = model.posterior(np.array([r.votes for r in seen]))
     size = len(lexicon.prints)
     entries = [[*r.entries, *(size + i for i in range(AMOUNTS) if r.amounts >> i & 1)] for r in seen]
     rows = np.repeat(np.arange(len(seen)), [len(e) for e in entries])
     flat = np.array([e for own in entries for e in own], dtype=np.int64)
-    weights, bias = _fit_linear(rows, flat, len(seen), targets, np.ones(len(seen)), size + AMOUNTS)
+    weights, bias = _fit_linear(rows, flat, len(seen), targets, weight, size + AMOUNTS)
     return Scorer(lexicon.prints, weights, bias), model
 
 

@@ -250,6 +250,25 @@ def test_toxicity_learns_words_it_is_shown(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.predicted == 0 for r in rows.values())
 
 
+def test_toxicity_learns_from_classes_that_are_both_sampled(spark):
+    random.seed(12)
+    texts, toxic = [], []
+    for i in range(1500):
+        ws = [f"w{random.randrange(100)}" for _ in range(30)]
+        bad = i % 5 == 0
+        for _ in range(3 if bad else 0):
+            ws[random.randrange(30)] = "grumbl" + random.choice(["e", "ing", "er", "y"])
+        texts.append(" ".join(ws))
+        toxic.append(int(bad))
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, 1, t) for i, t in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    scorer, model = toxicity.learn(docs, labels, sample_rows=100)
+    assert len(scorer.prints) > len(toxicity.INSULTS)
+    assert model.share == pytest.approx(0.2, abs=0.03)
+    rows = toxicity.score_toxicity(docs, labels, sample_rows=100).collect()
+    assert sum(r.predicted == toxic[r.doc_id] for r in rows) / len(rows) > 0.98
+
+
 def test_toxicity_without_labels(spark):
     docs = frame(spark, ODD)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
