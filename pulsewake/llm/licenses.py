@@ -5,6 +5,9 @@ the families and the class "no licence" apart. It is trained on variants of the
 paragraphs of a bounded sample of the corpus and on broken templates. Its probabilities are calibrated on variants that the
 training didn't see; a paragraph whose best family stays below the cut-off has an unknown licence or none. A prediction is
 confirmed if the paragraph holds most word pairs of one of the family's templates.
+
+A licence may be wrapped: runs of neighbouring lines without a blank one between them are judged as well as single lines, as
+far as a template can reach. A run counts if its first and its last line both add word pairs of the template.
 """
 
 from __future__ import annotations
@@ -60,14 +63,19 @@ def _grams(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield at, grams[at]
 
 
-def _lines(texts: list) -> tuple[list, np.ndarray]:
-    """The paragraphs of texts, and how many each has; blank lines are none."""
-    out, counts = [], []
+def _lines(texts: list) -> tuple[list, np.ndarray, np.ndarray]:
+    """The paragraphs of texts, how many each has, and which follow another one directly; blank lines are none."""
+    out, counts, follows = [], [], []
     for text in texts:
-        lines = [p for p in bytes(text).split(b"\n") if p.strip()]
-        out += lines
-        counts.append(len(lines))
-    return out, np.array(counts, dtype=np.int64)
+        before, after = len(out), False
+        for line in bytes(text).split(b"\n"):
+            filled = bool(line.strip())
+            if filled:
+                out.append(line)
+                follows.append(after)
+            after = filled
+        counts.append(len(out) - before)
+    return out, np.array(counts, dtype=np.int64), np.array(follows, dtype=bool)
 
 
 def _lowered(texts: list[bytes]) -> Block:
@@ -117,6 +125,67 @@ class Model:
         like[some] = np.where(self.families[None, :] == best[some][:, None], shared, 0).max(axis=1)
         return best, chance, like
 
+    def runs_of(self, block: Block, follows: np.ndarray) -> list[tuple[int, int]]:
+        """First and last of neighbouring lines that hold most pairs of a template, to which both of them add some."""
+        whole = np.cumsum(~follows)
+        line_of = np.repeat(np.arange(len(block.counts)), block.counts)
+        if len(line_of) < 2:
+            return []
+        prints = mix(runs(block.words, 2) + np.uint64(2))
+        place = np.minimum(np.searchsorted(self.grams, prints), len(self.grams) - 1)
+        known = (self.grams[place] == prints) & self.pairs.any(axis=1)[place] & (whole[line_of[1:]] == whole[line_of[:-1]])
+        at = np.flatnonzero(known)
+        place = place[at]
+        sizes = self.pairs.sum(axis=0)
+
+        def shares(first: int, last: int) -> np.ndarray:
+            """Of each template, what the lines hold of its pairs."""
+            a, b = np.searchsorted(at, block.starts[first]), np.searchsorted(at + 1, block.starts[last + 1])
+            return self.pairs[np.unique(place[a:b])].sum(axis=0) / sizes
+
+        # only where the lines between two blank ones hold enough together
+        both = np.unique(whole[line_of[at]] * np.int64(len(self.grams)) + place)
+        some, short = np.unique(both // len(self.grams), return_inverse=True)
+        held = np.zeros((len(some), len(sizes)))
+        np.add.at(held, short, self.pairs[both % len(self.grams)])
+        likely = some[(held / sizes >= CONFIRMED).any(axis=1)]
+        begins = np.unique(line_of[at[np.isin(whole[line_of[at]], likely)]])
+        ends = set(line_of[at + 1].tolist())
+        out = []
+        for first in begins.tolist():
+            last, between = first, 0
+            while last + 1 < len(follows) and follows[last + 1] and between <= self.reach:
+                last += 1
+                between += block.counts[last]
+            if last == first or (shares(first, last) < CONFIRMED).all():
+                continue
+            for end in range(first + 1, last + 1):
+                if end in ends:
+                    own = shares(first, end)
+                    if ((own >= CONFIRMED) & (own > shares(first + 1, end)) & (own > shares(first, end - 1))).any():
+                        out.append((first, end))
+        return out
+
+    @property
+    def reach(self) -> int:
+        """Words that may lie in the lines between the first and the last one of a template: twice its own."""
+        return 2 * (int(self.pairs.sum(axis=0).max()) + 1)
+
+    def wrapped(self, lines: list, block: Block, follows: np.ndarray, confirmed: dict[int, int]) -> list[tuple[int, int, int, float, float]]:
+        """Confirmed runs of lines: first, last, family, probability, likeness. A run that holds a shorter one of its family,
+        or a line that is ``confirmed`` as it, is none."""
+        found = sorted(self.runs_of(block, follows), key=lambda r: r[1] - r[0])
+        if not found:
+            return []
+        best, chance, like = self.judge(_lowered([b"\n".join(lines[a : b + 1]) for a, b in found]))
+        out = []
+        for (a, b), family, p, near in zip(found, best.tolist(), chance.tolist(), like.tolist()):
+            if family == NONE or p < CUTOFF or near < CONFIRMED or any(confirmed.get(i) == family for i in range(a, b + 1)):
+                continue
+            if not any(a <= c and d <= b and family == other for c, d, other, *_ in out):
+                out.append((a, b, family, p, near))
+        return out
+
 
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=1, keepdims=True))
@@ -146,7 +215,7 @@ def train(sample: list[str], seed: int = 7) -> Model:
     pairs = np.zeros((len(grams), len(templates)))
     pairs[np.searchsorted(grams, owners[2][0]), owners[2][1]] = 1
     model = Model(grams, np.zeros((len(grams), NONE + 1)), np.zeros(NONE + 1), 1.0, pairs, np.array([f for f, _ in templates]))
-    lines, _ = _lines([t.encode() for t in sample])
+    lines, _, _ = _lines([t.encode() for t in sample])
     plain = _lowered(lines) if lines else _lowered([b"nothing here"])
     text, gram = model.found(plain)
     shared = np.zeros((len(plain.counts), len(templates)))
@@ -205,10 +274,11 @@ def _sample(texts: DataFrame, n: int) -> list[str]:
 
 def scan_licenses(docs: DataFrame, text: str = "text", sample_texts: int = SAMPLE_TEXTS) -> DataFrame:
     """``docs`` with ``n_paragraphs`` and ``licenses``: for each paragraph that the classifier takes for a licence or that is
-    like one, its number from 0, ``family`` (null: unknown), ``probability``, ``likeness`` (share of a template's word pairs)
+    like one, or that begins a licence wrapped over lines, its number from 0, ``family`` (null: unknown), ``probability``, ``likeness`` (share of a template's word pairs)
     and ``confirmed``.
 
-    A family below the cut-off is unknown; paragraphs without a licence aren't listed. Null and empty texts have no
+    A family below the cut-off is unknown; paragraphs without a licence aren't listed, nor are parts of a wrapped licence by
+    themselves, unless they are confirmed or taken for another family. Null and empty texts have no
     paragraphs; repeated rows are scanned alike; an empty table gives an empty one. At most ``sample_texts`` texts, the
     first by a hash, are trained on. Columns of ``docs`` with these names are replaced.
     """
@@ -227,15 +297,25 @@ def scan_licenses(docs: DataFrame, text: str = "text", sample_texts: int = SAMPL
                 while last < len(values) and (last == first or held + len(values[last]) < 4 << 20):
                     held += len(values[last])
                     last += 1
-                lines, counts = _lines(values[first:last])
-                best, chance, like = model.judge(_lowered(lines)) if lines else (np.zeros(0, int), np.zeros(0), np.zeros(0))
+                lines, counts, follows = _lines(values[first:last])
+                block = _lowered(lines)
+                best, chance, like = model.judge(block) if lines else (np.zeros(0, int), np.zeros(0), np.zeros(0))
                 text_of = np.repeat(np.arange(len(counts)), counts)
                 number = np.arange(len(best)) - np.repeat(np.cumsum(counts) - counts, counts)
-                listed = np.flatnonzero(best < NONE)
-                sure = chance[listed] >= CUTOFF
-                families = [FAMILIES[f] if s else None for f, s in zip(best[listed].tolist(), sure.tolist())]
+                good = (best < NONE) & (chance >= CUTOFF) & (like >= CONFIRMED)
+                wrapped = model.wrapped(lines, block, follows, {int(i): int(best[i]) for i in np.flatnonzero(good)}) if lines else []
+                alone = best < NONE
+                for a, b, family, _, _ in wrapped:
+                    part = slice(a, b + 1)
+                    alone[part] &= good[part] | ((chance[part] >= CUTOFF) & (best[part] != family))
+                listed = np.concatenate((np.flatnonzero(alone), np.array([w[0] for w in wrapped], dtype=np.int64)))
+                order = np.argsort(listed, kind="stable")
+                family, chance, like = (np.concatenate((x[alone], [w[i] for w in wrapped]))[order] for i, x in ((2, best), (3, chance), (4, like)))
+                listed = listed[order]
+                sure = chance >= CUTOFF
+                families = [FAMILIES[int(f)] if s else None for f, s in zip(family.tolist(), sure.tolist())]
                 structs = pa.StructArray.from_arrays(
-                    [pa.array(number[listed], pa.int32()), pa.array(families, pa.string()), pa.array(chance[listed]), pa.array(like[listed]), pa.array(sure & (like[listed] >= CONFIRMED))],
+                    [pa.array(number[listed], pa.int32()), pa.array(families, pa.string()), pa.array(chance), pa.array(like), pa.array(sure & (like >= CONFIRMED))],
                     names=["paragraph", "family", "probability", "likeness", "confirmed"])
                 ends = np.concatenate(([0], np.cumsum(np.bincount(text_of[listed], minlength=len(counts))))).astype(np.int32)
                 rows = batch.slice(first, last - first)

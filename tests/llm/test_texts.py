@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 
 import numpy as np
 import public_tokenizers
@@ -209,6 +210,19 @@ def test_licenses_of_lines(spark):
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
 
 
+def test_licenses_wrapped_over_lines(spark):
+    long = [(f, t) for f in licenses.FAMILIES for t in licenses.TEMPLATES[f] if len(t) > 80]
+    cases = [(f, textwrap.wrap(t, width), mark) for f, t in long for width in (30, 50, 72) for mark in ("", " * ", "# ")]
+    texts = ["plain first line\nof a header\n" + "\n".join(mark + x for x in wrapped) + "\nsome more words follow here" for _, wrapped, mark in cases]
+    docs = frame(spark, texts)
+    rows = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
+    assert len(rows) == len(texts)
+    for i, (family, wrapped, _) in enumerate(cases):
+        found = [(x.paragraph, x.family) for x in rows[i].licenses if x.confirmed]
+        assert {f for _, f in found} == {family} and all(2 <= p < 2 + len(wrapped) for p, _ in found)
+        assert rows[i].n_paragraphs == 3 + len(wrapped)
+
+
 def test_license_classes_on_unseen_variants():
     filler = [f"word{i}" for i in range(200)]
     model = licenses.train([" ".join(filler[i : i + 12]) for i in range(0, 180, 3)])
