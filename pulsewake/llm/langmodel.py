@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pulsewake.llm.words import SPACED, Block, block_of, blocks, mix, runs, text_bytes
 
 BACKOFF = 0.4
+ORDER = 2
 UNSEEN = 0.5  # what a word counts that no other document has
 BLOCK_BYTES = 8 << 20
 BUCKET_WORDS = 1 << 20
@@ -36,22 +37,22 @@ def _unpack(packed: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).reshape(-1)
 
 
-def _entries(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprints of every word, of every pair of neighbours in a text, and the second words of the pairs."""
+def _entries(block: Block, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length up to ``order``, fingerprints of the n-grams that stay in a text, and their last words."""
     words = mix(block.words)
-    first = np.zeros(len(words), dtype=bool)
-    first[block.starts[:-1][block.counts > 0]] = True
-    follows = np.flatnonzero(~first)
-    pairs = mix(runs(words, 2)[follows - 1] + np.uint64(2)) if len(follows) else words[:0]
-    return words, pairs, follows
+    inside = np.arange(len(words)) - np.repeat(block.starts[:-1], block.counts)
+    out = [(words, np.arange(len(words)))]
+    for n in range(2, order + 1):
+        last = np.flatnonzero(inside >= n - 1)
+        out.append((mix(runs(words, n)[last - n + 1] + np.uint64(n)) if len(last) else words[:0], last))
+    return out
 
 
-def _sent(bits: int):
+def _sent(bits: int, order: int):
     """A block's distinct n-grams and their counts, one row for each bucket that has any."""
     def work(table: pa.Table) -> pa.Table:
         block = block_of(text_bytes(table.column("text")), SPACED, lower=True)
-        words, pairs, _ = _entries(block)
-        entries, counts = np.unique(np.concatenate((words, pairs)), return_counts=True)
+        entries, counts = np.unique(np.concatenate([prints for prints, _ in _entries(block, order)]), return_counts=True)
         bucket = (entries >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(entries), np.int64)
         cuts = np.flatnonzero(np.diff(bucket)) + 1
         parts = [p for p in zip(np.split(entries, cuts), np.split(counts, cuts), np.split(bucket, cuts)) if len(p[0])]
@@ -75,11 +76,11 @@ def _answered(table: pa.Table) -> pa.Table:
                      "totals": pa.array([_pack(t) for t in np.split(totals, cuts)], pa.binary())})
 
 
-def log_scores(block: Block, totals: np.ndarray, n_all: int, backoff: float = BACKOFF) -> np.ndarray:
+def log_scores(block: Block, totals: np.ndarray, n_all: int, backoff: float = BACKOFF, order: int = ORDER) -> np.ndarray:
     """The sum of the logarithms for each text; ``totals`` of the sorted distinct entries of the block."""
     n = len(block.counts)
-    words, pairs, follows = _entries(block)
-    entries = np.unique(np.concatenate((words, pairs)))
+    grams = _entries(block, order)
+    entries = np.unique(np.concatenate([prints for prints, _ in grams]))
     text_of = np.repeat(np.arange(n), block.counts)
 
     def others(prints: np.ndarray, texts: np.ndarray) -> np.ndarray:
@@ -87,16 +88,17 @@ def log_scores(block: Block, totals: np.ndarray, n_all: int, backoff: float = BA
         _, back, own = np.unique(texts * np.int64(max(1, len(entries))) + place, return_inverse=True, return_counts=True)
         return totals[place] - own[back]
 
-    one, two = others(words, text_of), others(pairs, text_of[follows])
+    context = others(grams[0][0], text_of)
     rest = np.maximum(n_all - block.counts, 1).astype(float)[text_of]
-    score = np.log(np.maximum(one, UNSEEN) / rest)
-    seen = two > 0
-    at = follows[seen]
-    missed = np.ones(len(words), dtype=bool)
-    missed[block.starts[:-1][block.counts > 0]] = False
-    missed[at] = False
-    score[missed] += np.log(backoff)
-    score[at] = np.log(two[seen] / one[at - 1])
+    score = np.log(np.maximum(context, UNSEEN) / rest)
+    # what each length finds takes the place of what the shorter ones found
+    for prints, last in grams[1:]:
+        own = np.zeros(len(score), dtype=np.int64)
+        own[last] = others(prints, text_of[last])
+        score[last] += np.log(backoff)
+        at = np.flatnonzero(own > 0)
+        score[at] = np.log(own[at] / context[at - 1])
+        context = own
     return np.bincount(text_of, weights=score, minlength=n).astype(float)
 
 
@@ -106,13 +108,14 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([int(block.offsets[-1])]), pa.array([len(block.words)])], names=["bytes", "words"])
 
 
-def backoff_scores(docs: DataFrame, text: str = "text", backoff: float = BACKOFF, block_bytes: int = BLOCK_BYTES, bucket_words: int = BUCKET_WORDS) -> DataFrame:
+def backoff_scores(docs: DataFrame, text: str = "text", backoff: float = BACKOFF, block_bytes: int = BLOCK_BYTES, bucket_words: int = BUCKET_WORDS,
+                   order: int = ORDER) -> DataFrame:
     """``docs`` with ``n_words``, ``log_score`` (sum of natural logarithms) and ``score`` (their mean).
 
     Words are runs of bytes other than blank and controls 9 to 13, A-Z in lower case. With the counts of all other rows, a
-    word scores the share of its pair among the occurrences of the word before it; if no other row has the pair, ``backoff``
-    times its own share of all words. The first word of a text has its own share. A word no other row has counts as half
-    an occurrence.
+    word scores the share of its n-gram of ``order`` words among the occurrences of the words before it; if no other row has the
+    n-gram, ``backoff`` times its score by the next shorter one, down to its own share of all words. The first words of a text
+    begin with the longest n-gram that fits. A word no other row has counts as half an occurrence.
 
     Null texts and texts without words have 0 words, a null score and log_score 0. Repeated rows are other rows to each
     other. An empty table gives an empty one. Columns of ``docs`` with these names are replaced. Rows are dealt into blocks
@@ -122,18 +125,20 @@ def backoff_scores(docs: DataFrame, text: str = "text", backoff: float = BACKOFF
     kept = [c for c in docs.columns if c.lower() not in made]
     docs = docs.select(*[F.col(f"`{c}`") for c in kept])
     sizes = docs.select(F.col(f"`{text}`")).mapInArrow(_measured, "bytes bigint, words bigint").agg(F.sum("bytes").alias("bytes"), F.sum("words").alias("words")).first()
+    if order < 1:
+        raise ValueError("order is at least 1")
     n_bytes, n_words = sizes["bytes"] or 0, sizes["words"] or 0
     n_blocks = n_bytes // block_bytes + 1
-    bits = max(0, (2 * n_words // bucket_words).bit_length())
+    bits = max(0, (order * n_words // bucket_words).bit_length())
     dealt = docs.withColumn("__block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_blocks)))
-    sent = dealt.groupBy("__block").applyInArrow(_renamed(_sent(bits), text), "block bigint, bucket bigint, entries binary, counts binary")
+    sent = dealt.groupBy("__block").applyInArrow(_renamed(_sent(bits, order), text), "block bigint, bucket bigint, entries binary, counts binary")
     answers = sent.groupBy("bucket").applyInArrow(_answered, "block bigint, bucket bigint, totals binary")
 
     def summed(rows: pa.Table, lists: pa.Table) -> pa.Table:
         block = block_of(text_bytes(rows.column(text)), SPACED, lower=True)
-        order = np.argsort(lists.column("bucket").to_numpy())
-        totals = [_unpack(lists.column("totals")[int(i)].as_py(), np.uint64).astype(np.int64) for i in order]
-        sums = log_scores(block, np.concatenate(totals) if totals else np.zeros(0, np.int64), n_words, backoff)
+        by_bucket = np.argsort(lists.column("bucket").to_numpy())
+        totals = [_unpack(lists.column("totals")[int(i)].as_py(), np.uint64).astype(np.int64) for i in by_bucket]
+        sums = log_scores(block, np.concatenate(totals) if totals else np.zeros(0, np.int64), n_words, backoff, order)
         own = rows.select(kept)
         own = own.append_column("n_words", pa.array(block.counts, pa.int64())).append_column("log_score", pa.array(sums))
         with np.errstate(invalid="ignore", divide="ignore"):

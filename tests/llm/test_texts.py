@@ -188,6 +188,31 @@ def test_backoff_scores_against_brute_force(spark):
     assert langmodel.backoff_scores(docs.limit(0)).count() == 0
 
 
+def test_backoff_scores_of_any_order(spark):
+    random.seed(10)
+    texts = [" ".join(random.choice("the a cat dog sat ran on mat".split()) for _ in range(random.randint(0, 30))) for _ in range(50)] + ODD
+    split = [spaced(lower(t)) for t in texts]
+    grams = lambda s, n: collections.Counter(tuple(s[i : i + n]) for i in range(len(s) - n + 1))
+    docs = frame(spark, texts)
+    for order in (1, 3, 4):
+        everywhere = [sum((grams(s, n) for s in split), collections.Counter()) for n in range(order + 1)]
+        total = sum(everywhere[1].values())
+
+        def score(own, s, i, n):
+            others = lambda g: everywhere[len(g)][g] - own[len(g)][g]
+            gram = tuple(s[i - n + 1 : i + 1])
+            if n == 1:
+                return max(others(gram), 0.5) / max(total - len(s), 1)
+            return others(gram) / others(gram[:-1]) if others(gram) > 0 else 0.4 * score(own, s, i, n - 1)
+
+        want = []
+        for s in split:
+            own = [grams(s, n) for n in range(order + 1)]
+            want.append(sum(math.log(score(own, s, i, min(order, i + 1))) for i in range(len(s))))
+        rows = langmodel.backoff_scores(docs, block_bytes=400, bucket_words=16, order=order).collect()
+        assert {r.doc_id: r.log_score for r in rows} == {i: pytest.approx(x) for i, x in enumerate(want)}
+
+
 # -- licences -----------------------------------------------------------------------------------------------------
 
 
