@@ -61,13 +61,23 @@ def _run(spark, stream, name, mode="append"):
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def _event_stream(spark, sf, columns, copies=1):
+def _zoned(spark, sf):
+    return table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _event_stream(spark, sf, columns, copies=1, files_per_batch=100):
     """Events as files with a zoned time, which watermarks need."""
     path = scratch_path(spark, "arrivals")
-    events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")).select(*columns)
+    events = _zoned(spark, sf).select(*columns)
     for _ in range(copies):
         events.write.mode("append").parquet(path)
-    return flows.stream_parquet(spark, path, events.schema)
+    return flows.stream_parquet(spark, path, events.schema, files_per_batch)
+
+
+def _span(spark, sf):
+    """A lateness under which no event is late, in whatever order and batches the files come."""
+    first, last = _zoned(spark, sf).agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    return f"{(last or 0) - (first or 0) + 3600} seconds"
 
 
 @query("t01_stream_cleanse", ORACLE_CLEANSE)
@@ -84,18 +94,22 @@ def t02(spark, sf):
 
 
 @query("t03_stream_volume", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS bucket, count(*) AS volume FROM events GROUP BY 1")
-def t03(spark, sf):
+def t03(spark, sf, files_per_batch=100):
     """Every window, the open ones as well: each micro-batch brings the counts that changed, and the last one counts."""
     path = scratch_path(spark, "volume")
-    stream = flows.volume_stream(_event_stream(spark, sf, ["event_id", "ts"]), "ts", "1 hour", "1 hour")
+    stream = flows.volume_stream(_event_stream(spark, sf, ["event_id", "ts"], files_per_batch=files_per_batch), "ts", "1 hour", _span(spark, sf))
     flows.upsert_to_files(stream, path, scratch_path(spark, "volume-state"))
     return flows.latest(spark, path, stream.schema, ["bucket"])
 
 
 @query("t04_stream_throttle", _THROTTLE.format(key="split_part(url, '/', 2)", name="page"))
-def t04(spark, sf):
-    arrivals = _event_stream(spark, sf, [F.col("user_id").cast("string").alias("page"), F.col("ts").alias("download_date")])
-    return _run(spark, flows.throttle_stream(arrivals, "page", "download_date", 6), "throttle")
+def t04(spark, sf, files_per_batch=100):
+    """All arrivals of a page are in one file, so they are put in order together, whatever the files per micro-batch."""
+    path = scratch_path(spark, "arrivals")
+    arrivals = _zoned(spark, sf).select(F.col("user_id").cast("string").alias("page"), F.col("ts").alias("download_date"))
+    arrivals.repartition("page").write.option("maxRecordsPerFile", 0).parquet(path)
+    stream = flows.stream_parquet(spark, path, arrivals.schema, files_per_batch)
+    return _run(spark, flows.throttle_stream(stream, "page", "download_date", 6, _span(spark, sf)), "throttle")
 
 
 @query("t05_stream_versions", _HISTORY + "SELECT url, id, version, ancestor, descendant FROM h")
@@ -111,11 +125,11 @@ def t05(spark, sf):
 
 
 @query("t06_stream_interval_join", ORACLE_NEAR)
-def t06(spark, sf):
-    pubs = _event_stream(spark, sf, ["event_id", "ts"])
-    trades = _event_stream(spark, sf, [F.col("event_id").alias("trade_id"), F.col("ts").alias("event_ts"), "event_type", "value"])
+def t06(spark, sf, files_per_batch=100):
+    pubs = _event_stream(spark, sf, ["event_id", "ts"], files_per_batch=files_per_batch)
+    trades = _event_stream(spark, sf, [F.col("event_id").alias("trade_id"), F.col("ts").alias("event_ts"), "event_type", "value"], files_per_batch=files_per_batch)
     big = trades.where("event_type = 'purchase' AND value > 200").select("trade_id", "event_ts")
-    return _run(spark, flows.publications_near_events(pubs, big, "ts", "event_ts", 30, "1 hour"), "near").select("event_id", "trade_id")
+    return _run(spark, flows.publications_near_events(pubs, big, "ts", "event_ts", 30, _span(spark, sf)), "near").select("event_id", "trade_id")
 
 
 @query("t07_incremental_pickup", "SELECT event_id FROM events")

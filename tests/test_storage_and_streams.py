@@ -2,6 +2,7 @@ import gzip
 from datetime import datetime, timedelta
 from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,8 @@ from pulsewake.functions import urls as ur
 from pulsewake.operators import articles as art
 from pulsewake.operators import posts as po
 from pulsewake.sources import archive, readers, sinks
+from pulsewake.plans import catalogue
+from pulsewake.plans.check import rows_of
 from pulsewake.streaming import flows
 from pulsewake.streaming.versions import VersionStore
 
@@ -194,3 +197,18 @@ def test_articles_without_a_domain_are_written(spark, tmp_path):
     sinks.write_articles_by_domain(articles, str(tmp_path / "d"))
     back = spark.read.schema("title string, source_domain string").json(str(tmp_path / "d")).collect()
     assert sorted((r.title, r.source_domain) for r in back) == [("a", None), ("b", None), ("c", "e.com")]
+
+
+@pytest.mark.parametrize("name", ["t03_stream_volume", "t04_stream_throttle", "t06_stream_interval_join"])
+def test_stream_queries_do_not_depend_on_batches(spark, tmp_path, name):
+    rows = [(i, T0 + timedelta(minutes=11 * (i * 37 % 600)), i % 3, "purchase" if i % 2 else "view", 210.0, '{"k": 1}') for i in range(600)]
+    events = spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
+    parts = [events.where(F.col("event_id") % 6 == k).coalesce(1) for k in range(6)]
+    for part in parts:
+        part.write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    result = con.execute(catalogue.ORACLES[name])
+    want = rows_of([d[0] for d in result.description], result.fetchall())
+    got = catalogue.QUERIES[name](spark, str(tmp_path), files_per_batch=1)
+    assert rows_of(got.columns, got.collect()) == want and len(want) > 50
