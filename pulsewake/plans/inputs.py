@@ -30,8 +30,7 @@ INPUTS: dict[str, tuple[str, str]] = {
     "views": ("events", "SELECT event_id, ts FROM {events} WHERE event_type = 'view'"),
     "edges": ("events", """
         SELECT DISTINCT CAST(user_id AS STRING) AS src, regexp_extract(props, '[0-9]+', 0) AS dst
-        FROM {events}
-        WHERE event_type = 'error' AND CAST(user_id AS STRING) <> regexp_extract(props, '[0-9]+', 0)"""),
+        FROM {events}"""),
     "accounts": ("customer", """
         SELECT c_name AS twitter_handle_name, CAST(c_custkey AS STRING) AS twitter_handle_id,
                c_mktsegment AS twitter_handle_desc, c_acctbal AS followers_count,

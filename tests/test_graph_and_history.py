@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsewake.operators import graph as g
 from pulsewake.operators import history as h
+from pulsewake.plans.inputs import given, table
 
 EDGES = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "a"), ("c", "d"), ("a", "b"), ("e", "e"), ("f", "g")]
 
@@ -157,3 +158,11 @@ def test_throttle_brute_force_with_a_hot_page(spark):
 
 def test_throttle_without_arrivals(spark):
     assert h.throttle(arrivals(spark, [("p", 1)]).where(F.lit(False)), "url", "at", 6).count() == 0
+
+
+def test_edge_stand_in_has_the_pairs_of_all_events(spark):
+    folder = "/root/testdata/sf0.001"
+    events = table(spark, folder, "events").select(F.col("user_id").cast("string"), F.get_json_object("props", "$.k"))
+    want = {tuple(r) for r in events.collect()}
+    got = [tuple(r) for r in given(spark, folder, "edges").collect()]
+    assert set(got) == want and len(got) == len(want)
