@@ -292,12 +292,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     A document's set: distinct runs of ``shingle`` words (bytes other than blank and controls 9 to 13, A-Z in lower
     case); with fewer words the whole sequence. Two are linked if their sets share ``threshold`` per cent of the union.
+    The filters before the comparison of full sets are made for 75 per cent: lower thresholds are refused.
     ``group`` numbers the connected components, ``component_id`` is the least id in one.
 
     Null or empty texts and texts without words have ``n_shingles`` 0, no group, and their own id as component. Null ids
     take part and are never the least; a group of null ids only has a null component. Repeated rows are one class, and an
     empty table gives an empty one.
     """
+    if threshold < THRESHOLD:
+        raise ValueError(f"the signature filter and the number of roots are made for thresholds of {THRESHOLD} and more")
     keyed = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.hash(f"`{text}`").alias("tag"), F.col(f"`{text}`").alias("text"))
     members = written(keyed.mapInArrow(_signed(shingle), "id bigint, tag int, n bigint, d1 bigint, d2 bigint, tokens array<int>"), "members")
     classes = members.where("n > 0").groupBy("d1", "d2").agg(

@@ -125,6 +125,12 @@ def test_near_duplicates_with_null_and_equal_ids(spark):
     assert near.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_thresholds_the_filter_is_not_made_for_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        near.near_duplicates(docs, threshold=50)
+
+
 def test_similarity_at_the_threshold():
     import numpy as np
 
