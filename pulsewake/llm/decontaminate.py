@@ -3,8 +3,8 @@
 The documents of a task are taken in shards of a few megabytes. Each shard gets a suffix array over its words, and every
 suffix of every benchmark text is looked up in it by binary search: the range of suffixes that begin with the same words
 holds all places of a match. Nothing but the benchmark moves between machines: a document lies in one shard, so its own
-task finds all its matches. The benchmark is sent to the tasks in blocks of bounded size, one pass over the documents
-for each, whatever its size.
+task finds all its matches. The benchmark is indexed in blocks of bounded size, but each worker holds all of them in one pass over
+the documents, so it has to fit into memory.
 """
 
 from __future__ import annotations
