@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsewake.llm import bpe, decontaminate, langmodel, licenses, near, repeats, search, toxicity, urlfilter, warc
+from pulsewake.llm import audit, bpe, decontaminate, langmodel, licenses, near, repeats, search, toxicity, urlfilter, warc
 from pulsewake.runtime import scratch_path
 
 QUERIES = {}
@@ -207,3 +207,41 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = search.integer_vectors(read(spark, sf_dir, "embeddings"))
     return search.top_k(vectors, vectors.where("id % 20 = 0"), k=20)
+
+
+@query("op11_filter_audit", r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(CAST(source AS VARCHAR), '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+fails AS (
+  SELECT part, CAST(len(w) < 200 AS INTEGER) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INTEGER)
+         + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS INTEGER)
+         + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INTEGER)
+         + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), FALSE) AS INTEGER) AS mask,
+         CAST(EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND quality = 1) AS INTEGER) AS good,
+         CAST(EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND toxic = 1) AS INTEGER) AS toxic FROM docs d),
+counts AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM fails GROUP BY 1, 2),
+letters(l, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits
+  FROM letters a JOIN letters b ON a.b <> b.b JOIN letters c ON c.b NOT IN (a.b, b.b) JOIN letters d ON d.b NOT IN (a.b, b.b, c.b)
+  JOIN letters e ON e.b NOT IN (a.b, b.b, c.b, d.b)),
+steps AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, bits[step] AS own, CAST(coalesce(list_sum(bits[1 : step - 1]), 0) AS INTEGER) AS gone
+  FROM (SELECT *, unnest(range(1, 6)) AS step FROM orders)),
+every AS (
+  SELECT part, filter_order, step, own, sum(CASE WHEN mask & (gone | own) = 0 THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN mask & own <> 0 AND mask & gone = 0 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN mask & own <> 0 AND mask & gone <> 0 THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN mask & own <> 0 AND mask & gone = 0 THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN mask & own <> 0 AND mask & gone = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM counts, steps GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM every
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = audit.failures(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return audit.audit(audit.combinations(failed, read(spark, sf_dir, "labels")), "".join(audit.CONDITIONS) + audit.REPEATED)
