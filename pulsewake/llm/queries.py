@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsewake.llm import audit, bpe, decontaminate, langmodel, licenses, near, repeats, search, toxicity, urlfilter, warc
+from pulsewake.llm import audit, bpe, conversations, decontaminate, langmodel, licenses, near, repeats, search, toxicity, urlfilter, warc
 from pulsewake.runtime import scratch_path
 
 QUERIES = {}
@@ -245,3 +245,59 @@ FROM every
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = audit.failures(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return audit.audit(audit.combinations(failed, read(spark, sf_dir, "labels")), "".join(audit.CONDITIONS) + audit.REPEATED)
+
+
+@query("op13_conversation_repair", r"""
+WITH RECURSIVE bytes AS (
+  SELECT *, [CAST(strpos('0123456789abcdef', substr(h, 2 * i + 1, 1)) - 1 AS BIGINT) * 16 + strpos('0123456789abcdef', substr(h, 2 * i + 2, 1)) - 1
+             FOR i IN range(0, length(h) // 2)] AS b
+  FROM (SELECT *, lower(hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')))) AS h FROM conversations)),
+faults AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, x:
+         list_reduce(list_prepend(xor(c, x), range(8)), lambda v, i: xor(v >> 1, CASE WHEN v & 1 = 1 THEN CAST(3988292384 AS BIGINT) ELSE 0 END))), 4294967295) % 20 AS k
+  FROM bytes),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+         CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM faults WHERE k <> 0),
+placed AS (
+  SELECT *, CAST(dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS BIGINT) AS c,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || ':' || text)) AS i FROM damaged),
+marked AS (
+  SELECT *, substr(role, 1, 1) AS s, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS again,
+         NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut, lag(substr(role, 1, 1)) OVER (PARTITION BY c ORDER BY i) AS before FROM placed),
+counts AS (
+  SELECT conv_id, c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+         count(*) FILTER (WHERE again AND NOT blank) AS duplicate, count(*) FILTER (WHERE cut AND NOT blank AND NOT again) AS truncated,
+         count(*) FILTER (WHERE i > 1 AND before || s NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM marked GROUP BY ALL),
+-- a state: 0 nothing yet, 1 after the system, 2 after a user, 3 after an assistant; three steps of inserts and one of the row
+states(c, i, q, cost, audit, said) AS (
+  SELECT c, CAST(0 AS BIGINT), 0, CAST(0 AS BIGINT), '', '' FROM counts
+  UNION ALL
+  SELECT c, i, q, cost, audit, said FROM (
+    SELECT *, row_number() OVER (PARTITION BY c, q ORDER BY cost, audit) AS best FROM (
+      SELECT m.c, m.i, CAST(e.q AS INTEGER) AS q, p.cost + e.cost AS cost, p.audit || e.letter AS audit, p.said || e.said AS said
+      FROM (SELECT c, i, 0 AS k, q, cost, audit, said FROM states
+            UNION ALL SELECT c, i, 1, CASE q WHEN 2 THEN 3 ELSE 2 END, cost + 3, audit || 'I', said || CASE q WHEN 2 THEN chr(10) || 'assistant:' ELSE chr(10) || 'user:' END FROM states
+            UNION ALL SELECT c, i, 2, CASE q WHEN 2 THEN 2 ELSE 3 END, cost + 6, audit || 'II',
+                      said || CASE q WHEN 2 THEN chr(10) || 'assistant:' || chr(10) || 'user:' ELSE chr(10) || 'user:' || chr(10) || 'assistant:' END FROM states) p
+      JOIN marked m ON m.c = p.c AND m.i = p.i + 1,
+      LATERAL (SELECT 'D' AS letter, p.q AS q, 4 AS cost, '' AS said
+               UNION ALL SELECT 'K', CASE m.s WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, CASE WHEN m.cut THEN 3 ELSE 0 END, chr(10) || m.role || ':' || m.text
+               WHERE NOT m.blank AND NOT m.again AND ((m.s = 's' AND p.q = 0) OR (m.s = 'u' AND p.q <> 2) OR (m.s = 'a' AND p.q = 2))
+               UNION ALL SELECT 'R', CASE p.q WHEN 2 THEN 3 ELSE 2 END, CASE WHEN m.cut THEN 6 ELSE 3 END,
+                                chr(10) || CASE p.q WHEN 2 THEN 'assistant:' ELSE 'user:' END || m.text WHERE NOT m.blank AND NOT m.again) e))
+  WHERE best = 1),
+ends AS (
+  SELECT s.c, s.cost + CASE q WHEN 1 THEN 6 WHEN 2 THEN 3 ELSE 0 END AS cost, audit || CASE q WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END AS audit,
+         said || CASE q WHEN 1 THEN chr(10) || 'user:' || chr(10) || 'assistant:' WHEN 2 THEN chr(10) || 'assistant:' ELSE '' END AS said
+  FROM states s JOIN counts n ON n.c = s.c AND n.n = s.i),
+cheapest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY cost, audit) AS best FROM ends) WHERE best = 1)
+SELECT ids.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(substr(said, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN cheapest USING (c)
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations")
+    return conversations.audit(conversations.damaged(rows), ids=rows)
