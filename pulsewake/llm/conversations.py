@@ -162,30 +162,33 @@ _SEGMENT = [("seg", pa.int64()), ("codes", pa.binary()), ("digests", pa.binary()
 _SEGMENT_SQL = "seg bigint, codes binary, digests binary, low bigint, high bigint, turns bigint"
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _segments(size: int):
     """Sorted rows ``conv, turn, code, digest`` to segments of one conversation, numbered in the order of the sort."""
-    number = TaskContext.get().partitionId() << 33
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        conv = batch.column(0).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-        cuts = np.concatenate(([0], np.flatnonzero(conv[1:] != conv[:-1]) + 1, [n]))
-        begins = np.concatenate([np.arange(a, b, SEGMENT) for a, b in zip(cuts[:-1], cuts[1:])])
-        ends = np.concatenate((begins[1:], [n]))
-        turn = batch.column(1)
-        timed = ~turn.is_null().to_numpy(zero_copy_only=False)
-        turns = turn.fill_null(0).to_numpy()
-        codes = batch.column(2).to_numpy().astype(np.uint8).tobytes()
-        digests = b"".join(batch.column(3).to_pylist())
-        own = []
-        for a, b in zip(begins.tolist(), ends.tolist()):
-            known = turns[a:b][timed[a:b]]
-            low, high = (int(known[0]), int(known[-1])) if len(known) else (None, None)
-            own.append((number, codes[a:b], digests[16 * a : 16 * b], low, high, len(np.unique(known))))
-            number += 1
-        columns = [pa.array(c, k) for c, (_, k) in zip(zip(*own), _SEGMENT)]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(begins)), *columns], names=["conv", *(x for x, _ in _SEGMENT)])
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            conv = batch.column(0).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            cuts = np.concatenate(([0], np.flatnonzero(conv[1:] != conv[:-1]) + 1, [n]))
+            begins = np.concatenate([np.arange(a, b, size) for a, b in zip(cuts[:-1], cuts[1:])])
+            ends = np.concatenate((begins[1:], [n]))
+            turn = batch.column(1)
+            timed = ~turn.is_null().to_numpy(zero_copy_only=False)
+            turns = turn.fill_null(0).to_numpy()
+            codes = batch.column(2).to_numpy().astype(np.uint8).tobytes()
+            digests = b"".join(batch.column(3).to_pylist())
+            own = []
+            for a, b in zip(begins.tolist(), ends.tolist()):
+                known = turns[a:b][timed[a:b]]
+                low, high = (int(known[0]), int(known[-1])) if len(known) else (None, None)
+                own.append((number, codes[a:b], digests[16 * a : 16 * b], low, high, len(np.unique(known))))
+                number += 1
+            columns = [pa.array(c, k) for c, (_, k) in zip(zip(*own), _SEGMENT)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(begins)), *columns], names=["conv", *(x for x, _ in _SEGMENT)])
+
+    return work
 
 
 def _parts(codes: bytes, digests: bytes) -> list[bytes]:
@@ -401,7 +404,7 @@ def _prepared(rows: DataFrame, conv_id: str, turn: str, role: str, text: str) ->
     return own.withColumn("digest", F.unhex(F.md5(F.concat_ws(":", F.length("role").cast("string"), "role", "text"))))
 
 
-def _analysed(own: DataFrame) -> DataFrame:
+def _analysed(own: DataFrame, size: int) -> DataFrame:
     """One row per segment, with its letters by state coming in."""
     spark = own.sparkSession
     conv = own.schema["conv"].dataType.simpleString()
@@ -413,9 +416,9 @@ def _analysed(own: DataFrame) -> DataFrame:
     ranges = max(RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = [F.col("conv").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role"), F.col("digest")]
     dealt = keys.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
-    segments = written(dealt.select("conv", "turn", "code", "digest").mapInArrow(_segments, f"conv {conv}, {_SEGMENT_SQL}"), "segments")
+    segments = written(dealt.select("conv", "turn", "code", "digest").mapInArrow(_segments(size), f"conv {conv}, {_SEGMENT_SQL}"), "segments")
     seen = segments.select("conv", "seg", "codes", "digests").mapInArrow(_distinct, f"conv {conv}, seg bigint, digest binary")
-    first = seen.groupBy("conv", "digest").agg(F.min("seg").alias("seg")).groupBy("seg").agg(F.collect_list("digest").alias("own"))  # at most SEGMENT
+    first = seen.groupBy("conv", "digest").agg(F.min("seg").alias("seg")).groupBy("seg").agg(F.collect_list("digest").alias("own"))  # at most ``size``
     joined = segments.join(first, "seg", "left").select("conv", "seg", "codes", "digests", "own")
     faults = joined.mapInArrow(_condensed, f"conv {conv}, seg bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, "
                                "head int, tail int, runs array<int>, matrix array<bigint>")
@@ -426,9 +429,9 @@ def _analysed(own: DataFrame) -> DataFrame:
     return faults.drop("runs", "matrix").join(letters, "seg")
 
 
-def _follow(rows: DataFrame, names: tuple[str, str, str, str], turns: bool, ids: DataFrame | None = None) -> DataFrame:
+def _follow(rows: DataFrame, names: tuple[str, str, str, str], turns: bool, size: int, ids: DataFrame | None = None) -> DataFrame:
     own = _prepared(rows, *names)
-    segments = _analysed(own).select("conv", F.lit(1).alias("kind"), "seg", F.struct(*_SEGMENT_FIELDS).alias("segment"))
+    segments = _analysed(own, size).select("conv", F.lit(1).alias("kind"), "seg", F.struct(*_SEGMENT_FIELDS).alias("segment"))
     every = own.select("conv") if ids is None else own.select("conv").unionByName(ids.select(F.col(f"`{names[0]}`").alias("conv")))
     begins = every.distinct().withColumn("kind", F.lit(0))
     texts = own.withColumn("kind", F.lit(2))
@@ -453,7 +456,8 @@ def damaged(rows: DataFrame) -> DataFrame:
     return rows.where(fault != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), twice.alias("copy")).drop("copy")
 
 
-def audit(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", ids: DataFrame | None = None) -> DataFrame:
+def audit(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", ids: DataFrame | None = None,
+          segment: int = SEGMENT) -> DataFrame:
     """One row per conversation: faults, least cost, the letters of its edits and the digest of its repaired turns.
 
     ``gaps`` are turns missing between the least and the largest one. Of each row the first fault counts: ``blank`` (nothing but
@@ -467,12 +471,12 @@ def audit(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: s
     but without rows get zeros, an empty ``audit`` and the digest of nothing; an empty table gives an empty one. Other columns
     are not read.
     """
-    return _follow(rows, (conv_id, turn, role, text), False, ids)
+    return _follow(rows, (conv_id, turn, role, text), False, segment, ids)
 
 
-def repaired(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def repaired(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", segment: int = SEGMENT) -> DataFrame:
     """The turns of the repaired conversations: ``place`` from 1, ``edit`` (K, R, I), the ``turn`` they come from, ``role``, ``text``.
 
     Odd rows are taken as in :func:`audit`; a conversation whose repair is empty has no turns.
     """
-    return _follow(rows, (conv_id, turn, role, text), True)
+    return _follow(rows, (conv_id, turn, role, text), True, segment)
