@@ -6,8 +6,9 @@ with those of the other failures, and from there on only counts of bit combinati
 ``2 ** filters`` per part, whatever the size of the corpus. All orders of the filters are read off these counts.
 
 The right side of the self-join has one row per hash and text, its least id, combined before the shuffle, so no group of
-copies is paired with itself. Only texts whose hash occurs again are looked at; a hash with more rows than a 4096th of the
-corpus is dealt over as many salts as it needs. There are at most 4096 such hashes, so their list is broadcast.
+copies is paired with itself. Texts move only if their hash may occur again: a bitmap of at most ``FILTER_WORDS`` longs, which
+is broadcast, keeps the others where they are; when it gets full it lets more of them pass. A hash with more rows than a 4096th
+of the corpus is dealt over as many salts as it needs. There are at most 4096 such hashes, so their list is broadcast.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 10_000
 HOT_SHARE = 4096
+FILTER_WORDS = 1 << 18
 
 
 def words(text: Column) -> Column:
@@ -51,7 +53,10 @@ def _repeats(rows: DataFrame) -> DataFrame:
     share = F.greatest(F.lit(HOT_ROWS), F.ceil(rows.agg(F.count(F.lit(1)).alias("n")).select("n").scalar() / HOT_SHARE))
     salted = counts.withColumn("salts", F.ceil(F.col("n") / share))
     hot = salted.where("salts > 1").select("h", "salts")  # fewer than HOT_SHARE rows
-    dealt = rows.join(F.broadcast(hot), "h", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1)))).drop("salts")
+    word, bit = F.pmod("h", F.lit(FILTER_WORDS)), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright("h", 48).bitwiseAND(63).cast("int"))
+    bitmap = counts.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))  # at most FILTER_WORDS rows
+    likely = rows.join(F.broadcast(bitmap), word == F.col("word")).where(F.col("bits").bitwiseAND(bit) != 0).drop("word", "bits")
+    dealt = likely.join(F.broadcast(hot), "h", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1)))).drop("salts")
     spread = salted.select("h", "salts", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"))
     again = dealt.join(spread, ["h", "salt"])
     least = again.groupBy("h", "text").agg(F.min("id").alias("least"), F.first("salts").alias("salts"))
