@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsewake.llm import audit, bpe, conversations, decontaminate, langmodel, licenses, near, repeats, search, toxicity, urlfilter, warc
+from pulsewake.llm import audit, bpe, conversations, decontaminate, langmodel, licenses, near, prefixes, repeats, search, toxicity, urlfilter, warc
 from pulsewake.runtime import scratch_path
 
 QUERIES = {}
@@ -247,6 +247,27 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(audit.combinations(failed, read(spark, sf_dir, "labels")), "".join(audit.CONDITIONS) + audit.REPEATED)
 
 
+@query("op12_grouped_prefix_join", r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM shared s JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * s.n >= 80 * (x.n + y.n - s.n)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a AS doc_id, min(b) AS b FROM reach GROUP BY 1)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id
+FROM words LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prefixes.similar_documents(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 @query("op13_conversation_repair", r"""
 WITH RECURSIVE bytes AS (
   SELECT *, [CAST(strpos('0123456789abcdef', substr(h, 2 * i + 1, 1)) - 1 AS BIGINT) * 16 + strpos('0123456789abcdef', substr(h, 2 * i + 2, 1)) - 1
