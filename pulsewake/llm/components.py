@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from pulsewake.runtime import scratch_path
 
@@ -15,6 +16,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def plain_id(docs: DataFrame, doc_id: str) -> tuple[Column, str]:
+    """The id column with its type: whole numbers as bigint, anything else as it is."""
+    kind = docs.select(F.col(f"`{doc_id}`")).schema[0].dataType
+    whole = isinstance(kind, IntegralType)
+    return F.col(f"`{doc_id}`").cast("bigint" if whole else kind), "bigint" if whole else kind.simpleString()
+
+
 def connected(pairs: DataFrame) -> DataFrame:
     """Columns ``a``, ``b`` in; ``node``, ``root`` out, the root being the least id of the component.
 

@@ -30,7 +30,6 @@ from pyspark.sql.types import StructType
 from pulsewake.llm.components import written
 
 SEGMENT = 4096
-RANGES = 64  # of the sort, at least
 INF = 1 << 50
 STATES = range(4)  # nothing yet, after the system, after a user, after an assistant
 AFTER = (2, 2, 3, 2)  # where the turn goes that a state asks for: a user, but an assistant after a user
@@ -406,16 +405,14 @@ def _prepared(rows: DataFrame, conv_id: str, turn: str, role: str, text: str) ->
 
 def _analysed(own: DataFrame, size: int) -> DataFrame:
     """One row per segment, with its letters by state coming in."""
-    spark = own.sparkSession
     conv = own.schema["conv"].dataType.simpleString()
     blank = ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     cut = ~F.col("text").rlike(r"[.!?][\x20\x09-\x0D]*\z")
     kind = F.coalesce(*[F.when(F.substring("role", 1, 1) == c, i) for i, c in enumerate(CLASSES)], F.lit(3))
     code = kind + F.when(blank, 4).otherwise(0) + F.when(cut, 8).otherwise(0)
     keys = own.select("conv", "turn", "role", "digest", code.cast("int").alias("code"))
-    ranges = max(RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = [F.col("conv").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role"), F.col("digest")]
-    dealt = keys.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    dealt = keys.repartitionByRange(*order).sortWithinPartitions(*order)
     segments = written(dealt.select("conv", "turn", "code", "digest").mapInArrow(_segments(size), f"conv {conv}, {_SEGMENT_SQL}"), "segments")
     seen = segments.select("conv", "seg", "codes", "digests").mapInArrow(_distinct, f"conv {conv}, seg bigint, digest binary")
     first = seen.groupBy("conv", "digest").agg(F.min("seg").alias("seg")).groupBy("seg").agg(F.collect_list("digest").alias("own"))  # at most ``size``

@@ -4,8 +4,9 @@ A document is the set of its shingles. Documents with equal sets are one class f
 signature of minwise tokens; a tree sends it down paths of chosen tokens: at the root and at each further node one or
 two places of the signature are selected, the same for all classes there, and classes with equal tokens at a place go
 on together. A node that is small enough is compared exhaustively; large nodes branch again. Independent trees make
-it sure that a pair that parts in one tree meets in another: a pair at the threshold misses all roots with probability
-``(1 - 0.75) ** 16``.
+it likely that a pair that parts in one tree meets in another. A pair at the threshold keeps 0.75 paths a place, and half of
+the nodes select two places, so below each common root its paths grow by 1.125 a level and never run out with a chance of 0.44,
+however deep the tree gets. The number of trees follows from that and the recall aimed at.
 
 Comparing goes from cheap to exact. In a node, signatures rule out what can't be similar (a true pair fails that with
 a chance of 1e-8) and cut the node into groups; equal groups of several trees are one; in a group links are confirmed on
@@ -19,19 +20,20 @@ all the others, block by block; the rest branches on.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsewake.llm.components import connected, written
+from pulsewake.llm.components import also_connected, connected, plain_id, sifted, written
 from pulsewake.llm.words import SPACED, Block, blocks, mix, runs, second
 
 SHINGLE = 5
 THRESHOLD = 75
-TREES = 12
+TARGET = 0.999  # recall of pairs at the threshold in trees of any depth
 PLACES = 96
 NODE = 1024
 LEVELS = 4
@@ -99,35 +101,35 @@ def _sets(size: int):
 # -- comparing ----------------------------------------------------------------------------------------------------
 
 
-class _Union:
-    def __init__(self, n: int):
-        self.up = list(range(n))
+def _reached(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[np.ndarray]:
+    """Connected groups of two and more out of ``n``: ``near`` gives those of the places asked for that are linked with one.
 
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        self.up[max(a, b)] = min(a, b)
+    Each place is compared with those that no group holds yet, so the members of a group aren't compared once they are in it.
+    """
+    left, out = np.arange(n), []
+    while len(left) > 1:
+        group, left, at = [int(left[0])], left[1:], 0
+        while at < len(group) and len(left):
+            found = near(group[at], left)
+            group += left[found].tolist()
+            left = left[~found]
+            at += 1
+        if len(group) > 1:
+            out.append(np.array(sorted(group)))
+    return out
 
 
 def alike_groups(tokens: np.ndarray, sizes: np.ndarray, threshold: int) -> list[np.ndarray]:
     """Members of a node that may be linked, in connected groups of two and more."""
-    n = len(sizes)
     least = PLACES // 2
-    union = _Union(n)
-    for i in range(n - 1):
-        may = 100 * np.minimum(sizes[i], sizes[i + 1 :]) >= threshold * np.maximum(sizes[i], sizes[i + 1 :])
-        may &= (tokens[i + 1 :] == tokens[i]).sum(axis=1) >= least
-        for j in (np.flatnonzero(may) + i + 1).tolist():
-            union.join(i, j)
-    roots = np.array([union.find(i) for i in range(n)])
-    order = np.argsort(roots, kind="stable")
-    cuts = np.flatnonzero(np.diff(roots[order])) + 1
-    return [g for g in np.split(order, cuts) if len(g) > 1]
+
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        may = 100 * np.minimum(sizes[i], sizes[others]) >= threshold * np.maximum(sizes[i], sizes[others])
+        at = np.flatnonzero(may)
+        may[at] = (tokens[others[at]] == tokens[i]).sum(axis=1) >= least
+        return may
+
+    return _reached(len(sizes), near)
 
 
 def _grouped(threshold: int):
@@ -154,20 +156,34 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
 
 
 def confirmed(sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
-    """What the full sets connect, as links of every member to the first of its component; no two members of a
-    component are compared once they are connected."""
-    union, groups = _Union(len(sets)), {}
-    for i in range(len(sets)):
-        for root in sorted(groups, key=lambda r: -len(groups[r])):
-            for j in groups[root]:
-                if linked(sets[i], sets[j], threshold):
-                    union.join(j, i)
-                    break
-        joined = [r for r in groups if union.find(r) == union.find(i)]
-        merged = [i] + [m for r in joined for m in groups.pop(r)]
-        merged.sort()
-        groups[union.find(i)] = merged
-    return [(root, i) for i in range(len(sets)) if (root := union.find(i)) != i]
+    """What the full sets connect, as links of every member to the first of its component.
+
+    One set is compared with many at once: its tokens are looked up in lists of the sets that hold each token.
+    """
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    begins = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    listed, index = None, None
+
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        nonlocal listed, index
+        if listed is None or 2 * len(others) < len(listed):  # lists of those that are left
+            listed = others
+            inside = np.zeros(len(sets), dtype=bool)
+            inside[others] = True
+            entries = np.flatnonzero(inside[owner])
+            entries = entries[np.argsort(token[entries], kind="stable")]
+            starts = np.searchsorted(token[entries], np.arange(token.max() + 2))
+            index = owner[entries], starts
+        owners, starts = index
+        own = token[begins[i] : begins[i] + sizes[i]]
+        counts = starts[own + 1] - starts[own]
+        places = np.repeat(starts[own] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        both = np.bincount(owners[places], minlength=len(sets))[others]
+        return 100 * both >= threshold * (sizes[i] + sizes[others] - both)
+
+    return [(int(g[0]), int(j)) for g in _reached(len(sets), near) for j in g[1:]]
 
 
 def _confirmed(threshold: int):
@@ -186,7 +202,7 @@ def _confirmed(threshold: int):
 
 
 def _paths(levels: int):
-    """The nodes below large ones, ``levels`` deep: one place of the signature for each node, for a third of them two."""
+    """The nodes below large ones, ``levels`` deep: one place of the signature for each node, for half of them two."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node = batch.column(0).to_numpy().view(np.uint64)
@@ -195,7 +211,7 @@ def _paths(levels: int):
             for level in range(1, levels + 1):
                 parent, parent_row, nodes, rows = node, row, [], []
                 for k in (0, 1):
-                    taken = np.flatnonzero(parent % np.uint64(3) == 0) if k else np.arange(len(parent))
+                    taken = np.flatnonzero(mix(parent + np.uint64(3)) & np.uint64(1)) if k else np.arange(len(parent))
                     seed = mix(parent[taken] + np.uint64(k + 1))
                     token = tokens[parent_row[taken], (seed % np.uint64(PLACES)).astype(np.int64)].view(np.uint32).astype(np.uint64)
                     nodes.append(mix(seed ^ mix(token)))
@@ -218,9 +234,9 @@ class _Join:
     def __init__(self, keyed: DataFrame, classes: DataFrame, size: int, threshold: int, node: int):
         self.keyed, self.classes, self.size, self.threshold, self.node = keyed, classes, size, threshold, node
         self.sets: DataFrame | None = None
-        self.links: DataFrame | None = None
+        self.roots: DataFrame | None = None
 
-    def compare(self, cells: DataFrame, stuck: DataFrame) -> None:
+    def compare(self, cells: DataFrame, stuck: DataFrame | None) -> None:
         """``node``, ``class``: confirm the links within each node; nodes are small."""
         tokens = cells.join(self.classes.select("class", "n", "tokens"), "class")
         lists = tokens.groupBy("node").agg(*[F.collect_list(c).alias(c) for c in ("class", "n", "tokens")]).drop("node")
@@ -228,14 +244,16 @@ class _Join:
                          .withColumn("group", F.monotonically_increasing_id()), "groups")
         members = groups.select("group", F.explode("members").alias("class"))
         if self.sets is None:
-            self.sets = self._full_sets(members.select("class").unionByName(stuck.select("class")).distinct())
+            wanted = members.select("class")
+            self.sets = self._full_sets((wanted if stuck is None else wanted.unionByName(stuck.select("class"))).distinct())
         full = members.join(self.sets, "class").groupBy("group").agg(F.collect_list("class").alias("class"), F.collect_list("hashes").alias("hashes")).drop("group")
         found = written(full.mapInArrow(_confirmed(self.threshold), "a bigint, b bigint"), "links")
-        self.links = found if self.links is None else self.links.unionByName(found)
+        self.roots = written(connected(found) if self.roots is None else also_connected(self.roots, found), "roots")
 
     def _full_sets(self, wanted: DataFrame) -> DataFrame:
-        of = self.classes.join(wanted, "class", "left_semi").select("class", F.col("id").alias("__id"), F.col("tag").alias("__tag"))
-        texts = self.keyed.join(of, self.keyed["id"].eqNullSafe(F.col("__id")) & (self.keyed["tag"] == F.col("__tag"))).select("class", "text")
+        of = written(self.classes.join(wanted, "class", "left_semi").select("class", F.col("id").alias("__id"), F.col("tag").alias("__tag")), "wanted")
+        own = sifted(self.keyed, F.xxhash64("id", "tag"), of.select(F.xxhash64("__id", "__tag")))
+        texts = own.join(of, F.col("id").eqNullSafe(F.col("__id")) & (F.col("tag") == F.col("__tag"))).select("class", "text")
         return written(texts.mapInArrow(_sets(self.size), "class bigint, hashes binary").groupBy("class").agg(F.first("hashes").alias("hashes")), "sets")
 
     def descend(self, large: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -259,8 +277,7 @@ class _Join:
 
     def open_nodes(self, stuck: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Of large nodes that are not yet one component: cells for those with few stragglers, and the others."""
-        roots = connected(self.links)
-        marked = written(stuck.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("node", "class", "size", F.coalesce("root", "class").alias("root")), "marked")
+        marked = written(stuck.join(self.roots.select(F.col("node").alias("class"), "root"), "class", "left").select("node", "class", "size", F.coalesce("root", "class").alias("root")), "marked")
         parts = marked.groupBy("node", "root").agg(F.count(F.lit(1)).alias("part"), F.first("size").alias("size"))
         main = parts.groupBy("node").agg(F.max_by("root", F.struct("part", "root")).alias("main"), (F.first("size") - F.max("part")).alias("rest"))
         rows = written(marked.join(main.where("rest > 0"), "node"), "open")
@@ -272,10 +289,18 @@ class _Join:
         return cells, rows.where(F.col("rest") > half).select("node", "class", "size")
 
 
+def trees_for(target: float, threshold: int) -> int:
+    """Trees that a pair at the threshold needs to meet in one of them with a chance of ``target``, in trees of any depth."""
+    kept, lost = threshold / 100, 0.0
+    for _ in range(10_000):  # the chance that all paths below a common root run out: the least fixed point
+        part = 1 - kept + kept * lost
+        lost = (part + part * part) / 2
+    return math.ceil(math.log(1 - target) / math.log(1 - kept * (1 - lost)))
+
+
 def _roots(classes: DataFrame, trees: int) -> DataFrame:
-    """The first nodes of every class: tree ``t`` selects place ``t``, every third tree one place more."""
-    chosen = [*range(trees), *range(trees, trees + trees // 3)]
-    nodes = F.array(*[F.xxhash64(F.lit(k), F.col("tokens")[k]) for k in chosen])
+    """The first nodes of every class: tree ``t`` selects place ``t``."""
+    nodes = F.array(*[F.xxhash64(F.lit(k), F.col("tokens")[k]) for k in range(trees)])
     return classes.select("class", F.explode(nodes).alias("node"))
 
 
@@ -287,36 +312,42 @@ def _sized(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, threshold: int = THRESHOLD,
-                    trees: int = TREES, node: int = NODE) -> DataFrame:
+                    target: float = TARGET, node: int = NODE) -> DataFrame:
     """One row per document: ``id``, ``tag`` (a hash of the text), ``n_shingles``, ``group`` and ``component_id``.
 
     A document's set: distinct runs of ``shingle`` words (bytes other than blank and controls 9 to 13, A-Z in lower
     case); with fewer words the whole sequence. Two are linked if their sets share ``threshold`` per cent of the union.
     The filters before the comparison of full sets are made for 75 per cent: lower thresholds are refused.
-    ``group`` numbers the connected components, ``component_id`` is the least id in one.
+    ``group`` numbers the connected components, ``component_id`` is the least id in one. ``target`` is the chance that a pair at the
+    threshold is compared; it needs no more than 96 trees.
 
     Null or empty texts and texts without words have ``n_shingles`` 0, no group, and their own id as component. Null ids
     take part and are never the least; a group of null ids only has a null component. Repeated rows are one class, and an
     empty table gives an empty one.
     """
     if threshold < THRESHOLD:
-        raise ValueError(f"the signature filter and the number of roots are made for thresholds of {THRESHOLD} and more")
-    keyed = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.hash(f"`{text}`").alias("tag"), F.col(f"`{text}`").alias("text"))
-    members = written(keyed.mapInArrow(_signed(shingle), "id bigint, tag int, n bigint, d1 bigint, d2 bigint, tokens array<int>"), "members")
+        raise ValueError(f"the signature filter is made for thresholds of {THRESHOLD} and more")
+    trees = trees_for(target, threshold)
+    if trees > PLACES:
+        raise ValueError("a signature has too few places for this target")
+    own, kind = plain_id(docs, doc_id)
+    keyed = docs.select(own.alias("id"), F.hash(f"`{text}`").alias("tag"), F.col(f"`{text}`").alias("text"))
+    members = written(keyed.mapInArrow(_signed(shingle), f"id {kind}, tag int, n bigint, d1 bigint, d2 bigint, tokens array<int>"), "members")
     classes = members.where("n > 0").groupBy("d1", "d2").agg(
         F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.min(F.struct("id", "tag")).alias("of"), F.min("id").alias("least"))
     classes = written(classes.select(F.monotonically_increasing_id().alias("class"), "d1", "d2", "n", "tokens", "of.id", "of.tag", "least"), "classes")
     join = _Join(keyed, classes, shingle, threshold, node)
     cells, large = _sized(_roots(classes, trees), node)
-    while True:
+    while not large.isEmpty():
         small, stuck = join.descend(large)
-        join.compare(cells.unionByName(small).unionByName(join.blocks(stuck)), stuck)
         if stuck.isEmpty():
+            cells = cells.unionByName(small)
             break
+        join.compare(cells.unionByName(small).unionByName(join.blocks(stuck)), stuck)
         cells, large = join.open_nodes(stuck)
-        if cells.isEmpty() and large.isEmpty():
-            break
-    roots = connected(join.links)
+    if join.roots is None or not cells.isEmpty():
+        join.compare(cells, None)
+    roots = join.roots
     named = classes.join(roots, classes["class"] == roots["node"], "left").select("d1", "d2", "least", F.coalesce("root", "class").alias("group"))
     least = named.groupBy("group").agg(F.min("least").alias("component_id"))
     named = named.drop("least").join(least, "group")
@@ -331,9 +362,9 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     :func:`near_duplicates`.
     """
     found = near_duplicates(docs, text, doc_id, **options).where("group is not null").groupBy("id", "tag").agg(F.first("group").alias("group"))
-    first = found.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "tag")).alias("of")).select(
-        F.col("of.id").alias("__id"), F.col("of.tag").alias("__tag"), F.col("group").alias("__group"))
-    rows = docs.withColumns({"__doc": F.col(f"`{doc_id}`").cast("bigint"), "__hash": F.hash(f"`{text}`")})
-    one = rows.join(first, rows["__doc"].eqNullSafe(first["__id"]) & (rows["__hash"] == first["__tag"])).dropDuplicates(["__group"])
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "tag")).alias("of")).select("of.id", "of.tag", "group")
+    # the columns of the documents lie in one struct, so that none can have the name of one that is needed here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), plain_id(docs, doc_id)[0].alias("doc"), F.hash(f"`{text}`").alias("hash"))
+    one = rows.join(first, F.col("doc").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("tag"))).dropDuplicates(["group"])
     without = docs.where(F.coalesce(~F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(True)))
-    return one.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(without)
+    return one.select("row.*").unionByName(without)

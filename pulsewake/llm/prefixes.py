@@ -2,8 +2,8 @@
 
 All tokens have one order. If two sets share ``threshold`` per cent of their union, they share a token among the first few of
 each: the prefix, a fifth of a set at 80 per cent. So only prefixes are joined. Documents with equal sets are one class; classes
-with equal prefix and size are one group, joined once. Group pairs pass the filters of size and position, then their members
-are expanded and verified on full sets.
+with equal prefix and size are one group, joined once. Group pairs pass the filters of size, position and number of shared prefix
+tokens, then their members are expanded and verified on full sets.
 
 The order puts tokens that many documents have behind the others; which these are is found on a sample of a sixteenth of the
 texts. That only steers the work: any order gives the same links.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsewake.llm.components import also_connected, connected, sifted, written
+from pulsewake.llm.components import also_connected, connected, plain_id, sifted, written
 from pulsewake.llm.near import linked, shingle_sets
 from pulsewake.llm.words import SPACED, blocks, mix, second
 
@@ -34,7 +34,6 @@ COMMON = 4  # texts of the sample that have a common token
 LISTED = 1 << 18  # common tokens that are put last, the most common ones
 BLOCK = 256
 PARTNERS = 64
-RANGES = 64
 
 
 # -- sets, order, prefixes ----------------------------------------------------------------------------------------
@@ -161,61 +160,84 @@ def _lists(size: int):
     return work
 
 
-def may_link(sizes: np.ndarray, places: np.ndarray, size: int, place: int, threshold: int) -> np.ndarray:
-    """Filters of size and position for one posting against others of its token: what can still be shared from there on."""
-    least, most = np.minimum(sizes, size), np.maximum(sizes, size)
-    # places before this token can only have been shared if they came before in both
-    shared = np.minimum(places, place) + np.minimum(sizes - places, size - place)
-    return (100 * least >= threshold * most) & ((100 + threshold) * shared >= threshold * (sizes + size))
+def needed(size: np.ndarray, other: np.ndarray, threshold: int) -> np.ndarray:
+    """Tokens that the prefixes of two sets must share: what a link takes, less what at most one of them has behind its prefix."""
+    least = -(-threshold * (size + other) // (100 + threshold))
+    return least - np.maximum(size - prefix_size(size, threshold), other - prefix_size(other, threshold))
 
 
-def _pairs(left, right, threshold: int, above: bool, comps=None) -> tuple[np.ndarray, np.ndarray]:
-    """Group pairs between postings ``(groups, ats)``; with ``above`` each posting only meets those behind it."""
-    a, b = [], []
-    groups, sizes, places = right[0], right[1] >> 32, right[1] & 0xFFFFFFFF
-    for i, (g, at) in enumerate(zip(left[0].tolist(), left[1].tolist())):
-        part = slice(i + 1, None) if above else slice(None)
-        ok = may_link(sizes[part], places[part], at >> 32, at & 0xFFFFFFFF, threshold) & (groups[part] != g)
-        if comps is not None:
-            ok &= comps[1][part] != comps[0][i]
-        found = groups[part][ok]
-        a.append(np.full(len(found), g))
-        b.append(found)
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
+def may_link(left: np.ndarray, right: np.ndarray, threshold: int) -> np.ndarray:
+    """Filters of size and position for postings of one token: how much can be shared before it and from there on."""
+    n, i, m, j = left >> 32, left & 0xFFFFFFFF, right >> 32, right & 0xFFFFFFFF
+    shared = np.minimum(i, j) + np.minimum(n - i, m - j)
+    return (100 * np.minimum(n, m) >= threshold * np.maximum(n, m)) & ((100 + threshold) * shared >= threshold * (n + m))
 
 
-def _pair_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    a, b = (np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in (0, 1))
-    both = np.unique(np.stack((a, b)), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+def _flat(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False)
 
 
-def _arrays(column: pa.ListArray) -> list[np.ndarray]:
-    return [x.values.to_numpy() for x in column]
+def _met(left: list[np.ndarray], right: list[np.ndarray], begins: np.ndarray, counts: np.ndarray, threshold: int) -> Iterator[pa.RecordBatch]:
+    """Postings ``(groups, ats[, components])``, the k-th left one against the right ones from ``begins[k]``: pairs of groups that may
+    link, the number of tokens they share here and the number they need. A few million postings meet at a time."""
+    ends = np.cumsum(counts)
+    first = 0
+    while first < len(counts):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + (1 << 21), side="right")))
+        own = counts[first:last]
+        x = np.repeat(np.arange(first, last), own)
+        y = np.repeat(begins[first:last] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+        first = last
+        ok = may_link(left[1][x], right[1][y], threshold) & (left[0][x] != right[0][y])
+        if len(left) > 2:
+            ok &= left[2][x] != right[2][y]
+        x, y = x[ok], y[ok]
+        if not len(x):
+            continue
+        both, at, shared = np.unique(np.stack((left[0][x], right[0][y])), axis=1, return_index=True, return_counts=True)
+        need = needed(left[1][x][at] >> 32, right[1][y][at] >> 32, threshold)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (both[0], both[1], shared.astype(np.int64), need)], names=["a", "b", "shared", "need"])
+
+
+_MET = "a bigint, b bigint, shared bigint, need bigint"
+
+
+def _lengths(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    lengths = column.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+    return lengths, np.cumsum(lengths) - lengths
 
 
 def _pivot_pairs(threshold: int):
-    """Each block's first posting against the rest of it."""
+    """The first posting of each block ``groups, ats`` against the rest of it."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for groups, ats in zip(_arrays(batch.column(0)), _arrays(batch.column(1))):
-                found.append(_pairs((groups[:1], ats[:1]), (groups[1:], ats[1:]), threshold, False))
-            yield _pair_batch(found)
+            lengths, begins = _lengths(batch.column(0))
+            own = [_flat(batch.column(i)) for i in (0, 1)]
+            yield from _met([c[begins] for c in own], own, begins + 1, lengths - 1, threshold)
 
     return work
 
 
-def _open_pairs(threshold: int):
-    """Pairs of different components: inside a block (the right one is null), or between two."""
+def _inside_pairs(threshold: int):
+    """Postings of a block ``groups, ats, comps`` against those behind them."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = [np.array([e[k] for e in left], dtype=np.int64) for k in ("group", "at", "comp")]
-                other = own if right is None else [np.array([e[k] for e in right], dtype=np.int64) for k in ("group", "at", "comp")]
-                found.append(_pairs(own[:2], other[:2], threshold, right is None, (own[2], other[2])))
-            yield _pair_batch(found)
+            lengths, begins = _lengths(batch.column(0))
+            own = [_flat(batch.column(i)) for i in range(3)]
+            at = np.arange(len(own[0]))
+            yield from _met(own, own, at + 1, np.repeat(begins + lengths, lengths) - at - 1, threshold)
+
+    return work
+
+
+def _across_pairs(threshold: int):
+    """Postings of a block ``groups, ats, comps`` against those of a second one in the same row."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths, _ = _lengths(batch.column(0))
+            others, begins = _lengths(batch.column(3))
+            left, right = ([_flat(batch.column(i)) for i in r] for r in (range(3), range(3, 6)))
+            yield from _met(left, right, np.repeat(begins, lengths), np.repeat(others, lengths), threshold)
 
     return work
 
@@ -281,9 +303,10 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     are not read; an empty table gives an empty one.
     """
     spark = docs.sparkSession
-    keyed = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.hash(f"`{text}`").alias("tag"), F.col(f"`{text}`").alias("text"))
+    own, kind = plain_id(docs, doc_id)
+    keyed = docs.select(own.alias("id"), F.hash(f"`{text}`").alias("tag"), F.col(f"`{text}`").alias("text"))
     common = spark.sparkContext.broadcast(common_tokens(keyed, shingle))
-    members = written(keyed.mapInArrow(_prefixed(shingle, threshold, common), "id bigint, tag int, n bigint, d1 bigint, d2 bigint, p1 bigint, p2 bigint, prefix binary"), "members")
+    members = written(keyed.mapInArrow(_prefixed(shingle, threshold, common), f"id {kind}, tag int, n bigint, d1 bigint, d2 bigint, p1 bigint, p2 bigint, prefix binary"), "members")
     classes = members.where("n > 0").groupBy("d1", "d2").agg(
         F.first("n").alias("n"), F.first("p1").alias("p1"), F.first("p2").alias("p2"), F.min(F.struct("id", "tag")).alias("of"), F.min("id").alias("least"))
     classes = written(classes.select(F.monotonically_increasing_id().alias("class"), "d1", "d2", "n", "p1", "p2", "of.id", "of.tag", "least"), "classes")
@@ -292,14 +315,14 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     prefixes = members.where("n > 0").groupBy(*key).agg(F.first("prefix").alias("prefix")).join(groups, key).select("group", "n", "prefix")
     grouped = written(classes.join(groups, key).select("class", "group"), "grouped")
 
-    ranges = max(RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = ["token", F.xxhash64("group")]
     postings = written(prefixes, "prefixes").mapInArrow(_postings, "token bigint, `group` bigint, at bigint")
-    lists = postings.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(_lists(block), "token bigint, groups array<bigint>, ats array<bigint>")
+    lists = postings.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_lists(block), "token bigint, groups array<bigint>, ats array<bigint>")
     lists = written(lists.select(F.monotonically_increasing_id().alias("block"), "*"), "lists")
 
     join = _Join(keyed, classes, shingle, threshold)
-    pivots = lists.select("groups", "ats").mapInArrow(_pivot_pairs(threshold), "a bigint, b bigint")
+    # a pair may have met under some other pivot as well, so here a part of what it needs will do
+    pivots = _enough(lists.select("groups", "ats").mapInArrow(_pivot_pairs(threshold), _MET), 4)
     inside = grouped.select(F.col("group").alias("a"), F.col("class").alias("b"))
     roots = written(connected(join.verify(pivots.unionByName(inside))), "roots")
     more = join.verify(_open(lists, grouped, roots, threshold))
@@ -312,6 +335,12 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
                        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
+def _enough(met: DataFrame, part: int) -> DataFrame:
+    """Pairs that share what they need, or one ``part``-th of it."""
+    counts = met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("need").alias("need"))
+    return counts.where(F.col("shared") * part >= F.col("need")).select("a", "b")
+
+
 def _open(lists: DataFrame, grouped: DataFrame, roots: DataFrame, threshold: int) -> DataFrame:
     """Candidate pairs of classes in different components."""
     comp = F.coalesce("root", "class")
@@ -319,18 +348,21 @@ def _open(lists: DataFrame, grouped: DataFrame, roots: DataFrame, threshold: int
     # a group of several components is one by itself, with a number that no class has
     ends = placed.groupBy("group").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
     of_group = written(ends.select("group", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(-1 - F.col("group")).alias("comp")), "components")
-    entries = lists.select("block", "token", F.explode(F.arrays_zip("groups", "ats")).alias("e")).select("block", "token", F.col("e.groups").alias("group"), F.col("e.ats").alias("at"))
+    entries = lists.select("block", "token", F.explode(F.arrays_zip("groups", "ats")).alias("e")).select(
+        "block", "token", F.col("e.groups").alias("group"), F.col("e.ats").alias("at"))
     spans = entries.select("token", "group").join(of_group, "group").groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
     alive = spans.where("low <> high").select("token")
     marked = entries.join(alive, "token", "left_semi").join(of_group, "group")
     cells = written(marked.groupBy("block", "token").agg(
-        F.collect_list(F.struct("group", "at", "comp")).alias("entries"), F.min("comp").alias("low"), F.max("comp").alias("high")), "cells")
-    own = cells.where("low <> high").select(F.col("entries").alias("left"), F.lit(None).cast(cells.schema["entries"].dataType).alias("right"))
+        F.collect_list(F.struct("group", "at", "comp")).alias("e"), F.min("comp").alias("low"), F.max("comp").alias("high")).select(
+        "block", "token", "low", "high", F.col("e.group").alias("groups"), F.col("e.at").alias("ats"), F.col("e.comp").alias("comps")), "cells")
+    lists = ["groups", "ats", "comps"]
+    own = cells.where("low <> high").select(lists).mapInArrow(_inside_pairs(threshold), _MET)
     x, y = cells.alias("x"), cells.alias("y")
     apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.block") < F.col("y.block")) & (
         (F.col("x.low") != F.col("y.low")) | (F.col("x.high") != F.col("y.high")) | (F.col("x.low") != F.col("x.high")))
-    across = x.join(y, apart).select(F.col("x.entries").alias("left"), F.col("y.entries").alias("right"))
-    pairs = written(own.unionByName(across).mapInArrow(_open_pairs(threshold), "a bigint, b bigint").distinct(), "open")
+    across = x.join(y, apart).select(*[F.col(f"{t}.{c}").alias(f"{t}_{c}") for t in "xy" for c in lists]).mapInArrow(_across_pairs(threshold), _MET)
+    pairs = written(_enough(own.unionByName(across), 1), "open")
     member = lambda c: placed.select(F.col("group").alias(c), F.col("class").alias(f"{c}_class"), F.col("comp").alias(f"{c}_comp"))
     between = pairs.join(member("a"), "a").join(member("b"), "b").where("a_comp <> b_comp").select(F.col("a_class").alias("a"), F.col("b_class").alias("b"))
     mixed = placed.join(ends.where("low <> high").select("group"), "group", "left_semi")

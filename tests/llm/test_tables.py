@@ -11,7 +11,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from pulsewake.llm import components, near, repeats, search, urlfilter, warc
+from pulsewake.llm import components, near, prefixes, repeats, search, urlfilter, warc
 
 ODD = [None, "", " ", "\n\t", "a", "word " * 300, "x" * 5000, "A b\tC\x0bd", "same text", "same text"]
 
@@ -125,6 +125,36 @@ def test_near_duplicates_with_null_and_equal_ids(spark):
     assert near.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_with_text_ids_and_clashing_columns(spark):
+    texts = ["one two three four five six", "one two three four five six", "another text of quite other words"]
+    rows = [(f"d{i}", t, i, "x", 7, "own", 1, 2) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, `__id` int, `__hash` string, `__doc` int, `__group` string, `row` int, tag int")
+    kept = near.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[2]]
+
+
+def test_recall_of_deep_trees(spark):
+    """Pairs at 0.75 to 0.80 among thousands of texts that share much with all others, in nodes of 16: trees of many levels."""
+    random.seed(8)
+    base = [f"b{i}" for i in range(60)]
+    texts, pairs = [], []
+    for k in range(1500):
+        # equal beginnings hold 56 shingles of every text; a pair shares more
+        own = base + [f"{k}x{i}" for i in range(52)]
+        other = list(own)
+        for i in random.sample(range(62, 110), 3):
+            other[i] = f"{k}y{i}"
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join(own), " ".join(other)]
+    sets = [{tuple(w[a : a + 5]) for a in range(len(w) - 4)} for w in map(str.split, texts)]
+    alike = [len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in pairs]
+    wanted = [p for p, s in zip(pairs, alike) if 0.75 <= s]
+    assert len(wanted) > 1000 and sorted(alike)[len(alike) // 2] < 0.79
+    found = {r.id: r.component_id for r in near.near_duplicates(frame(spark, texts), node=16).collect()}
+    assert sum(found[a] == found[b] for a, b in wanted) >= 0.99 * len(wanted)
+    assert all(found[a] == a for a, _ in pairs)
+
+
 def test_thresholds_the_filter_is_not_made_for_are_refused(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     with pytest.raises(ValueError):
@@ -146,6 +176,54 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, 300: 300, 301: 300}
 
 
+# -- grouped prefix join ------------------------------------------------------------------------------------------
+
+
+def some_texts(seed, n=70):
+    random.seed(seed)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    base, passage = ([random.choice(vocabulary) for _ in range(120)] for _ in range(2))
+    texts = []
+    for _ in range(n):  # a large group of near copies, many at the border
+        own = list(base)
+        for _ in range(random.randint(1, 5)):
+            own[random.randrange(120)] = random.choice(vocabulary)
+        texts.append(" ".join(own))
+    texts += [" ".join(passage + [random.choice(vocabulary) for _ in range(random.randint(5, 90))]) for _ in range(60)]
+    return texts + [*texts[:10], texts[80].upper(), " ".join(base[:110]), "a b c", "A b C", "a b c d e", "a b c d f", *ODD]
+
+
+@pytest.mark.parametrize("threshold,block,common,listed", [(80, 256, 4, 1 << 18), (80, 4, 1, 50), (60, 2, 4, 0)])
+def test_prefix_join_against_brute_force(spark, monkeypatch, threshold, block, common, listed):
+    monkeypatch.setattr(prefixes, "COMMON", common)
+    monkeypatch.setattr(prefixes, "LISTED", listed)
+    monkeypatch.setattr(prefixes, "SAMPLE", 2)
+    texts = some_texts(threshold)
+    rows = {r.id: r for r in prefixes.similar_documents(frame(spark, texts), threshold=threshold, block=block).collect()}
+    sizes, wanted = plain_components(texts, threshold)
+    assert [rows[i].n_shingles for i in range(len(texts))] == sizes
+    assert [rows[i].component_id for i in range(len(texts))] == wanted
+
+
+def test_prefix_join_with_odd_ids(spark):
+    texts = ["one two three four five six", "one two three four five six", "another text of quite other words", None, "one two three four five six", "", ""]
+    rows = prefixes.similar_documents(frame(spark, texts, [None, 7, None, None, 7, 8, 8])).collect()
+    assert sorted((r.id or -1, r.n_shingles, r.component_id or -1) for r in rows) == [(-1, 0, -1), (-1, 2, -1), (-1, 2, 7), (7, 2, 7), (7, 2, 7), (8, 0, 8), (8, 0, 8)]
+    assert prefixes.similar_documents(frame(spark, texts).limit(0)).count() == 0
+    named = spark.createDataFrame([("b", texts[0], 1), ("a", texts[0], 2)], "doc_id string, text string, class int")
+    assert {r.component_id for r in prefixes.similar_documents(named).collect()} == {"a"}
+
+
+def test_prefixes_hold_a_shared_token():
+    import numpy as np
+
+    for threshold in (50, 75, 80, 90):
+        for n in range(1, 60):
+            p = int(prefixes.prefix_size(np.int64(n), threshold))
+            # fewer than needed lie behind the prefix, for every partner that is large enough
+            assert 1 <= p <= n and 100 * (n - p) < threshold * n
+
+
 # -- search -------------------------------------------------------------------------------------------------------
 
 
