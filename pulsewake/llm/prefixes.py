@@ -8,10 +8,11 @@ tokens, then their members are expanded and verified on full sets.
 The order puts tokens that many documents have behind the others; which these are is found on a sample of a sixteenth of the
 texts. That only steers the work: any order gives the same links.
 
-Candidates come in two rounds. First each token's groups are paired with one pivot, as many pairs as postings. Then only
-groups that the links so far don't connect are paired: a token shared by n near copies costs n comparisons, and no list of
-copies is ever paired with itself. Postings are dealt by sampled ranges of token and group, so a hot token has many tasks,
-and kept in blocks of a few hundred; a pair of blocks inside one component is left out whole.
+Candidates come in two rounds. First each group in the list of a token meets one pivot and the few groups next to it: all pairs
+of a short list, a fixed number for each posting of a long one. Then only long lists are left, and in them only groups that the
+links so far don't connect: no long list of near copies is paired with itself. A linked pair shares half of what it needs in short
+lists or more than half of it in long ones, so each round counts its own. Postings are dealt by sampled ranges of token and group, so a hot
+token has many tasks, and kept in blocks of a few hundred; a pair of blocks inside one component is left out whole.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ SAMPLE = 16  # one text of so many tells which tokens are common
 COMMON = 4  # texts of the sample that have a common token
 LISTED = 1 << 18  # common tokens that are put last, the most common ones
 BLOCK = 256
+NEXT = 8  # groups of a list that each one meets in the first round, besides the pivot
 PARTNERS = 64
 
 
@@ -116,29 +118,31 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _lists(size: int):
-    """Sorted postings to blocks of one token; a token with a single posting is left out, unless the range begins or ends in it."""
+    """Sorted postings to blocks of one token. A token with a single posting is left out, unless the range begins or ends in it; lists
+    that may go on in another block, and those of more than the first round pairs, are ``long``."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 3  # the last run so far
         border = True  # whether that run is the first of the range
 
-        def made(columns: list[np.ndarray], begins: np.ndarray) -> pa.RecordBatch:
+        def made(columns: list[np.ndarray], begins: np.ndarray, long: np.ndarray) -> pa.RecordBatch:
             ends = pa.array(np.concatenate((begins, [len(columns[0])])).astype(np.int32))
-            return pa.RecordBatch.from_arrays([pa.array(columns[0][begins]), pa.ListArray.from_arrays(ends, pa.array(columns[1])), pa.ListArray.from_arrays(ends, pa.array(columns[2]))],
-                                              names=["token", "groups", "ats"])
+            lists = [pa.ListArray.from_arrays(ends, pa.array(c)) for c in columns[1:]]
+            return pa.RecordBatch.from_arrays([pa.array(columns[0][begins]), *lists, pa.array(long)], names=["token", "groups", "ats", "long"])
 
         def cut(columns: list[np.ndarray], first: bool, last: bool) -> pa.RecordBatch:
             n = len(columns[0])
             begins = np.concatenate(([0], np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1))
             lengths = np.diff(np.concatenate((begins, [n])))
-            kept = lengths > 1
-            kept[0] |= first
-            kept[-1] |= last
+            long = lengths > NEXT + 1
+            long[0] |= first
+            long[-1] |= last
+            kept = long | (lengths > 1)
             rows = np.repeat(kept, lengths)
             columns, lengths = [c[rows] for c in columns], lengths[kept]
             begins = np.cumsum(lengths) - lengths
             parts = (lengths + size - 1) // size
             starts = np.repeat(begins, parts) + size * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-            return made(columns, starts)
+            return made(columns, starts, np.repeat(long[kept], parts))
 
         for batch in batches:
             columns = [np.concatenate((h, batch.column(i).to_numpy())) for i, h in enumerate(held)]
@@ -151,7 +155,7 @@ def _lists(size: int):
             # of a long last run all whole blocks go at once
             whole = (len(columns[0]) - begin - 1) // size * size
             if whole:
-                yield made([c[begin : begin + whole] for c in columns], np.arange(0, whole, size))
+                yield made([c[begin : begin + whole] for c in columns], np.arange(0, whole, size), np.ones(whole // size, dtype=bool))
                 border = True
             held = [c[begin + whole :] for c in columns]
         if len(held[0]):
@@ -177,9 +181,13 @@ def _flat(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False)
 
 
-def _met(left: list[np.ndarray], right: list[np.ndarray], begins: np.ndarray, counts: np.ndarray, threshold: int) -> Iterator[pa.RecordBatch]:
-    """Postings ``(groups, ats[, components])``, the k-th left one against the right ones from ``begins[k]``: pairs of groups that may
-    link, the number of tokens they share here and the number they need. A few million postings meet at a time."""
+def _met(left: list[np.ndarray], right: list[np.ndarray], begins: np.ndarray, counts: np.ndarray, threshold: int) -> Iterator[np.ndarray]:
+    """Postings ``[groups, ats]`` or ``[groups, ats, components, shorts]``, the k-th left one against the right ones from ``begins[k]``: the
+    groups ``a < b`` of those that may link, the number of tokens they share here and the number they need here, as rows of an
+    array. A few million postings meet at a time.
+
+    What a pair needs it has to at least a half in short lists, or else in long ones but for the tokens that both have in short ones.
+    """
     ends = np.cumsum(counts)
     first = 0
     while first < len(counts):
@@ -194,9 +202,39 @@ def _met(left: list[np.ndarray], right: list[np.ndarray], begins: np.ndarray, co
         x, y = x[ok], y[ok]
         if not len(x):
             continue
-        both, at, shared = np.unique(np.stack((left[0][x], right[0][y])), axis=1, return_index=True, return_counts=True)
-        need = needed(left[1][x][at] >> 32, right[1][y][at] >> 32, threshold)
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (both[0], both[1], shared.astype(np.int64), need)], names=["a", "b", "shared", "need"])
+        need = needed(left[1][x] >> 32, right[1][y] >> 32, threshold)
+        if len(left) > 2:
+            need -= np.minimum(np.minimum(left[3][x], right[3][y]), (need - 1) // 2)
+        else:
+            need = (need + 1) // 2
+        a, b = left[0][x], right[0][y]
+        yield _counted(np.stack((np.minimum(a, b), np.maximum(a, b), np.ones(len(a), np.int64), need)))
+
+
+def _counted(rows: np.ndarray) -> np.ndarray:
+    """One column for each pair, with the sum of what it shares."""
+    order = np.lexsort((rows[1], rows[0]))
+    rows = rows[:, order]
+    begins = np.flatnonzero(np.concatenate(([True], (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1]))))
+    out = rows[:, begins]
+    out[2] = np.add.reduceat(rows[2], begins)
+    return out
+
+
+def _gathered(found: Iterator[np.ndarray], limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows of :func:`_met`, equal pairs put together as far as a bounded buffer reaches."""
+    held, size = [], 0
+    for rows in found:
+        held.append(rows)
+        size += rows.shape[1]
+        if size > 2 * limit:
+            held = [_counted(np.concatenate(held, axis=1))]
+            size = held[0].shape[1]
+            if size > limit:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], names=["a", "b", "shared", "need"])
+                held, size = [], 0
+    if size:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _counted(np.concatenate(held, axis=1))], names=["a", "b", "shared", "need"])
 
 
 _MET = "a bigint, b bigint, shared bigint, need bigint"
@@ -207,39 +245,42 @@ def _lengths(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lengths, np.cumsum(lengths) - lengths
 
 
-def _pivot_pairs(threshold: int):
-    """The first posting of each block ``groups, ats`` against the rest of it."""
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _near_pairs(threshold: int):
+    """The first posting of each block ``groups, ats`` against the rest of it, the others against the few behind them."""
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
             lengths, begins = _lengths(batch.column(0))
             own = [_flat(batch.column(i)) for i in (0, 1)]
-            yield from _met([c[begins] for c in own], own, begins + 1, lengths - 1, threshold)
+            at = np.arange(len(own[0]))
+            behind = np.repeat(begins + lengths, lengths) - at - 1
+            counts = np.where(at == np.repeat(begins, lengths), behind, np.minimum(behind, NEXT))
+            yield from _met(own, own, at + 1, counts, threshold)
 
-    return work
+    return lambda batches: _gathered(met(batches))
 
 
 def _inside_pairs(threshold: int):
-    """Postings of a block ``groups, ats, comps`` against those behind them."""
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of a block ``groups, ats, comps, shorts`` against those behind them."""
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
             lengths, begins = _lengths(batch.column(0))
-            own = [_flat(batch.column(i)) for i in range(3)]
+            own = [_flat(batch.column(i)) for i in range(4)]
             at = np.arange(len(own[0]))
             yield from _met(own, own, at + 1, np.repeat(begins + lengths, lengths) - at - 1, threshold)
 
-    return work
+    return lambda batches: _gathered(met(batches))
 
 
 def _across_pairs(threshold: int):
-    """Postings of a block ``groups, ats, comps`` against those of a second one in the same row."""
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of a block ``groups, ats, comps, shorts`` against those of a second one in the same row."""
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
             lengths, _ = _lengths(batch.column(0))
-            others, begins = _lengths(batch.column(3))
-            left, right = ([_flat(batch.column(i)) for i in r] for r in (range(3), range(3, 6)))
+            others, begins = _lengths(batch.column(4))
+            left, right = ([_flat(batch.column(i)) for i in r] for r in (range(4), range(4, 8)))
             yield from _met(left, right, np.repeat(begins, lengths), np.repeat(others, lengths), threshold)
 
-    return work
+    return lambda batches: _gathered(met(batches))
 
 
 # -- verifying ----------------------------------------------------------------------------------------------------
@@ -317,15 +358,14 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
 
     order = ["token", F.xxhash64("group")]
     postings = written(prefixes, "prefixes").mapInArrow(_postings, "token bigint, `group` bigint, at bigint")
-    lists = postings.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_lists(block), "token bigint, groups array<bigint>, ats array<bigint>")
+    lists = postings.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_lists(block), "token bigint, groups array<bigint>, ats array<bigint>, long boolean")
     lists = written(lists.select(F.monotonically_increasing_id().alias("block"), "*"), "lists")
 
     join = _Join(keyed, classes, shingle, threshold)
-    # a pair may have met under some other pivot as well, so here a part of what it needs will do
-    pivots = _enough(lists.select("groups", "ats").mapInArrow(_pivot_pairs(threshold), _MET), 4)
+    near = written(_enough(lists.select("groups", "ats").mapInArrow(_near_pairs(threshold), _MET)), "near")
     inside = grouped.select(F.col("group").alias("a"), F.col("class").alias("b"))
-    roots = written(connected(join.verify(pivots.unionByName(inside))), "roots")
-    more = join.verify(_open(lists, grouped, roots, threshold))
+    roots = written(connected(join.verify(near.unionByName(inside))), "roots")
+    more = join.verify(_open(lists, near, grouped, roots, threshold))
     roots = written(also_connected(roots, more), "roots")
 
     named = classes.join(roots, classes["class"] == roots["node"], "left").select("d1", "d2", "class", "least", F.coalesce("root", "class").alias("group"))
@@ -335,36 +375,40 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
                        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
-def _enough(met: DataFrame, part: int) -> DataFrame:
-    """Pairs that share what they need, or one ``part``-th of it."""
+def _enough(met: DataFrame) -> DataFrame:
+    """Pairs that share what they need here."""
     counts = met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("need").alias("need"))
-    return counts.where(F.col("shared") * part >= F.col("need")).select("a", "b")
+    return counts.where(F.col("shared") >= F.col("need")).select("a", "b")
 
 
-def _open(lists: DataFrame, grouped: DataFrame, roots: DataFrame, threshold: int) -> DataFrame:
-    """Candidate pairs of classes in different components."""
+def _open(lists: DataFrame, near: DataFrame, grouped: DataFrame, roots: DataFrame, threshold: int) -> DataFrame:
+    """Candidate pairs of classes in different components: of groups that meet in long lists, or were paired before by their
+    first classes only."""
     comp = F.coalesce("root", "class")
     placed = written(grouped.join(roots, grouped["class"] == roots["node"], "left").select("class", "group", comp.alias("comp")), "placed")
     # a group of several components is one by itself, with a number that no class has
     ends = placed.groupBy("group").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    of_group = written(ends.select("group", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(-1 - F.col("group")).alias("comp")), "components")
-    entries = lists.select("block", "token", F.explode(F.arrays_zip("groups", "ats")).alias("e")).select(
+    short = lists.where("NOT long").select(F.explode("groups").alias("group")).groupBy("group").agg(F.count(F.lit(1)).alias("short"))
+    one = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(-1 - F.col("group"))
+    of_group = written(ends.join(short, "group", "left").select("group", one.alias("comp"), F.coalesce("short", F.lit(0)).alias("short")), "components")
+    entries = lists.where("long").select("block", "token", F.explode(F.arrays_zip("groups", "ats")).alias("e")).select(
         "block", "token", F.col("e.groups").alias("group"), F.col("e.ats").alias("at"))
     spans = entries.select("token", "group").join(of_group, "group").groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
     alive = spans.where("low <> high").select("token")
     marked = entries.join(alive, "token", "left_semi").join(of_group, "group")
     cells = written(marked.groupBy("block", "token").agg(
-        F.collect_list(F.struct("group", "at", "comp")).alias("e"), F.min("comp").alias("low"), F.max("comp").alias("high")).select(
-        "block", "token", "low", "high", F.col("e.group").alias("groups"), F.col("e.at").alias("ats"), F.col("e.comp").alias("comps")), "cells")
-    lists = ["groups", "ats", "comps"]
+        F.collect_list(F.struct("group", "at", "comp", "short")).alias("e"), F.min("comp").alias("low"), F.max("comp").alias("high")).select(
+        "block", "token", "low", "high", F.col("e.group").alias("groups"), F.col("e.at").alias("ats"), F.col("e.comp").alias("comps"), F.col("e.short").alias("shorts")), "cells")
+    lists = ["groups", "ats", "comps", "shorts"]
     own = cells.where("low <> high").select(lists).mapInArrow(_inside_pairs(threshold), _MET)
     x, y = cells.alias("x"), cells.alias("y")
     apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.block") < F.col("y.block")) & (
         (F.col("x.low") != F.col("y.low")) | (F.col("x.high") != F.col("y.high")) | (F.col("x.low") != F.col("x.high")))
     across = x.join(y, apart).select(*[F.col(f"{t}.{c}").alias(f"{t}_{c}") for t in "xy" for c in lists]).mapInArrow(_across_pairs(threshold), _MET)
-    pairs = written(_enough(own.unionByName(across), 1), "open")
+    pairs = written(_enough(own.unionByName(across)), "open")
     member = lambda c: placed.select(F.col("group").alias(c), F.col("class").alias(f"{c}_class"), F.col("comp").alias(f"{c}_comp"))
-    between = pairs.join(member("a"), "a").join(member("b"), "b").where("a_comp <> b_comp").select(F.col("a_class").alias("a"), F.col("b_class").alias("b"))
+    both = pairs.withColumn("tried", F.lit(False)).unionByName(near.withColumn("tried", F.lit(True)))
+    between = both.join(member("a"), "a").join(member("b"), "b").where("a_comp <> b_comp AND NOT (tried AND a_class = a AND b_class = b)").select(F.col("a_class").alias("a"), F.col("b_class").alias("b"))
     mixed = placed.join(ends.where("low <> high").select("group"), "group", "left_semi")
     within = mixed.alias("x").join(mixed.alias("y"), (F.col("x.group") == F.col("y.group")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.comp") != F.col("y.comp")))
     return between.unionByName(within.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")))

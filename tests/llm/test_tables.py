@@ -205,6 +205,20 @@ def test_prefix_join_against_brute_force(spark, monkeypatch, threshold, block, c
     assert [rows[i].component_id for i in range(len(texts))] == wanted
 
 
+def test_prefix_join_of_groups_of_several_classes(spark):
+    """Texts that differ at their ends only: equal prefixes, and members that are linked where the first of a group isn't."""
+    random.seed(21)
+    texts = []
+    for k in range(25):
+        base = [f"{k}w{i}" for i in range(random.randint(9, 30))]
+        for _ in range(16):
+            cut, more = random.randint(0, 2), random.randint(0, 3)
+            texts.append(" ".join(base[cut : len(base) - random.randint(0, 2)] + [f"e{random.randint(0, 3)}" for _ in range(more)]))
+    rows = {r.id: r for r in prefixes.similar_documents(frame(spark, texts)).collect()}
+    assert [rows[i].component_id for i in range(len(texts))] == plain_components(texts, 80)[1]
+    assert len({r.class_id for r in rows.values()}) > 2 * len({r.component_id for r in rows.values()})
+
+
 def test_prefix_join_with_odd_ids(spark):
     texts = ["one two three four five six", "one two three four five six", "another text of quite other words", None, "one two three four five six", "", ""]
     rows = prefixes.similar_documents(frame(spark, texts, [None, 7, None, None, 7, 8, 8])).collect()
