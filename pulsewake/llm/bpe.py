@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHED_PIECES = 200_000
+CACHED_PIECES = 200_000  # of each of two generations
 CACHED_PAIRS = 1_000_000
 
 
@@ -46,9 +46,10 @@ class Codec:
         self.shorter: dict[int, int] = {}
         self.fits: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
-            self.automaton.add_word(token.decode("latin-1"), rank)
+            self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
         self.automaton.make_automaton()
 
     # -- tables -------------------------------------------------------------------------------------------------
@@ -120,8 +121,7 @@ class Codec:
         size = len(piece)
         longest = [-1] * size
         reach = [0] * size
-        for end, rank in self.automaton.iter(piece.decode("latin-1")):
-            n = len(self.tokens[rank])
+        for end, (n, rank) in self.automaton.iter(piece.decode("latin-1")):
             begin = end - n + 1
             if n > reach[begin] and self._reachable(rank):
                 reach[begin], longest[begin] = n, rank
@@ -147,10 +147,13 @@ class Codec:
         return out
 
     def _packed(self, piece: str) -> bytes:
-        packed = np.array(self.encode_piece(piece.encode("utf-8")), dtype="<u4").tobytes()
+        """A piece that is not among the young ones. When these are full the older half goes; what is asked for stays young."""
+        packed = self.older.get(piece)
+        if packed is None:
+            packed = np.array(self.encode_piece(piece.encode("utf-8")), dtype="<u4").tobytes()
         if len(piece) <= 64:
             if len(self.pieces) >= CACHED_PIECES:
-                self.pieces.clear()
+                self.older, self.pieces = self.pieces, {}
             self.pieces[piece] = packed
         return packed
 
