@@ -171,20 +171,27 @@ class Model:
         """Words that may lie in the lines between the first and the last one of a template: twice its own."""
         return 2 * (int(self.pairs.sum(axis=0).max()) + 1)
 
-    def wrapped(self, lines: list, block: Block, follows: np.ndarray, confirmed: dict[int, int]) -> list[tuple[int, int, int, float, float]]:
-        """Confirmed runs of lines: first, last, family, probability, likeness. A run that holds a shorter one of its family,
-        or a line that is ``confirmed`` as it, is none."""
-        found = sorted(self.runs_of(block, follows), key=lambda r: r[1] - r[0])
+    def wrapped(self, lines: list, block: Block, follows: np.ndarray, single: list[tuple]) -> tuple[list[tuple], list[int]]:
+        """Confirmed runs of lines, as first, last, family, probability, likeness, and the ``single`` confirmed lines that give way to one.
+
+        Runs and lines that overlap compete, whatever their families: the likest is taken, of equally like ones the longest.
+        """
+        found = self.runs_of(block, follows)
         if not found:
-            return []
+            return [], []
         best, chance, like = self.judge(_lowered([b"\n".join(lines[a : b + 1]) for a, b in found]))
-        out = []
-        for (a, b), family, p, near in zip(found, best.tolist(), chance.tolist(), like.tolist()):
-            if family == NONE or p < CUTOFF or near < CONFIRMED or any(confirmed.get(i) == family for i in range(a, b + 1)):
-                continue
-            if not any(a <= c and d <= b and family == other for c, d, other, *_ in out):
-                out.append((a, b, family, p, near))
-        return out
+        judged = [(a, b, int(f), float(p), float(near)) for (a, b), f, p, near in zip(found, best, chance, like)
+                  if f != NONE and p >= CUTOFF and near >= CONFIRMED]
+        out, lost, taken = [], [], set()
+        for run in sorted(judged + single, key=lambda r: (-r[4], r[0] - r[1], r)):
+            own = range(run[0], run[1] + 1)
+            if taken.isdisjoint(own):
+                taken.update(own)
+                if run[1] > run[0]:
+                    out.append(run)
+            elif run[0] == run[1]:
+                lost.append(run[0])
+        return sorted(out), lost
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -280,7 +287,8 @@ def scan_licenses(docs: DataFrame, text: str = "text", sample_texts: int = SAMPL
     A family below the cut-off is unknown; paragraphs without a licence aren't listed, nor are parts of a wrapped licence by
     themselves, unless they are confirmed or taken for another family. Null and empty texts have no
     paragraphs; repeated rows are scanned alike; an empty table gives an empty one. At most ``sample_texts`` texts, the
-    first by a hash, are trained on. Columns of ``docs`` with these names are replaced.
+    first by a hash, are trained on: of their lines as many as there are variants of templates serve as no licence, and the words
+    of the first 200 fill the variants up. Columns of ``docs`` with these names are replaced.
     """
     model = train(_sample(docs.select(F.col(f"`{text}`").alias("t")).where("t is not null"), sample_texts))
     made = ["n_paragraphs", "licenses"]
@@ -303,8 +311,10 @@ def scan_licenses(docs: DataFrame, text: str = "text", sample_texts: int = SAMPL
                 text_of = np.repeat(np.arange(len(counts)), counts)
                 number = np.arange(len(best)) - np.repeat(np.cumsum(counts) - counts, counts)
                 good = (best < NONE) & (chance >= CUTOFF) & (like >= CONFIRMED)
-                wrapped = model.wrapped(lines, block, follows, {int(i): int(best[i]) for i in np.flatnonzero(good)}) if lines else []
+                single = [(int(i), int(i), int(best[i]), float(chance[i]), float(like[i])) for i in np.flatnonzero(good)]
+                wrapped, lost = model.wrapped(lines, block, follows, single) if lines else ([], [])
                 alone = best < NONE
+                alone[lost] = False
                 for a, b, family, _, _ in wrapped:
                     part = slice(a, b + 1)
                     alone[part] &= good[part] | ((chance[part] >= CUTOFF) & (best[part] != family))
