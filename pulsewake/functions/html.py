@@ -1,7 +1,8 @@
 """Facts about a raw page as column expressions.
 
 There is no HTML parser on the JVM side of Spark, so tags are read with regular expressions. The
-patterns use no look-around and no back-references.
+patterns use no look-around and no back-references. Comments, scripts and styles are opaque: what looks like a tag inside
+of them is none. Elements that may lie in one another are matched by their depth.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from pulsewake.functions.let import let
-from pulsewake.functions.text import empty_to_null, language_code, strip_tags, unescape
+from pulsewake.functions.text import clean_text, empty_to_null, language_code, strip_tags, unescape, words
 from pulsewake.functions.times import parse_wall_time
 from pulsewake.functions.urls import absolute_url, full_domain, registrable_domain
 
@@ -60,18 +61,64 @@ def attribute(tag: Column, name: str) -> Column:
     return F.when(tag.rlike(pattern), value)
 
 
+#: Spans whose content is no markup; an open one reaches to the end of the page.
+OPAQUE = r"<!--.*?(?:-->|\z)|<(?:script|style)\b[^>]*>.*?(?:</(?:script|style)\s*>|\z)"
+
+
+def visible(html: Column) -> Column:
+    """The page without its opaque spans."""
+    return F.regexp_replace(html, f"(?is){OPAQUE}", "")
+
+
+def _outside(html: Column, pattern: str) -> Column:
+    """All matches that begin outside of opaque spans; ``pattern`` begins with a bracket and then a letter."""
+    found = F.regexp_extract_all(html, F.lit(f"(?is){OPAQUE}|({pattern})"), F.lit(1))
+    return F.filter(found, lambda m: m != "")
+
+
 def tags(html: Column, name: str) -> Column:
     """All opening tags of one element."""
-    return F.regexp_extract_all(html, F.lit(rf"(?is)<{name}\b[^>]*>"), F.lit(0))
+    return _outside(html, rf"<{name}\b[^>]*>")
 
 
 def element_texts(html: Column, name: str) -> Column:
-    """Inner markup of every ``<name>…</name>``."""
-    return F.regexp_extract_all(html, F.lit(rf"(?is)<{name}\b[^>]*>(.*?)</{name}>"), F.lit(1))
+    """Inner markup of every ``<name>…</name>`` of an element that can't lie in itself."""
+    whole = _outside(html, rf"<{name}\b[^>]*>.*?</{name}>")
+    return F.transform(whole, lambda w: F.regexp_extract(w, rf"(?is)^<{name}\b[^>]*>(.*)</{name}>$", 1))
 
 
 def first_element(html: Column, name: str) -> Column:
-    return empty_to_null(F.regexp_extract(html, rf"(?is)<{name}\b[^>]*>(.*?)</{name}>", 1))
+    return empty_to_null(F.get(element_texts(html, name), F.lit(0)))
+
+
+def nested_elements(html: Column, name: str) -> Column:
+    """Inner markup of every ``<name>…</name>``, also of those inside another one, in the order of their opening tags.
+
+    The page is cut into its tags of that name, opaque spans and what lies between. A fold over the tags keeps the places of
+    those that are open; a closing tag ends the last of them. Closing tags without an open one are passed over, elements
+    that are not closed go on to the end of the page.
+    """
+    pieces = F.regexp_extract_all(html, F.lit(rf"(?is){OPAQUE}|</?{name}\b[^>]*>|<|[^<]+"), F.lit(0))
+    return let(pieces, lambda found: _spans(found, name))
+
+
+def _spans(pieces: Column, name: str) -> Column:
+    turn = lambda x: F.when(x.rlike(rf"(?i)^<{name}\b"), 1).when(x.rlike(rf"(?i)^</{name}\b"), -1).otherwise(0)
+    marks = F.filter(F.transform(pieces, lambda x, i: F.struct(turn(x).alias("turn"), i.alias("at"))), lambda m: m["turn"] != 0)
+    span = lambda first, last: F.struct(first.alias("first"), last.alias("last"))
+    start = F.struct(F.array().cast("array<int>").alias("open"), F.array().cast("array<struct<first:int,last:int>>").alias("done"))
+
+    def step(state: Column, mark: Column) -> Column:
+        opened, done = state["open"], state["done"]
+        ended = F.struct(F.slice(opened, 1, F.size(opened) - 1).alias("open"), F.array_append(done, span(F.element_at(opened, -1), mark["at"])).alias("done"))
+        return (F.when(mark["turn"] == 1, F.struct(F.array_append(opened, mark["at"]).alias("open"), done.alias("done")))
+                .when(F.size(opened) > 0, ended).otherwise(state))
+
+    def finish(state: Column) -> Column:
+        return F.array_sort(F.concat(state["done"], F.transform(state["open"], lambda first: span(first, F.size(pieces)))))
+
+    spans = F.aggregate(marks, start, step, finish)
+    return F.transform(spans, lambda e: F.array_join(F.slice(pieces, e["first"] + 2, e["last"] - e["first"] - 1), ""))
 
 
 def meta_content(html: Column, attr: str, value: str) -> Column:
@@ -104,7 +151,7 @@ def meta_contains_article_keyword(html: Column) -> Column:
 
 def headlines(html: Column) -> Column:
     """Every h1 … h6 element with its markup."""
-    return F.regexp_extract_all(html, F.lit(r"(?is)<h[1-6]\b[^>]*>.*?</h[1-6]>"), F.lit(0))
+    return _outside(html, r"<h[1-6]\b[^>]*>.*?</h[1-6]>")
 
 
 def linked_headline_ratio(html: Column, minimum: int = 5, site_url: Column | None = None) -> Column:
@@ -215,7 +262,7 @@ def date_in_meta(html: Column) -> Column:
 
 def date_in_tags(html: Column) -> Column:
     """``<time>``, then a dated span, then the first element of a date class that can be read."""
-    times = F.regexp_extract_all(html, F.lit(r"(?is)<time\b[^>]*>[^<]*"), F.lit(0))
+    times = _outside(html, r"<time\b[^>]*>[^<]*")
 
     def time_value(tag: Column) -> Column:
         first_class = F.lower(F.regexp_extract(attribute(tag, "class"), r"^\s*(\S+)", 1))
@@ -223,7 +270,7 @@ def date_in_tags(html: Column) -> Column:
         return F.coalesce(empty_to_null(attribute(tag, "datetime")), F.when(first_class == "timestamp", text))
 
     decided = F.get(F.filter(F.transform(times, time_value), lambda v: v.isNotNull()), F.lit(0))
-    spans = F.regexp_extract_all(html, F.lit(r"(?is)<span\b[^>]*>[^<]*"), F.lit(0))
+    spans = _outside(html, r"<span\b[^>]*>[^<]*")
     dated = F.get(F.filter(spans, lambda t: attribute(t, "itemprop") == "datePublished"), F.lit(0))
     span_value = F.coalesce(attribute(dated, "content"), F.regexp_extract(dated, ">([^<]*)$", 1))
     marked = F.regexp_extract_all(
@@ -248,7 +295,7 @@ def publish_date(html: Column, url: Column) -> Column:
 def longest_article(html: Column) -> Column:
     """Text of the longest ``<article>``, blanks collapsed; the first in text order on a tie."""
     texts = F.transform(
-        element_texts(html, "article"), lambda a: F.trim(F.regexp_replace(unescape(F.regexp_replace(a, "<[^>]*>", "")), r"\s+", " "))
+        nested_elements(html, "article"), lambda a: F.trim(F.regexp_replace(unescape(F.regexp_replace(visible(a), "<[^>]*>", "")), r"\s+", " "))
     )
     best = F.array_max(F.transform(texts, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))
     return best["t"]
@@ -257,3 +304,40 @@ def longest_article(html: Column) -> Column:
 def paragraph_text(html: Column) -> Column:
     """Text of all paragraphs, one per line."""
     return F.array_join(F.transform(element_texts(html, "p"), strip_tags), "\n")
+
+
+# -- text by density ----------------------------------------------------------------------------------
+
+# Fixed value: elements that end one block of text and begin another.
+BLOCK_TAGS = ("address|article|aside|blockquote|body|br|center|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|"
+              "option|p|pre|section|select|table|tbody|td|textarea|tfoot|th|thead|title|tr|ul")
+
+
+def text_blocks(html: Column) -> Column:
+    """What lies between block elements, as ``markup``, number of ``words`` and share of them that is ``linked``; blocks without
+    words are left out."""
+    cut = F.split(visible(html), rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*>")
+    bare = lambda x: F.size(words(F.regexp_replace(x, "<[^>]*>", " ")))
+    links = lambda x: F.array_join(F.regexp_extract_all(x, F.lit(r"(?is)<a\b[^>]*>(.*?)(?:</a>|\z)"), F.lit(1)), " ")
+    counted = F.transform(cut, lambda x: F.struct(x.alias("markup"), bare(x).alias("words"), bare(links(x)).alias("linked")))
+    some = F.filter(counted, lambda b: b["words"] > 0)
+    return F.transform(some, lambda b: F.struct(b["markup"].alias("markup"), b["words"].alias("words"), F.least(b["linked"] / b["words"], F.lit(1.0)).alias("linked")))
+
+
+def is_main_text(block: Column, before: Column, after: Column) -> Column:
+    """Decision tree of Kohlschuetter, Fankhauser and Nejdl (2010) over a block and its neighbours: words and share of links."""
+    n = lambda b: F.coalesce(b["words"], F.lit(0))
+    linked = lambda b: F.coalesce(b["linked"], F.lit(0.0))
+    after_text = (n(block) > 16) | (n(after) > 15) | (n(before) > 4)
+    after_links = (n(block) > 40) | (n(after) > 17)
+    return (linked(block) <= 0.333333) & F.when(linked(before) <= 0.555556, after_text).otherwise(after_links)
+
+
+def dense_text(html: Column) -> Column:
+    """Text of the blocks that are main text, one per line; null when there is none. It needs no ``<article>``."""
+
+    def chosen(blocks: Column) -> Column:
+        judged = F.transform(blocks, lambda b, i: F.struct(b["markup"].alias("markup"), is_main_text(b, F.get(blocks, i - 1), F.get(blocks, i + 1)).alias("main")))
+        return F.array_join(F.transform(F.filter(judged, lambda b: b["main"]), lambda b: clean_text(b["markup"])), "\n")
+
+    return empty_to_null(let(text_blocks(html), chosen))

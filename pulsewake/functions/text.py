@@ -54,8 +54,8 @@ def unescape(text: Column) -> Column:
 
 
 def strip_tags(text: Column) -> Column:
-    """Everything between ``<`` and ``>`` goes, character references are read; outer blanks are trimmed."""
-    return F.trim(unescape(F.regexp_replace(text, "<[^>]*>", "")))
+    """Comments and everything between ``<`` and ``>`` go, character references are read; outer blanks are trimmed."""
+    return F.trim(unescape(F.regexp_replace(text, r"(?s)<!--.*?(?:-->|\z)|<[^>]*>", "")))
 
 
 def clean_whitespace(text: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsewake.functions import html as h
 from pulsewake.functions.let import let
-from pulsewake.functions.text import clean_text, normalise_null, words
+from pulsewake.functions.text import clean_text, empty_to_null, normalise_null, words
 from pulsewake.functions.urls import absolute_url
 
 FIELDS = ["title", "description", "text", "topimage", "author", "publish_date", "language"]
@@ -46,7 +46,7 @@ def body_extractor(html: Column, url: Column) -> Column:
     return candidate(
         "body",
         title=h.first_element(html, "h1"),
-        text=h.first_element(html, "article"),
+        text=empty_to_null(F.get(h.nested_elements(html, "article"), F.lit(0))),
         topimage=image,
         language=h.page_language(html),
     )
@@ -60,11 +60,17 @@ def date_extractor(html: Column, url: Column) -> Column:
     return candidate("date", publish_date=h.publish_date(html, url).cast("string"))
 
 
+def density_extractor(html: Column, url: Column) -> Column:
+    """The main text of any page, by words and links of its blocks."""
+    return candidate("density", title=F.coalesce(h.first_element(html, "h1"), h.page_title(html)), text=h.dense_text(html), language=h.page_language(html))
+
+
 EXTRACTORS: dict[str, Callable[[Column, Column], Column]] = {
     "head": head_extractor,
     "body": body_extractor,
     "paragraphs": paragraph_extractor,
     "date": date_extractor,
+    "density": density_extractor,
 }
 
 

@@ -337,6 +337,24 @@ def e10(spark, sf):
     return rows.select("page_id", "ord", "extractor", "title", "description", F.md5("text").alias("body"), "topimage", "author")
 
 
+_OPAQUE = r"<!--.*?(?:-->|\z)|<(?:script|style)\b[^>]*>.*?(?:</(?:script|style)\s*>|\z)"
+_COUNT = lambda e: f"len(list_filter(regexp_split_to_array(regexp_replace({e}, '<[^>]*>', ' ', 'g'), '\\s+'), lambda w: w <> ''))"
+
+
+@query("e10_density_text", f"""WITH cut AS (SELECT page_id, regexp_split_to_array(regexp_replace(html, '(?is){_OPAQUE}', '', 'g'), '(?i)</?(?:{h.BLOCK_TAGS})\\b[^>]*>') AS parts FROM pages),
+  blocks AS (SELECT page_id, unnest(parts) AS x, unnest(range(len(parts))) AS i FROM cut),
+  counted AS (SELECT page_id, x, i, {_COUNT('x')} AS n, {_COUNT("array_to_string(regexp_extract_all(x, '(?is)<a\\b[^>]*>(.*?)(?:</a>|\\z)', 1), ' ')")} AS linked FROM blocks),
+  shares AS (SELECT page_id, x, i, n, least(linked / n, 1.0) AS s FROM counted WHERE n > 0),
+  near AS (SELECT *, coalesce(lag(n) OVER w, 0) AS n0, coalesce(lag(s) OVER w, 0) AS s0, coalesce(lead(n) OVER w, 0) AS n1 FROM shares WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+  main AS (SELECT page_id, string_agg({_clean('x')}, chr(10) ORDER BY i) AS t, count(*) AS k FROM near
+           WHERE s <= 0.333333 AND CASE WHEN s0 <= 0.555556 THEN n > 16 OR n1 > 15 OR n0 > 4 ELSE n > 40 OR n1 > 17 END GROUP BY 1)
+  SELECT page_id, md5(nullif(t, '')) AS v FROM pages LEFT JOIN main USING (page_id)""")
+def e10_density(spark, sf):
+    """Main text of every page by the density of words and links, whatever its elements are called."""
+    rows = cand.to_rows(cand.extract(table(spark, sf, "pages"), ["density"]), "page_id")
+    return rows.select("page_id", F.md5("text").alias("v"))
+
+
 @query("e11_clean_candidates", cte("rich") + f""", r AS (SELECT page_id, regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1) AS t, nullif(regexp_extract(html, '(?is)<article\\b[^>]*>(.*?)</article>', 1), '') AS b FROM rich)
   SELECT page_id, {_clean('t')} AS title, md5({_clean('b')}) AS body FROM r""")
 def e11(spark, sf):

@@ -260,3 +260,67 @@ def test_site_rules_as_a_long_table(spark):
     sites += [{"url": "http://www.e11.com", "overwrite": {"linked_headlines": "often"}, "condition": "linked_headlines"}]
     got = {r.id: r.is_article for r in art.classify_by_site(pages, sites).collect()}
     assert got == {i: 8 <= i <= 10 for i in [*range(12), 99]}
+
+
+# -- dates by grammar, nested elements, density -------------------------------------------------------
+
+
+@pytest.mark.parametrize("text,want", [
+    ("26.11.2015", "2015-11-26 00:00:00"), ("11/26/2015 5:03 PM", "2015-11-26 17:03:00"), ("Thu, 26 Nov 2015 07:11:02 EST", "2015-11-26 07:11:02"),
+    ("26/11/2015 07:11", "2015-11-26 07:11:00"), ("November 26th, 2015", "2015-11-26 00:00:00"), ("26-Nov-2015", "2015-11-26 00:00:00"),
+    ("Nov 26 2015", "2015-11-26 00:00:00"), ("2015-11-26 07:11:02 AM", "2015-11-26 07:11:02"), ("2015-11-26T07:11:02.123+01:00", "2015-11-26 07:11:02"),
+    ("20151126T071102", "2015-11-26 07:11:02"), ("201511260711", "2015-11-26 07:11:00"), ("Nov. 26, 2015 at 5 p.m.", "2015-11-26 17:00:00"),
+    ("12:30 am, 1 Sept 99", "1999-09-01 00:30:00"), ("05.06.2015", "2015-05-06 00:00:00"), ("2015-26-11", "2015-11-26 00:00:00"),
+    ("2015-02-30", None), ("17:03 pm 2015-11-26", None), ("call 12 34 56 now", None), ("5 pm", None), ("March 2015", None), ("31/31/2015", None),
+    ("1 2 3 4", None), ("Mayor 5 2015", None), ("x" * 5000, None), ("", None), (None, None),
+])
+def test_dates_by_grammar(spark, text, want):
+    found = ask(spark, tm.parse_wall_time, text)
+    assert (None if found is None else str(found)) == want
+
+
+def plain_nested(page, name):
+    """Elements by a scan over the tags with a stack."""
+    import re
+
+    opaque = r"<!--.*?(?:-->|\Z)|<(?:script|style)\b[^>]*>.*?(?:</(?:script|style)\s*>|\Z)"
+    open_, done = [], []
+    for m in re.finditer(rf"(?is){opaque}|</?{name}\b[^>]*>", page):
+        if re.match(rf"(?i)<{name}\b", m[0]):
+            open_.append((m.start(), m.end()))
+        elif re.match(rf"(?i)</{name}\b", m[0]) and open_:
+            first = open_.pop()
+            done.append((first[0], page[first[1] : m.start()]))
+    done += [(a, page[b:]) for a, b in open_]
+    return [t for _, t in sorted(done)]
+
+
+def test_nested_elements_against_a_stack(spark):
+    import random
+
+    random.seed(4)
+    parts = ["<article>", "<article class='x'>", "</article>", "</ARTICLE >", "one ", "<p>two</p>", "<!-- <article> -->", "<script>'</article>'</script>", " < ", "<articles>", "<style>a</style>", "é\n"]
+    pages = ["".join(random.choice(parts) for _ in range(random.randint(0, 14))) for _ in range(300)]
+    pages += ["<article>one <article>inner</article> two</article>", "<article><!-- </article> -->x</article>", "<!-- open <article>", "", "</article>" * 3]
+    rows = spark.createDataFrame(list(enumerate(pages)), "i int, html string").select("i", h.nested_elements(F.col("html"), "article").alias("v")).collect()
+    assert {r.i: r.v for r in rows} == {i: plain_nested(p, "article") for i, p in enumerate(pages)}
+
+
+def test_comments_and_scripts_hold_no_markup(spark):
+    page = ("<head><!-- <title>old</title> --><title>new</title><script>var a = '<a href=\"x\">y</a><h1>no</h1>'</script></head>"
+            "<body><!-- <h1>old</h1> <a href='/c'>c</a> --><h1>real</h1><a href='/r'>r</a><!-- <meta property='og:type' content='article'> --></body>")
+    assert ask(spark, h.page_title, page) == "new"
+    assert ask(spark, lambda c: h.first_element(c, "h1"), page) == "real"
+    assert ask(spark, h.link_targets, page) == ["/r"]
+    assert ask(spark, h.og_type, page) is False
+    assert ask(spark, tx.strip_tags, "a <!-- <b>x</b> --> c<!-- open") == "a  c"
+    assert ask(spark, h.longest_article, "<article>one <article>inner</article> two</article>") == "one inner two"
+
+
+def test_main_text_without_article(spark):
+    long = " ".join(f"word{i}" for i in range(45))
+    page = (f"<div><ul><li><a href='/a'>Home page</a></li><li><a href='/b'>Sports news</a></li></ul></div><div><h2>Short head</h2><div>{long} <a href='/x'>one link</a></div>"
+            f"<div>{long} again</div><!-- <div>{long} hidden</div> --></div><div><a href='/z'>{long}</a></div><footer>All rights reserved</footer>")
+    text = ask(spark, h.dense_text, page)
+    assert text.split("\n") == ["Short head", f"{long} one link", f"{long} again"]
+    assert ask(spark, h.dense_text, "<p>too short</p>") is None and ask(spark, h.dense_text, "") is None and ask(spark, h.dense_text, None) is None
