@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pulsewake.functions.times import bucket_start
+from pulsewake.runtime import scratch_path
 
 
 def ntz(value: str) -> Column:
@@ -42,25 +42,66 @@ def windows_from_events(events: DataFrame, event_ts: str, minutes: int, window_i
     )
 
 
-def tag_with_windows(pubs: DataFrame, windows: DataFrame, ts: str, row_id: str, bucket: str = "1 hour") -> DataFrame:
+#: A cell of a level is 2 ** BITS cells of the level below. The narrowest is a microsecond, the widest longer than the calendar.
+BITS = 3
+LEVELS = range(0, 60, BITS)
+
+
+def _micros(ts: Column) -> Column:
+    return F.unix_micros(ts.cast("timestamp"))
+
+
+def _shifted(number: Column, level: Column) -> Column:
+    return F.call_function("shiftright", number, level)
+
+
+def _each_level() -> Column:
+    return F.explode(F.array(*[F.lit(level) for level in LEVELS]))
+
+
+def dyadic_cells(windows: DataFrame, first: str = "start", last: str = "end") -> DataFrame:
+    """Each window once per ``level`` and ``cell`` of the aligned cells that make it up, both ends included.
+
+    A cell holds the microseconds that give its number when shifted right by ``level``. Of each level a window takes the whole
+    cells that no wider one covers, fewer than 2 ** (BITS + 1), so the number of cells grows with the logarithm of its length. A window
+    without an end, or that ends before it starts, has none.
+    """
+    def whole(level: Column) -> tuple[Column, Column]:
+        """The cells of a level that lie within: from the first up to, not including, the second."""
+        width = F.call_function("shiftleft", F.lit(1).cast("bigint"), level)
+        return _shifted(F.col("_first") + width - 1, level), _shifted(F.col("_last") + 1, level)
+
+    def span(begin: Column, end: Column) -> Column:
+        return F.when(begin < end, F.sequence(begin, end - 1)).otherwise(F.array().cast("array<bigint>"))
+
+    timed = windows.withColumns({"_first": _micros(F.col(first)), "_last": _micros(F.col(last))}).where("_first <= _last")
+    borders = timed.withColumn("level", _each_level())
+    left, right = whole(F.col("level"))
+    inner, outer = whole(F.col("level") + BITS)
+    borders = borders.withColumns({"_left": left, "_right": right, "_inner": inner * 2**BITS, "_outer": outer * 2**BITS})
+    split = F.concat(span(F.col("_left"), F.col("_inner")), span(F.col("_outer"), F.col("_right")))
+    cells = F.when(F.col("_inner") < F.col("_outer"), split).otherwise(span(F.col("_left"), F.col("_right")))
+    return borders.withColumn("cell", F.explode(cells)).drop("_first", "_last", "_left", "_right", "_inner", "_outer")
+
+
+def tag_with_windows(pubs: DataFrame, windows: DataFrame, ts: str, row_id: str) -> DataFrame:
     """Range join for any number of windows, also overlapping ones: lowest ``window_id`` wins, 0 when none.
 
-    Each window is listed under every time bucket it touches, so the join has an equality key and Spark
-    may sort, hash or broadcast it by size and split a busy bucket. The exact interval stays in the join
-    condition: only true hits leave it, and they are reduced to one per publication.
+    An index keeps the lowest window of every cell of :func:`dyadic_cells`. A publication looks at the one cell of each level that
+    holds it, of the levels that occur, so it never meets the windows one by one, however many overlap and however long they are.
+    The index is written when the join is stated.
+    A time of null is in no window.
     """
-    covered = (
-        windows.where(F.col("start") <= F.col("end"))
-        .withColumn("_from", bucket_start(F.col("start"), bucket))
-        .withColumn("_to", bucket_start(F.col("end"), bucket))
-        .select("window_id", "start", "end", F.explode(F.sequence("_from", "_to", F.expr(f"INTERVAL {bucket}"))).alias("_bucket"))
-    )
-    timed = pubs.select(row_id, F.col(ts).alias("_ts"), bucket_start(F.col(ts), bucket).alias("_bucket"))
-    hits = (
-        timed.join(covered, (timed["_bucket"] == covered["_bucket"]) & F.col("_ts").between(F.col("start"), F.col("end")))
-        .groupBy(row_id)
-        .agg(F.min("window_id").alias("golden_window"))
-    )
+    spark = pubs.sparkSession
+    lowest = dyadic_cells(windows.select("window_id", "start", "end")).groupBy("level", "cell").agg(F.min("window_id").alias("_lowest"))
+    # written, so that the join is chosen by the size of the cells, which Spark would guess from that of the windows
+    path = scratch_path(spark, "windows")
+    lowest.write.parquet(path)
+    index = spark.read.schema(lowest.schema).parquet(path)
+    levels = index.agg(F.collect_set("level")).scalar()
+    looked = pubs.select(row_id, _micros(F.col(ts)).alias("_at"), _each_level().alias("level")).where(F.array_contains(levels, F.col("level")))
+    found = looked.select(row_id, "level", _shifted(F.col("_at"), F.col("level")).alias("cell")).join(index, ["level", "cell"])
+    hits = found.groupBy(row_id).agg(F.min("_lowest").alias("golden_window"))
     return pubs.join(hits, row_id, "left").fillna({"golden_window": 0})
 
 

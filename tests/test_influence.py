@@ -49,6 +49,36 @@ def test_window_table_agrees_with_window_list_on_overlaps(spark):
     assert tags(by_table) == tags(by_list)
 
 
+def test_cells_make_up_their_window_and_nothing_else(spark):
+    base = datetime(1969, 12, 31, 23, 59, 59, 999_900)
+    spans = [(0, 0), (0, 15), (3, 300), (90, 110), (99, 4_200), (100, 100 + 16**3 - 1), (5, 4), (17, 1_000), (0, None)]
+    rows = [(i, base + timedelta(microseconds=a), None if b is None else base + timedelta(microseconds=b)) for i, (a, b) in enumerate(spans)]
+    cells = win.dyadic_cells(spark.createDataFrame(rows, "window_id int, start timestamp_ntz, end timestamp_ntz")).collect()
+    for i, (a, b) in enumerate(spans):
+        own = [(c.cell << c.level, (c.cell + 1) << c.level) for c in cells if c.window_id == i]
+        held = sorted(at for low, high in own for at in range(low, high))
+        assert held == list(range(a - 100, -99 if b is None else b - 99))[: 0 if b is None else None]
+        assert len(own) <= 2 * 7 * 5
+
+
+def test_long_overlapping_windows_are_never_met_one_by_one(spark):
+    n = 20_000
+    moment = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
+    start = F.pmod(F.xxhash64("id"), F.lit(40 * 86_400_000_000))
+    windows = spark.range(1, n + 1).select(F.col("id").alias("window_id"), start.alias("_s"), (start + F.pmod(F.hash("id"), F.lit(5)) * 86_400_000_000 + 7).alias("_e"))
+    held = windows.orderBy("window_id").toPandas()
+    table = windows.select("window_id", moment(F.col("_s")).alias("start"), moment(F.col("_e")).alias("end"))
+    edges = [int(x) + d for x in [*held["_s"][:20], *held["_e"][:20]] for d in (-1, 0, 1)]
+    times = edges + [86_400_000_000 * d + 12_345 for d in range(-1, 50)]
+    posts = spark.createDataFrame(list(enumerate(times)), "id int, us bigint").select("id", moment(F.col("us")).alias("ts"))
+    starts, ends = held["_s"].to_numpy(), held["_e"].to_numpy()
+    expected = {}
+    for i, at in enumerate(times):
+        inside = (starts <= at) & (at <= ends)
+        expected[i] = int(inside.argmax()) + 1 if inside.any() else 0
+    assert tags(win.tag_with_windows(posts, table, "ts", "id")) == expected
+
+
 def test_event_table_score_agrees_with_event_list_score(spark):
     rows = [(i, "abc"[i % 3], at("00:00:00") + timedelta(minutes=3 * i)) for i in range(400)]
     events = ["2024-01-01 03:00:00", "2024-01-01 03:40:00", "2024-01-01 17:00:00"]
