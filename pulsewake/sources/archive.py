@@ -46,6 +46,15 @@ def list_archive_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", "length", F.col("modificationTime").cast("timestamp_ntz").alias("modified"))
 
 
+def _content(file, length: int) -> bytes:
+    """What there is of ``length`` bytes; no memory is taken for more, whatever a record declares."""
+    parts = []
+    while length > 0 and (part := file.read(min(length, 1 << 20))):
+        parts.append(part)
+        length -= len(part)
+    return b"".join(parts)
+
+
 def _records(file) -> Iterator[tuple[dict[str, str], bytes, bool]]:
     """Headers (names in lower case), content, and whether the content has its declared length."""
     while line := file.readline():
@@ -55,9 +64,10 @@ def _records(file) -> Iterator[tuple[dict[str, str], bytes, bool]]:
         while (line := file.readline()).strip():
             name, _, value = line.decode("utf-8", "replace").partition(":")
             headers[name.strip().lower()] = value.strip()
-        if "content-length" in headers:
-            length = int(headers["content-length"])
-            content = file.read(length)
+        declared = headers.get("content-length", "")
+        if re.fullmatch(r"[0-9]{1,18}", declared):
+            length = int(declared)
+            content = _content(file, length)
             yield headers, content, len(content) == length
         else:
             yield headers, b"", False
@@ -99,8 +109,8 @@ def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """Archive records as ``(record_type, url, download_date, http_status, content_type, payload, is_complete, file)``.
 
-    Plain or gzipped files, of any version. A record whose file ends before its declared length, or that declares none, is not
-    ``is_complete``.
+    Plain or gzipped files, of any version. A record whose file ends before its declared length, or that declares none or no
+    number, is not ``is_complete``; reading goes on at the next line that begins a record.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where("length > 0").select("path")
     return records_of(files)

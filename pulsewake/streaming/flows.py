@@ -8,6 +8,7 @@ from datetime import timedelta
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from pulsewake import schemas
 from pulsewake.operators.posts import cleanse_posts
@@ -110,7 +111,7 @@ def upsert_to_files(stream: DataFrame, path: str, checkpoint: str) -> None:
 
 def latest(spark: SparkSession, path: str, schema, keys: list[str]) -> DataFrame:
     """The newest state of every key that :func:`upsert_to_files` wrote; ``batch`` is the folder's number."""
-    rows = spark.read.schema(schema.add("batch", "long") if "batch" not in schema.names else schema).parquet(path)
+    rows = spark.read.schema(schema if "batch" in schema.names else StructType([*schema.fields, StructField("batch", LongType())])).parquet(path)
     rest = [c for c in schema.names if c not in [*keys, "batch"]]
     newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last"))
     return newest.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])

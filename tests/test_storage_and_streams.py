@@ -212,3 +212,27 @@ def test_stream_queries_do_not_depend_on_batches(spark, tmp_path, name):
     want = rows_of([d[0] for d in result.description], result.fetchall())
     got = catalogue.QUERIES[name](spark, str(tmp_path), files_per_batch=1)
     assert rows_of(got.columns, got.collect()) == want and len(want) > 50
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_lengths_that_are_no_number_leave_the_other_records(spark, tmp_path, packed):
+    record = lambda url, length, body: f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: {url}\r\nContent-Length: {length}\r\n\r\n{body}\r\n\r\n".encode()
+    bad = ["many", "-5", "", "1e3", "12 bytes", "9" * 30, "٣"]
+    data = b"".join(record(f"bad{i}", length, "lost\r\nlines") + record(f"good{i}", 4, "kept") for i, length in enumerate(bad))
+    data += record("open", 10**17, "no end")
+    (tmp_path / "a.warc").write_bytes(gzip.compress(data) if packed else data)
+    rows = {r.url: r for r in archive.read_archive(spark, str(tmp_path)).collect()}
+    assert len(rows) == 2 * len(bad) + 1
+    for i in range(len(bad)):
+        assert rows[f"good{i}"].is_complete and bytes(rows[f"good{i}"].payload) == b"kept"
+        assert not rows[f"bad{i}"].is_complete and bytes(rows[f"bad{i}"].payload) == b""
+    assert not rows["open"].is_complete
+
+
+def test_latest_leaves_the_schema_of_the_caller(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "k string, n int")
+    rows.write.parquet(f"{tmp_path}/out/batch=0")
+    rows.where("k = 'a'").withColumn("n", F.lit(7)).write.parquet(f"{tmp_path}/out/batch=1")
+    for _ in range(2):
+        assert {tuple(r) for r in flows.latest(spark, f"{tmp_path}/out", rows.schema, ["k"]).collect()} == {("a", 7), ("b", 2)}
+    assert rows.schema.names == ["k", "n"]
