@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from datetime import timedelta
+from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
 from pulsewake import schemas
@@ -40,37 +38,78 @@ def volume_stream(posts: DataFrame, ts: str, every: str, lateness: str) -> DataF
     return counts.select(F.col("window.start").alias("bucket"), "volume")
 
 
-def throttle_stream(arrivals: DataFrame, key: str, arrived: str, hours: int = 6, lateness: str = "1 hour") -> DataFrame:
-    """Drop a re-download less than ``hours`` after the last kept one. State: one time per key.
+#: Setting under which a query of :func:`throttle_stream` has to start: its state needs timers.
+KEYED_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+}
+
 
-    A key's arrivals of one micro-batch are put in order together; the size of a micro-batch is bounded
-    by the files per trigger. Input arrives in time order up to ``lateness``; a key is forgotten once the watermark has passed
-    its last kept time by ``hours``, since then any arrival is kept anyway.
+def throttle_stream(arrivals: DataFrame, key: str, arrived: str, hours: int = 6, lateness: str = "1 hour") -> DataFrame:
+    """Drop a re-download less than ``hours`` after the last kept one, in event time: any order and batching within
+    ``lateness`` gives the result of :func:`pulsewake.operators.history.throttle`.
+
+    Which arrivals are kept is settled once the watermark has passed them. Until then a key holds those that may still
+    be kept, at most its distinct moments of ``lateness`` beyond ``hours`` after the last kept one. One timer a key wakes
+    it when the first of them is settled; a key is forgotten ``hours`` after its last kept moment, since then any arrival is
+    kept anyway. An arrival without a time is left out; one behind the watermark as well. The last arrivals come out when
+    a later one, of any key, moves the watermark past them. Start the query under ``KEYED_STATE``.
     """
-    gap = timedelta(hours=hours)
-
-    def keep(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        arrivals_now = pd.concat([rows[arrived] for rows in batches]).sort_values()
-        kept = []
-        for at in arrivals_now:
-            if last is None or at - last >= gap:
-                kept.append(at)
-                last = at
-        yield pd.DataFrame({key: [name[0]] * len(kept), arrived: kept})
-        state.update((last.value // 1000,))
-        deadline = int((last + gap).timestamp() * 1000)
-        if deadline > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(deadline)
+    gap, name = int(hours) * 3_600_000_000, key
+
+    class Throttle(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.settled = handle.getValueState("settled", "last bigint, wakes bigint")
+            self.waiting = handle.getListState("waiting", "at bigint")
+
+        def handleInputRows(self, key, rows, timerValues):
+            last, wakes = self.settled.get() or (None, None)
+            moments = {row[1] for row in rows}
+            if last is not None:
+                moments = {at for at in moments if at - last >= gap}
+            if moments:
+                self.waiting.appendList([(at,) for at in sorted(moments)])
+                self.wake(last, wakes, min(moments))
+            return iter(())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            last = self.settled.get()[0]
+            border = timerValues.getCurrentWatermarkInMs() * 1000
+            waiting = sorted({row[0] for row in self.waiting.get()})
+            kept = []
+            for at in waiting:
+                if at <= border and (last is None or at - last >= gap):
+                    kept.append(at)
+                    last = at
+            rest = [at for at in waiting if at > border and (last is None or at - last >= gap)]
+            if rest:
+                self.waiting.put([(at,) for at in rest])
+                self.wake(last, None, rest[0])
+            elif last is not None and last + gap > border:
+                self.waiting.clear()
+                self.wake(last, None, last + gap)
+            else:
+                self.waiting.clear()
+                self.settled.clear()
+            return (Row(**{name: key[0], "_at": at}) for at in kept)
+
+        def wake(self, last, wakes, at) -> None:
+            """One timer a key, at the first moment it waits for. Timers have milliseconds, moments microseconds."""
+            due = at // 1000 + 1
+            if wakes is None or due < wakes:
+                if wakes is not None:
+                    self.handle.deleteTimer(wakes)
+                self.handle.registerTimer(due)
+                self.settled.update((last, due))
+
+        def close(self) -> None:
+            pass
 
     kinds = dict(arrivals.dtypes)
-    rows = arrivals.select(key, arrived).withWatermark(arrived, lateness)
-    return rows.groupBy(key).applyInPandasWithState(
-        keep, f"{key} {kinds[key]}, {arrived} timestamp", "last_micros bigint", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    rows = arrivals.where(F.col(arrived).isNotNull()).withWatermark(arrived, lateness)
+    rows = rows.select(F.col(key), F.unix_micros(arrived).alias("_at"), arrived)
+    kept = rows.groupBy(key).transformWithState(Throttle(), f"`{key}` {kinds[key]}, _at bigint", "append", "EventTime")
+    return kept.select(key, F.timestamp_micros("_at").alias(arrived))
 
 
 def publications_near_events(
@@ -80,13 +119,30 @@ def publications_near_events(
     return pairs_within(pubs.withWatermark(ts, lateness), events.withWatermark(event_ts, lateness), ts, event_ts, minutes, salts)
 
 
-def run_to_files(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Work off what is there, write Parquet, stop."""
-    query = (
-        stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start(path)
-    )
-    query.awaitTermination()
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for what is started inside; those of before come back after."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def run_to_files(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", conf: dict[str, str] | None = None) -> None:
+    """Work off what is there, write Parquet, stop. ``conf`` holds for this query alone."""
+    with settings(stream.sparkSession, conf or {}):
+        query = (
+            stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start(path)
+        )
+        query.awaitTermination()
 
 
 def run_batches(stream: DataFrame, apply, checkpoint: str, mode: str = "append") -> None:

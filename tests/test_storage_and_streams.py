@@ -154,16 +154,27 @@ def test_repeated_posts_across_batches_count_once(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
 
 
-def test_throttle_state_lives_across_batches(spark, tmp_path):
+def throttled(spark, tmp_path, batches, lateness):
+    """Kept hours of page p and q; each batch is its own run over the same state."""
     schema = "url string, at timestamp"
-    run = lambda: flows.run_to_files(
-        flows.throttle_stream(flows.stream_parquet(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema), "url", "at", 6),
-        str(tmp_path / "out"), str(tmp_path / "state"))
-    for hours in ((0, 4), (7, 11), (14,)):
-        feed(spark, tmp_path / "in", [("p", T0 + timedelta(hours=x)) for x in hours], schema)
-        run()
-    got = sorted(r["at"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
-    assert got == [T0 + timedelta(hours=x) for x in (0, 7, 14)]
+    for batch in batches:
+        feed(spark, tmp_path / "in", [(u, T0 + timedelta(hours=x) if x is not None else None) for u, x in batch], schema)
+        stream = flows.stream_parquet(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema)
+        flows.run_to_files(flows.throttle_stream(stream, "url", "at", 6, lateness), str(tmp_path / "out"), str(tmp_path / "state"), conf=flows.KEYED_STATE)
+    return sorted((r.url, (r["at"] - T0) / timedelta(hours=1)) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+
+def test_throttle_state_lives_across_batches(spark, tmp_path):
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    batches = [[("p", 0), ("p", 4), ("q", None)], [("p", 7), ("p", 11), ("p", 11)], [("p", 14)], [(None, 100)]]
+    assert throttled(spark, tmp_path, batches, "1 hour") == [("p", 0), ("p", 7), ("p", 14)]
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == provider
+
+
+def test_throttle_takes_late_arrivals_in_their_place(spark, tmp_path):
+    # 1 and 8 come after 5 and 12, still within the lateness; 9 comes when the watermark stands at 30
+    batches = [[("p", 5), ("q", 2)], [("p", 1), ("p", 12)], [("p", 8), ("q", 3)], [("q", 50)], [("p", 9), ("p", 31)], [(None, 200)]]
+    assert throttled(spark, tmp_path, batches, "20 hours") == [("p", 1), ("p", 8), ("p", 31), ("q", 2), ("q", 50)]
 
 
 def test_version_store_counts_a_replayed_batch_once(spark, tmp_path):
