@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsewake.functions.times import bucket_start
@@ -130,24 +132,47 @@ def lag_pairs(series: DataFrame, value: str, order: str = "bucket") -> DataFrame
     )
 
 
-def autocorrelation(series: DataFrame, value: str, order: str = "bucket", max_lag: int | None = None) -> DataFrame:
+def _lagged_products(earlier: Column, later: Column) -> Column:
+    """Sums of products of two blocks of numbers at every distance between their places: from ``later`` being
+    ``size(earlier) - 1`` places behind to its being ``size(later) - 1`` places ahead."""
+
+    def products(blocks: pd.Series, others: pd.Series) -> pd.Series:
+        return pd.Series([np.correlate(b, a, "full") for a, b in zip(blocks, others, strict=True)])
+
+    return F.pandas_udf(products, "array<double>")(earlier, later)
+
+
+def autocorrelation(
+    series: DataFrame, value: str, order: str = "bucket", max_lag: int | None = None, block: int = 256
+) -> DataFrame:
     """r(h) for every lag h, or up to ``max_lag``: Σ(xₜ−x̄)(xₜ₊ₕ−x̄) ÷ Σ(xₜ−x̄)².
 
-    The series is a calendar of buckets, not the ticks; a row is sent to each lag it takes part in and
-    the products are added up per lag on the map side. Give ``max_lag`` for long calendars.
+    The series is cut into blocks of ``block`` values. Two blocks bring all lags between their members at once, so n values
+    meet in n² ÷ 2·block² rows instead of n² ÷ 2, and the products are added up per lag on the map side. A ``max_lag`` leaves out
+    the pairs of blocks further apart. A constant series has null for every lag, one of fewer than two values no lag.
     """
+    if block < 1:
+        raise ValueError("a block holds one value at least")
     series = cut_lineage(series.where(F.col(value).isNotNull()).select(order, value))
     ordered = cut_lineage(number_in_order(series, [], [order], position="t"))
     stats = ordered.agg(F.avg(value).alias("mean"), F.count("*").alias("n"), F.var_pop(value).alias("c0"))
-    centred = ordered.select("t", (F.col(value) - stats.select("mean").scalar()).alias("d"))
+    centred = ordered.select(F.col("t") - 1, (F.col(value) - stats.select("mean").scalar()).alias("d")).toDF("t", "d")
+    listed = centred.groupBy(F.expr(f"t DIV {int(block)}").alias("block")).agg(F.array_sort(F.collect_list(F.struct("t", "d"))).alias("values"))
+    blocks = cut_lineage(listed.select("block", F.col("values.d").alias("d")))
     size = stats.select("n").scalar()
-    longest = F.least(F.col("t") - 1, F.lit(max_lag)) if max_lag is not None else F.col("t") - 1
-    later = centred.where("t > 1").select(
-        F.col("d").alias("d_later"), F.explode(F.sequence(F.lit(1), longest.cast("int"))).alias("lag"), F.col("t").alias("t_later")
-    ).withColumn("t", F.col("t_later") - F.col("lag"))
+    furthest = (size - 1) if max_lag is None else F.least(size - 1, F.lit(max_lag))
+    # values of two blocks are at least (apart - 1) * block + 1 from each other
+    last = stats.select(F.expr(f"(n - 1) DIV {int(block)}").alias("last")).scalar()
+    if max_lag is not None:
+        last = F.least(last, F.col("block") + (max_lag + block - 1) // block)
+    earlier = blocks.select(F.col("block").alias("first"), F.col("d").alias("a"), F.explode(F.sequence("block", last)).alias("block"))
+    products = earlier.join(blocks, "block").select(
+        (F.col("block") - F.col("first")).alias("apart"), F.size("a").alias("width"), F.posexplode(_lagged_products(F.col("a"), F.col("d"))).alias("place", "s")
+    )
+    lags = products.select((F.col("apart") * int(block) + F.col("place") - (F.col("width") - 1)).cast("int").alias("lag"), "s")
     return (
-        later.join(centred, "t")
+        lags.where((F.col("lag") >= 1) & (F.col("lag") <= furthest))
         .groupBy("lag")
-        .agg((F.sum(F.col("d") * F.col("d_later"))).alias("s"))
+        .agg(F.sum("s").alias("s"))
         .select("lag", F.try_divide(F.col("s"), size * stats.select("c0").scalar()).alias("r"))
     )

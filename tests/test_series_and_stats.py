@@ -46,6 +46,22 @@ def test_autocorrelation_equals_numpy(spark):
     assert {r.lag for r in tsr.autocorrelation(series, "close", max_lag=3).collect()} == {1, 2, 3}
 
 
+@pytest.mark.parametrize(("n", "block", "max_lag"), [(40, 7, None), (40, 8, 17), (41, 1, 5), (40, 40, None), (100, 16, 16), (9, 4, 100)])
+def test_autocorrelation_in_blocks(spark, n, block, max_lag):
+    x = np.random.RandomState(n).rand(n)
+    rows = [(T0 + timedelta(days=i), float(v)) for i, v in enumerate(x)] + [(T0 - timedelta(days=1), None)]
+    got = {r.lag: r.r for r in tsr.autocorrelation(spark.createDataFrame(rows, "bucket timestamp_ntz, close double"), "close", max_lag=max_lag, block=block).collect()}
+    d = x - x.mean()
+    assert got == pytest.approx({lag: (d[:-lag] * d[lag:]).sum() / (d * d).sum() for lag in range(1, min(n - 1, max_lag or n) + 1)})
+
+
+def test_autocorrelation_of_nothing_and_of_a_constant(spark):
+    series = lambda *values: spark.createDataFrame([(T0 + timedelta(days=i), v) for i, v in enumerate(values)], "bucket timestamp_ntz, close double")
+    assert tsr.autocorrelation(series(), "close").collect() == []
+    assert tsr.autocorrelation(series(1.0), "close").collect() == []
+    assert {r.lag: r.r for r in tsr.autocorrelation(series(2.0, 2.0, 2.0), "close").collect()} == {1: None, 2: None}
+
+
 def test_scaling_and_correlation_of_a_constant(spark):
     df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0), (2.0, None)], "x double, c double")
     rows = sorted((r.x_scaled, r.c_scaled) for r in tsr.min_max_scale(df.na.drop(), ["x", "c"]).collect())
