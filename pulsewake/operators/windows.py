@@ -105,16 +105,43 @@ def tag_with_windows(pubs: DataFrame, windows: DataFrame, ts: str, row_id: str)
     return pubs.join(hits, row_id, "left").fillna({"golden_window": 0})
 
 
-def pairs_within(posts: DataFrame, events: DataFrame, ts: str, event_ts: str, minutes: int, salts: int = 8) -> DataFrame:
+def busy_hours(posts: DataFrame, ts: str, rows_per_task: int) -> DataFrame:
+    """``(hour, salts)`` of every hour with more than ``rows_per_task`` posts: as many salts as tasks of that size.
+
+    One aggregate that combines on the map side, written as a table, so that joins know its size. It has at most one row for each
+    ``rows_per_task`` posts.
+    """
+    spark = posts.sparkSession
+    hours = posts.groupBy(F.date_trunc("hour", F.col(ts)).alias("hour")).agg(F.count("*").alias("n"))
+    busy = hours.where((F.col("n") > rows_per_task) & F.col("hour").isNotNull()).select("hour", F.ceil(F.col("n") / rows_per_task).cast("int").alias("salts"))
+    path = scratch_path(spark, "busy")
+    busy.write.parquet(path)
+    return spark.read.schema(busy.schema).parquet(path)
+
+
+def pairs_within(
+    posts: DataFrame, events: DataFrame, ts: str, event_ts: str, minutes: int, salts: int = 1, busy: DataFrame | None = None
+) -> DataFrame:
     """Posts at most ``minutes`` before an event, beside it; batch or stream.
 
     The hour is the equality key: an event is listed under every hour its window touches. All rows of an hour would be
-    one task, so posts are spread over ``salts`` by a hash of their columns and the few events repeated for each.
+    one task, so the posts of an hour are spread over its salts, by a hash of their columns, and the events that touch it repeated for
+    each. The table ``busy`` (see :func:`busy_hours`) says how many; an hour that it does not have takes ``salts``. Streams
+    may use the table of an earlier day or of what has arrived: it steers the work, not the result, but has to stay the same
+    for the life of a query.
     """
     reach = F.expr(f"INTERVAL {int(minutes)} MINUTES")
-    left = posts.withColumns({"_hour": F.date_trunc("hour", F.col(ts)), "_salt": F.pmod(F.xxhash64(*posts.columns), F.lit(salts)).cast("int")})
+    left = posts.withColumn("_hour", F.date_trunc("hour", F.col(ts)))
     hours = F.sequence(F.date_trunc("hour", F.col(event_ts) - reach), F.date_trunc("hour", F.col(event_ts)), F.expr("INTERVAL 1 HOUR"))
-    right = events.withColumn("_event_hour", F.explode(hours)).withColumn("_event_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    right = events.withColumn("_event_hour", F.explode(hours))
+    number = F.lit(salts)
+    if busy is not None:
+        known = busy.select(F.col("hour").alias("_busy_hour"), F.col("salts").alias("_salts"))
+        left = left.join(known, F.col("_hour") == F.col("_busy_hour"), "left")
+        right = right.join(known, F.col("_event_hour") == F.col("_busy_hour"), "left")
+        number = F.coalesce("_salts", F.lit(salts))
+    left = left.withColumn("_salt", F.pmod(F.xxhash64(*posts.columns), number).cast("int")).drop("_busy_hour", "_salts")
+    right = right.withColumn("_event_salt", F.explode(F.sequence(F.lit(0), number - 1))).drop("_busy_hour", "_salts")
     near = (F.col(ts) >= F.col(event_ts) - reach) & (F.col(ts) <= F.col(event_ts))
     on = (F.col("_hour") == F.col("_event_hour")) & (F.col("_salt") == F.col("_event_salt")) & near
     return left.join(right, on).drop("_hour", "_event_hour", "_salt", "_event_salt")

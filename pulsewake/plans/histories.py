@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F, types as T
 
 from pulsewake.operators import history as hist
+from pulsewake.operators.windows import busy_hours
 from pulsewake.plans.inputs import cte, given, table
 from pulsewake.plans.registry import query
 from pulsewake.plans.storage import raw_posts_file
@@ -129,11 +130,12 @@ def t05(spark, sf):
 
 
 @query("t06_stream_interval_join", ORACLE_NEAR)
-def t06(spark, sf, files_per_batch=100):
+def t06(spark, sf, files_per_batch=100, rows_per_task=100_000):
+    busy = busy_hours(_zoned(spark, sf), "ts", rows_per_task)
     pubs = _event_stream(spark, sf, ["event_id", "ts"], files_per_batch=files_per_batch)
     trades = _event_stream(spark, sf, [F.col("event_id").alias("trade_id"), F.col("ts").alias("event_ts"), "event_type", "value"], files_per_batch=files_per_batch)
     big = trades.where("event_type = 'purchase' AND value > 200").select("trade_id", "event_ts")
-    return _run(spark, flows.publications_near_events(pubs, big, "ts", "event_ts", 30, _span(spark, sf)), "near").select("event_id", "trade_id")
+    return _run(spark, flows.publications_near_events(pubs, big, "ts", "event_ts", 30, _span(spark, sf), busy=busy), "near").select("event_id", "trade_id")
 
 
 @query("t07_incremental_pickup", "SELECT event_id FROM events")

@@ -194,10 +194,12 @@ ORACLE_NEAR = cte("pubs", "ticks") + """
 
 
 @query("j15_publications_before_events", ORACLE_NEAR)
-def j15(spark, sf):
-    """Batch form of the stream-stream interval join."""
+def j15(spark, sf, rows_per_task=100_000):
+    """Batch form of the stream-stream interval join; crowded hours are spread by their number of publications."""
     big = given(spark, sf, "ticks").where("close > 200").select(F.col("event_id").alias("trade_id"), F.col("ts").alias("event_ts"))
-    return win.pairs_within(given(spark, sf, "pubs").select("event_id", "ts"), big, "ts", "event_ts", 30).select("event_id", "trade_id")
+    pubs = given(spark, sf, "pubs").select("event_id", "ts")
+    busy = win.busy_hours(pubs, "ts", rows_per_task)
+    return win.pairs_within(pubs, big, "ts", "event_ts", 30, busy=busy).select("event_id", "trade_id")
 
 
 @query("x08_minutes_before_event", _SAMPLE + f"SELECT event_id, ts - INTERVAL {BANDWIDTH} MINUTE AS window_start FROM sample")

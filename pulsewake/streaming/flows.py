@@ -113,10 +113,13 @@ def throttle_stream(arrivals: DataFrame, key: str, arrived: str, hours: int = 6,
 
 
 def publications_near_events(
-    pubs: DataFrame, events: DataFrame, ts: str, event_ts: str, minutes: int, lateness: str, salts: int = 8
+    pubs: DataFrame, events: DataFrame, ts: str, event_ts: str, minutes: int, lateness: str, salts: int = 8, busy: DataFrame | None = None
 ) -> DataFrame:
-    """Stream-stream join: publications at most ``minutes`` before an event. The interval bounds the state of both sides."""
-    return pairs_within(pubs.withWatermark(ts, lateness), events.withWatermark(event_ts, lateness), ts, event_ts, minutes, salts)
+    """Stream-stream join: publications at most ``minutes`` before an event. The interval bounds the state of both sides.
+
+    ``busy`` spreads the hours known to be crowded (:func:`pulsewake.operators.windows.busy_hours`), ``salts`` all others.
+    """
+    return pairs_within(pubs.withWatermark(ts, lateness), events.withWatermark(event_ts, lateness), ts, event_ts, minutes, salts, busy)
 
 
 @contextmanager

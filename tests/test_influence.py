@@ -113,6 +113,32 @@ def test_next_event_brute_force_with_a_hot_slot(spark):
     assert got == want
 
 
+def test_crowded_hours_are_spread_by_their_size(spark):
+    """A third of all posts in one hour: no task of the join gets more than its share, and no pair is lost or met twice."""
+    import random
+
+    random.seed(11)
+    hot = at("12:00:00")
+    posts = [(i, hot + timedelta(seconds=random.randrange(3600) if i % 3 == 0 else random.randrange(-400000, 400000))) for i in range(3000)]
+    events = [(j, hot + timedelta(seconds=random.randrange(-400000, 400000))) for j in range(60)] + [(100, hot + timedelta(minutes=61)), (101, None)]
+    p = spark.createDataFrame([*posts, (-1, None)], "id int, ts timestamp_ntz")
+    e = spark.createDataFrame(events, "event int, at timestamp_ntz")
+    busy = win.busy_hours(p, "ts", 50)
+    counted = {}
+    for _, t in posts:
+        hour = t.replace(minute=0, second=0)
+        counted[hour] = counted.get(hour, 0) + 1
+    assert {r.hour: r.salts for r in busy.collect()} == {h: -(-n // 50) for h, n in counted.items() if n > 50}
+    want = sorted((i, j) for i, t in posts for j, x in events if x and x - timedelta(minutes=90) <= t <= x)
+    for table in (busy, None):
+        got = win.pairs_within(p, e, "ts", "at", 90, salts=2, busy=table).select("id", "event").collect()
+        assert sorted((r.id, r.event) for r in got) == want
+    # the spread of the hour itself, as the join keys see it
+    salts = {r.hour: r.salts for r in busy.collect()}[hot]
+    spread = p.where(F.date_trunc("hour", "ts") == F.lit(hot).cast("timestamp_ntz")).groupBy(F.pmod(F.xxhash64("id", "ts"), F.lit(salts))).count().collect()
+    assert len(spread) == salts and max(r["count"] for r in spread) < 100
+
+
 def test_number_in_order_brute_force(spark):
     import random
 

@@ -225,6 +225,18 @@ def test_stream_queries_do_not_depend_on_batches(spark, tmp_path, name):
     assert rows_of(got.columns, got.collect()) == want and len(want) > 50
 
 
+def test_stream_join_takes_a_table_of_crowded_hours(spark, tmp_path):
+    rows = [(i, T0 + timedelta(seconds=i * 20 if i % 3 else i), 1, "purchase" if i % 5 == 0 else "view", 210.0, '{"k": 1}') for i in range(600)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("t06_stream_interval_join", "j15_publications_before_events"):
+        result = con.execute(catalogue.ORACLES[name])
+        want = rows_of([d[0] for d in result.description], result.fetchall())
+        got = catalogue.QUERIES[name](spark, str(tmp_path), rows_per_task=40)
+        assert rows_of(got.columns, got.collect()) == want and len(want) > 50
+
+
 @pytest.mark.parametrize("packed", [False, True])
 def test_lengths_that_are_no_number_leave_the_other_records(spark, tmp_path, packed):
     record = lambda url, length, body: f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: {url}\r\nContent-Length: {length}\r\n\r\n{body}\r\n\r\n".encode()
