@@ -11,7 +11,7 @@ from pulsewake.plans.tables import ORACLE_CLEANSE
 from pulsewake.plans.scores import ORACLE_NEAR
 from pulsewake.runtime import cut_lineage, scratch_path
 from pulsewake.streaming import flows
-from pulsewake.streaming.versions import VersionStore
+from pulsewake.streaming.versions import VersionTables
 
 _HISTORY = cte("visits") + """, h AS (SELECT url, id, download_date, row_number() OVER o AS version, coalesce(lag(id) OVER o, 0) AS ancestor, coalesce(lead(id) OVER o, 0) AS descendant,
     lead(id) OVER o IS NULL AS is_current FROM visits WINDOW o AS (PARTITION BY url ORDER BY download_date, id))\n"""
@@ -118,15 +118,16 @@ def t04(spark, sf, files_per_batch=100):
 
 
 @query("t05_stream_versions", _HISTORY + "SELECT url, id, version, ancestor, descendant FROM h")
-def t05(spark, sf):
+def t05(spark, sf, files_per_batch=4):
+    """Two halves by id, whose times lie among each other: every bucket gets arrivals older than its current rows."""
     source = scratch_path(spark, "visits")
     visits = given(spark, sf, "visits")
     for half in ("id % 2 = 0", "id % 2 = 1"):
         visits.where(half).write.mode("append").parquet(source)
-    store = VersionStore(spark, scratch_path(spark, "versionlog"), "url", "download_date", "id")
-    stream = flows.stream_parquet(spark, source, visits.schema, files_per_batch=4)
-    flows.run_batches(stream, store.append, scratch_path(spark, "versionlog-state"))
-    return store.history().select("url", "id", F.col("version").cast("bigint").alias("version"), "ancestor", "descendant")
+    tables = VersionTables(spark, scratch_path(spark, "versions"), "url", "download_date", "id", visits.schema, buckets=8)
+    stream = flows.stream_parquet(spark, source, visits.schema, files_per_batch)
+    flows.run_batches(stream, tables.merge, scratch_path(spark, "versions-state"))
+    return tables.history().select("url", "id", "version", "ancestor", "descendant")
 
 
 @query("t06_stream_interval_join", ORACLE_NEAR)

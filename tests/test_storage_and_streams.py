@@ -1,4 +1,5 @@
 import gzip
+import random
 from datetime import datetime, timedelta
 from pathlib import Path
 
@@ -10,11 +11,12 @@ from pulsewake import schemas
 from pulsewake.functions import urls as ur
 from pulsewake.operators import articles as art
 from pulsewake.operators import posts as po
+from pulsewake.operators.history import version_history
 from pulsewake.sources import archive, readers, sinks
 from pulsewake.plans import catalogue
 from pulsewake.plans.check import rows_of
 from pulsewake.streaming import flows
-from pulsewake.streaming.versions import VersionStore
+from pulsewake.streaming.versions import VersionStore, VersionTables
 
 T0 = datetime(2024, 1, 1)
 
@@ -188,6 +190,45 @@ def test_version_store_counts_a_replayed_batch_once(spark, tmp_path):
     assert {r.id for r in store.current().collect()} == {2, 3}
 
 
+def test_version_tables_equal_the_history_in_any_order_of_arrival(spark, tmp_path):
+    rng = random.Random(5)
+    # one page has a third of all arrivals, some rows have no page or no time, some come twice
+    rows = [(rng.choice(["hot", f"p{rng.randrange(12)}", f"p{rng.randrange(12)}"]) if i % 17 else None, T0 + timedelta(hours=rng.randrange(40)) if i % 19 else None, i) for i in range(1, 160)]
+    rows.append(rows[30])
+    schema = "url string, at timestamp_ntz, id bigint"
+    frame = lambda part: spark.createDataFrame(part, schema)
+    tables = VersionTables(spark, str(tmp_path / "t"), "url", "at", "id", frame([]).schema, buckets=3)
+    key = lambda r: (r.url or "", r.id, r.version, r.ancestor, r.descendant)
+    assert tables.history().collect() == []
+    cuts = [0, 60, 61, 61, 110, 160]
+    for number, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        if number == 3:
+            # a merge that fell over after its tables, before its commit: nobody sees it
+            frame([("gone", T0, 999)]).withColumn("version", F.lit(1)).withColumn("bucket", F.lit(0)).write.partitionBy("bucket").parquet(str(tmp_path / f"t/current/batch={number}"))
+        tables.merge(frame(rows[a:b]), number)
+        want = sorted(map(key, version_history(frame(rows[:b]), "url", "at", "id").collect()))
+        assert sorted(map(key, tables.history().collect())) == want
+    tables.merge(frame(rows[110:160]), 4)
+    tables.merge(frame(rows[60:61]), 1)
+    assert sorted(map(key, tables.history().collect())) == want
+    newest_rows = {r.url: (r.id, r.version) for r in version_history(frame(rows), "url", "at", "id").where("is_current").collect()}
+    assert {r.url: (r.id, r.version) for r in tables.current().collect()} == newest_rows
+
+
+def test_version_tables_touch_only_the_buckets_of_a_batch(spark, tmp_path):
+    schema = "url string, at timestamp_ntz, id bigint"
+    rows = [(f"p{i}", T0, i) for i in range(1, 60)]
+    tables = VersionTables(spark, str(tmp_path), "url", "at", "id", spark.createDataFrame([], schema).schema, buckets=8)
+    tables.merge(spark.createDataFrame(rows, schema), 0)
+    tables.merge(spark.createDataFrame([("p7", T0 + timedelta(hours=1), 100)], schema), 1)
+    assert len(list((tmp_path / "current/batch=0").glob("bucket=*"))) == 8
+    assert len(list((tmp_path / "current/batch=1").glob("bucket=*"))) == 1
+    assert [(r.id, r.version, r.descendant) for r in tables.archive().collect()] == [(7, 1, 100)]
+    assert {(r.version, r.ancestor) for r in tables.current().where("id = 100").collect()} == {(2, 7)}
+    with pytest.raises(ValueError):
+        VersionTables(spark, str(tmp_path / "x"), "url", "at", "id", spark.createDataFrame([], "url string, at timestamp, id int, Version int").schema)
+
+
 def test_records_end_at_their_declared_length(spark, tmp_path):
     inside = b"<p>one WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nrest</p>"
     http = lambda body, charset: b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=" + charset + b"\r\n\r\n" + body
