@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pulsewake import schemas
 from pulsewake.functions import html as h
 from pulsewake.functions.text import clean_text, normalise_null
+from pulsewake.functions.times import parse_wall_time
 from pulsewake.functions.urls import file_name, full_domain
 from pulsewake.operators import candidates as cand
 from pulsewake.operators import relational as rel
+from pulsewake.sources import archive
 
 # Columns that make two articles the same, with and without the authors.
 ARTICLE_KEYS = ["authors", "date_publish", "title", "description", "source_domain"]
@@ -216,7 +218,45 @@ def articles_from_pages(pages: DataFrame, *, hosts: Sequence[str] | None = None,
     # the filter above it), and only kept pages go through the rest of the extraction
     found = F.explode(F.array(clean_text(h.publish_date(F.col("html"), F.col("url")).cast("string"))))
     items = page_items(wanted, stamp).withColumn("date_found", found)
-    kept = rel.published_between(items, "date_found", first, last, strict)
+    return _articles(rel.published_between(items, "date_found", first, last, strict), extractors)
+
+
+def page_ledger(records: DataFrame, *, hosts: Sequence[str] | None = None, first: str | None = None, last: str | None = None,
+                strict: bool = False, errors: str = "strict") -> DataFrame:
+    """What becomes of every record of the archives: ``(file, record, url, seconds, status, reason, html, date_found)``.
+
+    One row per response record and one more per damaged file. ``status`` is ``error`` (``reason`` damaged, incomplete), ``discarded``
+    (empty, undecodable, response, host, date: the first that applies) or ``passed``, where the reason is null; only
+    then is there an ``html``. Nothing is left out, so the counters of a file add up to its records, and an address that lies in
+    two files counts in both. Write it down (:func:`pulsewake.runtime.cut_lineage`): the counters and :func:`articles_from_ledger`
+    both start from it, so archives are read and decoded once.
+    """
+    pages = archive.page_records(records, errors)
+    html, url = F.col("html"), F.col("url")
+    usable = F.coalesce(rel.is_usable_response(F.col("http_status"), html, F.col("content_type")), F.lit(False))
+    reason = F.when(F.col("fault").isNotNull(), F.col("fault")).when(~usable, "response")
+    if hosts:
+        reason = reason.when(~F.coalesce(rel.is_from_hosts(url, hosts), F.lit(False)), "host")
+    judged = pages.select("file", "record", "url", "seconds", html, reason.alias("reason"))
+    # only pages without a fault are searched for a date, once
+    found = F.when(F.col("reason").isNull(), clean_text(h.publish_date(html, url).cast("string")))
+    dated = judged.withColumn("date_found", F.explode(F.array(found)))
+    inside = rel.is_published_between(parse_wall_time(F.col("date_found")), first, last, strict)
+    dated = dated.withColumn("reason", F.coalesce("reason", F.when(~inside, "date")))
+    status = F.when(F.col("reason").isNull(), "passed").when(F.col("reason").isin("damaged", "incomplete"), "error").otherwise("discarded")
+    passed = F.when(F.col("reason").isNull(), html).alias("html")
+    return dated.select("file", "record", "url", "seconds", status.alias("status"), "reason", passed, "date_found")
+
+
+def articles_from_ledger(ledger: DataFrame, download: Column | None = None,
+                         extractors: Sequence[str] = ("head", "body", "paragraphs", "date")) -> DataFrame:
+    """The articles of the pages that passed."""
+    stamp = F.current_timestamp() if download is None else download
+    return _articles(page_items(ledger.where("status = 'passed'"), stamp), extractors)
+
+
+def _articles(kept: DataFrame, extractors: Sequence[str]) -> DataFrame:
+    """Pages with their items and ``date_found`` to articles."""
     registry = {"date": lambda html, url: cand.candidate("date", publish_date=F.col("date_found"))}
     offered = cand.extract(kept, extractors, registry=registry).withColumn("candidates", cand.clean_candidates(F.col("candidates")))
     dated = cand.merge(offered, "url", "download_date", "html_title", "source_domain")

@@ -70,26 +70,25 @@ def search_posts(df: DataFrame, words: Sequence[str], language: str, since: str,
     )
 
 
-def from_hosts(hosts: Sequence[str], url: str = "url", mode: str = "contains"):
+def is_from_hosts(url: Column, hosts: Sequence[str], mode: str = "contains") -> Column:
     """``contains``: the host text occurs anywhere in the address. ``host``: host or sub-domain of it."""
+    if mode == "contains":
+        tests = [url.contains(h) for h in hosts]
+    else:
+        own = F.lower(F.try_parse_url(url, F.lit("HOST")))
+        tests = [(own == h) | own.endswith("." + h) for h in hosts]
+    keep = F.lit(False)
+    for test in tests:
+        keep = keep | test
+    return keep
 
-    def apply(df: DataFrame) -> DataFrame:
-        if mode == "contains":
-            tests = [F.col(url).contains(h) for h in hosts]
-        else:
-            own = F.lower(F.try_parse_url(F.col(url), F.lit("HOST")))
-            tests = [(own == h) | own.endswith("." + h) for h in hosts]
-        keep = F.lit(False)
-        for test in tests:
-            keep = keep | test
-        return df.where(keep)
 
-    return apply
+def from_hosts(hosts: Sequence[str], url: str = "url", mode: str = "contains"):
+    return lambda df: df.where(is_from_hosts(F.col(url), hosts, mode))
 
 
-def published_between(df: DataFrame, column: str, first: str | None, last: str | None, strict: bool = False) -> DataFrame:
-    """Inclusive range over a date text; rows without a readable date stay unless ``strict``."""
-    when = parse_wall_time(F.col(column)) if dict(df.dtypes)[column] == "string" else F.col(column)
+def is_published_between(when: Column, first: str | None, last: str | None, strict: bool = False) -> Column:
+    """Inclusive range over a time; no time is inside unless ``strict``."""
 
     def kept(t: Column) -> Column:
         inside = F.lit(True)
@@ -99,7 +98,13 @@ def published_between(df: DataFrame, column: str, first: str | None, last: str |
             inside = inside & (t <= F.lit(last).cast("timestamp_ntz"))
         return F.when(t.isNull(), F.lit(not strict)).otherwise(inside)
 
-    return df.where(let(when, kept))
+    return let(when, kept)
+
+
+def published_between(df: DataFrame, column: str, first: str | None, last: str | None, strict: bool = False) -> DataFrame:
+    """Inclusive range over a date text; rows without a readable date stay unless ``strict``."""
+    when = parse_wall_time(F.col(column)) if dict(df.dtypes)[column] == "string" else F.col(column)
+    return df.where(is_published_between(when, first, last, strict))
 
 
 def by_accounts(df: DataFrame, column: str, accounts: Sequence[str]) -> DataFrame:
@@ -108,11 +113,11 @@ def by_accounts(df: DataFrame, column: str, accounts: Sequence[str]) -> DataFram
 
 def usable_response(df: DataFrame, status: str = "status", body: str = "html", content_type: str = "content_type",
                     shortest: int = 10, longest: int = 20_000_000) -> DataFrame:
-    return df.where(
-        (F.col(status) == 200)
-        & F.length(body).between(shortest, longest)
-        & F.col(content_type).startswith("text/html")
-    )
+    return df.where(is_usable_response(F.col(status), F.col(body), F.col(content_type), shortest, longest))
+
+
+def is_usable_response(status: Column, body: Column, content_type: Column, shortest: int = 10, longest: int = 20_000_000) -> Column:
+    return (status == 200) & F.length(body).between(shortest, longest) & content_type.startswith("text/html")
 
 
 # -- projections --------------------------------------------------------------------------------------

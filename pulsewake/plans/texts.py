@@ -472,14 +472,11 @@ def c11_job(spark, sf):
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where("length > 0").select("path")
     files = files.withColumn("archive", F.regexp_extract("path", r"(\d{4}/\d{2}/CC-NEWS-[^/]*)/[^/]*$", 1))
     listed = archive.archive_files(files.select("archive").distinct(), "2024-01-01 00:00:00", "2024-02-10 00:00:00", "archive")
-    ledger = spark.createDataFrame([(_ARCHIVES[1],)], "archive string")
-    todo = files.join(rel.not_yet_done(listed, ledger, "archive").select("archive"), "archive")
-    pages = archive.decoded_pages(archive.records_of(todo)).withColumnRenamed("http_status", "status")
-    pages = rel.usable_response(pages).withColumn("archive", F.regexp_extract("file", r"(\d{4}/\d{2}/CC-NEWS-[^/]*)/[^/]*$", 1))
-    articles = cut_lineage(art.articles_from_pages(pages, first="2015-01-01 00:00:00", last="2015-12-31 00:00:00", download=F.lit("2024-02-03 04:05:06")))
-    sinks.write_articles_by_domain(articles, f"{root}-articles")
-    passed = articles.select("url").distinct().withColumn("status", F.lit("passed"))
-    results = pages.select("archive", "url").join(passed, "url", "left").fillna("discarded", ["status"]).withColumn("seconds", F.lit(0.0))
+    done = spark.createDataFrame([(_ARCHIVES[1],)], "archive string")
+    todo = files.join(rel.not_yet_done(listed, done, "archive").select("archive"), "archive")
+    ledger = cut_lineage(art.page_ledger(archive.records_of(todo), first="2015-01-01 00:00:00", last="2015-12-31 00:00:00"))
+    sinks.write_articles_by_domain(art.articles_from_ledger(ledger, F.lit("2024-02-03 04:05:06")), f"{root}-articles")
+    results = ledger.withColumn("archive", F.regexp_extract("file", r"(\d{4}/\d{2}/CC-NEWS-[^/]*)/[^/]*$", 1))
     written = spark.read.schema("url string").json(f"{root}-articles").agg(F.count("*").alias("n")).scalar()
     return art.run_counters(results, "archive", "status", "seconds").select("archive", "total", "passed", "discarded", "failed", written.alias("written"))
 

@@ -10,6 +10,8 @@ import codecs
 import gzip
 import io
 import re
+import time
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 RECORD_SCHEMA = ("record_type string, url string, download_date string, http_status int, content_type string, payload binary, "
-                 "is_complete boolean, file string")
+                 "is_complete boolean, file string, record bigint, seconds double, error string")
 BATCH_BYTES = 8 << 20
 
 # Fixed value: time stamp inside an archive file name.
@@ -86,8 +88,21 @@ def _fields(headers: dict[str, str], content: bytes) -> dict:
     return row
 
 
+def _rows(file, path: str) -> Iterator[dict]:
+    """Rows of a file. Packed data that can't be unpacked any further end it with a row that has nothing but the error;
+    errors of the storage are no property of the file, they fail the task, which Spark tries again."""
+    number, begun = 0, time.perf_counter()
+    try:
+        for headers, content, whole in _records(file):
+            row = {**_fields(headers, content), "is_complete": whole, "file": path, "record": number}
+            yield {**row, "seconds": time.perf_counter() - begun}
+            number, begun = number + 1, time.perf_counter()
+    except (gzip.BadGzipFile, EOFError, zlib.error) as error:
+        yield {"payload": None, "file": path, "record": number, "seconds": time.perf_counter() - begun, "error": type(error).__name__}
+
+
 def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = {"string": pa.string(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
+    kinds = {"string": pa.string(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "bigint": pa.int64(), "double": pa.float64()}
     schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in RECORD_SCHEMA.split(", ")])
     rows, held = [], 0
     for batch in batches:
@@ -96,9 +111,9 @@ def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with store.open_input_file(name) as raw:
                 packed = raw.read(2) == b"\x1f\x8b"
                 raw.seek(0)
-                for headers, content, whole in _records(io.BufferedReader(gzip.GzipFile(fileobj=raw) if packed else raw, 1 << 18)):
-                    rows.append({**_fields(headers, content), "is_complete": whole, "file": path})
-                    held += 200 + len(content)
+                for row in _rows(io.BufferedReader(gzip.GzipFile(fileobj=raw) if packed else raw, 1 << 18), path):
+                    rows.append(row)
+                    held += 200 + len(row["payload"] or b"")
                     if held > BATCH_BYTES:
                         yield pa.RecordBatch.from_pylist(rows, schema=schema)
                         rows, held = [], 0
@@ -107,10 +122,12 @@ def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Archive records as ``(record_type, url, download_date, http_status, content_type, payload, is_complete, file)``.
+    """Archive records as ``(record_type, url, download_date, http_status, content_type, payload, is_complete, file, record,
+    seconds, error)``: ``record`` is the number within the file, ``seconds`` what reading it took.
 
     Plain or gzipped files, of any version. A record whose file ends before its declared length, or that declares none or no
-    number, is not ``is_complete``; reading goes on at the next line that begins a record.
+    number, is not ``is_complete``; reading goes on at the next line that begins a record. A gzipped file that is cut or damaged gives
+    the records before the damage and one row with the name of the ``error``.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where("length > 0").select("path")
     return records_of(files)
@@ -174,7 +191,7 @@ def decode_payload(payload: Column, charset: Column, errors: str = "strict") ->
 def decoded_pages(records: DataFrame, errors: str = "strict") -> DataFrame:
     """Complete response records with decodable, non-empty payload as ``html``; :func:`discarded_records` counts the others."""
     pages = _with_text(records, errors)
-    return pages.where(_is_usable(pages)).drop("payload", "is_complete")
+    return pages.where(_is_usable(pages)).drop("payload", "is_complete", "record", "seconds", "error")
 
 
 def discarded_records(records: DataFrame, errors: str = "strict") -> DataFrame:
@@ -184,6 +201,15 @@ def discarded_records(records: DataFrame, errors: str = "strict") -> DataFrame:
     return pages.where(~_is_usable(pages)).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
+def page_records(records: DataFrame, errors: str = "strict") -> DataFrame:
+    """Every response record, and the row of every damaged file, with its text ``html`` and why it has none in ``fault``: ``damaged``,
+    ``incomplete``, ``empty``, ``undecodable``, null where nothing is wrong."""
+    pages = _with_text(records.where((F.col("record_type") == "response") | F.col("error").isNotNull()).drop("record_type"), errors)
+    fault = F.when(F.col("error").isNotNull(), "damaged").when(~_complete(pages), "incomplete")
+    fault = fault.when(F.coalesce(F.length("payload"), F.lit(0)) == 0, "empty").when(F.coalesce(F.length("html"), F.lit(0)) == 0, "undecodable")
+    return pages.withColumn("fault", fault).drop("payload", "is_complete", "error")
+
+
 def _with_text(records: DataFrame, errors: str) -> DataFrame:
     wanted = records.where(F.col("record_type") == "response") if "record_type" in records.columns else records
     return wanted.withColumn("html", decode_payload(F.col("payload"), declared_charset(F.col("content_type"), F.col("payload")), errors))

@@ -244,6 +244,36 @@ def test_records_end_at_their_declared_length(spark, tmp_path):
     assert {r.reason: r.n for r in archive.discarded_records(rows).collect()} == {"undecodable": 1, "incomplete": 1}
 
 
+def test_ledger_counts_every_record_of_the_archives(spark, tmp_path):
+    page = lambda day: ('<html><head><title>T</title><meta name="date" content="%s 07:08:09"></head><body><article><p>%s</p></article></body></html>' % (day, "word " * 20)).encode()
+    http = lambda body, kind=b"text/html", status=b"200": b"HTTP/1.1 " + status + b" OK\r\nContent-Type: " + kind + b"\r\n\r\n" + body
+    record = lambda url, content, length=None, kind=b"response": (
+        b"WARC/1.0\r\nWARC-Type: " + kind + b"\r\nWARC-Target-URI: " + url + b"\r\nContent-Length: " + str(length or len(content)).encode() + b"\r\n\r\n" + content + b"\r\n\r\n")
+    good, late = http(page("2015-06-01")), http(page("2019-06-01"))
+    first = record(b"http://a.com/1", good) + record(b"http://a.com/2", late) + record(b"http://b.org/3", good) + record(b"http://a.com/4", http(b""))
+    first += record(b"http://a.com/5", http(b"\xff\xfe" * 20)) + record(b"http://a.com/6", http(page("2015-06-01"), b"image/png")) + record(b"http://a.com/7", http(page("2015-06-01"), status=b"404"))
+    first += record(b"q", b"GET / HTTP/1.1", kind=b"request") + record(b"http://a.com/8", good, "many") + record(b"http://a.com/9", good, 10**6)
+    (tmp_path / "one.warc").write_bytes(first)
+    # the same address once more, in a file that is cut, and one that is no archive at all behind its first bytes
+    noise = b"".join(record(b"n%d" % i, random.Random(i).randbytes(3000), kind=b"metadata") for i in range(200))
+    (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(record(b"http://a.com/1", good) + noise)[:300_000])
+    (tmp_path / "bad.warc.gz").write_bytes(gzip.compress(first)[:12] + b"\xff" * 200)
+    ledger = art.page_ledger(archive.read_archive(spark, str(tmp_path)), hosts=["a.com"], first="2015-01-01 00:00:00", last="2015-12-31 00:00:00")
+    rows = [(Path(r.file).name, r.url, r.status, r.reason) for r in ledger.collect()]
+    a = lambda n: f"http://a.com/{n}"
+    assert sorted(rows, key=str) == sorted([
+        ("one.warc", a(1), "passed", None), ("one.warc", a(2), "discarded", "date"), ("one.warc", "http://b.org/3", "discarded", "host"),
+        ("one.warc", a(4), "discarded", "empty"), ("one.warc", a(5), "discarded", "undecodable"), ("one.warc", a(6), "discarded", "response"),
+        ("one.warc", a(7), "discarded", "response"), ("one.warc", a(8), "error", "incomplete"), ("one.warc", a(9), "error", "incomplete"),
+        ("cut.warc.gz", a(1), "passed", None), ("cut.warc.gz", None, "error", "damaged"), ("bad.warc.gz", None, "error", "damaged"),
+    ], key=str)
+    counters = {Path(r.file).name: r for r in art.run_counters(ledger, "file", "status", "seconds").collect()}
+    one = counters["one.warc"]
+    assert (one.total, one.passed, one.discarded, one.failed) == (9, 1, 6, 2) and one.seconds_per_article > 0
+    assert sorted(r.url for r in art.articles_from_ledger(ledger).collect()) == [a(1), a(1)]
+    assert {r.url for r in archive.decoded_pages(archive.read_archive(spark, str(tmp_path))).collect()} == {a(1), a(2), "http://b.org/3", a(6), a(7)}
+
+
 def test_articles_without_a_domain_are_written(spark, tmp_path):
     articles = spark.createDataFrame([("u1", None, "a"), (None, None, "b"), ("u3", "e.com", "c")], "url string, source_domain string, title string")
     sinks.write_articles_by_domain(articles, str(tmp_path / "d"))
