@@ -9,7 +9,7 @@ from pulsewake.operators import graph as g
 from pulsewake.operators.history import version_history
 from pulsewake.plans.inputs import cte, given, table
 from pulsewake.plans.registry import query
-from pulsewake.runtime import scratch_path
+from pulsewake.runtime import cut_lineage, scratch_path
 from pulsewake.sources import archive, readers, sinks
 
 _RAW_COLUMNS = ["id_str", "created_at", "text", "truncated", "retweeted_status", "user"]
@@ -153,6 +153,15 @@ def archive_file(spark, sf, pages=None, path=None):
     return path
 
 
+@query("s12_archive_ranges", """SELECT url, '2024-02-03T04:05:06Z' AS download_date, 200 AS http_status, md5(html) AS body FROM pages""")
+def s12_ranges(spark, sf):
+    """Archives by an index of pieces; each piece is read by itself."""
+    path = archive_file(spark, sf)
+    files = spark.read.format("binaryFile").load(path).where("length > 0").select("path")
+    index = cut_lineage(archive.record_ranges(files, size=1 << 18))
+    return archive.decoded_pages(archive.records_in_ranges(index)).select("url", "download_date", "http_status", F.md5("html").alias("body"))
+
+
 @query("s12_archive_scan", "SELECT url, '2024-02-03T04:05:06Z' AS download_date, 200 AS http_status, md5(html) AS body FROM pages")
 def s12(spark, sf):
     pages = archive.decoded_pages(archive.read_archive(spark, archive_file(spark, sf)))

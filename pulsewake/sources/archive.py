@@ -7,11 +7,12 @@ declared length says, so a page may hold anything, and no more than one record i
 from __future__ import annotations
 
 import codecs
-import gzip
 import io
+import itertools
 import re
 import time
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -57,11 +58,86 @@ def _content(file, length: int) -> bytes:
     return b"".join(parts)
 
 
-def _records(file) -> Iterator[tuple[dict[str, str], bytes, bool]]:
-    """Headers (names in lower case), content, and whether the content has its declared length."""
+class _Slice(io.RawIOBase):
+    """The bytes of a file from ``start``, as many as ``length`` or up to its end."""
+
+    def __init__(self, file, start: int, length: int | None):
+        file.seek(start)
+        self.file, self.left = file, length
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, target) -> int:
+        wanted = len(target) if self.left is None else min(len(target), self.left)
+        data = self.file.read(wanted)
+        target[: len(data)] = data
+        if self.left is not None:
+            self.left -= len(data)
+        return len(data)
+
+
+class _Members(io.RawIOBase):
+    """Unpacked bytes of gzip members one after another; damage is met when it is reached, not ahead. ``starts`` lists, as far as read, where each begins: place in
+    the unpacked bytes, place in the file."""
+
+    def __init__(self, file):
+        self.file, self.at, self.data, self.taken = file, 0, b"", 0
+        self.starts, self.member = deque(), None
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, target) -> int:
+        while True:
+            if not self.data:
+                self.data = self.file.read(1 << 18)
+                self.taken += len(self.data)
+                if not self.data:
+                    if self.member is not None:
+                        raise EOFError
+                    return 0
+            if self.member is None:
+                if self.taken > len(self.data):  # padding between members and behind the last
+                    self.data = self.data.lstrip(b"\0")
+                    if not self.data:
+                        continue
+                self.member = zlib.decompressobj(31)
+                self.starts.append((self.at, self.taken - len(self.data)))
+            part = self.member.decompress(self.data, len(target))
+            self.data = self.member.unused_data if self.member.eof else self.member.unconsumed_tail
+            if self.member.eof:
+                self.member = None
+            if part:
+                target[: len(part)] = part
+                self.at += len(part)
+                return len(part)
+
+
+class _Placed:
+    """A file read in order that knows how far it has been read."""
+
+    def __init__(self, file):
+        self.file, self.at = file, 0
+
+    def readline(self) -> bytes:
+        line = self.file.readline()
+        self.at += len(line)
+        return line
+
+    def read(self, length: int) -> bytes:
+        data = self.file.read(length)
+        self.at += len(data)
+        return data
+
+
+def _records(file, begun=lambda line: None) -> Iterator[tuple[dict[str, str], bytes, bool]]:
+    """Headers (names in lower case), content, and whether the content has its declared length. ``begun`` hears the first
+    line of every record."""
     while line := file.readline():
         if not line.startswith(b"WARC/"):  # blank lines between records, or the rest of a record that was too long
             continue
+        begun(line)
         headers: dict[str, str] = {}
         while (line := file.readline()).strip():
             name, _, value = line.decode("utf-8", "replace").partition(":")
@@ -88,17 +164,18 @@ def _fields(headers: dict[str, str], content: bytes) -> dict:
     return row
 
 
-def _rows(file, path: str) -> Iterator[dict]:
+def _rows(file, path: str, number: int) -> Iterator[dict]:
     """Rows of a file. Packed data that can't be unpacked any further end it with a row that has nothing but the error;
     errors of the storage are no property of the file, they fail the task, which Spark tries again."""
-    number, begun = 0, time.perf_counter()
+    begun = time.perf_counter()
     try:
         for headers, content, whole in _records(file):
             row = {**_fields(headers, content), "is_complete": whole, "file": path, "record": number}
             yield {**row, "seconds": time.perf_counter() - begun}
             number, begun = number + 1, time.perf_counter()
-    except (gzip.BadGzipFile, EOFError, zlib.error) as error:
-        yield {"payload": None, "file": path, "record": number, "seconds": time.perf_counter() - begun, "error": type(error).__name__}
+    except (EOFError, zlib.error) as error:
+        reason = "cut" if isinstance(error, EOFError) else "damaged"
+        yield {"payload": None, "file": path, "record": number, "seconds": time.perf_counter() - begun, "error": reason}
 
 
 def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,12 +183,12 @@ def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in RECORD_SCHEMA.split(", ")])
     rows, held = [], 0
     for batch in batches:
-        for path in batch.column(0).to_pylist():
+        for path, start, length, first in zip(*(column.to_pylist() for column in batch.columns), strict=True):
             store, name = fs.FileSystem.from_uri(path)
             with store.open_input_file(name) as raw:
                 packed = raw.read(2) == b"\x1f\x8b"
-                raw.seek(0)
-                for row in _rows(io.BufferedReader(gzip.GzipFile(fileobj=raw) if packed else raw, 1 << 18), path):
+                part = io.BufferedReader(_Slice(raw, start, length), 1 << 18)
+                for row in _rows(io.BufferedReader(_Members(part), 1 << 18) if packed else part, path, first):
                     rows.append(row)
                     held += 200 + len(row["payload"] or b"")
                     if held > BATCH_BYTES:
@@ -127,7 +204,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
     Plain or gzipped files, of any version. A record whose file ends before its declared length, or that declares none or no
     number, is not ``is_complete``; reading goes on at the next line that begins a record. A gzipped file that is cut or damaged gives
-    the records before the damage and one row with the name of the ``error``.
+    the records before the damage and one row that has only the ``error``: cut or damaged.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where("length > 0").select("path")
     return records_of(files)
@@ -135,10 +212,74 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 def records_of(files: DataFrame, path: str = "path") -> DataFrame:
     """The records of a table of file addresses; every file goes to a task of its own choice by hash."""
+    whole = files.select(F.col(path).alias("path"), F.lit(0).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("length"), F.lit(0).cast("bigint").alias("first"))
+    return records_in_ranges(whole)
+
+
+RANGE_SCHEMA = "path string, start bigint, length bigint, first bigint"
+
+
+def record_ranges(files: DataFrame, path: str = "path", size: int = 64 << 20) -> DataFrame:
+    """An index of archive files: ``(path, start, length, first)``, pieces of ``size`` bytes or a record more.
+
+    A piece begins with a record, and in gzipped files also with a gzip member, so it can be read without what is before it; a file
+    that is one single member is one piece. ``first`` is the number of its first record. The last piece goes to the end of the
+    file (``length`` null), with whatever damage is there. Making the index reads each file once, in one task; write it down. From
+    then on large files are read by many tasks, and a job that keeps the pieces it has done goes on inside a file.
+    """
     spread = files.select(F.col(path).alias("path")).repartition("path")
+    return spread.mapInArrow(_index_files(size), RANGE_SCHEMA)
+
+
+def records_in_ranges(ranges: DataFrame) -> DataFrame:
+    """The records of the pieces of :func:`record_ranges`, the same rows as :func:`records_of` gives for whole files."""
+    spread = ranges.select("path", "start", "length", "first").repartition("path", "start")
     return spread.mapInArrow(_read_files, RECORD_SCHEMA)
 
 
+def _index_files(size: int):
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                cuts = _cuts(path, size)
+                ends = [None if after is None else after[0] - cut[0] for cut, after in zip(cuts, [*cuts[1:], None], strict=True)]
+                columns = [[path] * len(cuts), [start for start, _ in cuts], ends, [first for _, first in cuts]]
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "start", "length", "first"])
+
+    return index
+
+
+def _cuts(path: str, size: int) -> list[tuple[int, int]]:
+    """Where the pieces of a file begin, and the number of the first record of each."""
+    store, name = fs.FileSystem.from_uri(path)
+    with store.open_input_file(name) as raw:
+        packed = raw.read(2) == b"\x1f\x8b"
+        whole = _Slice(raw, 0, None)
+        members = _Members(io.BufferedReader(whole, 1 << 18)) if packed else None
+        file = _Placed(io.BufferedReader(members if packed else whole, 1 << 18))
+        cuts, records = [(0, 0)], itertools.count()
+
+        def begun(line: bytes) -> None:
+            """A record begins with ``line``; where its place is one in the file, and far enough, a piece begins."""
+            place, number = file.at - len(line), next(records)
+            if packed:
+                while members.starts and members.starts[0][0] < place:
+                    members.starts.popleft()
+                place = members.starts[0][1] if members.starts and members.starts[0][0] == place else 0
+            if place - cuts[-1][0] >= size:
+                cuts.append((place, number))
+
+        try:
+            for _ in _records(file, begun):
+                pass
+        except (EOFError, zlib.error):
+            pass  # the last piece has the damage
+    return cuts
+
+
+
+
 def declared_charset(content_type: Column, payload: Column) -> Column:
     """Charset of the header, else of the page itself."""
     text = F.decode(payload, "ISO-8859-1")

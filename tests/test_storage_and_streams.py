@@ -244,6 +244,38 @@ def test_records_end_at_their_declared_length(spark, tmp_path):
     assert {r.reason: r.n for r in archive.discarded_records(rows).collect()} == {"undecodable": 1, "incomplete": 1}
 
 
+@pytest.mark.parametrize("kind", ["plain", "member per record", "member per two", "one member", "padded", "cut", "noise behind", "bad sum"])
+def test_pieces_of_an_archive_give_its_records(spark, tmp_path, kind):
+    rng = random.Random(3)
+    record = lambda i, body: f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: u{i}\r\nContent-Length: {'x' if i % 9 == 4 else len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+    parts = [record(i, b"WARC/1.0 inside\r\n" + rng.randbytes(rng.choice([0, 50, 4000, 90_000])) if i % 9 != 4 else b"lost") for i in range(60)]
+    if kind == "plain":
+        data, name = b"".join(parts), "a.warc"
+    elif kind == "one member":
+        data, name = gzip.compress(b"".join(parts)), "a.warc.gz"
+    else:
+        step = 2 if kind == "member per two" else 1
+        members = [gzip.compress(b"".join(parts[i:i + step])) for i in range(0, len(parts), step)]
+        if kind == "bad sum":
+            members[40] = members[40][:-8] + b"\0\0\0\1" + members[40][-4:]
+        data, name = b"".join(members), "a.warc.gz"
+        data += {"padded": bytes(700_000), "noise behind": b"no member"}.get(kind, b"")
+        data = data[:-5000] if kind == "cut" else data
+    (tmp_path / name).write_bytes(data)
+    files = spark.read.format("binaryFile").load(str(tmp_path)).select("path")
+    index = archive.record_ranges(files, size=100_000).collect()
+    pieces = spark.createDataFrame(index, archive.RANGE_SCHEMA)
+    fields = ["record", "url", "is_complete", "error", F.md5("payload").alias("payload")]
+    want = sorted((tuple(r) for r in archive.records_of(files).select(*fields).collect()), key=str)
+    assert sorted((tuple(r) for r in archive.records_in_ranges(pieces).select(*fields).collect()), key=str) == want
+    assert len(want) >= 40 and [r[3] for r in want if r[3]] == {"cut": ["cut"], "noise behind": ["damaged"], "bad sum": ["damaged"]}.get(kind, [])
+    assert len(index) == 1 if kind == "one member" else len(index) > 5
+    assert all(r.length is None or r.length < 300_000 for r in index)
+    # a job that was stopped goes on with the pieces that are left
+    done, left = pieces.where("start = 0"), pieces.join(pieces.where("start = 0"), ["path", "start"], "left_anti")
+    assert archive.records_in_ranges(done).count() + (archive.records_in_ranges(left).count() if len(index) > 1 else 0) == len(want)
+
+
 def test_ledger_counts_every_record_of_the_archives(spark, tmp_path):
     page = lambda day: ('<html><head><title>T</title><meta name="date" content="%s 07:08:09"></head><body><article><p>%s</p></article></body></html>' % (day, "word " * 20)).encode()
     http = lambda body, kind=b"text/html", status=b"200": b"HTTP/1.1 " + status + b" OK\r\nContent-Type: " + kind + b"\r\n\r\n" + body
