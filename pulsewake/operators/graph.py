@@ -121,42 +121,67 @@ def triangle_counts(edges: DataFrame) -> DataFrame:
     return corners.groupBy("id").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "id")
 
 
-def closeness(edges: DataFrame, max_depth: int | None = None, block: int = 63) -> DataFrame:
+def cut_hubs(simple: DataFrame, part_size: int) -> tuple[DataFrame, DataFrame]:
+    """Simple edges ``a < b`` in both directions as ``(u, part, v)``, and ``(id, parts)`` of the hubs.
+
+    A vertex with more than ``part_size`` neighbours is a hub: its edges are dealt to so many parts that each has
+    about that many. All others have the one part 0. The table of hubs has at most a row for each ``part_size`` edges.
+    """
+    both = simple.select(
+        F.inline(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))
+    )
+    degrees = both.groupBy("u").agg(F.count("*").alias("d")).where(F.col("d") > part_size)
+    hubs = cut_lineage(degrees.select(F.col("u").alias("id"), F.ceil(F.col("d") / part_size).cast("int").alias("parts")))
+    known = both.join(hubs, both["u"] == hubs["id"], "left")
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
+    return known.select("u", part.alias("part"), "v"), hubs
+
+
+def closeness(edges: DataFrame, max_depth: int | None = None, block: int = 63, part_size: int = 100_000) -> DataFrame:
     """Reachable vertices ÷ sum of distances over undirected edges, 0 when nothing is reachable.
 
     A breadth-first flood from all vertices at once. The vertices heard of are kept as bits, ``block``
     of them per long, so a round moves (vertex, block) rows merged by ``bit_or`` and never a row per
     pair. Only bits that are new to a vertex travel on; the flood ends when there are none.
+    The edges of a hub lie in parts of about ``part_size``; its news go to each of them once a round, and what the
+    parts send is merged by ``bit_or`` before it leaves their tasks.
     """
     # a small frontier may send very many messages: the number of tasks must not follow its size
     tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = cut_lineage(simple_edges(edges).select(
-        F.inline(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))
-    ).repartition(tasks, "u"))
+    parted, hubs = cut_hubs(cut_lineage(simple_edges(edges)), part_size)
+    # an edge knows the parts of its target, which pass on what it hears
+    targets = hubs.select(F.col("id").alias("_hub"), F.col("parts").alias("_parts"))
+    both = cut_lineage(
+        parted.join(targets, F.col("v") == F.col("_hub"), "left").select("u", "part", "v", F.coalesce("_parts", F.lit(1)).alias("parts"))
+        .repartition(tasks, "u", "part")
+    )
     nodes = cut_lineage(_number_densely(vertices_of(edges)))
-    first = nodes.select(
+    first = nodes.join(hubs, "id", "left").select(
         "id",
+        F.coalesce("parts", F.lit(1)).alias("parts"),
         F.floor(F.col("seq") / block).alias("blk"),
         F.expr(f"shiftleft(1L, cast(seq % {block} AS int))").alias("fresh"),
     )
     none = F.lit(0).cast("bigint")
-    state = cut_lineage(first.select("id", "blk", F.col("fresh").alias("seen"), "fresh", none.alias("n"), none.alias("s")))
+    state = cut_lineage(first.select("id", "blk", "parts", F.col("fresh").alias("seen"), "fresh", none.alias("n"), none.alias("s")))
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        news = state.where("fresh <> 0").repartition(tasks, "id").join(both, F.col("id") == F.col("u")).select(
-            F.col("v").alias("id"), "blk", F.col("fresh").alias("heard")
+        mirrors = state.where("fresh <> 0").select("id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("mirror"), "blk", "fresh")
+        at_part = (F.col("id") == F.col("u")) & (F.col("mirror") == F.col("part"))
+        news = mirrors.repartition(tasks, "id", "mirror").join(both, at_part).select(
+            F.col("v").alias("id"), "blk", "parts", F.col("fresh").alias("heard")
         )
         # state and messages meet in one aggregate, which merges messages on the map side already
         merged = (
-            state.select("id", "blk", "seen", "n", "s", none.alias("heard"))
-            .unionByName(news.select("id", "blk", none.alias("seen"), none.alias("n"), none.alias("s"), "heard"))
+            state.select("id", "blk", "parts", "seen", "n", "s", none.alias("heard"))
+            .unionByName(news.select("id", "blk", "parts", none.alias("seen"), none.alias("n"), none.alias("s"), "heard"))
             .groupBy("id", "blk")
-            .agg(F.bit_or("seen").alias("seen"), F.bit_or("heard").alias("heard"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+            .agg(F.max("parts").alias("parts"), F.bit_or("seen").alias("seen"), F.bit_or("heard").alias("heard"), F.sum("n").alias("n"), F.sum("s").alias("s"))
         )
         fresh = F.col("heard").bitwiseAND(F.bitwise_not("seen"))
         state = cut_lineage(merged.select(
-            "id", "blk",
+            "id", "blk", "parts",
             F.col("seen").bitwiseOR(F.col("heard")).alias("seen"),
             fresh.alias("fresh"),
             (F.col("n") + F.bit_count(fresh)).alias("n"),

@@ -67,12 +67,26 @@ def test_closeness_brute_force(spark):
                 queue.append(w)
         total = sum(seen.values())
         want[start] = (len(seen) - 1, total)
-    got = {r.id: (r.reachable, r.distance) for r in g.closeness(df).collect()}
-    assert got == want
+    for part_size in (100_000, 2):  # with two edges a part, most vertices are hubs
+        got = {r.id: (r.reachable, r.distance) for r in g.closeness(df, part_size=part_size).collect()}
+        assert got == want
     lonely = g.closeness(spark.createDataFrame([("x", "x"), ("y", "z")], "src string, dst string")).collect()
     assert {r.id: r.closeness for r in lonely} == {"x": 0.0, "y": 1.0, "z": 1.0}
 
 
+def test_edges_of_a_hub_lie_in_many_tasks(spark):
+    """A star of 100 000 leaves: no task has more than twice the edges of the median one."""
+    star = spark.range(1, 100_001).select(F.lit("hub").alias("a"), F.concat(F.lit("leaf"), F.col("id")).alias("b"))
+    parted, hubs = g.cut_hubs(star, 1000)
+    assert [(r.id, r.parts) for r in hubs.collect()] == [("hub", 100)]
+    sizes = sorted(r["count"] for r in parted.repartition(8, "u", "part").groupBy(F.spark_partition_id()).count().collect())
+    assert len(sizes) == 8 and sum(sizes) == 200_000 and sizes[-1] <= 2 * sizes[4]
+    assert parted.where("u = 'hub'").select("v").distinct().count() == 100_000
+    small = spark.range(1, 300).select(F.lit("hub").alias("src"), F.concat(F.lit("leaf"), F.col("id")).alias("dst"))
+    got = {r.id: (r.reachable, r.distance) for r in g.closeness(small, part_size=10).collect()}
+    assert got == {"hub": (299, 299), **{f"leaf{i}": (299, 1 + 2 * 298) for i in range(1, 300)}}
+
+
 def test_closeness_stops_at_the_depth_asked_for(spark):
     path = spark.createDataFrame([(str(i), str(i + 1)) for i in range(6)], "src string, dst string")
     got = {r.id: r.reachable for r in g.closeness(path, max_depth=2).collect()}
