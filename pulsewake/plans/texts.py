@@ -9,6 +9,7 @@ from pulsewake.functions import text as tx
 from pulsewake.functions import urls as ur
 from pulsewake.operators import articles as art
 from pulsewake.operators import candidates as cand
+from pulsewake.operators import language as lg
 from pulsewake.operators import relational as rel
 from pulsewake.plans.inputs import cte, given, table
 from pulsewake.plans.registry import query
@@ -272,6 +273,24 @@ def e09(spark, sf):
     return given(spark, sf, "rich").select("page_id", h.page_language(html).alias("lang"))
 
 
+_RUNS = "list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3))"
+
+
+@query("e09_language_by_content", f"""WITH t AS (SELECT doc_id, lang, text IS NOT NULL AS has_text, ' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}]+', ' ', 'g')) || ' ' AS t FROM documents),
+  picked AS (SELECT * FROM t WHERE lang IS NOT NULL AND has_text QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) <= 100),
+  c AS (SELECT run, lang, count(*) AS n FROM (SELECT lang, unnest({_RUNS}) AS run FROM picked) GROUP BY 1, 2),
+  v AS (SELECT run FROM c GROUP BY 1 ORDER BY sum(n) DESC, run LIMIT 2000), l AS (SELECT lang, sum(n) AS total FROM c JOIN v USING (run) GROUP BY 1),
+  w AS (SELECT v.run, l.lang, ln((coalesce(c.n, 0) + 1) / (l.total + (SELECT count(*) FROM v))::DOUBLE) AS weight FROM v CROSS JOIN l LEFT JOIN c ON c.run = v.run AND c.lang = l.lang),
+  s AS (SELECT doc_id, w.lang, sum(weight) AS score FROM (SELECT doc_id, unnest({_RUNS}) AS run FROM t) JOIN w USING (run) GROUP BY 1, 2),
+  b AS (SELECT doc_id, lang FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) = 1)
+  SELECT doc_id, b.lang FROM documents LEFT JOIN b USING (doc_id)""")
+def e09_content(spark, sf):
+    """Every document by a model of 100 labelled texts a language."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    model = lg.language_model(docs, "doc_id", "text", "lang", texts=100, runs=2000)
+    return lg.detect_language(docs, "doc_id", "text", model)
+
+
 _TITLE = f"trim({_read(chr(39).join(['regexp_extract(html, ', '(?is)<title>(.*?)</title>', ', 1)']))})"
 
 

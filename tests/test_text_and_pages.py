@@ -11,6 +11,7 @@ from pulsewake.functions import times as tm
 from pulsewake.functions import urls as ur
 from pulsewake.operators import articles as art
 from pulsewake.operators import candidates as cand
+from pulsewake.operators import language as lg
 from pulsewake.operators import relational as rel
 
 # the whitespace rules as they read with look-around
@@ -324,3 +325,49 @@ def test_main_text_without_article(spark):
     text = ask(spark, h.dense_text, page)
     assert text.split("\n") == ["Short head", f"{long} one link", f"{long} again"]
     assert ask(spark, h.dense_text, "<p>too short</p>") is None and ask(spark, h.dense_text, "") is None and ask(spark, h.dense_text, None) is None
+
+
+def test_language_of_texts_that_taught_nothing(spark):
+    """Held-out accuracy: the model sees a quarter of the documents at most, the others are judged."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").where("lang IS NOT NULL AND length(text) >= 100")
+    teach = F.crc32(F.col("doc_id").cast("string")) % 4 == 1
+    model = lg.language_model(docs.where(teach), "doc_id", "text", "lang", texts=60)
+    judged = lg.detect_language(docs.where(~teach), "doc_id", "text", model).join(docs.withColumnRenamed("lang", "truth"), "doc_id").collect()
+    right = sum(r.lang == r.truth for r in judged)
+    print(f"{right} of {len(judged)}")
+    assert len(judged) > 500 and right >= 0.95 * len(judged)
+
+
+def test_language_model_by_brute_force(spark):
+    import math
+
+    rows = [(1, "Aha, das Haus! 12", "de"), (2, "das\nDach", "de"), (3, "the house", "en"), (4, None, "en"), (5, "the moth", None), (6, "", "fr"), (7, "the hat", "en")]
+    docs = spark.createDataFrame(rows, "id int, t string, l string")
+    runs = lambda t: [w[i:i + 3] for w in [" " + " ".join(re.sub(r"[^a-z]+", " ", t.lower()).split()) + " "] for i in range(len(w) - 2)] if t else []
+    counts = {}
+    for _, t, l in rows:
+        for run in runs(t) if l else []:
+            counts[run, l] = counts.get((run, l), 0) + 1
+    total = {}
+    for (run, _), n in counts.items():
+        total[run] = total.get(run, 0) + n
+    common = sorted(total, key=lambda run: (-total[run], run))[:9]
+    size = {l: sum(n for (run, x), n in counts.items() if x == l and run in common) for l in ("de", "en")}
+    want = {(run, l): math.log((counts.get((run, l), 0) + 1) / (size[l] + 9)) for run in common for l in size if size[l]}
+    model = lg.language_model(docs, "id", "t", "l", runs=9)
+    assert {(r.run, r.lang): r.weight for r in model.collect()} == pytest.approx(want)
+    found = {r.id: r.lang for r in lg.detect_language(docs, "id", "t", model).collect()}
+    assert found[1] == "de" and found[5] == found[7] == "en" and found[4] is None and found[6] is None
+    one = lg.language_model(docs, "id", "t", "l", texts=1)
+    assert {r.run for r in one.where("weight > -1e9").collect()} and one.count() < lg.language_model(docs, "id", "t", "l").count()
+    nothing = lg.language_model(docs.limit(0), "id", "t", "l")
+    assert nothing.count() == 0 and {r.lang for r in lg.detect_language(docs, "id", "t", nothing).collect()} == {None}
+
+
+def test_language_of_pages_declared_or_found(spark):
+    docs = spark.createDataFrame([(1, "das Haus und der Garten", "de"), (2, "the house and the garden", "en")], "id int, t string, l string")
+    model = lg.language_model(docs, "id", "t", "l")
+    pages = [(1, '<html lang="fr-FR"><body>the house</body></html>'), (2, "<body><p>the house and the</p><article>der Garten und das Haus</article></body>"),
+             (3, "<body>the house <script>das Haus und der Garten das Haus</script></body>"), (4, "<html></html>"), (5, None)]
+    got = {r.id: r.lang for r in lg.page_language(spark.createDataFrame(pages, "id int, html string"), "id", "html", model).collect()}
+    assert got == {1: "fr", 2: "de", 3: "en", 4: None, 5: None}
