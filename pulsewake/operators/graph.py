@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from pulsewake.operators.flood import distance_sums
 from pulsewake.operators.ordering import number_in_order
 from pulsewake.runtime import cut_lineage
 
@@ -137,67 +138,32 @@ def cut_hubs(simple: DataFrame, part_size: int) -> tuple[DataFrame, DataFrame]:
     return known.select("u", part.alias("part"), "v"), hubs
 
 
-def closeness(edges: DataFrame, max_depth: int | None = None, block: int = 63, part_size: int = 100_000) -> DataFrame:
+def closeness(edges: DataFrame, max_depth: int | None = None, words: int = 64, part_size: int = 1 << 22, side: int = 1 << 17) -> DataFrame:
     """Reachable vertices ÷ sum of distances over undirected edges, 0 when nothing is reachable.
 
-    A breadth-first flood from all vertices at once. The vertices heard of are kept as bits, ``block``
-    of them per long, so a round moves (vertex, block) rows merged by ``bit_or`` and never a row per
-    pair. Only bits that are new to a vertex travel on; the flood ends when there are none.
-    The edges of a hub lie in parts of about ``part_size``; its news go to each of them once a round, and what the
-    parts send is merged by ``bit_or`` before it leaves their tasks.
+    A breadth-first flood from all vertices at once (:mod:`pulsewake.operators.flood`): the vertices heard of are bits, 64 *
+    ``words`` sources of ``1024`` vertices in a row. Only bits that are new to a vertex travel on; the flood ends when there are
+    none. A task has at most ``part_size`` edges between two sets of ``side`` vertices, whatever the degree of a hub.
     """
-    # a small frontier may send very many messages: the number of tasks must not follow its size
-    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parted, hubs = cut_hubs(cut_lineage(simple_edges(edges)), part_size)
-    # an edge knows the parts of its target, which pass on what it hears
-    targets = hubs.select(F.col("id").alias("_hub"), F.col("parts").alias("_parts"))
-    both = cut_lineage(
-        parted.join(targets, F.col("v") == F.col("_hub"), "left").select("u", "part", "v", F.coalesce("_parts", F.lit(1)).alias("parts"))
-        .repartition(tasks, "u", "part")
-    )
-    nodes = cut_lineage(_number_densely(vertices_of(edges)))
-    first = nodes.join(hubs, "id", "left").select(
-        "id",
-        F.coalesce("parts", F.lit(1)).alias("parts"),
-        F.floor(F.col("seq") / block).alias("blk"),
-        F.expr(f"shiftleft(1L, cast(seq % {block} AS int))").alias("fresh"),
-    )
-    none = F.lit(0).cast("bigint")
-    state = cut_lineage(first.select("id", "blk", "parts", F.col("fresh").alias("seen"), "fresh", none.alias("n"), none.alias("s")))
-    depth = 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        mirrors = state.where("fresh <> 0").select("id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("mirror"), "blk", "fresh")
-        at_part = (F.col("id") == F.col("u")) & (F.col("mirror") == F.col("part"))
-        news = mirrors.repartition(tasks, "id", "mirror").join(both, at_part).select(
-            F.col("v").alias("id"), "blk", "parts", F.col("fresh").alias("heard")
-        )
-        # state and messages meet in one aggregate, which merges messages on the map side already
-        merged = (
-            state.select("id", "blk", "parts", "seen", "n", "s", none.alias("heard"))
-            .unionByName(news.select("id", "blk", "parts", none.alias("seen"), none.alias("n"), none.alias("s"), "heard"))
-            .groupBy("id", "blk")
-            .agg(F.max("parts").alias("parts"), F.bit_or("seen").alias("seen"), F.bit_or("heard").alias("heard"), F.sum("n").alias("n"), F.sum("s").alias("s"))
-        )
-        fresh = F.col("heard").bitwiseAND(F.bitwise_not("seen"))
-        state = cut_lineage(merged.select(
-            "id", "blk", "parts",
-            F.col("seen").bitwiseOR(F.col("heard")).alias("seen"),
-            fresh.alias("fresh"),
-            (F.col("n") + F.bit_count(fresh)).alias("n"),
-            (F.col("s") + depth * F.bit_count(fresh)).alias("s"),
-        ))
-        if state.where("fresh <> 0").isEmpty():
-            break
-    sums = state.groupBy("id").agg(F.sum("n").alias("reachable"), F.sum("s").alias("distance"))
-    return sums.select(
+    simple = cut_lineage(simple_edges(edges))
+    nodes = cut_lineage(_number_together(vertices_of(edges), simple))
+    ends = nodes.select(F.col("id").alias("a"), F.col("seq").alias("x")), nodes.select(F.col("id").alias("b"), F.col("seq").alias("y"))
+    numbered = simple.join(ends[0], "a").join(ends[1], "b").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    found = distance_sums(cut_lineage(numbered), nodes.count(), max_depth, words, part_size, side)
+    sums = found.groupBy("seq").agg(F.sum("n").alias("reachable"), F.sum("s").alias("distance"))
+    return nodes.join(sums, "seq").select(
         "id", "reachable", "distance",
         F.when(F.col("distance") > 0, F.col("reachable") / F.col("distance")).otherwise(F.lit(0.0)).alias("closeness"),
     ).orderBy(F.desc("closeness"), "id")
 
 
-def _number_densely(nodes: DataFrame, buckets: int = 1024) -> DataFrame:
-    """Consecutive numbers without one global sort: number inside hash buckets, then add bucket offsets."""
-    hashed = nodes.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(buckets)))
-    numbered = number_in_order(hashed, [], ["_b", "id"])
+def _number_together(nodes: DataFrame, simple: DataFrame, rounds: int = 3) -> DataFrame:
+    """Consecutive numbers ``seq`` in which vertices that share a near vertex of least hash lie together, so that small
+    components touch few blocks of bits. Any numbering gives the same distances."""
+    both = simple.select(F.inline(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))))
+    labels = cut_lineage(nodes.select("id", F.xxhash64("id").alias("label")))
+    for _ in range(rounds):
+        heard = both.join(labels, F.col("u") == F.col("id")).select(F.col("v").alias("id"), "label")
+        labels = cut_lineage(labels.unionByName(heard).groupBy("id").agg(F.min("label").alias("label")))
+    numbered = number_in_order(labels.withColumn("own", F.xxhash64("id")), [], ["label", "own", "id"])
     return numbered.select("id", (F.col("position") - 1).alias("seq"))

@@ -87,6 +87,22 @@ def test_edges_of_a_hub_lie_in_many_tasks(spark):
     assert got == {"hub": (299, 299), **{f"leaf{i}": (299, 1 + 2 * 298) for i in range(1, 300)}}
 
 
+def test_flood_in_small_tiles_is_the_same(spark):
+    """Many tiles, parts and blocks of sources; the bits of a chunk are one row, not one row per vertex and block."""
+    pairs, df = random_edges(spark, 7, n=400, m=700)
+    want = {r.id: (r.reachable, r.distance) for r in g.closeness(df).collect()}
+    for sizes in ({"words": 1, "side": 64, "part_size": 50}, {"words": 2, "side": 48}):
+        assert {r.id: (r.reachable, r.distance) for r in g.closeness(df, **sizes).collect()} == want
+    near, start = neighbours(pairs), pairs[0][0]
+    seen, queue = {start: 0}, deque([start])
+    while queue:
+        v = queue.popleft()
+        for w in near[v] - seen.keys():
+            seen[w] = seen[v] + 1
+            queue.append(w)
+    assert want[start] == (len(seen) - 1, sum(seen.values()))
+
+
 def test_closeness_stops_at_the_depth_asked_for(spark):
     path = spark.createDataFrame([(str(i), str(i + 1)) for i in range(6)], "src string, dst string")
     got = {r.id: r.reachable for r in g.closeness(path, max_depth=2).collect()}
