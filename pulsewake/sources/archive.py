@@ -1,6 +1,6 @@
 """Web-archive files: listing, records and payload decoding.
 
-Spark lists the files and deals them out; each task reads its files as streams, record by record. A record ends where its
+Spark lists the files and deals them out in pieces; each task reads its pieces as streams, record by record. A record ends where its
 declared length says, so a page may hold anything, and no more than one record is in memory.
 """
 
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 RECORD_SCHEMA = ("record_type string, url string, download_date string, http_status int, content_type string, payload binary, "
                  "is_complete boolean, file string, record bigint, seconds double, error string")
 BATCH_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20
 
 # Fixed value: time stamp inside an archive file name.
 FILE_STAMP = r"-(\d{14})-"
@@ -211,9 +212,14 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def records_of(files: DataFrame, path: str = "path") -> DataFrame:
-    """The records of a table of file addresses; every file goes to a task of its own choice by hash."""
-    whole = files.select(F.col(path).alias("path"), F.lit(0).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("length"), F.lit(0).cast("bigint").alias("first"))
-    return records_in_ranges(whole)
+    """The records of a table of file addresses. Files of more than ``PIECE_BYTES`` are read by several tasks."""
+    return records_in_ranges(record_ranges(files, path, PIECE_BYTES))
+
+
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Addresses over a fixed number of tasks: they are so few bytes that adaptive execution would put all into one."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
 
 
 RANGE_SCHEMA = "path string, start bigint, length bigint, first bigint"
@@ -224,16 +230,17 @@ def record_ranges(files: DataFrame, path: str = "path", size: int = 64 << 20) ->
 
     A piece begins with a record, and in gzipped files also with a gzip member, so it can be read without what is before it; a file
     that is one single member is one piece. ``first`` is the number of its first record. The last piece goes to the end of the
-    file (``length`` null), with whatever damage is there. Making the index reads each file once, in one task; write it down. From
-    then on large files are read by many tasks, and a job that keeps the pieces it has done goes on inside a file.
+    file (``length`` null), with whatever damage is there. Making the index reads each file that is larger than ``size`` once, in
+    one task; write it down. From then on large files are read by many tasks, and a job that keeps the pieces it has done goes
+    on inside a file.
     """
-    spread = files.select(F.col(path).alias("path")).repartition("path")
+    spread = _dealt(files.select(F.col(path).alias("path")), "path")
     return spread.mapInArrow(_index_files(size), RANGE_SCHEMA)
 
 
 def records_in_ranges(ranges: DataFrame) -> DataFrame:
     """The records of the pieces of :func:`record_ranges`, the same rows as :func:`records_of` gives for whole files."""
-    spread = ranges.select("path", "start", "length", "first").repartition("path", "start")
+    spread = _dealt(ranges.select("path", "start", "length", "first"), "path", "start")
     return spread.mapInArrow(_read_files, RECORD_SCHEMA)
 
 
@@ -253,6 +260,8 @@ def _index_files(size: int):
 def _cuts(path: str, size: int) -> list[tuple[int, int]]:
     """Where the pieces of a file begin, and the number of the first record of each."""
     store, name = fs.FileSystem.from_uri(path)
+    if (store.get_file_info(name).size or 0) <= size:
+        return [(0, 0)]
     with store.open_input_file(name) as raw:
         packed = raw.read(2) == b"\x1f\x8b"
         whole = _Slice(raw, 0, None)
@@ -353,7 +362,9 @@ def page_records(records: DataFrame, errors: str = "strict") -> DataFrame:
 
 def _with_text(records: DataFrame, errors: str) -> DataFrame:
     wanted = records.where(F.col("record_type") == "response") if "record_type" in records.columns else records
-    return wanted.withColumn("html", decode_payload(F.col("payload"), declared_charset(F.col("content_type"), F.col("payload")), errors))
+    text = decode_payload(F.col("payload"), declared_charset(F.col("content_type"), F.col("payload")), errors)
+    # a generator is not repeated by the filters above it: every payload is decoded once
+    return wanted.withColumn("html", F.explode(F.array(text)))
 
 
 def _complete(pages: DataFrame) -> Column:

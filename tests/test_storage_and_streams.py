@@ -276,6 +276,20 @@ def test_pieces_of_an_archive_give_its_records(spark, tmp_path, kind):
     assert archive.records_in_ranges(done).count() + (archive.records_in_ranges(left).count() if len(index) > 1 else 0) == len(want)
 
 
+def test_archives_are_read_by_many_tasks_and_decoded_once(spark, tmp_path):
+    """The table of addresses is tiny, yet must not end in one task; nor may a filter on the text decode it again."""
+    for number in range(12):
+        body = "é".encode("latin-1") * 20
+        http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=windows-1252\r\n\r\n" + body
+        head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://a.com/{number}\r\nContent-Length: {len(http)}\r\n\r\n"
+        (tmp_path / f"{number}.warc").write_bytes(head.encode() + http + b"\r\n\r\n")
+    records = archive.read_archive(spark, str(tmp_path))
+    assert records.groupBy(F.spark_partition_id()).count().count() > 1
+    pages = archive.decoded_pages(records)
+    assert {r.html for r in pages.collect()} == {"é" * 20} and pages.count() == 12
+    assert pages._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_ledger_counts_every_record_of_the_archives(spark, tmp_path):
     page = lambda day: ('<html><head><title>T</title><meta name="date" content="%s 07:08:09"></head><body><article><p>%s</p></article></body></html>' % (day, "word " * 20)).encode()
     http = lambda body, kind=b"text/html", status=b"200": b"HTTP/1.1 " + status + b" OK\r\nContent-Type: " + kind + b"\r\n\r\n" + body
