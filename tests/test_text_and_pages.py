@@ -371,3 +371,11 @@ def test_language_of_pages_declared_or_found(spark):
              (3, "<body>the house <script>das Haus und der Garten das Haus</script></body>"), (4, "<html></html>"), (5, None)]
     got = {r.id: r.lang for r in lg.page_language(spark.createDataFrame(pages, "id int, html string"), "id", "html", model).collect()}
     assert got == {1: "fr", 2: "de", 3: "en", 4: None, 5: None}
+
+
+def test_runs_meet_the_language_model_without_a_shuffle(spark):
+    docs = spark.createDataFrame([(1, "der hund und die katze", "de"), (2, "the dog and the cat", "en")], "id long, t string, l string")
+    judged = lg.detect_language(docs, "id", "t", lg.language_model(docs, "id", "t", "l"))
+    assert {r.id: r.lang for r in judged.collect()} == {1: "de", 2: "en"}
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
