@@ -57,8 +57,8 @@ DATE_CLASSES = "pubdate|timestamp|article_date|articledate|date"
 def attribute(tag: Column, name: str) -> Column:
     """Value of an attribute as written, quoted or not; null when the tag has none."""
     pattern = rf"""(?is)[\s"']{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>=`][^\s"'<>`]*))"""
-    value = F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
-    return F.when(tag.rlike(pattern), value)
+    value = lambda t: F.concat(*[F.regexp_extract(t, pattern, i) for i in (1, 2, 3)])
+    return let(tag, lambda t: F.when(t.rlike(pattern), value(t)))
 
 
 #: Spans whose content is no markup; an open one reaches to the end of the page.
@@ -123,7 +123,12 @@ def _spans(pieces: Column, name: str) -> Column:
 
 def meta_content(html: Column, attr: str, value: str) -> Column:
     """``content`` of the first meta tag whose ``attr`` equals ``value``."""
-    hits = F.filter(tags(html, "meta"), lambda t: F.lower(attribute(t, attr)) == value)
+    return content_of(tags(html, "meta"), attr, value)
+
+
+def content_of(metas: Column, attr: str, value: str) -> Column:
+    """:func:`meta_content` from the meta tags of a page, for those who ask for several."""
+    hits = F.filter(metas, lambda t: F.lower(attribute(t, attr)) == value)
     return unescape(empty_to_null(attribute(F.get(hits, F.lit(0)), "content")))
 
 

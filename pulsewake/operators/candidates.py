@@ -30,14 +30,14 @@ def candidate(extractor: str, **values: Column) -> Column:
 
 def head_extractor(html: Column, url: Column) -> Column:
     """What the page head says about the article."""
-    return candidate(
+    return let(h.tags(html, "meta"), lambda metas: candidate(
         "head",
         title=h.page_title(html),
-        description=F.coalesce(h.meta_content(html, "name", "description"), h.meta_content(html, "property", "og:description")),
-        topimage=h.meta_content(html, "property", "og:image"),
-        author=h.meta_content(html, "name", "author"),
+        description=F.coalesce(h.content_of(metas, "name", "description"), h.content_of(metas, "property", "og:description")),
+        topimage=h.content_of(metas, "property", "og:image"),
+        author=h.content_of(metas, "name", "author"),
         language=h.page_language(html),
-    )
+    ))
 
 
 def body_extractor(html: Column, url: Column) -> Column:

@@ -379,3 +379,12 @@ def test_runs_meet_the_language_model_without_a_shuffle(spark):
     assert {r.id: r.lang for r in judged.collect()} == {1: "de", 2: "en"}
     plan = judged._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_page_is_searched_once_for_an_attribute(spark):
+    """What is looked into several times, also inside of conditions, is in the plan once."""
+    df = spark.createDataFrame([("<meta name='a' content=''>", "<img src=b>")], "x string, y string")
+    got = df.select(h.attribute(F.reverse(F.reverse("y")), "src").alias("a"), tx.empty_to_null(F.initcap("x")).alias("b"), h.meta_content(F.col("x"), "name", "a").alias("c"))
+    assert got.first().asDict() == {"a": "b", "b": "<meta Name='a' Content=''>", "c": None}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("initcap(") == 1 and plan.count("reverse(") == 2
