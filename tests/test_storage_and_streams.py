@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 from pathlib import Path
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,6 +180,20 @@ def test_throttle_takes_late_arrivals_in_their_place(spark, tmp_path):
     assert throttled(spark, tmp_path, batches, "20 hours") == [("p", 1), ("p", 8), ("p", 31), ("q", 2), ("q", 50)]
 
 
+def test_throttle_packs_a_page_into_one_row_before_its_state():
+    big = 2**60 + 1
+    parts = [pa.RecordBatch.from_pydict({"url": pa.array(keys, pa.int64()), "_at": pa.array(at, pa.int64())})
+             for keys, at in (([big, None, big, big], [5, 1, 3, 5]), ([big, 7], [9, 2]), ([7], [2]))]
+    got = pa.Table.from_batches(flows._packed(iter(parts), rows=6)).to_pylist()
+    assert [(r["url"], sorted(r["_moments"]), r["_newest"]) for r in got] == [(big, [3, 5, 9], 9), (None, [1], 1), (7, [2], 2), (7, [2], 2)]
+
+
+def test_throttle_takes_an_arrival_that_is_just_as_late_as_allowed(spark, tmp_path):
+    # 10 comes at a watermark of 10, in one batch with 40; 9 is behind it
+    batches = [[("q", 30)], [("p", 10), ("p", 40), ("q", 9)], [(None, 200)]]
+    assert throttled(spark, tmp_path, batches, "20 hours") == [("p", 10), ("p", 40), ("q", 30)]
+
+
 def test_version_store_counts_a_replayed_batch_once(spark, tmp_path):
     store = VersionStore(spark, str(tmp_path / "log"), "url", "at", "id")
     batch = lambda *rows: spark.createDataFrame([(u, T0 + timedelta(hours=x), i) for u, x, i in rows], "url string, at timestamp_ntz, id bigint")
