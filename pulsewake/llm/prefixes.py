@@ -90,16 +90,6 @@ def _prefixed(size: int, threshold: int, common):
     return work
 
 
-def _sets(size: int):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in blocks(batch.column(1), SPACED, lower=True):
-                part = batch.slice(block.first, block.last - block.first)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(block, size)], pa.binary())], names=["class", "hashes"])
-
-    return work
-
-
 # -- postings -----------------------------------------------------------------------------------------------------
 
 
@@ -181,12 +171,14 @@ def _flat(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False)
 
 
-def _met(left: list[np.ndarray], right: list[np.ndarray], begins: np.ndarray, counts: np.ndarray, threshold: int) -> Iterator[np.ndarray]:
-    """Postings ``[groups, ats]`` or ``[groups, ats, components, shorts]``, the k-th left one against the right ones from ``begins[k]``: the
-    groups ``a < b`` of those that may link, the number of tokens they share here and the number they need here, as rows of an
-    array. A few million postings meet at a time.
+def _met(left: list[np.ndarray], right: list[np.ndarray], begins: np.ndarray, counts: np.ndarray, threshold: int, spots: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Postings ``[groups, ats]`` or ``[groups, ats, components, shorts, sizes]``, the k-th left one against the right ones from
+    ``begins[k]``: rows of an array, of what may link. A few million postings meet at a time.
 
-    What a pair needs it has to at least a half in short lists, or else in long ones but for the tokens that both have in short ones.
+    Of groups alone: the groups ``a < b``, the number of tokens they share here and the number they need here, half of all. With
+    components: the group of the smaller one and the larger component, so that a group and thousands of near copies are one row, the
+    spot of the left posting, and the tokens that some pair of the two shares and the fewest that one needs: in long lists all but the
+    tokens that both have in short ones, or less than half.
     """
     ends = np.cumsum(counts)
     first = 0
@@ -197,32 +189,36 @@ def _met(left: list[np.ndarray], right: list[np.ndarray], begins: np.ndarray, co
         y = np.repeat(begins[first:last] - (np.cumsum(own) - own), own) + np.arange(own.sum())
         first = last
         ok = may_link(left[1][x], right[1][y], threshold) & (left[0][x] != right[0][y])
-        if len(left) > 2:
+        if spots is not None:
             ok &= left[2][x] != right[2][y]
         x, y = x[ok], y[ok]
         if not len(x):
             continue
         need = needed(left[1][x] >> 32, right[1][y] >> 32, threshold)
-        if len(left) > 2:
-            need -= np.minimum(np.minimum(left[3][x], right[3][y]), (need - 1) // 2)
-        else:
-            need = (need + 1) // 2
         a, b = left[0][x], right[0][y]
-        yield _counted(np.stack((np.minimum(a, b), np.maximum(a, b), np.ones(len(a), np.int64), need)))
+        if spots is None:
+            yield _counted(np.stack((np.minimum(a, b), np.maximum(a, b), np.zeros(len(a), np.int64), np.ones(len(a), np.int64), (need + 1) // 2)))
+            continue
+        need -= np.minimum(np.minimum(left[3][x], right[3][y]), (need - 1) // 2)
+        larger = (left[4][x] > right[4][y]) | ((left[4][x] == right[4][y]) & (left[2][x] > right[2][y]))
+        # a component of one class meets a group once a token, so nothing has to be told apart
+        spot = np.where(np.maximum(left[4][x], right[4][y]) > 1, spots[x], 0)
+        yield _counted(np.stack((np.where(larger, b, a), np.where(larger, left[2][x], right[2][y]), spot, np.ones(len(a), np.int64), need)))
 
 
 def _counted(rows: np.ndarray) -> np.ndarray:
-    """One column for each pair, with the sum of what it shares."""
-    order = np.lexsort((rows[1], rows[0]))
+    """One column for each pair and spot, with the sum of what it shares, at a spot other than 0 with 1, and the least need."""
+    order = np.lexsort((rows[4], rows[2], rows[1], rows[0]))
     rows = rows[:, order]
-    begins = np.flatnonzero(np.concatenate(([True], (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1]))))
+    begins = np.flatnonzero(np.concatenate(([True], (rows[:3, 1:] != rows[:3, :-1]).any(axis=0))))
     out = rows[:, begins]
-    out[2] = np.add.reduceat(rows[2], begins)
+    out[3] = np.where(out[2] == 0, np.add.reduceat(rows[3], begins), 1)
     return out
 
 
 def _gathered(found: Iterator[np.ndarray], limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Rows of :func:`_met`, equal pairs put together as far as a bounded buffer reaches."""
+    names = ["a", "b", "spot", "shared", "need"]
     held, size = [], 0
     for rows in found:
         held.append(rows)
@@ -231,13 +227,13 @@ def _gathered(found: Iterator[np.ndarray], limit: int = 1 << 20) -> Iterator[pa.
             held = [_counted(np.concatenate(held, axis=1))]
             size = held[0].shape[1]
             if size > limit:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], names=["a", "b", "shared", "need"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], names=names)
                 held, size = [], 0
     if size:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _counted(np.concatenate(held, axis=1))], names=["a", "b", "shared", "need"])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _counted(np.concatenate(held, axis=1))], names=names)
 
 
-_MET = "a bigint, b bigint, shared bigint, need bigint"
+_MET = "a bigint, b bigint, spot bigint, shared bigint, need bigint"
 
 
 def _lengths(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -260,25 +256,25 @@ def _near_pairs(threshold: int):
 
 
 def _inside_pairs(threshold: int):
-    """Postings of a block ``groups, ats, comps, shorts`` against those behind them."""
+    """Postings of a block ``groups, ats, comps, shorts, sizes`` with its spot against those behind them."""
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
             lengths, begins = _lengths(batch.column(0))
-            own = [_flat(batch.column(i)) for i in range(4)]
+            own = [_flat(batch.column(i)) for i in range(5)]
             at = np.arange(len(own[0]))
-            yield from _met(own, own, at + 1, np.repeat(begins + lengths, lengths) - at - 1, threshold)
+            yield from _met(own, own, at + 1, np.repeat(begins + lengths, lengths) - at - 1, threshold, np.repeat(batch.column(5).to_numpy(), lengths))
 
     return lambda batches: _gathered(met(batches))
 
 
 def _across_pairs(threshold: int):
-    """Postings of a block ``groups, ats, comps, shorts`` against those of a second one in the same row."""
+    """Postings of a block ``groups, ats, comps, shorts, sizes`` against those of a second one in the same row, which ends with the spot."""
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
             lengths, _ = _lengths(batch.column(0))
-            others, begins = _lengths(batch.column(4))
-            left, right = ([_flat(batch.column(i)) for i in r] for r in (range(4), range(4, 8)))
-            yield from _met(left, right, np.repeat(begins, lengths), np.repeat(others, lengths), threshold)
+            others, begins = _lengths(batch.column(5))
+            left, right = ([_flat(batch.column(i)) for i in r] for r in (range(5), range(5, 10)))
+            yield from _met(left, right, np.repeat(begins, lengths), np.repeat(others, lengths), threshold, np.repeat(batch.column(10).to_numpy(), lengths))
 
     return lambda batches: _gathered(met(batches))
 
@@ -286,46 +282,69 @@ def _across_pairs(threshold: int):
 # -- verifying ----------------------------------------------------------------------------------------------------
 
 
-def _verified(threshold: int):
+def _verified(size: int, threshold: int):
+    """Cells of classes with texts: each left one against the right ones, a link to each of their components."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = [], []
-            for pivot, ids, hashes in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                ids = ids.values.to_numpy()
-                sets = {i: np.frombuffer(h.as_buffer(), dtype=np.uint64) for i, h in zip(ids.tolist(), hashes.values)}
-                for other, own in sets.items():
-                    if other != pivot and linked(sets[pivot], own, threshold):
-                        left.append(pivot)
-                        right.append(other)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+            cells, entries = batch.column(0).value_lengths().to_numpy(), batch.column(0).flatten()
+            classes, comps, lefts, texts = (entries.field(i) for i in range(4))
+            sets = [x for block in blocks(texts, SPACED, lower=True) for x in shingle_sets(block, size)]
+            classes, comps, lefts = classes.to_numpy(), comps.to_numpy(), lefts.to_numpy(zero_copy_only=False)
+            found = []
+            for end, length in zip(np.cumsum(cells), cells):
+                own = np.arange(end - length, end)
+                for i in own[lefts[own]]:
+                    met = set()
+                    for j in own[~lefts[own]]:
+                        if comps[j] not in met and classes[i] != classes[j] and linked(sets[i], sets[j], threshold):
+                            met.add(comps[j])
+                            found.append((classes[i], classes[j]))
+            pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return work
 
 
+def _pair_cells(pairs: DataFrame) -> DataFrame:
+    """Pairs ``a``, ``b`` of classes as cells ``x``, ``y``: a class on the left meets its partners a few dozen at a time."""
+    pairs = written(pairs.where("a <> b").distinct(), "pairs")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("parts"))
+    dealt = pairs.join(parts, "a").select(F.col("a").alias("x"), F.pmod(F.xxhash64("b"), F.col("parts")).alias("y"), "b")
+    right = dealt.select("x", "y", F.col("b").alias("class"), F.col("b").alias("comp"), F.lit(False).alias("left"))
+    return right.unionByName(dealt.select("x", "y", F.col("x").alias("class"), F.col("x").alias("comp"), F.lit(True).alias("left")).distinct())
+
+
+def _wide_cells(wide: DataFrame, placed: DataFrame) -> DataFrame:
+    """Pairs ``group``, ``one`` of a group and a component as cells: the classes of all groups that meet a component on the left, its own on the
+    right, both in parts of a few dozen, each part of one with each of the other. ``placed`` has ``class``, ``group``, its component ``one`` and ``comp``."""
+    lefts = wide.join(placed.select("group", "class", "comp"), "group").select("one", "class", "comp")
+    rights = placed.join(wide.select("one").distinct(), "one").select("one", "class", "comp")
+    parts = lambda rows, c: rows.groupBy("one").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias(c))
+    sizes = parts(rights, "rows").join(parts(lefts, "columns"), "one")
+    cell = F.col("row") * F.col("columns") + F.col("column")
+    part = lambda c: F.pmod(F.xxhash64("class"), F.col(c))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
+    right = rights.join(sizes, "one").select("*", part("rows").alias("row"), every("columns").alias("column"), F.lit(False).alias("left"))
+    left = lefts.join(sizes, "one").select("*", part("columns").alias("column"), every("rows").alias("row"), F.lit(True).alias("left"))
+    return right.unionByName(left).select(F.col("one").alias("x"), (-1 - cell).alias("y"), "class", "comp", "left")
+
+
 class _Join:
     def __init__(self, keyed: DataFrame, classes: DataFrame, size: int, threshold: int):
         self.keyed, self.classes, self.size, self.threshold = keyed, classes, size, threshold
-        self.sets: DataFrame | None = None
 
-    def full_sets(self, wanted: DataFrame) -> DataFrame:
-        """The sets of classes, made again from the text of one member; what is there already is taken."""
-        new = wanted if self.sets is None else wanted.join(self.sets.select("class"), "class", "left_anti")
-        of = written(self.classes.join(new, "class", "left_semi").select("class", F.col("id").alias("of_id"), F.col("tag").alias("of_tag")), "wanted")
+    def texts(self, wanted: DataFrame) -> DataFrame:
+        """The text of one member of each class; texts take less room in a shuffle than the hashes of their sets."""
+        of = written(self.classes.join(wanted, "class", "left_semi").select("class", F.col("id").alias("of_id"), F.col("tag").alias("of_tag")), "wanted")
         own = sifted(self.keyed, F.xxhash64("id", "tag"), of.select(F.xxhash64("of_id", "of_tag")))
         texts = own.join(of, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("tag") == F.col("of_tag"))).select("class", "text")
-        made = written(texts.mapInArrow(_sets(self.size), "class bigint, hashes binary").groupBy("class").agg(F.first("hashes").alias("hashes")), "sets")
-        self.sets = made if self.sets is None else self.sets.unionByName(made)
-        return self.sets
+        return texts.groupBy("class").agg(F.first("text").alias("text"))
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """Of the pairs ``a``, ``b`` of classes those that are linked. A class meets its partners a few dozen at a time."""
-        pairs = written(pairs.where("a <> b").distinct(), "pairs")
-        sets = self.full_sets(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
-        parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("parts"))
-        dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
-        members = dealt.select("a", "part", F.col("b").alias("class")).unionByName(dealt.select("a", "part", F.col("a").alias("class")).distinct())
-        full = members.join(sets, "class").groupBy("a", "part").agg(F.collect_list("class").alias("ids"), F.collect_list("hashes").alias("hashes"))
-        return written(full.select("a", "ids", "hashes").mapInArrow(_verified(self.threshold), "a bigint, b bigint"), "links")
+    def verify(self, cells: DataFrame) -> DataFrame:
+        """Links between classes of cells ``x``, ``y``."""
+        cells = written(cells, "met")
+        full = cells.join(self.texts(cells.select("class").distinct()), "class").groupBy("x", "y").agg(F.collect_list(F.struct("class", "comp", "left", "text")).alias("e"))
+        return written(full.select("e").mapInArrow(_verified(self.size, self.threshold), "a bigint, b bigint"), "links")
 
 
 # -- the join -----------------------------------------------------------------------------------------------------
@@ -364,7 +383,7 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     join = _Join(keyed, classes, shingle, threshold)
     near = written(_enough(lists.select("groups", "ats").mapInArrow(_near_pairs(threshold), _MET)), "near")
     inside = grouped.select(F.col("group").alias("a"), F.col("class").alias("b"))
-    roots = written(connected(join.verify(near.unionByName(inside))), "roots")
+    roots = written(connected(join.verify(_pair_cells(near.unionByName(inside)))), "roots")
     more = join.verify(_open(lists, near, grouped, roots, threshold))
     roots = written(also_connected(roots, more), "roots")
 
@@ -377,38 +396,43 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
 
 def _enough(met: DataFrame) -> DataFrame:
     """Pairs that share what they need here."""
-    counts = met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("need").alias("need"))
+    here = met.groupBy("a", "b", "spot").agg(F.sum("shared").alias("shared"), F.min("need").alias("need"))
+    shared = F.when(F.col("spot") == 0, F.col("shared")).otherwise(1)
+    counts = here.groupBy("a", "b").agg(F.sum(shared).alias("shared"), F.min("need").alias("need"))
     return counts.where(F.col("shared") >= F.col("need")).select("a", "b")
 
 
 def _open(lists: DataFrame, near: DataFrame, grouped: DataFrame, roots: DataFrame, threshold: int) -> DataFrame:
-    """Candidate pairs of classes in different components: of groups that meet in long lists, or were paired before by their
+    """Cells of candidates in different components: of groups that meet in long lists, or were paired before by their
     first classes only."""
     comp = F.coalesce("root", "class")
     placed = written(grouped.join(roots, grouped["class"] == roots["node"], "left").select("class", "group", comp.alias("comp")), "placed")
     # a group of several components is one by itself, with a number that no class has
-    ends = placed.groupBy("group").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    ends = placed.groupBy("group").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n"))
     short = lists.where("NOT long").select(F.explode("groups").alias("group")).groupBy("group").agg(F.count(F.lit(1)).alias("short"))
     one = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(-1 - F.col("group"))
-    of_group = written(ends.join(short, "group", "left").select("group", one.alias("comp"), F.coalesce("short", F.lit(0)).alias("short")), "components")
+    of_group = written(ends.join(short, "group", "left").select("group", one.alias("comp"), F.coalesce("short", F.lit(0)).alias("short"), "n"), "components")
+    sizes = of_group.groupBy("comp").agg(F.sum("n").alias("size"))
     entries = lists.where("long").select("block", "token", F.explode(F.arrays_zip("groups", "ats")).alias("e")).select(
         "block", "token", F.col("e.groups").alias("group"), F.col("e.ats").alias("at"))
-    spans = entries.select("token", "group").join(of_group, "group").groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    alive = spans.where("low <> high").select("token")
-    marked = entries.join(alive, "token", "left_semi").join(of_group, "group")
-    cells = written(marked.groupBy("block", "token").agg(
-        F.collect_list(F.struct("group", "at", "comp", "short")).alias("e"), F.min("comp").alias("low"), F.max("comp").alias("high")).select(
-        "block", "token", "low", "high", F.col("e.group").alias("groups"), F.col("e.at").alias("ats"), F.col("e.comp").alias("comps"), F.col("e.short").alias("shorts")), "cells")
-    lists = ["groups", "ats", "comps", "shorts"]
-    own = cells.where("low <> high").select(lists).mapInArrow(_inside_pairs(threshold), _MET)
+    spans = entries.select("block", "token", "group").join(of_group, "group").groupBy("token").agg(
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("block").alias("first"), F.max("block").alias("last"))
+    # a token of several blocks is a spot, to be counted once
+    alive = spans.where("low <> high").select("token", F.when(F.col("first") < F.col("last"), F.col("token")).otherwise(0).alias("spot"))
+    marked = entries.join(alive, "token").join(of_group.join(sizes, "comp").drop("n"), "group")
+    cells = written(marked.groupBy("block", "token", "spot").agg(
+        F.collect_list(F.struct("group", "at", "comp", "short", "size")).alias("e"), F.min("comp").alias("low"), F.max("comp").alias("high")).select(
+        "block", "token", "spot", "low", "high", *[F.col(f"e.{c}").alias(f"{c}s") for c in ("group", "at", "comp", "short", "size")]), "cells")
+    lists = ["groups", "ats", "comps", "shorts", "sizes"]
+    own = cells.where("low <> high").select(*lists, "spot").mapInArrow(_inside_pairs(threshold), _MET)
     x, y = cells.alias("x"), cells.alias("y")
     apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.block") < F.col("y.block")) & (
         (F.col("x.low") != F.col("y.low")) | (F.col("x.high") != F.col("y.high")) | (F.col("x.low") != F.col("x.high")))
-    across = x.join(y, apart).select(*[F.col(f"{t}.{c}").alias(f"{t}_{c}") for t in "xy" for c in lists]).mapInArrow(_across_pairs(threshold), _MET)
-    pairs = written(_enough(own.unionByName(across)), "open")
+    across = x.join(y, apart).select(*[F.col(f"{t}.{c}").alias(f"{t}_{c}") for t in "xy" for c in lists], F.col("x.spot").alias("spot")).mapInArrow(_across_pairs(threshold), _MET)
+    wide = written(_enough(own.unionByName(across)), "open").select(F.col("a").alias("group"), F.col("b").alias("one"))
     member = lambda c: placed.select(F.col("group").alias(c), F.col("class").alias(f"{c}_class"), F.col("comp").alias(f"{c}_comp"))
-    both = pairs.withColumn("tried", F.lit(False)).unionByName(near.withColumn("tried", F.lit(True)))
-    between = both.join(member("a"), "a").join(member("b"), "b").where("a_comp <> b_comp AND NOT (tried AND a_class = a AND b_class = b)").select(F.col("a_class").alias("a"), F.col("b_class").alias("b"))
+    between = near.join(member("a"), "a").join(member("b"), "b").where("a_comp <> b_comp AND NOT (a_class = a AND b_class = b)").select(F.col("a_class").alias("a"), F.col("b_class").alias("b"))
     mixed = placed.join(ends.where("low <> high").select("group"), "group", "left_semi")
     within = mixed.alias("x").join(mixed.alias("y"), (F.col("x.group") == F.col("y.group")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.comp") != F.col("y.comp")))
-    return between.unionByName(within.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")))
+    pairs = between.unionByName(within.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")))
+    return _pair_cells(pairs).unionByName(_wide_cells(wide, placed.join(of_group.select("group", F.col("comp").alias("one")), "group")))

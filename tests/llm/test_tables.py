@@ -8,6 +8,7 @@ import math
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,6 +194,17 @@ def some_texts(seed, n=70):
     return texts + [*texts[:10], texts[80].upper(), " ".join(base[:110]), "a b c", "A b C", "a b c d e", "a b c d f", *ODD]
 
 
+def test_a_group_and_a_component_are_one_candidate():
+    # groups 0 to 49 are one component, 50 and 51 are single; three lists, two of them blocks of one token
+    groups, at = list(range(52)), 100 << 32
+    block = lambda spot: {"groups": groups, "ats": [at] * 52, "comps": [0] * 50 + [50, 51], "shorts": [0] * 52, "sizes": [50] * 50 + [1, 1], "spot": spot}
+    batch = pa.RecordBatch.from_pylist([block(0), block(7), block(7)])
+    rows = pa.Table.from_batches(prefixes._inside_pairs(80)(iter([batch]))).to_pylist()
+    got = sorted((r["a"], r["b"], r["spot"]) + ((r["shared"],) if r["spot"] else ()) for r in rows)
+    assert got == [(50, 0, 0), (50, 0, 7, 1), (50, 51, 0), (51, 0, 0), (51, 0, 7, 1)]
+    assert [r["shared"] for r in rows if r["b"] == 51] == [3]
+
+
 @pytest.mark.parametrize("threshold,block,common,listed", [(80, 256, 4, 1 << 18), (80, 4, 1, 50), (60, 2, 4, 0)])
 def test_prefix_join_against_brute_force(spark, monkeypatch, threshold, block, common, listed):
     monkeypatch.setattr(prefixes, "COMMON", common)
