@@ -34,6 +34,7 @@ SAMPLE = 16  # one text of so many tells which tokens are common
 COMMON = 4  # texts of the sample that have a common token
 LISTED = 1 << 18  # common tokens that are put last, the most common ones
 BLOCK = 256
+FEW, PART = 3, 4  # of the tokens that two prefixes must share a fourth is asked for, at least 3: more leave fewer pairs to verify, but make more rows
 NEXT = 8  # groups of a list that each one meets in the first round, besides the pivot
 PARTNERS = 64
 
@@ -155,15 +156,18 @@ def _lists(size: int):
 
 
 def needed(size: np.ndarray, other: np.ndarray, threshold: int) -> np.ndarray:
-    """Tokens that the prefixes of two sets must share: what a link takes, less what at most one of them has behind its prefix."""
+    """Tokens that two sets must share near the beginning of their prefixes. A link takes so many in the prefixes: those it needs, less what
+    at most one of them has behind its prefix. A part of them is asked for, so that the first ones count."""
     least = -(-threshold * (size + other) // (100 + threshold))
-    return least - np.maximum(size - prefix_size(size, threshold), other - prefix_size(other, threshold))
+    inside = least - np.maximum(size - prefix_size(size, threshold), other - prefix_size(other, threshold))
+    return np.minimum(inside, np.maximum(FEW, inside // PART))
 
 
 def may_link(left: np.ndarray, right: np.ndarray, threshold: int) -> np.ndarray:
-    """Filters of size and position for postings of one token: how much can be shared before it and from there on."""
+    """Filters of size and position for postings of one token: whether it can be among the first :func:`needed` ones that a linked pair
+    shares. Then fewer than these are shared before it, and the rest from there on."""
     n, i, m, j = left >> 32, left & 0xFFFFFFFF, right >> 32, right & 0xFFFFFFFF
-    shared = np.minimum(i, j) + np.minimum(n - i, m - j)
+    shared = np.minimum(np.minimum(i, j), needed(n, m, threshold) - 1) + np.minimum(n - i, m - j)
     return (100 * np.minimum(n, m) >= threshold * np.maximum(n, m)) & ((100 + threshold) * shared >= threshold * (n + m))
 
 

@@ -205,6 +205,37 @@ def test_a_group_and_a_component_are_one_candidate():
     assert [r["shared"] for r in rows if r["b"] == 51] == [3]
 
 
+def test_postings_far_from_the_beginning_make_no_pairs():
+    """Near copies with 20 tokens of their own before the common ones share too little; a pair would need 14 of the prefixes of 30."""
+    rows = []
+    for at in range(20, 30):
+        block = [list(range(200)), [(146 << 32) + at] * 200, list(range(200)), [0] * 200, [1] * 200]
+        rows.append(dict(zip(("groups", "ats", "comps", "shorts", "sizes", "spot"), [*block, 0])))
+    inside, alone = (pa.RecordBatch.from_pylist(x) for x in (rows, [{k: r[k] for k in ("groups", "ats")} for r in rows]))
+    across = pa.RecordBatch.from_pylist([{f"{t}_{k}": [v + 1000 * (t == "y") if k in ("groups", "comps") else v for v in r[k]] for t in "xy" for k in list(r)[:5]} | {"spot": 0} for r in rows])
+    for pairs, batch in ((prefixes._inside_pairs, inside), (prefixes._across_pairs, across), (prefixes._near_pairs, alone)):
+        assert sum(b.num_rows for b in pairs(80)(iter([batch]))) == 0
+
+
+def test_linked_sets_share_what_is_needed_near_the_beginning():
+    import numpy as np
+
+    random.seed(8)
+    linked = 0
+    for _ in range(3000):
+        threshold, n = random.choice((50, 60, 75, 80, 90)), random.randint(1, 40)
+        x = set(random.sample(range(60), n))
+        y = (x - set(random.sample(sorted(x), random.randint(0, n // 3)))) | set(random.sample(range(60), random.randint(0, 1 + n // 4)))
+        if not y or 100 * len(x & y) < threshold * len(x | y):
+            continue
+        linked += 1
+        order = [{t: (len(s) << 32) + i for i, t in enumerate(sorted(s)[: int(prefixes.prefix_size(np.int64(len(s)), threshold))])} for s in (x, y)]
+        shared = sorted(order[0].keys() & order[1].keys())
+        left, right = (np.array([o[t] for t in shared], dtype=np.int64) for o in order)
+        assert prefixes.may_link(left, right, threshold).sum() >= prefixes.needed(np.int64(len(x)), np.int64(len(y)), threshold) >= 1
+    assert linked > 500
+
+
 @pytest.mark.parametrize("threshold,block,common,listed", [(80, 256, 4, 1 << 18), (80, 4, 1, 50), (60, 2, 4, 0)])
 def test_prefix_join_against_brute_force(spark, monkeypatch, threshold, block, common, listed):
     monkeypatch.setattr(prefixes, "COMMON", common)
